@@ -9,6 +9,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from caselight.session import ship_package
+
 #: Bytes of query vectors that one block of a search sends to every executor.
 QUERY_BLOCK_BYTES = 32_000_000
 
@@ -59,6 +61,7 @@ def topk_cosine(queries: DataFrame, candidates: DataFrame, id_col: str, vector:
     is any row with the same (not null) value of that column. Vectors that are not valid take no part.
     """
     spark = candidates.sparkSession
+    ship_package(spark)
     extra = [F.col(exclude).cast("string").alias("x") if exclude else F.lit(None).cast("string").alias("x")]
     q = queries.where(is_valid(F.col(query_vector or vector))).select(F.col(id_col).alias("id"), *extra, normalize(F.col(query_vector or vector)).alias("v"))
     c = candidates.where(is_valid(F.col(vector))).select(F.col(id_col).alias("id"), *extra, normalize(F.col(vector)).alias("v"))
