@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from caselight.llm import bpe, decontaminate
+from caselight.llm import bpe, decontaminate, near_dup, toxicity
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -25,8 +25,18 @@ def op8_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.decontaminate(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "benchmark")).drop("spans")
 
 
+def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Toxicity of every document by weakly supervised voters."""
+    return toxicity.classify(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "labels"))
+
+
+def op10_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Near-duplicate components of every document: three-word shingles, similarity 0.85."""
+    return near_dup.near_duplicates(_read(spark, sf_dir, "documents"), k=3, percent=85)
+
+
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op4_bpe, op8_decontaminate)}
+    return {f.__name__: f for f in (op4_bpe, op8_decontaminate, op9_toxicity, op10_minhash)}
 
 
 def oracle_sql() -> dict[str, str]:

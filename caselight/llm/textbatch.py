@@ -13,6 +13,8 @@ from functools import lru_cache
 import numpy as np
 import pyarrow as pa
 
+from caselight.session import ship_package
+
 SLICE_BYTES = 2_000_000
 #: Rows in an Arrow batch; with texts of a few KB this is a few MB.
 ARROW_ROWS = 500
@@ -23,7 +25,8 @@ PLACES = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0
 
 
 def small_batches(spark) -> None:
-    """Arrow batches of ARROW_ROWS rows, so that a batch of long texts fits a worker."""
+    """Arrow batches of ARROW_ROWS rows, so that a batch of long texts fits a worker; workers get this package."""
+    ship_package(spark)
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(ARROW_ROWS))
 
 
