@@ -43,7 +43,7 @@ def prefix(v: Column, n: int) -> Column:
 
 def fuse(blocks: list[tuple[Column, float]]) -> Column:
     """Blocks normalised each, weighted, put one after another and normalised again."""
-    return normalize(F.concat(*(F.transform(normalize(v), lambda x, w=w: x * F.lit(w)) for v, w in blocks)))
+    return normalize(F.concat(*(F.transform(normalize(v), lambda x: x * F.lit(w)) for v, w in blocks)))
 
 
 def mean_pool(df: DataFrame, key: str, vector: str) -> DataFrame:
