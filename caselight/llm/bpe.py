@@ -23,6 +23,7 @@ import heapq
 import json
 from functools import lru_cache
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
@@ -175,17 +176,22 @@ def _resolve(vocabulary: str) -> str:
 
 
 def encode(documents: DataFrame, vocabulary: str = "byte_bpe_50k.json", id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """id, ids array<int> and the text that they decode to."""
-    schema = pa.schema([(id_col, pa.int64()), ("ids", pa.list_(pa.int32())), ("decoded", pa.string())])
+    """id, n_tokens, ids array<int> and decoded, the text that they decode to."""
+    schema = pa.schema([(id_col, pa.int64()), ("n_tokens", pa.int64()), ("ids", pa.list_(pa.int32())), ("decoded", pa.string())])
 
     def run(batches):
         t = tokenizer(_resolve(vocabulary))
         for batch in batches:
-            ids = [t.encode(v.as_py()) for v in batch.column(1)]
-            yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.int64()), pa.array(ids, pa.list_(pa.int32())), pa.array([t.decode(x) for x in ids], pa.string())], schema=schema)
+            n, ids, decoded = [], [], []
+            for v in batch.column(1):
+                size, a, raw = zip(*e, strict=True) if (e := t.encoded(v.as_py())) else ((), (), ())
+                n.append(sum(size))
+                ids.append(np.array(",".join(a).split(","), np.int32) if a else np.zeros(0, np.int32))
+                decoded.append(b"".join(raw).decode("utf-8", "replace"))
+            yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.int64()), pa.array(n, pa.int64()), pa.array(ids, pa.list_(pa.int32())), pa.array(decoded, pa.string())], schema=schema)
 
     small_batches(documents.sparkSession)
-    return documents.select(id_col, text_col).mapInArrow(run, f"`{id_col}` long, ids array<int>, decoded string")
+    return documents.select(id_col, text_col).mapInArrow(run, f"`{id_col}` long, n_tokens long, ids array<int>, decoded string")
 
 
 def encode_digests(documents: DataFrame, vocabulary: str = "byte_bpe_50k.json", id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -147,3 +147,22 @@ def decontaminate(documents: DataFrame, benchmark: DataFrame, window: int = WIND
         "doc_id", "n_words", F.size("words").cast("long").alias("n_hit"), F.size("items").cast("long").alias("n_items"),
         F.sha2(F.array_join("items", ",").cast("binary"), 256).alias("items_sha256"), (F.size("words") > 0).alias("contaminated"), "spans",
     )
+
+
+def drop_contaminated(documents: DataFrame, benchmark: DataFrame, window: int = WINDOW, text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", block_bytes: int = BLOCK_BYTES) -> DataFrame:
+    """The documents, with all their columns, that hold no window of any item."""
+    small_batches(documents.sparkSession)
+    at, out = documents.columns.index(text_col), documents
+
+    def keep(held):
+        def run(batches):
+            auto = automaton(held.value, window)
+            for batch in batches:
+                clean = [not len(scan_text(v.as_py(), auto)[1]) for v in batch.column(at).cast(pa.binary())]
+                yield batch.filter(pa.array(clean, pa.bool_()))
+
+        return run
+
+    for items in _blocks(benchmark, item_col, item_text_col, block_bytes):
+        out = out.mapInArrow(keep(documents.sparkSession.sparkContext.broadcast(items)), documents.schema)
+    return out

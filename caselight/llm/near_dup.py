@@ -283,3 +283,11 @@ def near_duplicates(documents: DataFrame, k: int = WORDS, percent: int = PERCENT
     scratch.keep_only(named, sizes)
     out = sizes.join(named, "set_key", "left").withColumn("component_id", F.coalesce("component", "id"))
     return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), "component_id", (F.col("id") == F.col("component_id")).alias("kept"))
+
+
+def keep_one(documents: DataFrame, k: int = WORDS, percent: int = PERCENT, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The documents, with all their columns, of which no near-duplicate has a smaller id. Rows with a null id stay."""
+    scratch = Scratch(documents.sparkSession)
+    gone = near_duplicates(documents, k, percent, id_col, text_col).where("NOT kept").select(id_col).distinct()
+    gone = scratch.write(gone)
+    return documents.join(F.broadcast(gone) if gone.count() <= BROADCAST_IDS else gone, id_col, "left_anti").select(documents.columns)

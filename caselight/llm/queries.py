@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from caselight.llm import bpe, decontaminate, near_dup, toxicity
+from caselight.llm import bpe, decontaminate, near_dup, pii, toxicity
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -15,6 +15,11 @@ def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Personal data in every document."""
+    return pii.find(_read(spark, sf_dir, "documents"))
+
+
 def op4_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """BPE encoding and decoding of every document."""
     return bpe.encode_digests(_read(spark, sf_dir, "documents"))
@@ -36,7 +41,7 @@ def op10_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op4_bpe, op8_decontaminate, op9_toxicity, op10_minhash)}
+    return {f.__name__: f for f in (op1_pii, op4_bpe, op8_decontaminate, op9_toxicity, op10_minhash)}
 
 
 def oracle_sql() -> dict[str, str]:

@@ -1,4 +1,59 @@
-"""Corpus pipeline over documents: toxicity, near-duplicates, benchmark passages, personal data, tokens."""
+"""Corpus pipeline over documents: toxicity, near-duplicates, benchmark passages, personal data, tokens.
 
-STAGES: list = []
+Each stage takes what its predecessor kept. A document leaves if its toxicity score reaches the threshold, if
+a near-duplicate (five-word shingles, similarity 0.8 or more) has a smaller id, or if it holds ten consecutive
+words of a benchmark item; personal data in the rest is replaced by its kind in brackets; at last texts become
+token ids. All stages but the last return the columns of documents. Null texts stay null up to the last stage,
+which gives them no tokens; null ids stay.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from caselight.llm import bpe, decontaminate, near_dup, pii, toxicity
+from caselight.llm.shared import Scratch
+
+
+def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Toxicity (9): the documents whose score is below the threshold."""
+    model = toxicity.fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    return toxicity.score(docs, model).where(F.col("toxicity_score") < toxicity.THRESHOLD).select(docs.columns)
+
+
+def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """MinHash near-dedup (10): one document of each group stays."""
+    return near_dup.keep_one(docs)
+
+
+def drop_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Benchmark decontamination (8): the documents without item windows."""
+    return decontaminate.drop_contaminated(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
+def redact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Personal data (1): spans replaced by their kinds."""
+    return pii.redact(docs)
+
+
+def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """BPE (4): doc_id, n_tokens, ids and the text that they decode to."""
+    return bpe.encode(docs)
+
+
+STAGES = [("toxicity", drop_toxic), ("near_duplicates", drop_near_duplicates), ("benchmark", drop_benchmark), ("personal_data", redact), ("tokens", tokens)]
+
+#: The stages' models, sketches and merges are beyond SQL; tests hold the pipeline against a brute-force version.
 ORACLE_SQL = None
+
+
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The stages in order; what each returns is written, as Parquet in the shared folder, and read again."""
+    scratch = Scratch(spark)
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    for _, stage in STAGES[:-1]:
+        done = scratch.write(stage(spark, docs, sf_dir))
+        scratch.keep_only(done)
+        docs = done
+    return STAGES[-1][1](spark, docs, sf_dir)
