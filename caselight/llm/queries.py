@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from caselight.llm import bpe, decontaminate, near_dup, pii, toxicity
+from caselight.llm import bpe, decontaminate, licenses, near_dup, pii, quality, toxicity, urls, vector_dup
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -20,11 +20,31 @@ def op1_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.find(_read(spark, sf_dir, "documents"))
 
 
+def op3_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Host, path, rule and verdict of every page's url."""
+    return urls.judge(_read(spark, sf_dir, "pages"))
+
+
 def op4_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """BPE encoding and decoding of every document."""
     return bpe.encode_digests(_read(spark, sf_dir, "documents"))
 
 
+def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality of every document by pooled random-indexing vectors."""
+    return quality.classify(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "labels"))
+
+
+def op6_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Near-duplicate components of every embedding: equal labels, cosine 0.93."""
+    return vector_dup.near_duplicates(_read(spark, sf_dir, "embeddings"))
+
+
+def op7_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """License phrases and templates in every document."""
+    return licenses.scan(_read(spark, sf_dir, "documents"))
+
+
 def op8_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Ten-word benchmark windows in every document."""
     return decontaminate.decontaminate(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "benchmark")).drop("spans")
@@ -41,7 +61,7 @@ def op10_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op1_pii, op4_bpe, op8_decontaminate, op9_toxicity, op10_minhash)}
+    return {f.__name__: f for f in (op1_pii, op3_urls, op4_bpe, op5_quality, op6_vectors, op7_licenses, op8_decontaminate, op9_toxicity, op10_minhash)}
 
 
 def oracle_sql() -> dict[str, str]:
