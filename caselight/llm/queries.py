@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from caselight.llm import bpe, decontaminate, licenses, near_dup, pii, quality, toxicity, urls, vector_dup
+from caselight.llm import bpe, decontaminate, licenses, near_dup, pii, quality, substrings, toxicity, urls, vector_dup
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -20,6 +20,11 @@ def op1_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.find(_read(spark, sf_dir, "documents"))
 
 
+def op2_suffix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Bytes of every document without 100-byte strings that start earlier."""
+    return substrings.remove_repeats(_read(spark, sf_dir, "documents"))
+
+
 def op3_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Host, path, rule and verdict of every page's url."""
     return urls.judge(_read(spark, sf_dir, "pages"))
@@ -61,7 +66,7 @@ def op10_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op1_pii, op3_urls, op4_bpe, op5_quality, op6_vectors, op7_licenses, op8_decontaminate, op9_toxicity, op10_minhash)}
+    return {f.__name__: f for f in (op1_pii, op2_suffix, op3_urls, op4_bpe, op5_quality, op6_vectors, op7_licenses, op8_decontaminate, op9_toxicity, op10_minhash)}
 
 
 def oracle_sql() -> dict[str, str]:
