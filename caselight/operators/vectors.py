@@ -9,6 +9,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from caselight.functions.text import let
 from caselight.session import ship_package
 
 #: Bytes of query vectors that one block of a search sends to every executor.
@@ -17,7 +18,8 @@ QUERY_BLOCK_BYTES = 32_000_000
 
 def is_valid(v: Column, dim: int | None = None) -> Column:
     """A vector that is not null, has finite components, a norm over 1e-12 and, if given, that many components."""
-    ok = v.isNotNull() & F.coalesce(F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))), F.lit(False)) & (norm(v) > 1e-12)
+    finite = F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
+    ok = v.isNotNull() & F.coalesce(finite, F.lit(False)) & (norm(v) > 1e-12)
     return ok & (F.size(v) == dim) if dim is not None else ok
 
 
@@ -27,8 +29,8 @@ def norm(v: Column) -> Column:
 
 
 def normalize(v: Column) -> Column:
-    """The vector over its norm; null where it is not valid."""
-    return F.when(is_valid(v), F.transform(v, lambda x: x.cast("double") / norm(v)))
+    """The vector over its norm; null where it is not valid. The norm is worked out once a vector."""
+    return let(v, lambda w: F.when(is_valid(w), let(norm(w), lambda n: F.transform(w, lambda x: x.cast("double") / n))))
 
 
 def dot(a: Column, b: Column) -> Column:
@@ -100,3 +102,58 @@ def _local_topk(held, k: int):
             yield best
 
     return run
+
+
+def gram(df: DataFrame, vector: str) -> DataFrame:
+    """i, j, g: the Gram matrix of the valid vectors, i <= j; d * d / 2 sums combined before the shuffle."""
+    rows = df.where(is_valid(F.col(vector))).select(F.col(vector).alias("v"))
+    cells = rows.select("v", F.posexplode("v").alias("i", "x")).select("i", "x", F.posexplode("v").alias("j", "y")).where("i <= j")
+    return cells.groupBy("i", "j").agg(F.sum(F.col("x").cast("double") * F.col("y").cast("double")).alias("g"))
+
+
+def matrix_statistics(df: DataFrame, vector: str) -> DataFrame:
+    """One row: rows, mean norm and effective rank (exponential of the entropy of the squared singular values' shares)."""
+    spark = df.sparkSession
+    cells = gram(df, vector).collect()  # at most d * (d + 1) / 2 rows
+    d = max((r["j"] for r in cells), default=-1) + 1
+    g = np.zeros((d, d))
+    for r in cells:
+        g[r["i"], r["j"]] = g[r["j"], r["i"]] = r["g"]
+    values = np.clip(np.linalg.eigvalsh(g), 0, None) if d else np.zeros(0)
+    share = values[values > 0] / values.sum() if values.sum() > 0 else np.zeros(0)
+    rank = float(np.exp(-(share * np.log(share)).sum())) if len(share) else 0.0
+    ok = df.where(is_valid(F.col(vector)))
+    return ok.agg(F.count(F.lit(1)).alias("n"), F.avg(norm(F.col(vector))).alias("mean_norm")).withColumn("effective_rank", F.lit(rank)) if d else spark.createDataFrame([(0, None, 0.0)], "n long, mean_norm double, effective_rank double")
+
+
+def hub_share(top: DataFrame) -> DataFrame:
+    """One row: the share of queries whose nearest candidate is the most frequent one."""
+    first = top.where("rank = 1").groupBy("candidate_id").agg(F.count(F.lit(1)).alias("n"))
+    return first.agg((F.max("n") / F.sum("n")).alias("hub_share"))
+
+
+def random_pair_cosines(df: DataFrame, id_col: str, vector: str, seed: int = 0) -> DataFrame:
+    """a, b, cosine of rows paired by the order of a hash: each row with the next in its bucket of the hash."""
+    from pyspark.sql import Window as W
+
+    h = F.xxhash64(F.lit(seed), F.col(id_col))
+    rows = df.where(is_valid(F.col(vector))).select(F.col(id_col).alias("a"), normalize(F.col(vector)).alias("v"), h.alias("h"), F.pmod(h, F.lit(256)).alias("k"))
+    w = W.partitionBy("k").orderBy("h", "a")
+    return rows.withColumn("b", F.lead("a").over(w)).withColumn("u", F.lead("v").over(w)).where("b IS NOT NULL").select("a", "b", dot(F.col("v"), F.col("u")).alias("cosine"))
+
+
+def two_stage(queries: DataFrame, candidates: DataFrame, id_col: str, coarse: str, fine: str, wide: int, k: int) -> DataFrame:
+    """The wide best by the coarse vectors, ranked again by the fine ones."""
+    first = topk_cosine(queries, candidates, id_col, coarse, wide)
+    q = queries.select(F.col(id_col).alias("query_id"), normalize(F.col(fine)).alias("_q"))
+    c = candidates.select(F.col(id_col).alias("candidate_id"), normalize(F.col(fine)).alias("_c"))
+    s = first.select("query_id", "candidate_id").join(q, "query_id").join(c, "candidate_id").withColumn("score", dot(F.col("_q"), F.col("_c")))
+    w = Window.partitionBy("query_id").orderBy(F.desc("score"), "candidate_id")
+    return s.withColumn("rank", F.row_number().over(w).cast("long")).where(F.col("rank") <= k).select("query_id", "rank", "candidate_id", F.round("score", 6).alias("score"))
+
+
+def overlap_gate(a: Column, b: Column, least: int = 3, coverage: float = 0.5) -> Column:
+    """struct(shared, coverage, jaccard, ok): whether two sets of names share enough to be compared."""
+    shared = F.size(F.array_intersect(a, b))
+    cover = shared / F.nullif(F.least(F.size(a), F.size(b)), F.lit(0))
+    return F.struct(shared.alias("shared"), cover.alias("coverage"), (shared / F.nullif(F.size(F.array_union(a, b)), F.lit(0))).alias("jaccard"), F.coalesce((shared >= least) & (cover >= coverage), F.lit(False)).alias("ok"))
