@@ -53,7 +53,7 @@ GENERATORS = {
     "phone": (r"(?<![0-9+().-])(?:\([0-9]{3}\)\x20?|[0-9]{3}[\x20.-])[0-9]{3}[\x20.-][0-9]{4}(?![0-9-])", r"[0-9]{3}[\x20.-][0-9]{4}"),
     "iban": (r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]{4}){2,7}+(?:\x20?[A-Z0-9]{1,3})?(?![A-Za-z0-9])", r"[A-Z]{2}[0-9]{2}"),
     "identity": (r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])", r"[0-9]-[0-9]{2}-[0-9]"),
-    "secret": (r"(?<![A-Za-z0-9])(?:[0-9a-f]{32,128}+|(?:AKIA|ASIA)[A-Z0-9]{16}|gh[pousr]_[A-Za-z0-9]{20,60}+|sk-[A-Za-z0-9]{20,60}+|(?<=(?:token|secret|password|passwd|api_key|apikey)\x20{0,2}[=:]\x20{0,2}[\"']{0,1})[^\s\"']{6,128}+)", r"[0-9a-f]{32}|AKIA|ASIA|gh[pousr]_|sk-|(?:token|secret|password|passwd|api_key|apikey)\x20{0,2}[=:]"),
+    "secret": (r"(?<![A-Za-z0-9])(?:(?=[a-f]{0,31}[0-9])(?=[0-9]{0,31}[a-f])[0-9a-f]{32,128}+(?![A-Za-z0-9])|(?:AKIA|ASIA)[A-Z0-9]{16}|gh[pousr]_[A-Za-z0-9]{20,60}+|sk-[A-Za-z0-9]{20,60}+|(?<=(?:token|secret|password|passwd|api_key|apikey)\x20{0,2}[=:]\x20{0,2}[\"']{0,1})[^\s\"']{6,128}+)", r"[0-9a-f]{32}|AKIA|ASIA|gh[pousr]_|sk-|(?:token|secret|password|passwd|api_key|apikey)\x20{0,2}[=:]"),
 }
 
 #: Features: of the match, the text before or the text after it; "n" counts matches of the pattern, "?" tests it.
@@ -176,8 +176,10 @@ def model(n: int = TRAIN, rounds: int = ROUNDS, precision: float = PRECISION) ->
     for k in range(len(KINDS)):
         at = np.flatnonzero(~fit & (x[:, 0] == k))
         order = at[np.argsort(-score[at])]
-        good = np.flatnonzero(np.cumsum(y[order]) / np.arange(1, len(order) + 1) >= precision) if len(order) else []
-        least.append(float(score[order[good[-1]]]) if len(good) else 1e9)
+        ranked = score[order]
+        last = np.r_[ranked[1:] < ranked[:-1], True] if len(order) else np.zeros(0, bool)  # of equal scores
+        good = np.flatnonzero(last & (np.cumsum(y[order]) / np.arange(1, len(order) + 1) >= precision))
+        least.append(float(ranked[good[-1]]) if len(good) else 1e9)
     return tuple(trees), tuple(least)
 
 

@@ -1,0 +1,241 @@
+"""Text operators against brute force, with nulls, empty and long texts, copies and empty tables."""
+
+import hashlib
+import re
+from itertools import pairwise
+
+import pytest
+
+from caselight.llm import bpe, decontaminate, licenses, near_dup, pii, substrings
+
+WORD = re.compile(rb"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
+
+
+def words(text):
+    return WORD.findall((text or "").encode().lower())
+
+
+def base_spans(text):
+    patterns = {"email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", "ip": r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", "card": r"[0-9]([\x20-]?[0-9])+", "phone": r"\+[0-9][\x20().0-9-]+[0-9]"}
+
+    def luhn(d):
+        return sum(x if i % 2 == 0 else (2 * x - 9 if x > 4 else 2 * x) for i, x in enumerate(map(int, reversed(d)))) % 10 == 0
+
+    out = []
+    for kind, p in patterns.items():
+        for m in re.finditer(p, text):
+            d = re.sub("[^0-9]", "", m.group())
+            ok = {"email": True, "ip": kind == "ip" and all(int(x) <= 255 for x in m.group().split(".")), "card": 13 <= len(d) <= 19 and luhn(d), "phone": 9 <= len(d) <= 15}[kind]
+            if ok:
+                out.append((kind, m.start(), m.end()))
+    return out
+
+
+PERSONAL = [
+    "mail a.b+c@x-y.example.com now é 10.0.0.255 or 256.1.1.1 and 1.2.3.4.5.6.7.8",
+    "日本 4111 1111 1111 1111, 4111-1111-1111-1112 +1 (487) 555-7209 +12 x +123456789 a@b.c@d.ef a@b.c%x@d.ef",
+    'token = "' + "0af9" * 10 + '" 😀 call 487-555-7209 ssn 123-45-6789', "0" * 300 + "." + "1" * 50, "a" * 5000, "@@@ a@b", "1.1.1.1" * 50, "", None,
+]
+
+
+def test_pii_base_and_added(spark):
+    df = spark.createDataFrame([(i, t, 7) for i, t in enumerate(PERSONAL)], "doc_id long, text string, base long")
+    rows = {r.doc_id: r for r in pii.find(df).collect()}
+    assert len(rows) == len(PERSONAL)
+    for i, t in enumerate(PERSONAL):
+        want = base_spans(t or "")
+        assert rows[i].base_sha256 == hashlib.sha256(",".join(f"{k}:{s}:{e}" for k, s, e in want).encode()).hexdigest(), t
+        assert [rows[i].n_email, rows[i].n_ip, rows[i].n_card, rows[i].n_phone] == [sum(w[0] == k for w in want) for k in ("email", "ip", "card", "phone")]
+        assert {f"{k}:{s}:{e}" for k, s, e in want} <= set(filter(None, rows[i].spans.split(",")))
+    kinds = {s.split(":")[0] for s in rows[2].spans.split(",")}
+    assert kinds == {"phone", "identity", "secret"}
+    clean = {r.doc_id: r.text for r in pii.redact(df).collect()}
+    assert clean[2] == 'token = "[SECRET]" 😀 call [PHONE] ssn [IDENTITY]' and clean[8] is None and clean[4] == "a" * 5000
+    assert pii.redact(df).columns == df.columns
+
+
+def test_pii_model_is_calibrated():
+    import numpy as np
+
+    trees, least = pii.model()
+    rows = pii._examples(2000, 99)
+    x, y = np.array([pii._row(*r[:4]) for r in rows]), np.array([r[4] for r in rows])
+    score = sum(pii._value(t, x) for t in trees)
+    said = score >= np.array(least)[x[:, 0].astype(int)]
+    assert y[said].mean() > 0.95 and said[y == 1].mean() > 0.8
+
+
+def test_bpe_against_library(spark, texts):
+    public = pytest.importorskip("public_tokenizers")
+    from tokenizers import Tokenizer
+
+    theirs = Tokenizer.from_file(public.path("byte_bpe_50k.json"))
+    more = ["a  b", " a\n b \n\nc\t d", "it's 'll don't", "x<|endoftext|>y <|endoftext|>", "naïve 日本 😀\x85\xa0z", "\n \nb", "a \nb"]
+    every = [*texts, *more]
+    df = spark.createDataFrame(list(enumerate(every)), "doc_id long, text string")
+    for r in bpe.encode_digests(df).collect():
+        ids = theirs.encode(every[r.doc_id] or "", add_special_tokens=False).ids
+        back = theirs.decode(ids, skip_special_tokens=False) if ids else ""
+        assert (r.n_tokens, r.ids_sha256, r.decoded_sha256) == (len(ids), hashlib.sha256(",".join(map(str, ids)).encode()).hexdigest(), hashlib.sha256(back.encode()).hexdigest())
+    for r in bpe.encode(df).collect():
+        assert r.decoded == (every[r.doc_id] or "") and r.n_tokens == len(r.ids)
+
+
+def test_small_cache_gives_the_same(monkeypatch, texts):
+    public = pytest.importorskip("public_tokenizers")
+    monkeypatch.setattr(bpe, "CACHE_WORDS", 10)
+    spec = open(public.path("byte_bpe_50k.json"), encoding="utf-8").read()
+    a, b = bpe.Tokenizer(spec), bpe.Tokenizer(spec)
+    for t in texts:
+        assert b.decode(a.encode(t)) == (t or "")
+
+
+def brute_hits(docs, items, n=10):
+    windows = {}
+    for item, text in items:
+        w = words(text)
+        for i in range(max(1, len(w) - n + 1) if w else 0):
+            windows.setdefault(tuple(w[i : i + n]), set()).add(str(item))
+    out = {}
+    for doc, text in docs:
+        w, hit, found = words(text), set(), set()
+        for size in {len(k) for k in windows}:
+            for i in range(len(w) - size + 1):
+                if (k := tuple(w[i : i + size])) in windows:
+                    hit.update(range(i, i + size))
+                    found |= windows[k]
+        out[doc] = (len(w), len(hit), len(found), hashlib.sha256(",".join(sorted(found)).encode()).hexdigest())
+    return out
+
+
+@pytest.mark.parametrize("block_bytes", [1 << 24, 200])
+def test_decontaminate(spark, documents, texts, nothing, block_bytes):
+    w = " ".join(words(texts[0])[i].decode() for i in range(14)).upper()
+    items = [(1, w), (2, w), (10, "two WORDS!"), (3, " ".join(texts[5].split()[3:16])), (4, ""), (5, None), (6, "der " * 12)]
+    b = spark.createDataFrame([(i, t, "z") for i, t in items], "item_id long, text string, doc_id string")
+    got = {r.doc_id: (r.n_words, r.n_hit, r.n_items, r.items_sha256) for r in decontaminate.decontaminate(documents, b, block_bytes=block_bytes).collect()}
+    assert got == brute_hits(enumerate(texts), items)
+    kept = {r.doc_id for r in decontaminate.drop_contaminated(documents, b, block_bytes=block_bytes).collect()}
+    assert kept == {d for d, r in got.items() if not r[1]}
+    span = decontaminate.decontaminate(documents, b).where("doc_id = 0").first().spans[0]
+    assert words(texts[0][span.start : span.end])[:2] == words(texts[0])[:2]
+    assert decontaminate.decontaminate(nothing, b).count() == 0
+    assert decontaminate.decontaminate(documents, b.limit(0)).where("contaminated").count() == 0
+
+
+def brute_components(docs, k, percent):
+    sets = {}
+    for d, t in docs:
+        w = (t or "").encode().lower().split()
+        sets[d] = frozenset(tuple(w[i : i + k]) for i in range(max(1, len(w) - k + 1))) if w else frozenset()
+    parent = {d: d for d in sets}
+
+    def find(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    keys = sorted(sets)
+    for i, a in enumerate(keys):
+        for b in keys[i + 1 :]:
+            both = len(sets[a] & sets[b])
+            if both and 100 * both >= percent * (len(sets[a]) + len(sets[b]) - both):
+                x, y = sorted((find(a), find(b)))
+                parent[y] = x
+    return {d: (len(sets[d]), find(d)) for d in keys}
+
+
+@pytest.mark.parametrize(("k", "percent"), [(3, 85), (5, 80)])
+def test_near_duplicates(documents, texts, nothing, k, percent):
+    want = brute_components(enumerate(texts), k, percent)
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in near_dup.near_duplicates(documents, k, percent).collect()}
+    assert got == want
+    kept = near_dup.keep_one(documents, k, percent)
+    assert kept.columns == documents.columns and sorted(r.doc_id for r in kept.collect()) == sorted(d for d, (_, c) in want.items() if c == d)
+    assert near_dup.near_duplicates(nothing, k, percent).count() == 0
+
+
+def test_blocks_split_a_large_group(spark, monkeypatch):
+    monkeypatch.setattr(near_dup, "BLOCK", 4)
+    base = [f"w{i}" for i in range(60)]
+    texts = [" ".join(base[:i] + ["new", str(i)] + base[i:]) for i in range(30)]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in near_dup.near_duplicates(df, 3, 85).collect()}
+    assert got == brute_components(enumerate(texts), 3, 85)
+
+
+def test_sketch_margin_keeps_similar_pairs():
+    import numpy as np
+
+    r = np.random.default_rng(0)
+    far = []
+    for _ in range(200):
+        common, a, b = (r.integers(0, 1 << 63, n, dtype=np.uint64) for n in (170, 15, 15))
+        s = [np.concatenate([common, x]) for x in (a, b)]
+        m = near_dup.min_hashes(np.concatenate(s), np.array([0, 185, 370]))
+        k = near_dup.odd_sketches(m)
+        far.append(np.bitwise_count(k[0] ^ k[1]).sum())
+    assert max(far) <= near_dup.most_differing(85)
+
+
+def brute_repeats(docs, length):
+    seen, out = set(), {}
+    for d, t in docs:
+        raw = (t or "").encode()
+        gone = bytearray(len(raw))
+        for i in range(len(raw) - length + 1):
+            w = raw[i : i + length]
+            if w in seen:
+                gone[i : i + length] = b"\1" * length
+            seen.add(w)
+        kept = bytes(x for x, g in zip(raw, gone, strict=True) if not g)
+        out[d] = (len(raw), sum(gone), sum(1 for x, y in pairwise(b"\0" + bytes(gone)) if y > x), hashlib.sha256(kept).hexdigest())
+    return out
+
+
+@pytest.mark.parametrize("classes", [400, 2])
+def test_remove_repeats(documents, texts, nothing, monkeypatch, classes):
+    monkeypatch.setattr(substrings, "CLASSES", classes)
+    got = {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in substrings.remove_repeats(documents).collect()}
+    assert got == brute_repeats(enumerate(texts), 100)
+    assert substrings.remove_repeats(nothing).count() == 0
+
+
+def test_interval_expansion():
+    import numpy as np
+
+    text = np.frombuffer(b"abracadabra_abracadabra$", np.uint8).astype(np.int64) + 2
+    order, interval = substrings.equal_prefixes(text, 4)
+    by = {}
+    for place, n in zip(order, interval, strict=True):
+        by.setdefault(n, set()).add(bytes((text[place : place + 4] - 2).astype(np.uint8)))
+    assert all(len({s[:4] for s in group if len(s) == 4}) <= 1 for group in by.values())
+    assert sum(1 for n in by if list(interval).count(n) == 4) == 1  # "abra" four times
+
+
+def test_licenses(spark, documents, texts, nothing):
+    notes = ["Licensed under CC BY-NC 4.0.\nCC by general PUBLIC license all rights reserved", "x\nLicensed under the Apache License, Version 2.0.", "by cc", "All rights\nreserved", "", None, "Licensed under a license"]
+    df = spark.createDataFrame([(i, t, 1) for i, t in enumerate(notes)], "doc_id long, text string, labels long")
+    rows = {r.doc_id: r for r in licenses.scan(df).collect()}
+    assert rows[0].base_labels == "cc-by,gpl,reserved" and (rows[0].n_base, rows[0].first_word) == (4, 2)
+    assert "cc-by-nc-4.0" in rows[0].labels.split(",") and rows[1].labels == "apache-2.0" and rows[1].base_labels == ""
+    assert rows[3].base_labels == "reserved" and rows[2].n_base == 0 and rows[4].n_words == rows[5].n_words == 0 and rows[6].labels == ""
+    assert {r.doc_id: r.n_words for r in licenses.scan(documents).collect()} == {i: len(words(t)) for i, t in enumerate(texts)}
+    assert licenses.scan(nothing).count() == 0
+
+
+def test_license_join_is_exact():
+    """The filters find just the templates that a full comparison finds."""
+    import random
+
+    vocabulary = licenses._vocabulary(licenses.TEMPLATES)
+    r = random.Random(1)
+    frequency = {w: r.randint(0, 50) for w in vocabulary}
+    m = licenses.Matcher(vocabulary, frequency)
+    place = {w: i for i, w in enumerate(vocabulary)}
+    for _ in range(500):
+        _, text = r.choice(licenses.TEMPLATES)
+        held = {w for w in licenses.template_words(text) if r.random() < 0.85} | set(r.sample(vocabulary, 5))
+        nums = {place[w] for w in held}
+        want = sorted((lab, len(held & set(t)) / len(t)) for lab, s in licenses.TEMPLATES if 100 * len(held & set(t := licenses.template_words(s))) >= 80 * len(t))
+        assert sorted(m.block(nums, len(held), nums & set(m.index))) == want
