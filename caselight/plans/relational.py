@@ -386,7 +386,7 @@ def paired_by_name(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Both sides' records under each name."""
     n = table(spark, sf_dir, "nation")
     out = J.pair_by_name(n.where("n_regionkey < 3"), n.where("n_regionkey > 1"), "n_name", "n_nationkey")
-    return out.select("name", F.size("left_values").alias("n_left"), F.size("right_values").alias("n_right"))
+    return out.select("name", F.size("left_values").cast("long").alias("n_left"), F.size("right_values").cast("long").alias("n_right"))
 
 
 @query("""
