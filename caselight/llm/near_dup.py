@@ -7,17 +7,19 @@ for all. SAMPLES MinHash values of a class are folded into an odd sketch: sample
 collisions, and the XOR's population count gives J precisely where J is high. The first BANDS * ROWS samples
 make band keys. Classes that share a band key are candidates:
 
-1. In each bucket every class is held against the smallest one. Sketches drop what is clearly too far,
-   whole shingle sets confirm the rest, and confirmed links give a first set of components.
-2. In buckets that still hold several components, all pairs from different components are held against each
-   other by their sketches, in blocks of BLOCK classes, and only pairs near the bound go on to whole sets.
+1. In each bucket all pairs are held against each other by their sketches, in blocks of BLOCK classes and a task
+   a pair of blocks. Pairs that may reach the bound tie classes into loose groups: first by FIRST_BANDS bands,
+   then by the others, in which only pairs of different groups still count.
+2. In each loose group whole shingle sets are held against each other, again in pairs of blocks: the sizes of
+   all intersections of a block pair come from products of its shingle incidence matrices.
 
-So no bucket is expanded into pairs and none is capped: links inside a component found in step 1 can't change
-components, and all others are tested. A pair at the bound is missed by all bands with probability under
-(1 - J ** ROWS) ** BANDS (1e-10 at 0.85, 5e-8 at 0.80), and by the sketch beyond SIGMAS standard deviations.
+Of either step only the edges of a forest leave the tasks, never the pairs, so what moves on grows with the
+classes and not with the square of a group; no bucket or group is capped. A pair at the bound is missed by all
+bands with probability under (1 - J ** ROWS) ** BANDS (1e-10 at 0.85, 5e-8 at 0.80), and by the sketch beyond
+SIGMAS standard deviations.
 
-Scale: the shuffles move band keys (8 bytes a band and class), sketches of buckets that hold more than one
-component, and the sets of candidate pairs. Hot keys meet only combined minima, skew joins and blocks.
+Scale: the shuffles move band keys (8 bytes a band and class), sketches of classes that share a key, and the
+sets of classes in loose groups. Hot keys meet only combined counts, skew joins and blocks.
 
 Defined results: null or empty texts, and texts without words, have the empty set and link with nothing;
 rows with a null id are left out; rows repeated under one id count as one class member each and give a row
@@ -30,7 +32,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from caselight.llm.shared import Scratch, components
@@ -39,6 +41,7 @@ from caselight.llm.textbatch import SPACED, mix, shingles, slices, small_batches
 WORDS = 5
 PERCENT = 80
 BANDS, ROWS = 32, 4
+FIRST_BANDS = 8
 SAMPLES = 256
 SKETCH_BITS = 1024
 SIGMAS = 6.0
@@ -79,12 +82,6 @@ def odd_sketches(m: np.ndarray) -> np.ndarray:
     return np.packbits(bits.astype(np.uint8), axis=1)
 
 
-def estimate(differing: np.ndarray) -> np.ndarray:
-    """Jaccard similarity from the number of differing bits."""
-    share = np.clip(1 - 2 * differing / SKETCH_BITS, 1e-9, 1)
-    return 1 + SKETCH_BITS / (4 * SAMPLES) * np.log(share)
-
-
 def most_differing(percent: int) -> int:
     """Bits in which sketches may differ for a similarity of percent, with SIGMAS standard deviations to spare."""
     j = percent / 100
@@ -141,103 +138,153 @@ def _sets(k: int):
     return run
 
 
-def _confirm(percent: int):
-    schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
+_EDGE = pa.schema([("a", pa.int64()), ("b", pa.int64())])
+
+
+def forest(ids: np.ndarray, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(id, smallest id of its tree) of the places that the pairs (a, b) tie together, without the roots."""
+    root = ids.copy()
+    while True:
+        low = np.minimum(root[a], root[b])
+        before = root.copy()
+        np.minimum.at(root, a, low)
+        np.minimum.at(root, b, low)
+        if (root == before).all():
+            break
+    tied = np.unique(np.r_[a, b])
+    tied = tied[ids[tied] != root[tied]]
+    return ids[tied], root[tied]
+
+
+def grouped(batches: Iterator[pa.RecordBatch], keys: int, rows: int = 4 * BLOCK, size: int = 16_000_000) -> Iterator[pa.Table]:
+    """Tables of whole groups, from batches sorted by their first columns, of some rows or bytes at least."""
+    held: list[pa.RecordBatch] = []
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        held.append(batch)
+        if sum(b.num_rows for b in held) < rows and sum(b.nbytes for b in held) < size:
+            continue
+        t = pa.Table.from_batches(held)
+        same = np.logical_and.reduce([t.column(c).to_numpy() == t.column(c)[t.num_rows - 1].as_py() for c in range(keys)])
+        whole = t.num_rows - int(same.sum())
+        if whole:
+            yield t.slice(0, whole)
+            held = t.slice(whole).to_batches()
+    if held:
+        yield pa.Table.from_batches(held)
+
+
+def bounds(t: pa.Table, keys: int) -> list[tuple[int, int]]:
+    """The groups of at least two rows."""
+    new = np.logical_or.reduce([np.diff(t.column(c).to_numpy()) != 0 for c in range(keys)])
+    cut = np.flatnonzero(new) + 1
+    return [(s, e) for s, e in zip(np.r_[0, cut].tolist(), np.r_[cut, t.num_rows].tolist(), strict=True) if e - s > 1]
+
+
+def _edges(found: list[tuple[np.ndarray, np.ndarray]]) -> pa.RecordBatch:
+    a = np.concatenate([x[0] for x in found]) if found else np.zeros(0, np.int64)
+    b = np.concatenate([x[1] for x in found]) if found else np.zeros(0, np.int64)
+    a, b = np.unique(np.c_[a, b], axis=0).T if len(a) else (a, b)
+    return pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], schema=_EDGE)
+
+
+def _facing(block: np.ndarray, i: int, j: int) -> tuple[np.ndarray, np.ndarray]:
+    left = np.flatnonzero(block == i)
+    return left, left if i == j else np.flatnonzero(block == j)
+
+
+def _loose(percent: int):
+    """Edges of pairs whose sizes and sketches may reach the bound, from groups (key, i, j)."""
+    most = most_differing(percent)
 
     def run(batches):
-        for batch in batches:
-            a, b, keep = batch.column(0), batch.column(1), []
-            for x, y in zip(batch.column(2), batch.column(3), strict=True):
-                x, y = np.frombuffer(x.as_py(), np.uint64), np.frombuffer(y.as_py(), np.uint64)
-                both = len(np.intersect1d(x, y, assume_unique=True))
-                keep.append(100 * both >= percent * (len(x) + len(y) - both))
-            keep = pa.array(keep, pa.bool_())
-            yield pa.RecordBatch.from_arrays([a.filter(keep), b.filter(keep)], schema=schema)
+        for t in grouped(batches, 3):
+            _, i, j, block, ids, n, group = (t.column(c).to_numpy() for c in range(7))
+            sketch = np.frombuffer(b"".join(t.column(7).to_pylist()), np.uint64).reshape(t.num_rows, -1)
+            found = []
+            for s, e in bounds(t, 3):
+                left, right = _facing(block[s:e], i[s], j[s])
+                pairs = []
+                for part in np.array_split(left, -(-len(left) // 64)) if len(left) and len(right) else ():
+                    k, m, g = sketch[s:e], n[s:e], group[s:e]
+                    near = g[part][:, None] != g[right][None, :]
+                    near &= np.bitwise_count(k[part][:, None, :] ^ k[right][None, :, :]).sum(2) <= most
+                    near &= 100 * np.minimum(m[part][:, None], m[right][None, :]) >= percent * np.maximum(m[part][:, None], m[right][None, :])
+                    x, y = np.nonzero(near)
+                    pairs.append((part[x], right[y]))
+                if pairs:
+                    a, b = np.concatenate([p[0] for p in pairs]), np.concatenate([p[1] for p in pairs])
+                    found.append(forest(ids[s:e], a[a != b], b[a != b]))
+            yield _edges(found)
 
     return run
 
 
-def _confirmed(scratch: Scratch, docs: DataFrame, pairs: DataFrame, k: int, percent: int) -> DataFrame:
-    """The pairs (a, b) whose whole sets reach the bound."""
-    ids = scratch.write(pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct())
-    known = F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids
-    sets = scratch.write(docs.join(known, "id", "left_semi").dropDuplicates(["id"]).mapInArrow(_sets(k), "id long, s binary"))
-    sa, sb = sets.select(F.col("id").alias("a"), F.col("s").alias("sa")), sets.select(F.col("id").alias("b"), F.col("s").alias("sb"))
-    out = scratch.write(pairs.join(sa, "a").join(sb, "b").select("a", "b", "sa", "sb").mapInArrow(_confirm(percent), "a long, b long"))
-    scratch.drop(ids, sets)
+def intersections(sets: list[np.ndarray], columns: int = 4096) -> np.ndarray:
+    """Sizes of the intersections of all pairs of sets."""
+    n = len(sets)
+    row = np.repeat(np.arange(n), [len(x) for x in sets])
+    _, col, count = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    twice = count[col] > 1
+    row, col = row[twice], (np.cumsum(count > 1) - 1)[col[twice]]
+    order = np.argsort(col, kind="stable")
+    row, col = row[order], col[order]
+    out = np.zeros((n, n), np.float64)
+    for c in range(0, int(col[-1]) + 1 if len(col) else 0, columns):
+        s, e = np.searchsorted(col, [c, c + columns])
+        m = np.zeros((n, min(columns, int(col[-1]) + 1 - c)), np.float32)
+        m[row[s:e], col[s:e] - c] = 1
+        out += m @ m.T
     return out
 
 
-def _near(percent: int):
-    """SQL predicate on sizes and sketches of x and y."""
-    return f"100 * least(nx, ny) >= {percent} * greatest(nx, ny)"
-
-
-def _differ(percent: int):
-    """Keeps pairs whose sketches are near enough."""
-    most = most_differing(percent)
-    schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
+def _exact(percent: int):
+    """Edges of pairs whose whole sets reach the bound, from groups (key, i, j)."""
 
     def run(batches):
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            x, y = (np.frombuffer(b"".join(batch.column(i).to_pylist()), np.uint64).reshape(batch.num_rows, -1) for i in (2, 3))
-            keep = pa.array(np.bitwise_count(x ^ y).sum(1) <= most)
-            yield pa.RecordBatch.from_arrays([batch.column(0).filter(keep), batch.column(1).filter(keep)], schema=schema)
+        for t in grouped(batches, 3):
+            _, i, j, block, ids = (t.column(c).to_numpy() for c in range(5))
+            found = []
+            for s, e in bounds(t, 3):
+                sets = [np.frombuffer(x.as_py(), np.uint64) for x in t.column(5).slice(s, e - s)]
+                both = intersections(sets)
+                size = np.array([len(x) for x in sets])
+                link = 100 * both >= percent * (size[:, None] + size[None, :] - both)
+                left, right = _facing(block[s:e], i[s], j[s])
+                x, y = np.nonzero(link[np.ix_(left, right)])
+                a, b = left[x], right[y]
+                found.append(forest(ids[s:e], a[a != b], b[a != b]))
+            yield _edges(found)
 
     return run
 
 
-def _block_pairs(percent: int):
-    """Pairs from different components in groups (key, i, j) that follow one another."""
-    most = most_differing(percent)
-    schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
-
-    def pairs(block: np.ndarray, ids: np.ndarray, comp: np.ndarray, n: np.ndarray, sketch: np.ndarray, i: int, j: int):
-        left = np.flatnonzero(block == i)
-        right = left if i == j else np.flatnonzero(block == j)
-        if not len(left) or not len(right):
-            return
-        for part in np.array_split(left, -(-len(left) // 64)):
-            far = np.bitwise_count(sketch[part][:, None, :] ^ sketch[right][None, :, :]).sum(2)
-            nx, ny = n[part][:, None], n[right][None, :]
-            ok = (far <= most) & (comp[part][:, None] != comp[right][None, :]) & (100 * np.minimum(nx, ny) >= percent * np.maximum(nx, ny))
-            x, y = np.nonzero(ok)
-            a, b = ids[part[x]], ids[right[y]]
-            yield np.minimum(a, b), np.maximum(a, b)
+def _dealt(scratch: Scratch, rows: DataFrame, size_of: DataFrame, more: list[str] | None = None) -> DataFrame:
+    """key, i, j, block, id and more columns: the rows (key, id) of keys with more than one row, once for each pair of blocks that they face."""
+    many = scratch.write(size_of.where("size > 1").select("key", F.ceil(F.col("size") / BLOCK).cast("int").alias("blocks")))
+    placed = rows.join(many, "key").withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
+    other = placed.withColumn("o", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    return other.select("key", F.least("block", "o").alias("i"), F.greatest("block", "o").alias("j"), "block", "id", *(more or []))
 
-    def run(batches):
-        held: list[pa.RecordBatch] = []
-
-        def flush(t: pa.Table):
-            key, i, j, block, ids, comp, n = (t.column(c).to_numpy() for c in range(7))
-            sketch = np.frombuffer(b"".join(t.column(7).to_pylist()), np.uint64).reshape(len(key), -1)
-            cut = np.flatnonzero((np.diff(key) != 0) | (np.diff(i) != 0) | (np.diff(j) != 0)) + 1
-            out = [(np.zeros(0, np.int64),) * 2]
-            for s, e in zip(np.r_[0, cut], np.r_[cut, len(key)], strict=True):
-                if e - s > 1:
-                    out += pairs(block[s:e], ids[s:e], comp[s:e], n[s:e], sketch[s:e], i[s], j[s])
-            a, b = np.unique(np.c_[np.concatenate([x[0] for x in out]), np.concatenate([x[1] for x in out])], axis=0).T
-            return pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], schema=schema)
-
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            held.append(batch)
-            t = pa.Table.from_batches(held)
-            if t.num_rows < 4 * BLOCK:
-                continue
-            last = [t.column(c)[t.num_rows - 1].as_py() for c in range(3)]
-            same = np.logical_and.reduce([t.column(c).to_numpy() == last[c] for c in range(3)])
-            whole = t.num_rows - int(same.sum())
-            if whole:
-                yield flush(t.slice(0, whole))
-                held = t.slice(whole).to_batches()
-        if held:
-            yield flush(pa.Table.from_batches(held))
 
-    return run
+def _components(scratch: Scratch, edges: DataFrame) -> DataFrame:
+    if edges.limit(1).count():
+        return components(scratch, edges)
+    return scratch.write(edges.select(F.col("a").alias("id"), F.col("b").alias("component")))
+
+
+def _loose_edges(scratch: Scratch, classes: DataFrame, sketches: DataFrame, bands: Column, group: DataFrame | None, percent: int) -> DataFrame:
+    """Edges of a forest of the pairs that share one of the bands' keys, aren't in one group yet and may reach the bound."""
+    banded = classes.select("id", F.explode(bands).alias("key"))
+    grouping = banded.withColumn("g", F.col("id")) if group is None else banded.join(group, "id", "left").select("id", "key", F.coalesce("component", "id").alias("g"))
+    filed = scratch.write(grouping)
+    size = filed.groupBy("key").agg(F.count(F.lit(1)).alias("size"), F.min("g").alias("g0"), F.max("g").alias("g1")).where("g0 < g1")
+    dealt = _dealt(scratch, filed, size, ["g"])
+    rows = dealt.join(sketches, "id").select("key", "i", "j", "block", "id", "n", "g", "sketch")
+    out = scratch.write(rows.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j").mapInArrow(_loose(percent), "a long, b long").distinct())
+    scratch.drop(filed)
+    return out
 
 
 def near_duplicates(documents: DataFrame, k: int = WORDS, percent: int = PERCENT, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -248,35 +295,23 @@ def near_duplicates(documents: DataFrame, k: int = WORDS, percent: int = PERCENT
     docs = documents.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).where("id IS NOT NULL")
     signed = scratch.write(docs.mapInArrow(_signatures(k), "id long, n long, set_key binary, bands array<long>, sketch binary"))
     least = scratch.write(signed.where("n > 0").groupBy("set_key").agg(F.min("id").alias("id")))
-    own = signed.where("n > 0").select("id", "n", "bands", "sketch")
-    classes = scratch.write(own.join(least.select("id"), "id").dropDuplicates(["id"]))
-    banded = classes.select("id", F.explode("bands").alias("key"))
-    shared_keys = scratch.write(banded.groupBy("key").agg(F.min("id").alias("first"), F.max("id").alias("last")).where("first < last").select("key", "first"))
-    buckets = scratch.write(banded.join(shared_keys, "key").select("key", "first", "id"))
+    classes = scratch.write(signed.where("n > 0").join(least, ["set_key", "id"]).select("id", "n", "bands", "sketch").dropDuplicates(["id"]))
+
     sketches = classes.select("id", "n", "sketch")
-    sx = sketches.select(F.col("id").alias("a"), F.col("n").alias("nx"), F.col("sketch").alias("kx"))
-    sy = sketches.select(F.col("id").alias("b"), F.col("n").alias("ny"), F.col("sketch").alias("ky"))
-
-    stars = buckets.where("first < id").select(F.col("first").alias("a"), F.col("id").alias("b")).distinct()
-    close = stars.join(sx, "a").join(sy, "b").where(_near(percent)).select("a", "b", "kx", "ky").mapInArrow(_differ(percent), "a long, b long")
-    links = _confirmed(scratch, docs, scratch.write(close), k, percent)
-    if links.limit(1).count():
-        comp = components(scratch, links)
-    else:
-        comp = scratch.write(links.select(F.col("a").alias("id"), F.col("b").alias("component")))
-
-    member = scratch.write(buckets.select("key", "id").join(comp, "id", "left").select("key", "id", F.coalesce("component", "id").alias("c")))
-    mixed = member.groupBy("key").agg(F.min("c").alias("c0"), F.max("c").alias("c1"), F.count(F.lit(1)).alias("size")).where("c0 < c1")
-    mixed = scratch.write(mixed.select("key", F.ceil(F.col("size") / BLOCK).cast("int").alias("blocks")))
-    placed = member.join(mixed, "key").withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
-    other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
-    dealt = placed.withColumn("o", other).select("key", F.least("block", "o").alias("i"), F.greatest("block", "o").alias("j"), "block", "id", "c")
-    rows = dealt.join(sketches, "id").select("key", "i", "j", "block", "id", "c", "n", "sketch")
-    rows = rows.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
-    cross = scratch.write(rows.mapInArrow(_block_pairs(percent), "a long, b long").distinct())
-    more = _confirmed(scratch, docs, cross, k, percent)
-    if more.limit(1).count():
-        comp = components(scratch, links.union(more))
+    loose = _loose_edges(scratch, classes, sketches, F.slice("bands", 1, FIRST_BANDS), None, percent)
+    group = _components(scratch, loose)
+    more = _loose_edges(scratch, classes, sketches, F.slice("bands", FIRST_BANDS + 1, BANDS), group, percent)
+    group = _components(scratch, loose.union(more))
+
+    ids = scratch.write(group.select("id"))
+    known = F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids
+    sets = scratch.write(docs.join(known, "id", "left_semi").dropDuplicates(["id"]).mapInArrow(_sets(k), "id long, s binary"))
+    keyed = group.select(F.col("component").alias("key"), "id")
+    dealt = _dealt(scratch, keyed, keyed.groupBy("key").agg(F.count(F.lit(1)).alias("size")))
+    rows = dealt.join(sets, "id").select("key", "i", "j", "block", "id", "s")
+    links = scratch.write(rows.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j").mapInArrow(_exact(percent), "a long, b long").distinct())
+    comp = _components(scratch, links)
+
     # Every class and document gets its component; the rest of the written tables go.
     named = scratch.write(least.join(comp, "id", "left").select("set_key", F.coalesce("component", "id").alias("component")))
     sizes = scratch.write(signed.select("id", "n", "set_key"))
