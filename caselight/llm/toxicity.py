@@ -30,6 +30,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from caselight.functions.text import let
 from caselight.llm.textbatch import small_batches
 
 MAX_LABELLED = 20_000
@@ -126,29 +127,28 @@ VOTERS = 9
 def votes(text: Column, strong: tuple[str, ...], other: tuple[str, ...]) -> Column:
     """Bit mask of the voters that vote "toxic"."""
     whole = F.coalesce(text, F.lit(""))
-    low = F.lower(whole)
     seeds, address = "|".join(map(re.escape, SEEDS)), "|".join(map(re.escape, ADDRESS))
     learned = "".join(f"|{_branches(sorted(part))}" for part in (strong, other) if part)
     pattern = rf"(?<!\p{{L}})(?:(?:{seeds})s?(?!\p{{L}}){learned})"
-    hits = F.regexp_extract_all(low, F.lit(pattern), F.lit(0))
-    of = lambda words: F.filter(hits, lambda h: h.isin(*words)) if words else F.array().cast("array<string>")
-    seeded = F.filter(hits, lambda h: h.isin(*SEEDS, *(s + "s" for s in SEEDS)))
-    sure, any_stem = F.size(F.array_distinct(of(strong))), F.size(F.array_distinct(of((*strong, *other))))
-    bits = [
-        F.size(seeded) >= 1,
-        F.size(seeded) >= 3,
-        (F.size(seeded) >= 1) & low.rlike(rf"(?<!\p{{L}})(?:{address})(?!\p{{L}})[^.!?\n]{{0,40}}(?<!\p{{L}})(?:{seeds})(?!\p{{L}})"),
-        (F.size(seeded) >= 1) & whole.rlike(rf"(?<!\p{{L}})(?:{seeds.upper()})(?!\p{{L}})"),
-        sure >= 1,
-        sure >= 2,
-        sure >= 4,
-        any_stem >= 1,
-        any_stem >= 3,
-    ]
-    mask = F.lit(0)
-    for j, b in enumerate(bits):
-        mask = mask + F.when(b, F.lit(1 << j)).otherwise(F.lit(0))
-    return F.when(low.rlike(pattern), mask).otherwise(F.lit(0))
+    addressed = rf"(?<!\p{{L}})(?:{address})(?!\p{{L}})[^.!?\n]{{0,40}}(?<!\p{{L}})(?:{seeds})(?!\p{{L}})"
+    shouted = rf"(?<!\p{{L}})(?:{seeds.upper()})(?!\p{{L}})"
+
+    def counts(hits: Column) -> Column:
+        return let(hits, counted)
+
+    def counted(hits: Column) -> Column:
+        of = lambda words: F.size(F.array_distinct(F.filter(hits, lambda h: h.isin(*words)))) if words else F.lit(0)
+        seeded = F.size(F.filter(hits, lambda h: h.isin(*SEEDS, *(s + "s" for s in SEEDS))))
+        return F.struct(seeded.alias("seeded"), of(strong).alias("sure"), of((*strong, *other)).alias("stems"))
+
+    def mask(low: Column, n: Column) -> Column:
+        any_seed = n["seeded"] >= 1
+        bits = [any_seed, n["seeded"] >= 3, any_seed & low.rlike(addressed), any_seed & whole.rlike(shouted), n["sure"] >= 1, n["sure"] >= 2, n["sure"] >= 4, n["stems"] >= 1, n["stems"] >= 3]
+        return sum((F.when(b, F.lit(1 << j)).otherwise(F.lit(0)) for j, b in enumerate(bits)), F.lit(0))
+
+    # Bound values are worked out once a text, and only where the pattern occurs.
+    found = lambda low: let(counts(F.regexp_extract_all(low, F.lit(pattern), F.lit(0))), lambda n: mask(low, n))
+    return let(F.lower(whole), lambda low: F.when(low.rlike(pattern), found(low)).otherwise(F.lit(0)))
 
 
 def label_model(bits: np.ndarray, known: np.ndarray, unknown: np.ndarray, rounds: int = 25) -> np.ndarray:
@@ -224,11 +224,15 @@ def fit(documents: DataFrame, labels: DataFrame, label: str = "toxic", held_out:
 
 def score(documents: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The documents with a column toxicity_score from 0 to 1."""
-    mask = votes(F.col(text_col), model.strong, model.other)
-    logit = F.lit(model.weights[-1])
-    for j, w in enumerate(model.weights[:-1]):
-        logit = logit + F.when(F.col("_mask").bitwiseAND(1 << j) != 0, F.lit(w)).otherwise(F.lit(0.0))
-    return documents.withColumn("_mask", mask).withColumn("toxicity_score", 1 / (1 + F.exp(-logit))).drop("_mask")
+
+    def logistic(mask: Column) -> Column:
+        logit = F.lit(model.weights[-1])
+        for j, w in enumerate(model.weights[:-1]):
+            logit = logit + F.when(mask.bitwiseAND(1 << j) != 0, F.lit(w)).otherwise(F.lit(0.0))
+        return 1 / (1 + F.exp(-logit))
+
+    # One expression, so that a filter on the score works it out once.
+    return documents.withColumn("toxicity_score", let(votes(F.col(text_col), model.strong, model.other), logistic))
 
 
 def classify(documents: DataFrame, labels: DataFrame, label: str = "toxic", held_out: tuple[int, int] = (4, 2), id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
