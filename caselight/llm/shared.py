@@ -10,7 +10,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
@@ -69,7 +69,13 @@ def components(scratch: Scratch, edges: DataFrame, rounds: int = 200) -> DataFra
     rounds grow with the logarithm of a component's width rather than with its length. Joins are on vertices,
     with the minima combined before the shuffle; a hub's rows are split by the skew join.
     """
-    both = scratch.write(edges.select("a", "b").union(edges.select(F.col("b"), F.col("a"))).distinct())
+    # A vertex with several smaller neighbours keeps the smallest; the others are tied to that one, which many edges say alike.
+    down = edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
+    low = down.withColumn("m", F.min("b").over(Window.partitionBy("a")))
+    few = low.select(F.explode(F.array(F.struct("a", F.col("m").alias("b")), F.struct(F.col("b").alias("a"), F.col("m").alias("b")))).alias("e")).select("e.a", "e.b").where("a <> b").distinct()
+    few = scratch.write(few)
+    both = scratch.write(few.union(few.select(F.col("b"), F.col("a"))))
+    scratch.drop(few)
     label = scratch.write(both.groupBy(F.col("a").alias("id")).agg(F.least(F.min("b"), F.col("id")).alias("c")))
     for _ in range(rounds):
         near = both.join(label, both.b == label.id).groupBy(F.col("a").alias("id")).agg(F.min("c").alias("m"))
