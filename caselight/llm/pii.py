@@ -53,7 +53,7 @@ GENERATORS = {
     "phone": (r"(?<![0-9+().-])(?:\([0-9]{3}\)\x20?|[0-9]{3}[\x20.-])[0-9]{3}[\x20.-][0-9]{4}(?![0-9-])", r"[0-9]{3}[\x20.-][0-9]{4}"),
     "iban": (r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]{4}){2,7}+(?:\x20?[A-Z0-9]{1,3})?(?![A-Za-z0-9])", r"[A-Z]{2}[0-9]{2}"),
     "identity": (r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])", r"[0-9]-[0-9]{2}-[0-9]"),
-    "secret": (r"(?<![A-Za-z0-9])(?:(?=[a-f]{0,31}[0-9])(?=[0-9]{0,31}[a-f])[0-9a-f]{32,128}+(?![A-Za-z0-9])|(?:AKIA|ASIA)[A-Z0-9]{16}|gh[pousr]_[A-Za-z0-9]{20,60}+|sk-[A-Za-z0-9]{20,60}+|(?<=(?:token|secret|password|passwd|api_key|apikey)\x20{0,2}[=:]\x20{0,2}[\"']{0,1})[^\s\"']{6,128}+)", r"[0-9a-f]{32}|AKIA|ASIA|gh[pousr]_|sk-|(?:token|secret|password|passwd|api_key|apikey)\x20{0,2}[=:]"),
+    "secret": (r"(?<![A-Za-z0-9])(?:(?=[A-Fa-f]{0,31}[0-9])(?=[0-9]{0,31}[A-Fa-f])[0-9A-Fa-f]{32,128}+(?![A-Za-z0-9])|(?:AKIA|ASIA)[A-Z0-9]{16}|(?i:gh[pousr]_|sk-)[A-Za-z0-9]{20,60}+|(?<=(?i:token|secret|password|passwd|api_key|apikey)\x20{0,2}[=:]\x20{0,2}[\"']{0,1})[^\s\"']{6,128}+)", r"[0-9A-Fa-f]{32}|AKIA|ASIA|(?i:gh[pousr]_|sk-|(?:token|secret|password|passwd|api_key|apikey)\x20{0,2}[=:])"),
 }
 
 #: Features: of the match, the text before or the text after it; "n" counts matches of the pattern, "?" tests it.
@@ -61,7 +61,7 @@ FEATURES = (
     ("match", "n", r"[0-9]"),
     ("match", "n", r"[A-Za-z]"),
     ("match", "n", r"[\x20.:()-]"),
-    ("match", "?", r"^[0-9a-f]+$"),
+    ("match", "?", r"^[0-9A-Fa-f]+$"),
     ("match", "?", r"^(?:[0-9]{4}[-.][0-9]{2}[-.][0-9]{2}|(?:000|666|9[0-9]{2})-|[0-9]{3}-00-|[0-9]{3}-[0-9]{2}-0000)"),
     ("match", "?", r"^(?:0[0-9]{2}|\(0|1[0-9]{2}|\(1)"),
     ("match", "?", r"[A-Z].*[0-9]|[0-9].*[A-Z]"),
@@ -79,7 +79,7 @@ FEATURES = (
 
 def _examples(n: int, seed: int) -> list[tuple[int, str, str, str, int]]:
     """(kind, match, before, after, label) of generated personal data and look-alikes."""
-    r = random.Random(seed)
+    r, case = random.Random(seed), random.Random(seed + 1)
     word = lambda lo=3, hi=9: "".join(r.choice("abcdefghilmnoprstuvwz") for _ in range(r.randint(lo, hi)))
     digits = lambda k: "".join(r.choice("0123456789") for _ in range(k))
     code = lambda k, s="0123456789abcdef": "".join(r.choice(s) for _ in range(k))
@@ -121,6 +121,8 @@ def _examples(n: int, seed: int) -> list[tuple[int, str, str, str, int]]:
                 before = r.choice(('token = "', "secret: ", "api_key=", "password = '", "auth ", before if m.startswith("AKIA") else 'key: "'))
             else:
                 m, before = code(r.choice((32, 40, 64))), r.choice(serial)
+            # Either in lower or upper case, as texts and the labels before them are.
+            m, before = m.upper() if case.random() < 0.4 else m, case.choice((before, before, before.upper(), before.title()))
         out.append((KINDS.index(kind), m, before[-CONTEXT:], after, label))
     return out
 

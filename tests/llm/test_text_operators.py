@@ -1,6 +1,7 @@
 """Text operators against brute force, with nulls, empty and long texts, copies and empty tables."""
 
 import hashlib
+import random
 import re
 from itertools import pairwise
 
@@ -65,6 +66,21 @@ def test_pii_model_is_calibrated():
     assert y[said].mean() > 0.95 and said[y == 1].mean() > 0.8
 
 
+def test_secrets_in_upper_case(spark):
+    r = random.Random(4)
+    code = lambda k: "".join(r.choice("0123456789abcdef") for _ in range(k - 2)) + "a7"
+    texts = [f'the key\ntoken = "{code(40)}" and more' for _ in range(8)] + [f"some words api_key={code(32)}\nmore" for _ in range(4)]
+    every = [*texts, *(t.upper() for t in texts), "use Password: 9f8e7d6c5b4a39281706f5e4d3c2b1a0 now", "commit " + code(40), ("commit " + code(40)).upper()]
+    df = spark.createDataFrame(list(enumerate(every)), "doc_id long, text string")
+    spans = {x.doc_id: x.spans for x in pii.find(df).collect()}
+    for i, t in enumerate(texts):
+        secret = re.search("[0-9a-f]{32,}", t)
+        assert spans[i] == spans[i + len(texts)] == f"secret:{secret.start()}:{secret.end()}", t
+    assert spans[len(every) - 3] and not spans[len(every) - 2] and not spans[len(every) - 1]
+    clean = {x.doc_id: x.text for x in pii.redact(df).collect()}
+    assert all(not re.search("(?i)[0-9a-f]{32}", clean[i]) for i in range(len(every) - 2))
+
+
 def test_bpe_against_library(spark, texts):
     public = pytest.importorskip("public_tokenizers")
     from tokenizers import Tokenizer
