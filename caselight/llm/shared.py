@@ -62,34 +62,50 @@ class Scratch:
             self._delete(self.paths.pop(i))
 
 
-def components(scratch: Scratch, edges: DataFrame, rounds: int = 200) -> DataFrame:
+def components(scratch: Scratch, edges: DataFrame) -> DataFrame:
     """id, component (the smallest id reachable) of every end of an edge (a, b).
 
-    Each round takes the least label among a vertex's neighbours and then the label of that label, so the
-    rounds grow with the logarithm of a component's width rather than with its length. Joins are on vertices,
-    with the minima combined before the shuffle; a hub's rows are split by the skew join.
+    Each round hooks every vertex to its smallest neighbour if that is smaller, follows the hooks to their roots
+    by doubling, and goes on with the edges between different roots, until none is left. Hooks lead to smaller ids,
+    so they end, and a root is the smallest id of its tree. Every edge's larger end hooks, so each round that leaves
+    edges leaves fewer vertices; there is no cap on rounds. Joins are on vertices, with the minima combined before
+    the shuffle; a hub's rows are split by the skew join.
     """
     # A vertex with several smaller neighbours keeps the smallest; the others are tied to that one, which many edges say alike.
     down = edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
     low = down.withColumn("m", F.min("b").over(Window.partitionBy("a")))
     few = low.select(F.explode(F.array(F.struct("a", F.col("m").alias("b")), F.struct(F.col("b").alias("a"), F.col("m").alias("b")))).alias("e")).select("e.a", "e.b").where("a <> b").distinct()
-    few = scratch.write(few)
-    both = scratch.write(few.union(few.select(F.col("b"), F.col("a"))))
-    scratch.drop(few)
-    label = scratch.write(both.groupBy(F.col("a").alias("id")).agg(F.least(F.min("b"), F.col("id")).alias("c")))
-    for _ in range(rounds):
-        near = both.join(label, both.b == label.id).groupBy(F.col("a").alias("id")).agg(F.min("c").alias("m"))
-        better = label.join(near, "id").select("id", F.col("c").alias("old"), F.least("c", "m").alias("c"))
-        step = scratch.write(better)
-        up = step.select(F.col("id").alias("u"), F.col("c").alias("up"))
-        jumped = scratch.write(step.join(up, step.c == up.u).select("id", "old", F.least("c", "up").alias("c")))
-        changed = jumped.where("c <> old").limit(1).count()
-        scratch.drop(step, label)
-        label = jumped.select("id", "c")
+    live = scratch.write(few)
+    named = None
+    while True:
+        root = _roots(scratch, live)
+        if named is None:
+            named = root
+        else:
+            above = root.select(F.col("id").alias("u"), F.col("component").alias("up"))
+            both = scratch.write(named.join(above, named.component == above.u, "left").select("id", F.coalesce("up", "component").alias("component")))
+            scratch.drop(named)
+            named = both
+        ra, rb = (root.select(F.col("id").alias(x), F.col("component").alias(f"r{x}")) for x in "ab")
+        apart = live.join(ra, "a").join(rb, "b").where("ra <> rb").select(F.greatest("ra", "rb").alias("a"), F.least("ra", "rb").alias("b")).distinct()
+        left = scratch.write(apart)
+        scratch.drop(live, *([] if root is named else [root]))
+        live = left
+        if not live.limit(1).count():
+            scratch.drop(live)
+            return named
+
+
+def _roots(scratch: Scratch, live: DataFrame) -> DataFrame:
+    """id, component: the end of every vertex's way along smallest neighbours, of edges (a, b) with a > b."""
+    ends = live.select(F.explode(F.array(F.struct(F.col("a").alias("id"), "b"), F.struct(F.col("b").alias("id"), "b"))).alias("e"))
+    label = scratch.write(ends.groupBy("e.id").agg(F.min("e.b").alias("component")))
+    while True:
+        up = label.select(F.col("id").alias("u"), F.col("component").alias("up"))
+        jumped = scratch.write(label.join(up, label.component == up.u).select("id", F.col("component").alias("old"), F.col("up").alias("component")))
+        changed = jumped.where("component <> old").limit(1).count()
+        scratch.drop(label)
+        label = jumped.select("id", "component")
         scratch.paths[id(label)] = scratch.paths.pop(id(jumped))
         if not changed:
-            scratch.drop(both)
-            out = label.select("id", F.col("c").alias("component"))
-            scratch.paths[id(out)] = scratch.paths.pop(id(label))
-            return out
-    raise RuntimeError(f"components did not settle in {rounds} rounds")
+            return label

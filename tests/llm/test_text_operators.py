@@ -8,6 +8,7 @@ from itertools import pairwise
 import pytest
 
 from caselight.llm import bpe, decontaminate, licenses, near_dup, pii, substrings
+from caselight.llm.shared import Scratch, components
 
 WORD = re.compile(rb"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
 
@@ -171,6 +172,32 @@ def test_near_duplicates(documents, texts, nothing, k, percent):
     assert near_dup.near_duplicates(nothing, k, percent).count() == 0
 
 
+@pytest.mark.parametrize("order", ["descending", "shuffled", "stars"])
+def test_components_of_long_chains(spark, order):
+    n = 3000
+    ids = list(range(n, 0, -1))
+    if order == "shuffled":
+        random.Random(3).shuffle(ids)
+    pairs = [(min(p), max(p)) if i % 2 else p for i, p in enumerate(pairwise(ids))]
+    if order == "stars":  # hubs with their largest id in the middle, each tied to the next
+        pairs = [(100 * h + 99, 100 * h + x) for h in range(30) for x in range(99)] + [(100 * h + 99, 100 * h + 199) for h in range(29)]
+    pairs += [(n + 10, n + 11), (n + 20, n + 20)]
+    edges = spark.createDataFrame(pairs, "a long, b long")
+    got = {r.id: r.component for r in components(Scratch(spark), edges).collect()}
+    first = 0 if order == "stars" else 1
+    want = {x: first for p in pairs[:-2] for x in p} | {n + 10: n + 10, n + 11: n + 10}
+    assert got == want
+
+
+def test_near_duplicates_of_a_long_chain(spark):
+    """Each text is near the next only; ids fall along the chain."""
+    base = [f"w{i}" for i in range(700)]
+    texts = [" ".join(base[i : i + 60]) for i in range(0, 640, 2)]
+    df = spark.createDataFrame([(1000 - i, t) for i, t in enumerate(texts)], "doc_id long, text string")
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in near_dup.near_duplicates(df, 3, 85).collect()}
+    assert got == brute_components([(1000 - i, t) for i, t in enumerate(texts)], 3, 85)
+
+
 def test_blocks_split_a_large_group(spark, monkeypatch):
     monkeypatch.setattr(near_dup, "BLOCK", 4)
     base = [f"w{i}" for i in range(60)]
