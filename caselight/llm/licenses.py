@@ -1,12 +1,14 @@
 """License scans (7): an exact set-similarity join of text blocks with license templates.
 
-Texts are lower-cased (A-Z) and cut into words `[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+`; a block is a line. A
-template is found where a block holds at least PERCENT % of its different words. Template words are ordered by
-their number of places in all documents, rarest first (one pass of counts for the template words only). By the
-prefix filter a block can only reach the bound if it holds one of the first |T| - need + 1 words of T, so only
-blocks with such a word are looked at; the length filter drops blocks of fewer than need different words, and
-the positional filter stops as soon as the words left in T can't make up what is missing. Of the templates that
-a block reaches, those with the largest containment give it their labels.
+Texts are lower-cased (A-Z) and cut into words `[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+`; a block is a window of up to
+SLACK times a template's words, wherever lines break, or a line. A template is found where a block holds at least
+PERCENT % of its different words. Template words are ordered by their number of places in all documents, rarest
+first (one pass of counts for the template words only). By the prefix filter a block can only reach the bound if it
+holds one of the first |T| - need + 1 words of T, so only blocks with such a word are looked at; the length filter
+drops blocks of fewer than need different words, and the positional filter stops as soon as the words left in T
+can't make up what is missing. A window's place runs from its first to its last template word that it needs. A
+line adds the templates of its largest containment, so that words that lie further apart in it count, too. A found
+template gives its label unless windows of larger containment take up half of its place or more.
 
 Base labels come from fixed phrases whose words stand consecutively anywhere in the text.
 
@@ -27,6 +29,8 @@ from pyspark.sql import functions as F
 from caselight.llm.textbatch import ALNUM, slices, small_batches, span_string, words
 
 PERCENT = 80
+#: Words of a window for each word of its template: room for words put in between.
+SLACK = 2
 #: Base phrases and their labels.
 PHRASES = (("cc by", "cc-by"), ("general public license", "gpl"), ("all rights reserved", "reserved"))
 #: Labels and template texts.
@@ -92,15 +96,49 @@ class Matcher:
     def __init__(self, vocabulary: list[str], frequency: dict[str, int], templates=TEMPLATES, percent: int = PERCENT):
         place = {w: i for i, w in enumerate(vocabulary)}
         rank = {w: (frequency.get(w, 0), w) for w in vocabulary}
-        self.templates = []
+        self.templates, self.spread, self.member, self.prefix = [], [], [], []
         self.index: dict[int, list[int]] = {}
         for t, (label, text) in enumerate(templates):
             ordered = [place[w] for w in sorted(template_words(text), key=rank.get)]
             need = -(-len(ordered) * percent // 100)
             self.templates.append((label, ordered, need))
+            self.spread.append(SLACK * len(text.encode().translate(bytes(int(b) or 32 for b in ALNUM)).split()))
+            member, prefix = np.zeros((2, len(vocabulary) + 1), bool)  # the last place is for other words, -1
+            member[ordered] = prefix[ordered[: len(ordered) - need + 1]] = True
+            self.member.append(member)
+            self.prefix.append(prefix)
             for w in ordered[: len(ordered) - need + 1]:
                 self.index.setdefault(w, []).append(t)
 
+    def windows(self, known: np.ndarray, first: set[int]) -> list[tuple[float, int, int, str]]:
+        """(containment, start, end, label) of the places in a text that reach a template; first: the text's prefix words."""
+        out = []
+        for t in {t for w in first for t in self.index[w]}:
+            label, ordered, need = self.templates[t]
+            at, anchor = np.flatnonzero(self.member[t][known]), np.flatnonzero(self.prefix[t][known])
+            after = np.searchsorted(anchor, at)
+            near = np.minimum(np.abs(at - anchor[np.minimum(after, len(anchor) - 1)]), np.abs(at - anchor[np.maximum(after - 1, 0)]))
+            at = at[near < self.spread[t]]
+            places, held, count, low = at.tolist(), known[at].tolist(), {}, 0
+            found: list[tuple[float, int, int, str]] = []
+            for i, w in enumerate(held):
+                count[w] = count.get(w, 0) + 1
+                # Words that come again later, or lie too far back, aren't needed at the window's start.
+                while places[i] - places[low] >= self.spread[t] or count[held[low]] > 1:
+                    count[held[low]] -= 1
+                    if not count[held[low]]:
+                        del count[held[low]]
+                    low += 1
+                if len(count) >= need:
+                    found.append((len(count) / len(ordered), places[low], places[i] + 1, label))
+            # Of places that overlap, the best one and then the shortest.
+            mine: list[tuple[float, int, int, str]] = []
+            for f in sorted(found, key=lambda f: (-f[0], f[2] - f[1], f[1])):
+                if not any(f[1] < e and s < f[2] for _, s, e, _ in mine):
+                    mine.append(f)
+            out += mine
+        return out
+
     def block(self, held: set[int], different: int, first: set[int]) -> list[tuple[str, float]]:
         """(label, containment) of the templates that a block reaches; first: its prefix words."""
         out = []
@@ -118,6 +156,16 @@ class Matcher:
         return out
 
 
+def uncovered(found: list[tuple[float, int, int, str]]) -> list[tuple[float, int, int, str]]:
+    """The places (containment, start, end, label) of which better ones kept take up less than half."""
+    kept: list[tuple[float, int, int, str]] = []
+    for f in sorted(found, key=lambda f: (-f[0], f[1:])):
+        taken = {x for share, s, e, _ in kept if share > f[0] for x in range(max(s, f[1]), min(e, f[2]))}
+        if 2 * len(taken) < f[2] - f[1]:
+            kept.append(f)
+    return kept
+
+
 def scan(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text", templates=TEMPLATES, percent: int = PERCENT) -> DataFrame:
     """One row a document: n_words, n_base, first_word, last_word, base_labels, labels, score."""
     small_batches(documents.sparkSession)
@@ -155,6 +203,11 @@ def scan(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text", t
                 breaks = np.flatnonzero(data == 10)
                 line = np.searchsorted(breaks, starts[candidates]) + doc[candidates]  # grows with every line and text
                 ends = np.r_[breaks, len(data)]
+                found: dict[int, list[tuple[float, int, int, str]]] = {}
+                apart: dict[int, list[tuple[float, int, int, str]]] = {}  # by lines, where no window reaches as much
+                for group in np.split(candidates, np.flatnonzero(np.diff(doc[candidates])) + 1):
+                    d = doc[group[0]]
+                    found[d] = matcher.windows(known[first[d] : first[d + 1]], set(known[group].tolist()))
                 for group in np.split(candidates, np.flatnonzero(np.diff(line) | np.diff(doc[candidates])) + 1):
                     d, s = doc[group[0]], starts[group[0]]
                     k = int(np.searchsorted(breaks, s))
@@ -164,8 +217,14 @@ def scan(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text", t
                     here = set(inside[inside >= 0].tolist())
                     reached = matcher.block(here, len(np.unique(h[low:high])), set(known[group].tolist()))
                     best = max((share for _, share in reached), default=0.0)
-                    labels[d].update(label for label, share in reached if share == best)
-                    score[d] = max(score[d], best)
+                    low, high = int(low - first[d]), int(high - first[d])
+                    near = {(share, label) for share, s, e, label in found[d] if low <= s and e <= high}
+                    apart.setdefault(d, []).extend((share, low, high, label) for label, share in reached if share == best and (share, label) not in near)
+                for d, places in found.items():
+                    kept = uncovered(places)
+                    for share, _, _, label in kept + [f for f in apart.get(d, ()) if f in uncovered([*kept, f])]:
+                        labels[d].add(label)
+                        score[d] = max(score[d], share)
             yield pa.RecordBatch.from_arrays([
                 rows.column(0).cast(pa.int64()), pa.array(np.diff(first), pa.int64()), pa.array([len(b) for b in base], pa.int64()),
                 pa.array([min(b) if b else None for b in base], pa.int64()), pa.array([max(b) if b else None for b in base], pa.int64()),

@@ -267,6 +267,28 @@ def test_licenses(spark, documents, texts, nothing):
     assert licenses.scan(nothing).count() == 0
 
 
+WRAPPED = {
+    "mit": "Permission is hereby granted, free of charge, to any person obtaining a copy\nof this software and associated documentation files (the \"Software\"), to deal",
+    "gpl-2.0": " * This program is free software; you can redistribute it and/or modify\n * it under the terms of the GNU General Public License version 2 as\n * published by the Free Software Foundation.",
+    "bsd-3-clause": "Redistribution and use in source and binary forms, with or without\nmodification, are permitted provided that the following conditions are met:",
+    "mpl-2.0": "This Source Code Form is subject to the terms of the Mozilla Public\nLicense, v. 2.0. If a copy of the MPL was not distributed",
+    "isc": "Permission to use, copy, modify, and/or distribute this software for any\npurpose with or without fee is hereby granted, provided that",
+    "gpl-3.0": "This work is licensed under the GNU General\nPublic License, version 3",
+    "apache-2.0": "Licensed under the terms of the well known\nApache License, Version 2.0",
+}
+
+
+def test_licenses_over_lines_and_beside_others(spark):
+    fill = " ".join(f"word{i}" for i in range(60))
+    one_line = f"{fill} Released under the MIT License {fill} Licensed under the Apache License, Version 2 {fill}"
+    two = "Licensed under the GNU Lesser General Public License, version 3 " + fill + " This work is licensed under the GNU General Public License, version 3"
+    spread = f"Licensed under the {fill} Apache License, Version 2.0"
+    texts = [*(f"{fill}\n{t}\n{fill}" for t in WRAPPED.values()), one_line, two, spread]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = [set(r.labels.split(",")) - {"gpl"} for r in sorted(licenses.scan(df).collect(), key=lambda r: r.doc_id)]
+    assert got == [*({label} for label in WRAPPED), {"mit", "apache-2.0"}, {"lgpl-3.0", "gpl-3.0"}, {"apache-2.0"}]
+
+
 def test_license_join_is_exact():
     """The filters find just the templates that a full comparison finds."""
     import random
