@@ -39,17 +39,18 @@ def best_pairs(matches: DataFrame, keys: list[str], title_left: str, title_right
     return best.withColumn("place", F.row_number().over(all_)).where(F.col("place") <= top)
 
 
-def shared_labs(left: DataFrame, right: DataFrame, name: str, time: str, value: str, flagged: str, last: int = 3) -> DataFrame:
-    """name, left_values, right_values (the last few of each side, newest first), both_flagged, of tests that both sides have."""
-
-    def side(df: DataFrame, s: str) -> DataFrame:
-        w = Window.partitionBy(F.lower(F.trim(name))).orderBy(F.desc(time), value)
-        rows = df.withColumn("name", F.lower(F.trim(name))).withColumn("_r", F.row_number().over(w)).where(F.col("_r") <= last)
-        ordered = F.transform(F.array_sort(F.collect_list(F.struct("_r", F.col(value).alias("_v")))), lambda x: x["_v"])
-        return rows.groupBy("name").agg(ordered.alias(f"{s}_values"), F.bool_or(flagged).alias(f"{s}_flagged"))
-
-    out = side(left, "left").join(side(right, "right"), "name")
-    return out.select("name", "left_values", "right_values", (F.col("left_flagged") & F.col("right_flagged")).alias("both_flagged"))
+def shared_labs(pairs: DataFrame, rows: DataFrame, key: str, name: str, time: str, value: str, flagged: str, last: int = 3) -> DataFrame:
+    """left, right, name, left_values, right_values (the last few of each side, newest first), both_flagged, of tests that both sides of a pair (left, right) of keys have."""
+    w = Window.partitionBy(key, F.lower(F.trim(name))).orderBy(F.desc(time), value)
+    recent = rows.withColumn("_r", F.row_number().over(w)).where(F.col("_r") <= last)
+    ordered = F.transform(F.array_sort(F.collect_list(F.struct("_r", F.col(value).alias("_v")))), lambda x: x["_v"])
+    tests = recent.groupBy(F.col(key).alias("key"), F.lower(F.trim(name)).alias("name")).agg(ordered.alias("values"), F.bool_or(flagged).alias("flagged"))
+
+    def side(s: str) -> DataFrame:
+        return tests.select(F.col("key").alias(s), "name", F.col("values").alias(f"{s}_values"), F.col("flagged").alias(f"{s}_flagged"))
+
+    out = pairs.select("left", "right").join(side("left"), "left").join(side("right"), ["right", "name"])
+    return out.select("left", "right", "name", "left_values", "right_values", (F.col("left_flagged") & F.col("right_flagged")).alias("both_flagged"))
 
 
 def icd_spans(text: Column) -> Column:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from caselight.functions import ids, parse, text
@@ -225,10 +225,15 @@ def shared_terms_evidence(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def shared_labs_evidence(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The last three results of tests that two patients share."""
+    """The last three results of tests that two patients share, for every patient and the one of the next id."""
     e = table(spark, sf_dir, "events").withColumn("flag", F.col("value") > 50)
-    one = e.groupBy().agg(F.min("user_id").alias("a"), F.max("user_id").alias("b")).first()
-    return X.shared_labs(e.where(F.col("user_id") == one.a), e.where(F.col("user_id") == one.b), "event_type", "ts", "value", "flag")
+    # The next id is in the same range of ids, or the least of the next range with any; one row a range meets in one task.
+    users = e.where("user_id IS NOT NULL").select("user_id").distinct().withColumn("range", F.floor(F.col("user_id") / 1000))
+    first = users.groupBy("range").agg(F.min("user_id").alias("first"))
+    first = first.select("range", F.lead("first").over(Window.orderBy("range")).alias("after"))
+    near = users.withColumn("near", F.lead("user_id").over(Window.partitionBy("range").orderBy("user_id")))
+    pairs = near.join(first, "range").select(F.col("user_id").alias("left"), F.coalesce("near", "after").alias("right")).where("right IS NOT NULL")
+    return X.shared_labs(pairs, e, "user_id", "event_type", "ts", "value", "flag")
 
 
 @query()

@@ -1,7 +1,11 @@
 import datetime
+import os
+from itertools import pairwise
 
+import pytest
 from pyspark.sql import functions as F
 
+from caselight import plans
 from caselight.operators import aggregates, events, evidence, fusion, graph, joins, quality, tables, vectors, windows
 from caselight.sources import readers, sinks
 
@@ -140,3 +144,25 @@ def test_checked_join(spark):
 def test_allocate():
     out = windows.allocate([("a", 5), ("b", 3), ("c", 3)], ["r1", "r2"])
     assert out == {"a": "r1", "b": "r2", "c": "r2"}
+
+
+@pytest.mark.skipif(not os.path.isdir("/root/testdata/sf0.01"), reason="no tables")
+def test_shared_labs_of_every_next_user(spark):
+    sf = "/root/testdata/sf0.01"
+    rows = spark.read.parquet(f"{sf}/events.parquet").select("user_id", "event_type", "ts", "value").collect()
+    tests = {}
+    for r in rows:
+        tests.setdefault(r.user_id, {}).setdefault(r.event_type.strip().lower(), []).append((-r.ts.timestamp(), r.value))
+    tests = {u: {n: [v for _, v in sorted(x)[:3]] for n, x in t.items()} for u, t in tests.items()}
+    users = sorted(tests)
+    want = sorted((a, b, n, tests[a][n], tests[b][n], any(v > 50 for v in tests[a][n]) and any(v > 50 for v in tests[b][n])) for a, b in pairwise(users) for n in tests[a].keys() & tests[b].keys())
+    got = sorted((r.left, r.right, r.name, r.left_values, r.right_values, r.both_flagged) for r in plans.queries()["shared_labs_evidence"](spark, sf).collect())
+    assert got == want and len({r[0] for r in got}) == len(users) - 1
+
+
+def test_next_user_over_gaps(spark, tmp_path):
+    ids = [0, 7, 999, 1000, 5001, 5002, 123456]
+    df = spark.createDataFrame([(i, "A", "2026-01-01", 60.0) for i in ids], "user_id long, event_type string, ts string, value double")
+    df.withColumn("ts", F.col("ts").cast("timestamp")).write.parquet(f"{tmp_path}/events.parquet")
+    got = sorted((r.left, r.right) for r in plans.queries()["shared_labs_evidence"](spark, str(tmp_path)).collect())
+    assert got == list(pairwise(ids))
