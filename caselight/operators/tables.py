@@ -106,11 +106,13 @@ def without_identifiers(df: DataFrame, names: list[str]) -> DataFrame:
 def close_names(df: DataFrame, column: str, least: float = 0.92, top: int = 500) -> DataFrame:
     """a, b, similarity: close pairs among the top most frequent values with different keys, for review and never merged.
 
-    The top limit is the feature: at most top values meet, blocked by their first letter or their length.
+    The top limit is the feature: at most top values meet. Keys that reach least differ in length by at most their
+    edits, so the shorter has least of the longer one's length or more; a key meets all keys of such lengths.
     """
     values = df.select(text.clean(F.col(column)).alias("v")).where("v <> ''").groupBy("v").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "v").limit(top)
-    keyed = values.select("v", text.entity_key(F.col("v")).alias("k"), F.explode(F.array(F.concat(F.lit("a"), F.left(F.lower("v"), F.lit(1))), F.concat(F.lit("l"), F.floor(F.length("v") / 8)))).alias("block"))
-    a, b = keyed.select("block", F.col("v").alias("a"), F.col("k").alias("ka")), keyed.select("block", F.col("v").alias("b"), F.col("k").alias("kb"))
-    pairs = a.join(b, "block").where("a < b AND ka <> kb").select("a", "b", "ka", "kb").distinct()
-    s = 1 - F.levenshtein("ka", "kb") / F.greatest(F.length("ka"), F.length("kb"))
-    return pairs.select("a", "b", s.alias("similarity")).where(F.col("similarity") >= least)
+    keyed = values.select("v", text.entity_key(F.col("v")).alias("k")).withColumn("l", F.length("k"))
+    shortest = F.greatest(F.lit(0), F.least("l", F.ceil(F.col("l") * least - 1e-9).cast("int")))
+    x = keyed.select(F.col("v").alias("x"), F.col("k").alias("kx"), F.col("l").alias("lx"), F.explode(F.sequence(shortest, F.col("l"))).alias("l"))
+    pairs = x.join(keyed, "l").where("kx <> k AND (lx > l OR x < v)")
+    s = 1 - F.levenshtein("kx", "k") / F.greatest("lx", "l")
+    return pairs.select(F.least("x", "v").alias("a"), F.greatest("x", "v").alias("b"), s.alias("similarity")).where(F.col("similarity") >= least)

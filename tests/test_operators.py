@@ -6,6 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from caselight import plans
+from caselight.functions import text
 from caselight.operators import aggregates, events, evidence, fusion, graph, joins, quality, tables, vectors, windows
 from caselight.sources import readers, sinks
 
@@ -166,3 +167,24 @@ def test_next_user_over_gaps(spark, tmp_path):
     df.withColumn("ts", F.col("ts").cast("timestamp")).write.parquet(f"{tmp_path}/events.parquet")
     got = sorted((r.left, r.right) for r in plans.queries()["shared_labs_evidence"](spark, str(tmp_path)).collect())
     assert got == list(pairwise(ids))
+
+
+@pytest.mark.parametrize("least", [0.8, 0.92, 0.5])
+def test_close_names_against_brute_force(spark, least):
+    names = ["cold rod", "old rod", "xabcdefghijklmno", "abcdefghijklmno", "Ünder pan", "nder pan", "red bolt", "red-bolt", "blue bolt", "rod", "rid", "!!", "a"]
+    names += [f"{c}{w}" for c in ("", "s", "th") for w in ("pring coil", "ring coils", "in washer large", "hin washer large")]
+
+    def edits(a, b):
+        row = list(range(len(b) + 1))
+        for i, x in enumerate(a, 1):
+            last, row[0] = row[0], i
+            for j, y in enumerate(b, 1):
+                last, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, last + (x != y))
+        return row[-1]
+
+    df = spark.createDataFrame([(n,) for n in names], "name string")
+    keys = {r.v: r.k for r in df.select(text.clean(F.col("name")).alias("v"), text.entity_key(text.clean(F.col("name"))).alias("k")).distinct().collect()}
+    want = {(a, b): 1 - edits(keys[a], keys[b]) / max(len(keys[a]), len(keys[b])) for a in keys for b in keys if a.encode() < b.encode() and keys[a] != keys[b]}
+    got = tables.close_names(df, "name", least).collect()
+    assert sorted((r.a, r.b, round(r.similarity, 9)) for r in got) == sorted((*p, round(v, 9)) for p, v in want.items() if v >= least)
+    assert least > 0.9 or ("cold rod", "old rod") in {(r.a, r.b) for r in got}
