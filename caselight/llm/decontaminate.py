@@ -11,7 +11,8 @@ Scale: the automaton lies with every executor, so items enter it in blocks whose
 scan adding its hits to the row. Documents are never shuffled.
 
 Defined results: null or empty texts have no words and no hits; items without words are ignored; items
-repeated under several ids count under each id; empty tables give empty results; rows repeated in the
+repeated under several ids count under each id; items with a null id hit words and drop documents, but
+aren't among the ids or in their number; empty tables give empty results; rows repeated in the
 documents each give a row. Other columns of either table are not read.
 """
 
@@ -47,14 +48,14 @@ def item_windows(text: str | None, window: int = WINDOW) -> set[tuple[bytes, ...
     return {tuple(w[i : i + window]) for i in range(max(1, len(w) - window + 1))}
 
 
-def automaton(items: list[tuple[str, str | None]], window: int):
-    """Automaton from " w1 w2 ... " to (number of words, item ids)."""
+def automaton(items: list[tuple[str | None, str | None]], window: int):
+    """Automaton from " w1 w2 ... " to (number of words, item ids that aren't null)."""
     import ahocorasick
 
     held: dict[tuple[bytes, ...], set[str]] = {}
     for item, text in items:
         for w in item_windows(text, window):
-            held.setdefault(w, set()).add(item)
+            held.setdefault(w, set()).update(() if item is None else (item,))
     a = ahocorasick.Automaton()
     for w, ids in held.items():
         a.add_word((b" " + b" ".join(w) + b" ").decode("latin-1"), (len(w), tuple(sorted(ids))))
@@ -98,13 +99,13 @@ def _char_spans(raw: bytes, places: np.ndarray) -> list[dict]:
     return [{"start": int(points[starts[i]]), "end": int(points[ends[j - 1]])} for i, j in _runs(places)]
 
 
-def _blocks(benchmark: DataFrame, item_col: str, text_col: str, block_bytes: int) -> Iterator[list[tuple[str, str | None]]]:
+def _blocks(benchmark: DataFrame, item_col: str, text_col: str, block_bytes: int) -> Iterator[list[tuple[str | None, str | None]]]:
     """The items with text, in blocks of a checked size."""
-    b = benchmark.select(F.col(item_col).cast("string").alias("i"), F.col(text_col).alias("t")).where("i IS NOT NULL AND t IS NOT NULL")
+    b = benchmark.select(F.col(item_col).cast("string").alias("i"), F.col(text_col).alias("t")).where("t IS NOT NULL")
     total = b.agg(F.sum(F.octet_length("t"))).first()[0] or 0
     n = int(total // block_bytes) + 1
     for k in range(n):
-        part = b if n == 1 else b.where(F.pmod(F.xxhash64("i"), F.lit(n)) == k)
+        part = b if n == 1 else b.where(F.pmod(F.xxhash64("i", "t"), F.lit(n)) == k)
         yield [(r.i, r.t) for r in part.collect()]
 
 

@@ -140,6 +140,19 @@ def test_decontaminate(spark, documents, texts, nothing, block_bytes):
     assert decontaminate.decontaminate(documents, b.limit(0)).where("contaminated").count() == 0
 
 
+@pytest.mark.parametrize("block_bytes", [1 << 24, 100])
+def test_items_with_a_null_id(spark, documents, texts, block_bytes):
+    part = lambda i, n: " ".join(words(texts[i])[k].decode() for k in range(n))
+    items = [(None, part(0, 12)), (None, part(5, 14)), (4, part(5, 11)), (None, "two words")]
+    b = spark.createDataFrame(items, "item_id long, text string")
+    got = {r.doc_id: (r.n_words, r.n_hit, r.n_items, r.items_sha256) for r in decontaminate.decontaminate(documents, b, block_bytes=block_bytes).collect()}
+    named = brute_hits(enumerate(texts), [x for x in items if x[0] is not None])
+    every = brute_hits(enumerate(texts), items)
+    assert got == {d: (*every[d][:2], *named[d][2:]) for d in every} and got[0][1] and not got[0][2]
+    kept = {r.doc_id for r in decontaminate.drop_contaminated(documents, b, block_bytes=block_bytes).collect()}
+    assert kept == {d for d, r in every.items() if not r[1]}
+
+
 def brute_components(docs, k, percent):
     sets = {}
     for d, t in docs:
