@@ -1,4 +1,4 @@
-"""Scalar normalisation of text, codes and identifiers as column expressions."""
+"""Scalar normalisation of text, codes and identifiers as column expressions (N1-N5, N13, N15-N18, N22-N25, N30, N32, parts of N31 and N33, P3, P8)."""
 
 from __future__ import annotations
 

@@ -1,4 +1,4 @@
-"""Aggregations."""
+"""Aggregations."""
 
 from __future__ import annotations
 

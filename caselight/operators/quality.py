@@ -1,4 +1,4 @@
-"""Constraints, validation and lineage."""
+"""Constraints, validation and lineage."""
 
 from __future__ import annotations
 
