@@ -27,7 +27,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from caselight.llm.textbatch import small_batches
+from caselight.llm.textbatch import pieces
+from caselight.session import ship_package
+
 
 CACHE_WORDS = 200_000
 CACHE_WORD_CHARS = 64
@@ -181,7 +183,7 @@ def encode(documents: DataFrame, vocabulary: str = "byte_bpe_50k.json", id_col:
 
     def run(batches):
         t = tokenizer(_resolve(vocabulary))
-        for batch in batches:
+        for batch in pieces(batches):
             n, ids, decoded = [], [], []
             for v in batch.column(1):
                 size, a, raw = zip(*e, strict=True) if (e := t.encoded(v.as_py())) else ((), (), ())
@@ -190,7 +192,7 @@ def encode(documents: DataFrame, vocabulary: str = "byte_bpe_50k.json", id_col:
                 decoded.append(b"".join(raw).decode("utf-8", "replace"))
             yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.int64()), pa.array(n, pa.int64()), pa.array(ids, pa.list_(pa.int32())), pa.array(decoded, pa.string())], schema=schema)
 
-    small_batches(documents.sparkSession)
+    ship_package(documents.sparkSession)
     return documents.select(id_col, text_col).mapInArrow(run, f"`{id_col}` long, n_tokens long, ids array<int>, decoded string")
 
 
@@ -203,7 +205,7 @@ def encode_digests(documents: DataFrame, vocabulary: str = "byte_bpe_50k.json",
 
     def run(batches):
         t, sha = tokenizer(_resolve(vocabulary)), hashlib.sha256
-        for batch in batches:
+        for batch in pieces(batches):
             n, a, b = [], [], []
             for v in batch.column(1):
                 e = t.encoded(v.as_py())
@@ -218,5 +220,5 @@ def encode_digests(documents: DataFrame, vocabulary: str = "byte_bpe_50k.json",
                 b.append(sha(raw).hexdigest())
             yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.int64()), pa.array(n, pa.int64()), pa.array(a), pa.array(b)], schema=schema)
 
-    small_batches(documents.sparkSession)
+    ship_package(documents.sparkSession)
     return documents.select(id_col, text_col).mapInArrow(run, f"`{id_col}` long, n_tokens long, ids_sha256 string, decoded_sha256 string")

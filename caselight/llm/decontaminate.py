@@ -25,7 +25,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from caselight.llm.textbatch import ALNUM, small_batches
+from caselight.llm.textbatch import ALNUM, pieces
+from caselight.session import ship_package
 
 WINDOW = 10
 BLOCK_BYTES = 16_000_000
@@ -112,7 +113,7 @@ def _blocks(benchmark: DataFrame, item_col: str, text_col: str, block_bytes: int
 def scan(documents: DataFrame, benchmark: DataFrame, window: int = WINDOW, doc_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """doc_id, n_words, places of the hit words, items with occurring windows, hit spans of the original text."""
     spark: SparkSession = documents.sparkSession
-    small_batches(spark)
+    ship_package(spark)
     out = documents.select(F.col(doc_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     for items in _blocks(benchmark, item_col, item_text_col, block_bytes):
         out = out.mapInArrow(_scanner(spark.sparkContext.broadcast(items), window), SCAN_SCHEMA)
@@ -126,7 +127,7 @@ def _scanner(held, window: int):
 
     def run(batches):
         auto = automaton(held.value, window)
-        for batch in batches:
+        for batch in pieces(batches):
             cols: list[list] = [[], [], [], []]
             before = batch.select(["words", "items"]).to_pylist() if batch.num_columns > 2 else None
             for i, v in enumerate(batch.column(1).cast(pa.binary())):
@@ -152,13 +153,13 @@ def decontaminate(documents: DataFrame, benchmark: DataFrame, window: int = WIND
 
 def drop_contaminated(documents: DataFrame, benchmark: DataFrame, window: int = WINDOW, text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """The documents, with all their columns, that hold no window of any item."""
-    small_batches(documents.sparkSession)
+    ship_package(documents.sparkSession)
     at, out = documents.columns.index(text_col), documents
 
     def keep(held):
         def run(batches):
             auto = automaton(held.value, window)
-            for batch in batches:
+            for batch in pieces(batches):
                 clean = [not len(scan_text(v.as_py(), auto)[1]) for v in batch.column(at).cast(pa.binary())]
                 yield batch.filter(pa.array(clean, pa.bool_()))
 

@@ -26,7 +26,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from caselight.llm.textbatch import ALNUM, slices, small_batches, span_string, words
+from caselight.llm.textbatch import ALNUM, slices, span_string, words
+from caselight.session import ship_package
 
 PERCENT = 80
 #: Words of a window for each word of its template: room for words put in between.
@@ -168,7 +169,7 @@ def uncovered(found: list[tuple[float, int, int, str]]) -> list[tuple[float, int
 
 def scan(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text", templates=TEMPLATES, percent: int = PERCENT) -> DataFrame:
     """One row a document: n_words, n_base, first_word, last_word, base_labels, labels, score."""
-    small_batches(documents.sparkSession)
+    ship_package(documents.sparkSession)
     vocabulary = _vocabulary(templates)
     frequency = frequencies(documents, vocabulary, text_col)
     schema = pa.schema([(id_col, pa.int64()), ("n_words", pa.int64()), ("n_base", pa.int64()), ("first_word", pa.int64()), ("last_word", pa.int64()), ("base_labels", pa.string()), ("labels", pa.string()), ("score", pa.float64())])

@@ -1,65 +1,66 @@
-"""MinHash near-duplicates (10): banded MinHash, odd sketches, exact check, components.
+"""MinHash near-duplicates (10): banded MinHash, odd sketches, leaders, exact sets, components.
 
 Texts are lower-cased (A-Z) and cut at white space; a text's set holds its distinct k-word shingles (with
-fewer words, but not none, the whole sequence). Equal sets make one class, of which the smallest id stands
-for all. SAMPLES MinHash values of a class are folded into an odd sketch: sample i flips the bit that a hash of
-(i, value) names, so the bits in which two sketches differ number about 2 * SAMPLES * (1 - J) before
-collisions, and the XOR's population count gives J precisely where J is high. The first BANDS * ROWS samples
-make band keys. Classes that share a band key are candidates:
-
-1. In each bucket all pairs are held against each other by their sketches, in blocks of BLOCK classes and a task
-   a pair of blocks. Pairs that may reach the bound tie classes into loose groups: first by FIRST_BANDS bands,
-   then by the others, in which only pairs of different groups still count.
-2. In each loose group whole shingle sets are held against each other, again in pairs of blocks: the sizes of
-   all intersections of a block pair come from products of its shingle incidence matrices.
-
-Of either step only the edges of a forest leave the tasks, never the pairs, so what moves on grows with the
-classes and not with the square of a group; no bucket or group is capped. A pair at the bound is missed by all
-bands with probability under (1 - J ** ROWS) ** BANDS (1e-10 at 0.85, 5e-8 at 0.80), and by the sketch beyond
-SIGMAS standard deviations.
-
-Scale: the shuffles move band keys (8 bytes a band and class), sketches of classes that share a key, and the
-sets of classes in loose groups. Hot keys meet only combined counts, skew joins and blocks.
-
-Defined results: null or empty texts, and texts without words, have the empty set and link with nothing;
-rows with a null id are left out; rows repeated under one id count as one class member each and give a row
-each; empty tables give empty results. Other columns aren't read.
+fewer words, but not none, the whole sequence). Texts of one word sequence (by a 128-bit BLAKE2 digest of it) make
+one class, of which the smallest id stands for all. SAMPLES MinHash values of a class are folded into an odd
+sketch: sample i flips the bit that a hash of (i, value) names, so the bits in which two sketches differ number
+about 2 * SAMPLES * (1 - J) before collisions, and the XOR's population count gives J precisely where J is high.
+The first BANDS * ROWS samples make band keys, 1 to a band; classes that share a key are candidates:
+
+1. In rounds, each bucket's rows are held against one leader of it (in the first round the smallest id, then
+   others), not against one another. Pairs whose sizes and sketches may reach the bound are confirmed on the
+   shingles themselves, words and not hashes, and confirmed pairs tie their classes into components. Rows of their leader's component
+   aren't held against it, and buckets of one component drop out, so a group of n near copies costs n pairs a
+   round. Rounds go on while they empty buckets of more than FEW rows.
+2. The rest, pairs of different components that share a bucket, goes through an exact set join: shingles ordered
+   by frequency, those that only one component holds first; two sets that reach the bound share one among their first
+   n - need + 1. Rows meet by that shingle, under the length and positional filters and the sketches, all
+   within the join's condition, so only pairs that may link leave it; these are confirmed as before.
+
+No bucket or group is capped, and no pair that could link two components is left out: a pair at the bound is
+missed by all bands with probability under (1 - J ** ROWS) ** BANDS (1e-10 at 0.85, 5e-8 at 0.80), and by the
+sketch beyond SIGMAS standard deviations. Shingle counts (n_shingles) go by 64-bit hashes: a text of n shingles
+counts one too few with probability under n * n / 2 ** 65.
+
+Scale: the shuffles move band keys (24 bytes a band and class), pairs with leaders, the sketches and texts of
+paired classes, and in step 2 the shingles of classes whose buckets still hold several components. Hot keys meet
+combined minima and skew joins.
+
+Defined results: null or empty texts, and texts without words, have the empty set and link with nothing; rows of
+one id are one vertex, so their links join and they share a component, and each gives a row; rows with a null id
+give a row each with a null component_id and kept = true, and link with nothing; empty tables give empty results.
+Other columns aren't read.
 """
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from caselight.llm.shared import Scratch, components
-from caselight.llm.textbatch import SPACED, mix, shingles, slices, small_batches, words
+from caselight.llm.textbatch import SPACED, mix, pieces, shingles, slices, words
+from caselight.session import ship_package
 
 WORDS = 5
 PERCENT = 80
 BANDS, ROWS = 32, 4
-FIRST_BANDS = 8
 SAMPLES = 256
 SKETCH_BITS = 1024
 SIGMAS = 6.0
-BLOCK = 256
+#: Rows of a bucket with several components that may go straight to the set join.
+FEW = 64
 TEXT_SLICE = 400_000
-#: Ids that may be sent to every executor at once; with more, the texts are shuffled.
-BROADCAST_IDS = 2_000_000
+#: Rows that may be sent to every executor at once; with more, both sides are shuffled.
+BROADCAST_IDS = 1_000_000
 
 _SEEDS = mix(np.arange(1, SAMPLES + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
 _ODD = mix(_SEEDS) | np.uint64(1)
-
-
-def shingle_sets(batches: Iterator[pa.RecordBatch], k: int, limit: int = TEXT_SLICE):
-    """(ids, hashes of shingles, bounds of each text) of slices of (id, text) rows."""
-    for rows, data, offs in slices(batches, "text", limit):
-        h, _, _, first = words(data, offs, SPACED)
-        s, at = shingles(h, first, k)
-        yield rows.column(0), s, at
+_PARTS = [f"s{i}" for i in range(SKETCH_BITS // 64)]
 
 
 def min_hashes(s: np.ndarray, at: np.ndarray) -> np.ndarray:
@@ -91,181 +92,199 @@ def most_differing(percent: int) -> int:
     return int(np.ceil(mean + 2 * np.sqrt(mean)))
 
 
-_SIGNATURE = pa.schema([("id", pa.int64()), ("n", pa.int64()), ("set_key", pa.binary()), ("bands", pa.list_(pa.int64())), ("sketch", pa.binary())])
+def word_list(raw: bytes | None) -> list[bytes]:
+    """The words of a text's bytes: `[^\\x20\\x09-\\x0D]+` after lowering A-Z."""
+    return (raw or b"").lower().split()
+
+
+def word_shingles(raw: bytes | None, k: int) -> set[tuple[bytes, ...]]:
+    """A text's set."""
+    w = word_list(raw)
+    return set(zip(*(w[i:] for i in range(k)), strict=False)) if len(w) >= k else {tuple(w)} if w else set()
+
+
+def _distinct(s: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The different values of each text, sorted, and their bounds."""
+    doc = np.repeat(np.arange(len(at) - 1), np.diff(at))
+    order = np.lexsort((s, doc))
+    s, doc = s[order], doc[order]
+    new = np.r_[True, (s[1:] != s[:-1]) | (doc[1:] != doc[:-1])] if len(s) else np.zeros(0, bool)
+    return s[new], np.r_[0, np.cumsum(np.bincount(doc[new], minlength=len(at) - 1))]
+
+
+_SIGNATURE = pa.schema([("id", pa.int64()), ("c", pa.int64()), ("n", pa.int64()), ("word_key", pa.binary()), ("bands", pa.list_(pa.int64())), *((p, pa.int64()) for p in _PARTS)])
 
 
 def _signatures(k: int):
     def run(batches):
-        for ids, s, at in shingle_sets(batches, k):
-            n = np.diff(at)
-            size = np.zeros(len(n), np.int64)
-            keys: list[bytes | None] = [None] * len(n)
-            doc = np.repeat(np.arange(len(n)), n)
-            order = np.lexsort((s, doc))
-            s, doc = s[order], doc[order]
-            new = np.r_[True, (s[1:] != s[:-1]) | (doc[1:] != doc[:-1])] if len(s) else np.zeros(0, bool)
-            s, doc = s[new], doc[new]
-            size += np.bincount(doc, minlength=len(n))
-            at = np.r_[0, np.cumsum(size)]
+        for rows, data, offs in slices(batches, "text", TEXT_SLICE):
+            h, _, _, first = words(data, offs, SPACED)
+            s, at = _distinct(*shingles(h, first, k))
+            size = np.diff(at)
             full = np.flatnonzero(size)
-            bands: list = [None] * len(n)
-            sketch: list[bytes | None] = [None] * len(n)
+            keys: list[bytes | None] = [None] * len(size)
+            bands: list = [None] * len(size)
+            parts = np.zeros((len(size), len(_PARTS)), np.int64)
             if len(full):
+                m = min_hashes(s, at)
+                b = m[:, : BANDS * ROWS].reshape(-1, BANDS, ROWS)
                 with np.errstate(over="ignore"):
-                    k1, k2 = np.add.reduceat(mix(s), at[full]), np.add.reduceat(mix(s ^ _SEEDS[0]), at[full])
-                    m = min_hashes(s, at)
-                    b = m[:, : BANDS * ROWS].reshape(-1, BANDS, ROWS)
                     key = (b * _ODD[:ROWS]).sum(2, dtype=np.uint64) + np.arange(1, BANDS + 1, dtype=np.uint64) * _ODD[ROWS]
                 key = mix(key).view(np.int64)
-                odd = odd_sketches(m)
+                parts[full] = odd_sketches(m).view(np.int64)
+                raw = data.tobytes()
                 for i, f in enumerate(full):
-                    keys[f] = k1[i].tobytes() + k2[i].tobytes()
+                    keys[f] = hashlib.blake2b(b" ".join(word_list(raw[offs[f] : offs[f + 1]])), digest_size=16).digest()
                     bands[f] = key[i]
-                    sketch[f] = odd[i].tobytes()
-            yield pa.RecordBatch.from_arrays([ids.cast(pa.int64()), pa.array(size), pa.array(keys, pa.binary()), pa.array(bands, pa.list_(pa.int64())), pa.array(sketch, pa.binary())], schema=_SIGNATURE)
+            yield pa.RecordBatch.from_arrays([
+                rows.column(0).cast(pa.int64()), rows.column(1), pa.array(size, pa.int64()), pa.array(keys, pa.binary()), pa.array(bands, pa.list_(pa.int64())), *(pa.array(parts[:, i]) for i in range(len(_PARTS))),
+            ], schema=_SIGNATURE)
 
     return run
 
 
-def _sets(k: int):
-    schema = pa.schema([("id", pa.int64()), ("s", pa.binary())])
-
-    def run(batches):
-        for ids, s, at in shingle_sets(batches, k):
-            out = [np.unique(s[at[i] : at[i + 1]]).tobytes() for i in range(len(at) - 1)]
-            yield pa.RecordBatch.from_arrays([ids.cast(pa.int64()), pa.array(out, pa.binary())], schema=schema)
-
-    return run
-
-
-_EDGE = pa.schema([("a", pa.int64()), ("b", pa.int64())])
-
-
-def forest(ids: np.ndarray, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(id, smallest id of its tree) of the places that the pairs (a, b) tie together, without the roots."""
-    root = ids.copy()
-    while True:
-        low = np.minimum(root[a], root[b])
-        before = root.copy()
-        np.minimum.at(root, a, low)
-        np.minimum.at(root, b, low)
-        if (root == before).all():
-            break
-    tied = np.unique(np.r_[a, b])
-    tied = tied[ids[tied] != root[tied]]
-    return ids[tied], root[tied]
-
-
-def grouped(batches: Iterator[pa.RecordBatch], keys: int, rows: int = 4 * BLOCK, size: int = 16_000_000) -> Iterator[pa.Table]:
-    """Tables of whole groups, from batches sorted by their first columns, of some rows or bytes at least."""
-    held: list[pa.RecordBatch] = []
-    for batch in batches:
-        if not batch.num_rows:
-            continue
-        held.append(batch)
-        if sum(b.num_rows for b in held) < rows and sum(b.nbytes for b in held) < size:
-            continue
-        t = pa.Table.from_batches(held)
-        same = np.logical_and.reduce([t.column(c).to_numpy() == t.column(c)[t.num_rows - 1].as_py() for c in range(keys)])
-        whole = t.num_rows - int(same.sum())
-        if whole:
-            yield t.slice(0, whole)
-            held = t.slice(whole).to_batches()
-    if held:
-        yield pa.Table.from_batches(held)
-
-
-def bounds(t: pa.Table, keys: int) -> list[tuple[int, int]]:
-    """The groups of at least two rows."""
-    new = np.logical_or.reduce([np.diff(t.column(c).to_numpy()) != 0 for c in range(keys)])
-    cut = np.flatnonzero(new) + 1
-    return [(s, e) for s, e in zip(np.r_[0, cut].tolist(), np.r_[cut, t.num_rows].tolist(), strict=True) if e - s > 1]
-
-
-def _edges(found: list[tuple[np.ndarray, np.ndarray]]) -> pa.RecordBatch:
-    a = np.concatenate([x[0] for x in found]) if found else np.zeros(0, np.int64)
-    b = np.concatenate([x[1] for x in found]) if found else np.zeros(0, np.int64)
-    a, b = np.unique(np.c_[a, b], axis=0).T if len(a) else (a, b)
-    return pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], schema=_EDGE)
-
-
-def _facing(block: np.ndarray, i: int, j: int) -> tuple[np.ndarray, np.ndarray]:
-    left = np.flatnonzero(block == i)
-    return left, left if i == j else np.flatnonzero(block == j)
-
-
-def _loose(percent: int):
-    """Edges of pairs whose sizes and sketches may reach the bound, from groups (key, i, j)."""
-    most = most_differing(percent)
+def _tokens(k: int):
+    """id, c, n, hashes of the different shingles."""
+    schema = pa.schema([("id", pa.int64()), ("c", pa.int64()), ("n", pa.int64()), ("tokens", pa.list_(pa.int64()))])
 
     def run(batches):
-        for t in grouped(batches, 3):
-            _, i, j, block, ids, n, group = (t.column(c).to_numpy() for c in range(7))
-            sketch = np.frombuffer(b"".join(t.column(7).to_pylist()), np.uint64).reshape(t.num_rows, -1)
-            found = []
-            for s, e in bounds(t, 3):
-                left, right = _facing(block[s:e], i[s], j[s])
-                pairs = []
-                for part in np.array_split(left, -(-len(left) // 64)) if len(left) and len(right) else ():
-                    k, m, g = sketch[s:e], n[s:e], group[s:e]
-                    near = g[part][:, None] != g[right][None, :]
-                    near &= np.bitwise_count(k[part][:, None, :] ^ k[right][None, :, :]).sum(2) <= most
-                    near &= 100 * np.minimum(m[part][:, None], m[right][None, :]) >= percent * np.maximum(m[part][:, None], m[right][None, :])
-                    x, y = np.nonzero(near)
-                    pairs.append((part[x], right[y]))
-                if pairs:
-                    a, b = np.concatenate([p[0] for p in pairs]), np.concatenate([p[1] for p in pairs])
-                    found.append(forest(ids[s:e], a[a != b], b[a != b]))
-            yield _edges(found)
+        for rows, data, offs in slices(batches, "text", TEXT_SLICE):
+            h, _, _, first = words(data, offs, SPACED)
+            s, at = _distinct(*shingles(h, first, k))
+            lists = pa.ListArray.from_arrays(pa.array(at, pa.int32()), pa.array(s.view(np.int64)))
+            yield pa.RecordBatch.from_arrays([rows.column(0).cast(pa.int64()), rows.column(1), pa.array(np.diff(at), pa.int64()), lists], schema=schema)
 
     return run
 
 
-def intersections(sets: list[np.ndarray], columns: int = 4096) -> np.ndarray:
-    """Sizes of the intersections of all pairs of sets."""
-    n = len(sets)
-    row = np.repeat(np.arange(n), [len(x) for x in sets])
-    _, col, count = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
-    twice = count[col] > 1
-    row, col = row[twice], (np.cumsum(count > 1) - 1)[col[twice]]
-    order = np.argsort(col, kind="stable")
-    row, col = row[order], col[order]
-    out = np.zeros((n, n), np.float64)
-    for c in range(0, int(col[-1]) + 1 if len(col) else 0, columns):
-        s, e = np.searchsorted(col, [c, c + columns])
-        m = np.zeros((n, min(columns, int(col[-1]) + 1 - c)), np.float32)
-        m[row[s:e], col[s:e] - c] = 1
-        out += m @ m.T
-    return out
-
-
-def _exact(percent: int):
-    """Edges of pairs whose whole sets reach the bound, from groups (key, i, j)."""
+def _confirm(k: int, percent: int):
+    """(a, b) of the rows (a, b, text of a, text of b) whose sets reach the bound; a's set is held while a stays the same."""
+    schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 
     def run(batches):
-        for t in grouped(batches, 3):
-            _, i, j, block, ids = (t.column(c).to_numpy() for c in range(5))
-            found = []
-            for s, e in bounds(t, 3):
-                sets = [np.frombuffer(x.as_py(), np.uint64) for x in t.column(5).slice(s, e - s)]
-                both = intersections(sets)
-                size = np.array([len(x) for x in sets])
-                link = 100 * both >= percent * (size[:, None] + size[None, :] - both)
-                left, right = _facing(block[s:e], i[s], j[s])
-                x, y = np.nonzero(link[np.ix_(left, right)])
-                a, b = left[x], right[y]
-                found.append(forest(ids[s:e], a[a != b], b[a != b]))
-            yield _edges(found)
+        raw, mine = None, set()
+        for batch in pieces(batches, 200):
+            a, b = (batch.column(i).to_numpy() for i in (0, 1))
+            linked = np.zeros(len(a), bool)
+            for i, (x, y) in enumerate(zip(batch.column(2).cast(pa.binary()), batch.column(3).cast(pa.binary()), strict=True)):
+                if (x := x.as_py()) != raw:
+                    raw, mine = x, word_shingles(x, k)
+                other = word_shingles(y.as_py(), k)
+                both = len(mine & other)
+                linked[i] = both and 100 * both >= percent * (len(mine) + len(other) - both)
+            yield pa.RecordBatch.from_arrays([pa.array(a[linked]), pa.array(b[linked])], schema=schema)
 
     return run
 
 
-def _dealt(scratch: Scratch, rows: DataFrame, size_of: DataFrame, more: list[str] | None = None) -> DataFrame:
-    """key, i, j, block, id and more columns: the rows (key, id) of keys with more than one row, once for each pair of blocks that they face."""
-    many = scratch.write(size_of.where("size > 1").select("key", F.ceil(F.col("size") / BLOCK).cast("int").alias("blocks")))
-    placed = rows.join(many, "key").withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
-    other = placed.withColumn("o", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    return other.select("key", F.least("block", "o").alias("i"), F.greatest("block", "o").alias("j"), "block", "id", *(more or []))
+def _small(scratch: Scratch, table: DataFrame) -> DataFrame:
+    """The written table, marked for broadcast if it has no more than BROADCAST_IDS rows."""
+    return F.broadcast(table) if table.count() <= BROADCAST_IDS else table
+
+
+def _may_link(x: str, y: str, percent: int):
+    """The length filter and the sketches' population count, over columns of two prefixes."""
+    far = sum((F.bit_count(F.col(x + p).bitwiseXOR(F.col(y + p))) for p in _PARTS), F.lit(0))
+    sizes = 100 * F.least(x + "n", y + "n") >= percent * F.greatest(x + "n", y + "n")
+    return sizes & (far <= most_differing(percent))
+
+
+def _as(table: DataFrame, prefix: str, columns: list[str]) -> DataFrame:
+    return table.select(*(F.col(c).alias(prefix + c) for c in columns))
+
+
+class _Search:
+    """The candidate search of one run: classes (id, c, n, bands, sketch), documents (id, c, text), links found so far."""
+
+    def __init__(self, scratch: Scratch, docs: DataFrame, classes: DataFrame, k: int, percent: int, tied: DataFrame):
+        self.scratch, self.docs, self.classes, self.k, self.percent = scratch, docs, classes, k, percent
+        self.links = tied
+        self.group: DataFrame | None = None
+
+    def texts(self, rows: DataFrame) -> DataFrame:
+        """id, c, text of the given classes."""
+        known = self.scratch.write(rows.select("id", "c").distinct())
+        return self.docs.join(_small(self.scratch, known), ["id", "c"], "left_semi").dropDuplicates(["id", "c"])
+
+    def confirm(self, pairs: DataFrame) -> DataFrame:
+        """Ties the pairs (x_id, x_c, y_id, y_c) whose sets reach the bound; the links."""
+        s = self.scratch
+        pairs = s.write(pairs)
+        texts = s.write(self.texts(pairs.select(F.explode(F.array(F.struct(F.col("x_id").alias("id"), F.col("x_c").alias("c")), F.struct(F.col("y_id").alias("id"), F.col("y_c").alias("c")))).alias("e")).select("e.*")))
+        both = pairs.join(_as(texts, "y_", ["id", "c", "text"]), ["y_id", "y_c"]).join(_as(texts, "x_", ["id", "c", "text"]), ["x_id", "x_c"])
+        found = s.write(both.select("x_id", "y_id", "x_text", "y_text").mapInArrow(_confirm(self.k, self.percent), "a long, b long").where("a <> b").distinct())
+        s.drop(pairs, texts)
+        self.links = s.write(self.links.union(found))
+        self.group = _components(s, self.links)
+        return found
+
+    def grouped(self, rows: DataFrame) -> DataFrame:
+        """Rows with g, their component."""
+        if self.group is None:
+            return rows.withColumn("g", F.col("id"))
+        return rows.join(self.group.withColumnRenamed("component", "g"), "id", "left").withColumn("g", F.coalesce("g", "id"))
+
+    def open_rows(self, filed: DataFrame) -> DataFrame:
+        """key, id, c, g of the rows in buckets of several components."""
+        rows = self.scratch.write(self.grouped(filed.select("key", "id", "c")))
+        open_keys = rows.groupBy("key").agg(F.min("g").alias("g0"), F.max("g").alias("g1"), F.count(F.lit(1)).alias("size")).where("g0 < g1").select("key", "size")
+        return self.scratch.write(rows.join(open_keys, "key"))
+
+    def hold_against_leaders(self, rows: DataFrame, turn: int) -> None:
+        """Ties the rows that link with the leader of one of their buckets."""
+        rank = F.col("id") if turn == 0 else F.xxhash64("id", "c", F.lit(turn))
+        lead = rows.groupBy("key").agg(F.min(F.struct(rank.alias("r"), "id", "c", "g")).alias("x")).select("key", F.col("x.id").alias("x_id"), F.col("x.c").alias("x_c"), F.col("x.g").alias("x_g"))
+        pairs = rows.join(lead, "key").where("g <> x_g").select("x_id", "x_c", F.col("id").alias("y_id"), F.col("c").alias("y_c")).distinct()
+        columns = ["id", "c", "n", *_PARTS]
+        near = pairs.join(_as(self.classes, "y_", columns), ["y_id", "y_c"]).join(_as(self.classes, "x_", columns), ["x_id", "x_c"])
+        self.confirm(near.where(_may_link("x_", "y_", self.percent)).select("x_id", "x_c", "y_id", "y_c"))
+
+    def join_rest(self, rows: DataFrame) -> None:
+        """Ties the rows of different components by an exact prefix-filtered set join."""
+        s, p = self.scratch, self.percent
+        rest = s.write(rows.select("id", "c", "g").distinct())
+        sets = s.write(self.texts(rest).mapInArrow(_tokens(self.k), "id long, c long, n long, tokens array<long>"))
+        placed = s.write(sets.join(rest, ["id", "c"]).select("id", "c", "g", "n", F.explode("tokens").alias("t")))
+        s.drop(sets)
+        common = placed.groupBy("t").agg(F.count(F.lit(1)).alias("f"), F.min("g").alias("g0"), F.max("g").alias("g1")).where("g0 < g1").select("t", "f")
+        held = placed.join(common, "t")
+        mine = Window.partitionBy("id", "c")
+        # Shingles of one component come first in the order, so the others start at n - count.
+        ranked = held.withColumn("i", F.row_number().over(mine.orderBy("f", "t")) + F.col("n") - F.count(F.lit(1)).over(mine) - 1)
+        need = F.ceil(F.col("n") * p / 100)
+        first = ranked.where(F.col("i") < F.col("n") - need + 1).select("id", "c", "g", "t", "i")
+        full = s.write(first.join(self.classes.select("id", "c", "n", *_PARTS), ["id", "c"]))
+        s.drop(placed, rest)
+        columns = ["id", "c", "g", "n", "i", *_PARTS]
+        x, y = (full.select("t", *(F.col(c).alias(f"{w}_{c}") for c in columns)) for w in "xy")
+        overlap = F.ceil((F.col("x_n") + F.col("y_n")) * p / (100 + p) - 1e-9)
+        room = F.least(F.col("x_n") - F.col("x_i"), F.col("y_n") - F.col("y_i")) >= overlap
+        pairs = x.join(y, (x.t == y.t) & (F.col("x_g") < F.col("y_g")) & room & _may_link("x_", "y_", p))
+        self.confirm(pairs.select("x_id", "x_c", "y_id", "y_c").distinct())
+        s.drop(full)
+
+    def run(self) -> DataFrame | None:
+        """id, component of every vertex that is tied to another."""
+        s = self.scratch
+        filed = self.classes.select("id", "c", F.explode("bands").alias("key"))
+        shared = filed.groupBy("key").agg(F.count(F.lit(1)).alias("size")).where("size > 1").select("key", "size")
+        if self.links.limit(1).count():
+            self.group = _components(s, self.links)
+        rows = s.write(self.grouped(filed.join(shared, "key")))
+        before, turn = None, 0
+        while rows.limit(1).count():
+            self.hold_against_leaders(rows, turn)
+            nxt = self.open_rows(rows)
+            s.drop(rows)
+            rows = nxt
+            large = rows.where(F.col("size") > FEW).count()
+            if not large or (before is not None and large > 0.75 * before):
+                break
+            before, turn = large, turn + 1
+        if rows.limit(1).count():
+            self.join_rest(rows)
+        s.drop(rows)
+        return self.group
 
 
 def _components(scratch: Scratch, edges: DataFrame) -> DataFrame:
@@ -274,55 +293,49 @@ def _components(scratch: Scratch, edges: DataFrame) -> DataFrame:
     return scratch.write(edges.select(F.col("a").alias("id"), F.col("b").alias("component")))
 
 
-def _loose_edges(scratch: Scratch, classes: DataFrame, sketches: DataFrame, bands: Column, group: DataFrame | None, percent: int) -> DataFrame:
-    """Edges of a forest of the pairs that share one of the bands' keys, aren't in one group yet and may reach the bound."""
-    banded = classes.select("id", F.explode(bands).alias("key"))
-    grouping = banded.withColumn("g", F.col("id")) if group is None else banded.join(group, "id", "left").select("id", "key", F.coalesce("component", "id").alias("g"))
-    filed = scratch.write(grouping)
-    size = filed.groupBy("key").agg(F.count(F.lit(1)).alias("size"), F.min("g").alias("g0"), F.max("g").alias("g1")).where("g0 < g1")
-    dealt = _dealt(scratch, filed, size, ["g"])
-    rows = dealt.join(sketches, "id").select("key", "i", "j", "block", "id", "n", "g", "sketch")
-    out = scratch.write(rows.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j").mapInArrow(_loose(percent), "a long, b long").distinct())
-    scratch.drop(filed)
-    return out
-
-
 def near_duplicates(documents: DataFrame, k: int = WORDS, percent: int = PERCENT, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row a document: id, n_shingles, component_id, kept."""
     spark = documents.sparkSession
-    small_batches(spark)
-    scratch = Scratch(spark)
-    docs = documents.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).where("id IS NOT NULL")
-    signed = scratch.write(docs.mapInArrow(_signatures(k), "id long, n long, set_key binary, bands array<long>, sketch binary"))
-    least = scratch.write(signed.where("n > 0").groupBy("set_key").agg(F.min("id").alias("id")))
-    classes = scratch.write(signed.where("n > 0").join(least, ["set_key", "id"]).select("id", "n", "bands", "sketch").dropDuplicates(["id"]))
-
-    sketches = classes.select("id", "n", "sketch")
-    loose = _loose_edges(scratch, classes, sketches, F.slice("bands", 1, FIRST_BANDS), None, percent)
-    group = _components(scratch, loose)
-    more = _loose_edges(scratch, classes, sketches, F.slice("bands", FIRST_BANDS + 1, BANDS), group, percent)
-    group = _components(scratch, loose.union(more))
-
-    ids = scratch.write(group.select("id"))
-    known = F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids
-    sets = scratch.write(docs.join(known, "id", "left_semi").dropDuplicates(["id"]).mapInArrow(_sets(k), "id long, s binary"))
-    keyed = group.select(F.col("component").alias("key"), "id")
-    dealt = _dealt(scratch, keyed, keyed.groupBy("key").agg(F.count(F.lit(1)).alias("size")))
-    rows = dealt.join(sets, "id").select("key", "i", "j", "block", "id", "s")
-    links = scratch.write(rows.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j").mapInArrow(_exact(percent), "a long, b long").distinct())
-    comp = _components(scratch, links)
-
-    # Every class and document gets its component; the rest of the written tables go.
-    named = scratch.write(least.join(comp, "id", "left").select("set_key", F.coalesce("component", "id").alias("component")))
-    sizes = scratch.write(signed.select("id", "n", "set_key"))
-    scratch.keep_only(named, sizes)
-    out = sizes.join(named, "set_key", "left").withColumn("component_id", F.coalesce("component", "id"))
-    return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), "component_id", (F.col("id") == F.col("component_id")).alias("kept"))
+    ship_package(spark)
+    docs = documents.select(F.col(id_col).cast("long").alias("id"), F.xxhash64(text_col).alias("c"), F.col(text_col).alias("text"))
+    with Scratch(spark) as scratch:
+        parts = ", ".join(f"{p} long" for p in _PARTS)
+        signed = scratch.write(docs.mapInArrow(_signatures(k), f"id long, c long, n long, word_key binary, bands array<long>, {parts}"))
+        usable = signed.where("n > 0 AND id IS NOT NULL")
+        least = scratch.write(usable.groupBy("word_key").agg(F.min("id").alias("id")))
+        classes = scratch.write(usable.join(least, ["word_key", "id"]).dropDuplicates(["word_key"]).select("id", "c", "n", "bands", *_PARTS))
+        # Ids with rows of several classes tie those classes' first ids.
+        several = scratch.write(signed.where("id IS NOT NULL").select("id", F.coalesce(F.xxhash64("word_key"), F.lit(0)).alias("w")).groupBy("id").agg(F.min("w").alias("w0"), F.max("w").alias("w1")).where("w0 < w1").select("id"))
+        tied = usable.join(several, "id").join(least.withColumnRenamed("id", "first"), "word_key").where("id <> first").select(F.col("first").alias("a"), F.col("id").alias("b"))
+        search = _Search(scratch, docs.where("id IS NOT NULL"), classes, k, percent, scratch.write(tied.distinct()))
+        group = search.run()
+        if group is None:
+            group = search.links.select(F.col("a").alias("id"), F.col("b").alias("component"))
+
+        # Every class and document gets its component; the rest of the written tables go.
+        named = scratch.write(least.join(group, "id", "left").select("word_key", F.coalesce("component", "id").alias("component")))
+        own = scratch.write(several.join(group, "id").select("id", F.col("component").alias("own")))
+        sizes = scratch.write(signed.select("id", "n", "word_key"))
+        scratch.keep_only(named, own, sizes)
+        out = sizes.join(named, "word_key", "left").join(own, "id", "left")
+        out = out.withColumn("component_id", F.when(F.col("id").isNotNull(), F.coalesce("own", "component", "id")))
+        return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), "component_id", F.coalesce(F.col("id") == F.col("component_id"), F.lit(True)).alias("kept"))
 
 
 def keep_one(documents: DataFrame, k: int = WORDS, percent: int = PERCENT, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The documents, with all their columns, of which no near-duplicate has a smaller id. Rows with a null id stay."""
-    scratch = Scratch(documents.sparkSession)
-    gone = near_duplicates(documents, k, percent, id_col, text_col).where("NOT kept").select(id_col).distinct()
-    gone = scratch.write(gone)
-    return documents.join(F.broadcast(gone) if gone.count() <= BROADCAST_IDS else gone, id_col, "left_anti").select(documents.columns)
+    """The documents, with all their columns, one of each group.
+
+    The row of the smallest id stays; of several rows with that id, the least by text and then by the other columns. Rows with a null id stay.
+    """
+    with Scratch(documents.sparkSession) as scratch:
+        found = near_duplicates(documents, k, percent, id_col, text_col).where(F.col(id_col).isNotNull())
+        state = scratch.write(found.groupBy(id_col).agg(F.max("kept").alias("kept"), F.count(F.lit(1)).alias("rows")).where("NOT kept OR rows > 1").withColumnRenamed(id_col, "_gone"))
+        twice = scratch.write(state.where("kept").select("_gone"))
+        scratch.keep_only(state, twice)
+        once = documents.join(_small(scratch, state.select("_gone")), F.col(id_col) == F.col("_gone"), "left_anti")
+        if not twice.limit(1).count():
+            return once
+        columns = [text_col, *(c for c in documents.columns if c != text_col)]
+        again = documents.join(_small(scratch, twice), F.col(id_col) == F.col("_gone"), "left_semi")
+        one = again.groupBy(F.col(id_col).alias("_one")).agg(F.min(F.struct(*(F.col(f"`{c}`") for c in columns))).alias("_row"))
+        return once.select(documents.columns).union(one.select(*(F.col("_row")[c].alias(c) for c in documents.columns)))

@@ -25,8 +25,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from caselight.llm.textbatch import ALNUM, prefix_hash, slices, small_batches, span_hash
+from caselight.llm.textbatch import ALNUM, prefix_hash, slices, span_hash
 from caselight.llm.toxicity import labelled, remainder
+from caselight.session import ship_package
 
 MAX_LABELLED = 20_000
 CALIBRATION = 0.2
@@ -194,7 +195,7 @@ def _pool(held):
 def fit(documents: DataFrame, labels: DataFrame, label: str = "quality", held_out: tuple[int, int] = (3, 1), id_col: str = "doc_id", text_col: str = "text", limit: int = MAX_LABELLED):
     """(broadcast token vectors, network)."""
     spark = documents.sparkSession
-    small_batches(spark)
+    ship_package(spark)
     vectors = spark.sparkContext.broadcast(token_vectors(documents, text_col))
     lab = labelled(labels, label, id_col, held_out, limit)
     docs = documents.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))

@@ -2,7 +2,8 @@
 
 Tables go to a fresh folder under the session's spark.checkpoint.dir, which all executors share, so a lost
 executor costs only the tasks it ran. Where the setting is empty (local sessions), a folder of this machine
-is made and set. Scratch deletes what it wrote when its block ends, except tables that were kept.
+is made and set. A Scratch block deletes what it wrote when it ends, all of it after a failure, except the tables
+that its result reads; those go when the application ends.
 """
 
 from __future__ import annotations
@@ -26,29 +27,53 @@ def shared_dir(spark: SparkSession) -> str:
     return spark.sparkContext.getCheckpointDir().rstrip("/")
 
 
+#: Rows in an Arrow batch while a table is written; with texts of a few KB this is a few MB.
+ARROW_ROWS = 500
+_ARROW = "spark.sql.execution.arrow.maxRecordsPerBatch"
+
+
 class Scratch:
-    """Written tables of one run of an operator."""
+    """Written tables of one run of an operator; a context that deletes those that aren't kept."""
 
     def __init__(self, spark: SparkSession):
         self.spark = spark
         self.base = f"{shared_dir(spark)}/caselight-{uuid.uuid4().hex}"
         self.n = 0
         self.paths: dict[int, str] = {}
+        self.kept: set[int] = set()
+        path, fs = self._path(self.base)
+        fs.deleteOnExit(path)
+
+    def __enter__(self) -> Scratch:
+        return self
+
+    def __exit__(self, failed, *_) -> None:
+        for i in [i for i in self.paths if failed or i not in self.kept]:
+            self._delete(self.paths.pop(i))
 
     def write(self, df: DataFrame) -> DataFrame:
-        """The table, written and read again."""
+        """The table, written and read again, in Arrow batches of ARROW_ROWS rows; the session's own setting stays."""
         self.n += 1
         path = f"{self.base}/{self.n}"
-        df.write.parquet(path)
+        before = self.spark.conf.get(_ARROW, None)
+        self.spark.conf.set(_ARROW, str(ARROW_ROWS))
+        try:
+            df.write.parquet(path)
+        finally:
+            self.spark.conf.unset(_ARROW) if before is None else self.spark.conf.set(_ARROW, before)
         out = self.spark.read.schema(df.schema).parquet(path)
         self.paths[id(out)] = path
         out._scratch = self.n  # keeps the id from being used again while the table lives
         return out
 
+    def _path(self, path: str):
+        """The path and its file system."""
+        p = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+        return p, p.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration())
+
     def _delete(self, path: str) -> None:
-        jvm = self.spark.sparkContext._jvm
-        p = jvm.org.apache.hadoop.fs.Path(path)
-        p.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+        p, fs = self._path(path)
+        fs.delete(p, True)
 
     def drop(self, *tables: DataFrame) -> None:
         for t in tables:
@@ -56,9 +81,9 @@ class Scratch:
                 self._delete(path)
 
     def keep_only(self, *tables: DataFrame) -> None:
-        """Deletes all tables but these."""
-        kept = {id(t) for t in tables}
-        for i in [i for i in self.paths if i not in kept]:
+        """Deletes all tables but these, which outlive the block."""
+        self.kept = {id(t) for t in tables}
+        for i in [i for i in self.paths if i not in self.kept]:
             self._delete(self.paths.pop(i))
 
 

@@ -34,9 +34,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from caselight.llm.near_dup import grouped
 from caselight.llm.shared import Scratch
-from caselight.llm.textbatch import PLACES, mix, powers, prefix_hash, slices, small_batches, span_hash
+from caselight.llm.textbatch import PLACES, grouped, mix, powers, prefix_hash, slices, span_hash
+from caselight.session import ship_package
 
 LENGTH = 100
 GRAM = 24
@@ -254,7 +254,7 @@ def _kept(length: int, with_text: bool):
 def remove_repeats(documents: DataFrame, length: int = LENGTH, id_col: str = "doc_id", text_col: str = "text", with_text: bool = False) -> DataFrame:
     """One row a document: id, n_bytes, n_removed, n_spans, kept_sha256 and, if asked for, the bytes kept."""
     spark = documents.sparkSession
-    small_batches(spark)
+    ship_package(spark)
     scratch = Scratch(spark)
     docs = documents.select(F.col(id_col).cast("long").alias("doc"), F.col(text_col).alias("text")).where("doc IS NOT NULL")
     twice = scratch.write(docs.mapInArrow(_anchor_hashes(length), "h long").groupBy("h").agg(F.count(F.lit(1)).alias("m")).where("m > 1").select("h"))

@@ -13,21 +13,36 @@ from functools import lru_cache
 import numpy as np
 import pyarrow as pa
 
-from caselight.session import ship_package
-
 SLICE_BYTES = 2_000_000
-#: Rows in an Arrow batch; with texts of a few KB this is a few MB.
-ARROW_ROWS = 500
-
 _MULT = np.uint64(0x9E3779B97F4A7C15)
 #: Odd constants that weigh the words of a shingle by their place.
 PLACES = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F], dtype=np.uint64)
 
 
-def small_batches(spark) -> None:
-    """Arrow batches of ARROW_ROWS rows, so that a batch of long texts fits a worker; workers get this package."""
-    ship_package(spark)
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(ARROW_ROWS))
+def pieces(batches: Iterator[pa.RecordBatch], rows: int = 500) -> Iterator[pa.RecordBatch]:
+    """The batches, in pieces whose results fit a worker."""
+    for batch in batches:
+        for i in range(0, batch.num_rows, rows):
+            yield batch.slice(i, rows)
+
+
+def grouped(batches: Iterator[pa.RecordBatch], keys: int, rows: int = 1 << 30, size: int = 16_000_000) -> Iterator[pa.Table]:
+    """Tables of whole groups, from batches sorted by their first columns, of some rows or bytes at least."""
+    held: list[pa.RecordBatch] = []
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        held.append(batch)
+        if sum(b.num_rows for b in held) < rows and sum(b.nbytes for b in held) < size:
+            continue
+        t = pa.Table.from_batches(held)
+        same = np.logical_and.reduce([t.column(c).to_numpy() == t.column(c)[t.num_rows - 1].as_py() for c in range(keys)])
+        whole = t.num_rows - int(same.sum())
+        if whole:
+            yield t.slice(0, whole)
+            held = t.slice(whole).to_batches()
+    if held:
+        yield pa.Table.from_batches(held)
 
 
 def byte_table(word_bytes: set[int]) -> np.ndarray:

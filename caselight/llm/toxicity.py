@@ -31,7 +31,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from caselight.functions.text import let
-from caselight.llm.textbatch import small_batches
+from caselight.session import ship_package
 
 MAX_LABELLED = 20_000
 LEXICON = 160
@@ -196,7 +196,7 @@ def linear(bits: np.ndarray, target: np.ndarray, weight: np.ndarray, ridge: floa
 
 def fit(documents: DataFrame, labels: DataFrame, label: str = "toxic", held_out: tuple[int, int] = (4, 2), id_col: str = "doc_id", text_col: str = "text", limit: int = MAX_LABELLED) -> Model:
     """The voters and the classifier; labels come only from rows that are not held out."""
-    small_batches(documents.sparkSession)
+    ship_package(documents.sparkSession)
     docs = documents.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
     lab = F.broadcast(labelled(labels, label, id_col, held_out, limit))  # at most limit rows of two numbers
     sample = docs.join(lab, "id").withColumn("half", F.pmod(F.xxhash64("text"), F.lit(2)).cast("int"))

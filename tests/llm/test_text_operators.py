@@ -211,15 +211,36 @@ def test_near_duplicates_of_a_long_chain(spark):
     assert got == brute_components([(1000 - i, t) for i, t in enumerate(texts)], 3, 85)
 
 
-def test_blocks_split_a_large_group(spark, monkeypatch):
-    monkeypatch.setattr(near_dup, "BLOCK", 4)
+@pytest.mark.parametrize("few", [64, 0])
+def test_a_large_group_of_near_copies(spark, monkeypatch, few):
+    """All texts are near their base, most aren't near one another; few: with and without more rounds of leaders."""
+    monkeypatch.setattr(near_dup, "FEW", few)
     base = [f"w{i}" for i in range(60)]
     texts = [" ".join(base[:i] + ["new", str(i)] + base[i:]) for i in range(30)]
+    r = random.Random(7)
+    for n in range(60):
+        w = list(base)
+        for _ in range(r.randint(1, 3)):
+            w[r.randrange(60)] = f"x{n}"
+        texts.append(" ".join(w))
+    texts.append(" ".join(base))
     df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
     got = {r.doc_id: (r.n_shingles, r.component_id) for r in near_dup.near_duplicates(df, 3, 85).collect()}
     assert got == brute_components(enumerate(texts), 3, 85)
 
 
+def test_near_duplicates_with_repeated_and_null_ids(spark):
+    a, b = " ".join(f"a{i}" for i in range(80)), " ".join(f"b{i}" for i in range(80))
+    near = lambda t, w: t + " " + w
+    rows = [(5, a, 1), (5, b, 2), (1, near(a, "x"), 3), (2, near(b, "y"), 4), (None, a, 5), (None, None, 6), (7, "", 7), (7, a.upper(), 8), (8, "one more", 9), (8, "one more", 9)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, id long")
+    got = sorted(((r.doc_id, r.component_id, r.kept) for r in near_dup.near_duplicates(df, 3, 85).collect()), key=str)
+    assert got == sorted([(5, 1, False)] * 2 + [(1, 1, True), (2, 1, False)] + [(None, None, True)] * 2 + [(7, 1, False)] * 2 + [(8, 8, True)] * 2, key=str)
+    kept = near_dup.keep_one(df, 3, 85)
+    assert kept.columns == df.columns
+    assert sorted(map(tuple, kept.collect()), key=str) == sorted([rows[2], rows[4], rows[5], rows[8]], key=str)
+
+
 def test_sketch_margin_keeps_similar_pairs():
     import numpy as np
 
