@@ -1,38 +1,53 @@
 """Benchmark decontamination (8): one Aho-Corasick automaton over normalised item windows.
 
 Normalising lower-cases A-Z and takes words `[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+`. A window is `window`
-consecutive words of an item; an item of fewer words, but not none, is one window. Each window becomes
-the byte string " w1 w2 ... " (one space on either side of every word), all windows make one automaton,
-and each document is normalised to the same form and scanned once. A match ends at a space, so counting
-spaces maps it to word places, and the words' byte offsets map it to the original text.
-
-Scale: the automaton lies with every executor, so items enter it in blocks whose total size is checked
-(BLOCK_BYTES of normalised text a block); beyond one block the documents are scanned once a block, each
-scan adding its hits to the row. Documents are never shuffled.
+consecutive words of an item; an item of fewer words, but not none, is one window. The items' words are numbered,
+each number is written with two symbols (the first from one alphabet, the second from another, so matches begin
+where words do), all windows make one automaton of such symbols, and each document is written alike, words of
+no item as blanks, and scanned once. A match's end names its last word, and the words' byte offsets map it to the
+original text. With two symbols a word the automaton has a sixth of the nodes that it would have over characters,
+and no node has more children than the root of the number of words.
+
+Scale: the automaton lies with every Python worker, which keeps the last one it built, so its size is bounded: long
+items are cut into pieces that overlap by window - 1 words, and pieces are dealt by hash into blocks whose
+automata have at most AUTOMATON_BYTES (NODE_BYTES for each symbol of each window). One block, the usual case,
+needs one scan and no shuffle. Of several, each is a scan of its own that writes the hits it finds by the text's
+MD5 digest, and these are united; only one block's items are with the driver at a time.
 
 Defined results: null or empty texts have no words and no hits; items without words are ignored; items
 repeated under several ids count under each id; items with a null id hit words and drop documents, but
 aren't among the ids or in their number; empty tables give empty results; rows repeated in the
-documents each give a row. Other columns of either table are not read.
+documents each give a row; null document ids stay null. Other columns of either table are not read.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import math
+import uuid
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from caselight.llm.shared import Scratch
 from caselight.llm.textbatch import ALNUM, pieces
 from caselight.session import ship_package
 
 WINDOW = 10
-BLOCK_BYTES = 16_000_000
+#: Bytes of a node with its link, as measured, and of one block's automaton.
+NODE_BYTES = 56
+AUTOMATON_BYTES = 200_000_000
+#: Words of an item that stay together, besides the overlap.
+PIECE = 2000
+#: Digests of texts that may be sent to every executor at once.
+BROADCAST_TEXTS = 1_000_000
 _TO_SPACE = bytes(int(b) or 32 for b in ALNUM)
 
-SCAN_SCHEMA = "doc_id long, text string, n_words long, words array<int>, items array<string>, spans array<struct<start:int,end:int>>"
+_HITS = [("n_words", pa.int64()), ("words", pa.list_(pa.int32())), ("items", pa.list_(pa.string()))]
+_SPANS = ("spans", pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())])))
+_SCAN_SCHEMA = "doc_id long, n_words long, words array<int>, items array<string>, spans array<struct<start:int,end:int>>"
+_BLANK = "\0\0"
 
 
 def normalise(text: str | bytes) -> list[bytes]:
@@ -49,38 +64,64 @@ def item_windows(text: str | None, window: int = WINDOW) -> set[tuple[bytes, ...
     return {tuple(w[i : i + window]) for i in range(max(1, len(w) - window + 1))}
 
 
-def automaton(items: list[tuple[str | None, str | None]], window: int):
-    """Automaton from " w1 w2 ... " to (number of words, item ids that aren't null)."""
-    import ahocorasick
-
-    held: dict[tuple[bytes, ...], set[str]] = {}
-    for item, text in items:
-        for w in item_windows(text, window):
-            held.setdefault(w, set()).update(() if item is None else (item,))
-    a = ahocorasick.Automaton()
-    for w, ids in held.items():
-        a.add_word((b" " + b" ".join(w) + b" ").decode("latin-1"), (len(w), tuple(sorted(ids))))
-    if held:
-        a.make_automaton()
-    return a if held else None
-
-
-def scan_text(text: str | bytes | None, auto) -> tuple[int, np.ndarray, set[str]]:
-    """(number of words, places of hit words, items with occurring windows)."""
-    w = normalise(text or b"")
-    if not w or auto is None:
-        return len(w), np.zeros(0, np.int64), set()
-    line = b" " + b" ".join(w) + b" "
-    found = list(auto.iter(line.decode("latin-1")))
-    if not found:
-        return len(w), np.zeros(0, np.int64), set()
-    spaces = np.flatnonzero(np.frombuffer(line, np.uint8) == 32)
-    past = np.searchsorted(spaces, [end for end, _ in found])  # the word before this space has place past - 1
-    size = np.array([n for _, (n, _) in found])
-    change = np.zeros(len(w) + 1, np.int64)
-    np.add.at(change, past - size, 1)
-    np.add.at(change, past, -1)
-    return len(w), np.flatnonzero(np.cumsum(change[:-1]) > 0), {i for _, (_, ids) in found for i in ids}
+class Automaton:
+    """The automaton of the windows of (item id, text) pairs; each has its number of words and its item ids that aren't null."""
+
+    def __init__(self, items: list[tuple[str | None, str | None]], window: int):
+        import ahocorasick
+
+        held: dict[tuple[bytes, ...], set[str]] = {}
+        for item, text in items:
+            for w in item_windows(text, window):
+                held.setdefault(w, set()).update(() if item is None else (item,))
+        known = sorted({x for w in held for x in w})
+        base = math.isqrt(len(known)) + 1
+        self.code = {x: chr(1 + i // base) + chr(2 + base + i % base) for i, x in enumerate(known)}
+        self.found = [(len(w), tuple(sorted(ids))) for w, ids in held.items()]
+        self.tree = ahocorasick.Automaton(ahocorasick.STORE_INTS)
+        for n, w in enumerate(held):
+            self.tree.add_word("".join(map(self.code.get, w)), n)
+        if held:
+            self.tree.make_automaton()
+
+    def size(self) -> int:
+        """Bytes of its nodes and links."""
+        return self.tree.get_stats()["total_size"] if self.found else 0
+
+    def scan(self, text: str | bytes | None) -> tuple[int, np.ndarray, set[str]]:
+        """(number of words, places of hit words, items with occurring windows)."""
+        w = normalise(text or b"")
+        none = np.zeros(0, np.int64)
+        if not w or not self.found:
+            return len(w), none, set()
+        code = self.code
+        found = list(self.tree.iter("".join([code.get(x, _BLANK) for x in w])))
+        if not found:
+            return len(w), none, set()
+        past = np.array([end // 2 + 1 for end, _ in found])
+        size = np.array([self.found[n][0] for _, n in found])
+        change = np.zeros(len(w) + 1, np.int64)
+        np.add.at(change, past - size, 1)
+        np.add.at(change, past, -1)
+        return len(w), np.flatnonzero(np.cumsum(change[:-1]) > 0), {i for n in {n for _, n in found} for i in self.found[n][1]}
+
+
+_LAST: dict[tuple[str, int], Automaton] = {}
+
+
+class Block:
+    """One block's items, broadcast under a name of its own."""
+
+    def __init__(self, spark, blocks: DataFrame, k: int):
+        self.name = uuid.uuid4().hex
+        self.items = spark.sparkContext.broadcast([(r.i, r.t) for r in blocks.where(F.col("block") == k).select("i", "t").collect()])
+
+    def automaton(self, window: int) -> Automaton:
+        """Built once a worker, and let go when the worker meets another block."""
+        if (self.name, window) not in _LAST:
+            _LAST.clear()
+            _LAST[self.name, window] = Automaton(self.items.value, window)
+        return _LAST[self.name, window]
 
 
 def _runs(places: np.ndarray) -> list[tuple[int, int]]:
@@ -100,49 +141,89 @@ def _char_spans(raw: bytes, places: np.ndarray) -> list[dict]:
     return [{"start": int(points[starts[i]]), "end": int(points[ends[j - 1]])} for i, j in _runs(places)]
 
 
-def _blocks(benchmark: DataFrame, item_col: str, text_col: str, block_bytes: int) -> Iterator[list[tuple[str | None, str | None]]]:
-    """The items with text, in blocks of a checked size."""
+def _blocks(scratch: Scratch, benchmark: DataFrame, item_col: str, text_col: str, window: int, bytes_each: int) -> tuple[int, DataFrame]:
+    """(number of blocks, table of block, item id and text) of the items' pieces."""
     b = benchmark.select(F.col(item_col).cast("string").alias("i"), F.col(text_col).alias("t")).where("t IS NOT NULL")
-    total = b.agg(F.sum(F.octet_length("t"))).first()[0] or 0
-    n = int(total // block_bytes) + 1
-    for k in range(n):
-        part = b if n == 1 else b.where(F.pmod(F.xxhash64("i", "t"), F.lit(n)) == k)
-        yield [(r.i, r.t) for r in part.collect()]
+    words = F.split(F.trim(F.regexp_replace("t", r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+", " ")), " ")
+    starts = F.sequence(F.lit(0), F.greatest(F.size("w") - window, F.lit(0)), F.lit(PIECE))
+    cut = b.select("i", words.alias("w")).select("i", F.explode(F.transform(starts, lambda s: F.slice(F.col("w"), s + 1, F.lit(PIECE + window - 1)))).alias("w"))
+    cut = scratch.write(cut.distinct())
+    symbols = 2 * window * (cut.agg(F.sum(F.size("w"))).first()[0] or 0)
+    n = -(-symbols * NODE_BYTES // bytes_each) or 1
+    return n, cut.select(F.pmod(F.xxhash64("w"), F.lit(n)).alias("block"), "i", F.array_join("w", " ").alias("t"))
 
 
-def scan(documents: DataFrame, benchmark: DataFrame, window: int = WINDOW, doc_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", block_bytes: int = BLOCK_BYTES) -> DataFrame:
-    """doc_id, n_words, places of the hit words, items with occurring windows, hit spans of the original text."""
-    spark: SparkSession = documents.sparkSession
-    ship_package(spark)
-    out = documents.select(F.col(doc_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    for items in _blocks(benchmark, item_col, item_text_col, block_bytes):
-        out = out.mapInArrow(_scanner(spark.sparkContext.broadcast(items), window), SCAN_SCHEMA)
-    return out.drop("text")
-
-
-def _scanner(held, window: int):
-    """Adds one block's hits to those of the blocks before it."""
-    found = [("n_words", pa.int64()), ("words", pa.list_(pa.int32())), ("items", pa.list_(pa.string())), ("spans", pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())])))]
-    schema = pa.schema([("doc_id", pa.int64()), ("text", pa.string()), *found])
+def _scanner(held: Block, window: int):
+    """(doc_id, text) to the hits and their spans."""
+    schema = pa.schema([("doc_id", pa.int64()), *_HITS, _SPANS])
 
     def run(batches):
-        auto = automaton(held.value, window)
+        auto = held.automaton(window)
         for batch in pieces(batches):
             cols: list[list] = [[], [], [], []]
-            before = batch.select(["words", "items"]).to_pylist() if batch.num_columns > 2 else None
-            for i, v in enumerate(batch.column(1).cast(pa.binary())):
+            for v in batch.column(1).cast(pa.binary()):
                 raw = v.as_py() or b""
-                n, places, ids = scan_text(raw, auto)
-                if before:
-                    places = np.union1d(places, np.array(before[i]["words"], np.int64))
-                    ids |= set(before[i]["items"])
-                for col, x in zip(cols, (n, places.tolist(), sorted(ids), _char_spans(raw, places) if len(places) else []), strict=True):
+                n, places, ids = auto.scan(raw)
+                for col, x in zip(cols, (n, places, sorted(ids), _char_spans(raw, places) if len(places) else []), strict=True):
                     col.append(x)
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *(pa.array(c, t) for c, (_, t) in zip(cols, found, strict=True))], schema=schema)
+            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, f.type) for c, f in zip(cols, list(schema)[1:], strict=True))], schema=schema)
+
+    return run
+
+
+def _hitter(held: Block, window: int):
+    """(key, text) to the key and hits of the texts that have any."""
+    schema = pa.schema([("k", pa.string()), *_HITS[1:]])
+
+    def run(batches):
+        auto = held.automaton(window)
+        for batch in pieces(batches):
+            found = [(k, places, sorted(ids)) for k, v in zip(batch.column(0).to_pylist(), batch.column(1).cast(pa.binary()), strict=True) for _, places, ids in [auto.scan(v.as_py())] if len(places)]
+            yield pa.RecordBatch.from_arrays([pa.array([f[c] for f in found], x.type) for c, x in enumerate(schema)], schema=schema)
 
     return run
 
 
+def _finisher(batches):
+    """(doc_id, text, words, items) to the hits and their spans."""
+    schema = pa.schema([("doc_id", pa.int64()), *_HITS, _SPANS])
+    for batch in pieces(batches):
+        n, spans = [], []
+        for v, places in zip(batch.column(1).cast(pa.binary()), batch.column(2).to_pylist(), strict=True):
+            raw = v.as_py() or b""
+            n.append(len(normalise(raw)))
+            spans.append(_char_spans(raw, np.array(places, np.int64)) if places else [])
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), batch.column(2), batch.column(3), pa.array(spans, _SPANS[1])], schema=schema)
+
+
+def _hits(scratch: Scratch, texts: DataFrame, blocks: DataFrame, n: int, window: int) -> DataFrame:
+    """k, words, items: all blocks' hits of the texts (k, text) that have any."""
+    found = None
+    for k in range(n):
+        held = Block(scratch.spark, blocks, k)
+        one = scratch.write(texts.mapInArrow(_hitter(held, window), "k string, words array<int>, items array<string>").dropDuplicates(["k"]))
+        held.items.destroy()
+        found = one if found is None else found.union(one)
+    every = lambda c: F.array_sort(F.array_distinct(F.flatten(F.collect_list(c)))).alias(c)  # noqa: E731  one row a block
+    return scratch.write(found.groupBy("k").agg(every("words"), every("items")))
+
+
+def scan(documents: DataFrame, benchmark: DataFrame, window: int = WINDOW, doc_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", automaton_bytes: int = AUTOMATON_BYTES) -> DataFrame:
+    """doc_id, n_words, places of the hit words, items with occurring windows, hit spans of the original text."""
+    spark = documents.sparkSession
+    ship_package(spark)
+    docs = documents.select(F.col(doc_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
+    with Scratch(spark) as scratch:
+        n, blocks = _blocks(scratch, benchmark, item_col, item_text_col, window, automaton_bytes)
+        if n == 1:
+            return docs.mapInArrow(_scanner(Block(spark, blocks, 0), window), _SCAN_SCHEMA)
+        hits = _hits(scratch, docs.select(F.md5("text").alias("k"), "text"), blocks, n, window)
+        scratch.keep_only(hits)
+        small = F.broadcast(hits) if hits.count() <= BROADCAST_TEXTS // 100 else hits
+        both = docs.withColumn("k", F.md5("text")).join(small, "k", "left")
+        return both.select("doc_id", "text", *(F.coalesce(c, F.array().cast(t)).alias(c) for c, t in (("words", "array<int>"), ("items", "array<string>")))).mapInArrow(_finisher, _SCAN_SCHEMA)
+
+
 def decontaminate(documents: DataFrame, benchmark: DataFrame, window: int = WINDOW, **columns) -> DataFrame:
     """One row a document: n_words, n_hit, n_items, items_sha256, contaminated, spans."""
     return scan(documents, benchmark, window, **columns).select(
@@ -151,20 +232,24 @@ def decontaminate(documents: DataFrame, benchmark: DataFrame, window: int = WIND
     )
 
 
-def drop_contaminated(documents: DataFrame, benchmark: DataFrame, window: int = WINDOW, text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", block_bytes: int = BLOCK_BYTES) -> DataFrame:
+def drop_contaminated(documents: DataFrame, benchmark: DataFrame, window: int = WINDOW, text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", automaton_bytes: int = AUTOMATON_BYTES) -> DataFrame:
     """The documents, with all their columns, that hold no window of any item."""
-    ship_package(documents.sparkSession)
-    at, out = documents.columns.index(text_col), documents
-
-    def keep(held):
-        def run(batches):
-            auto = automaton(held.value, window)
-            for batch in pieces(batches):
-                clean = [not len(scan_text(v.as_py(), auto)[1]) for v in batch.column(at).cast(pa.binary())]
-                yield batch.filter(pa.array(clean, pa.bool_()))
-
-        return run
+    spark = documents.sparkSession
+    ship_package(spark)
+    at = documents.columns.index(text_col)
+    with Scratch(spark) as scratch:
+        n, blocks = _blocks(scratch, benchmark, item_col, item_text_col, window, automaton_bytes)
+        if n > 1:
+            hits = _hits(scratch, documents.select(F.md5(text_col).alias("k"), F.col(text_col).alias("text")), blocks, n, window).select(F.col("k").alias("_k"))
+            gone = scratch.write(hits)
+            scratch.keep_only(gone)
+            return documents.join(F.broadcast(gone) if gone.count() <= BROADCAST_TEXTS else gone, F.md5(text_col) == F.col("_k"), "left_anti")
+        held = Block(spark, blocks, 0)
+
+    def keep(batches):
+        auto = held.automaton(window)
+        for batch in pieces(batches):
+            clean = [not len(auto.scan(v.as_py())[1]) for v in batch.column(at).cast(pa.binary())]
+            yield batch.filter(pa.array(clean, pa.bool_()))
 
-    for items in _blocks(benchmark, item_col, item_text_col, block_bytes):
-        out = out.mapInArrow(keep(documents.sparkSession.sparkContext.broadcast(items)), documents.schema)
-    return out
+    return documents.mapInArrow(keep, documents.schema)
