@@ -125,14 +125,15 @@ def brute_hits(docs, items, n=10):
     return out
 
 
-@pytest.mark.parametrize("block_bytes", [1 << 24, 200])
-def test_decontaminate(spark, documents, texts, nothing, block_bytes):
+@pytest.mark.parametrize("size", [1 << 24, 20_000])
+def test_decontaminate(spark, documents, texts, nothing, size, monkeypatch):
+    monkeypatch.setattr(decontaminate, "PIECE", 5)
     w = " ".join(words(texts[0])[i].decode() for i in range(14)).upper()
     items = [(1, w), (2, w), (10, "two WORDS!"), (3, " ".join(texts[5].split()[3:16])), (4, ""), (5, None), (6, "der " * 12)]
     b = spark.createDataFrame([(i, t, "z") for i, t in items], "item_id long, text string, doc_id string")
-    got = {r.doc_id: (r.n_words, r.n_hit, r.n_items, r.items_sha256) for r in decontaminate.decontaminate(documents, b, block_bytes=block_bytes).collect()}
+    got = {r.doc_id: (r.n_words, r.n_hit, r.n_items, r.items_sha256) for r in decontaminate.decontaminate(documents, b, automaton_bytes=size).collect()}
     assert got == brute_hits(enumerate(texts), items)
-    kept = {r.doc_id for r in decontaminate.drop_contaminated(documents, b, block_bytes=block_bytes).collect()}
+    kept = {r.doc_id for r in decontaminate.drop_contaminated(documents, b, automaton_bytes=size).collect()}
     assert kept == {d for d, r in got.items() if not r[1]}
     span = decontaminate.decontaminate(documents, b).where("doc_id = 0").first().spans[0]
     assert words(texts[0][span.start : span.end])[:2] == words(texts[0])[:2]
@@ -140,19 +141,36 @@ def test_decontaminate(spark, documents, texts, nothing, block_bytes):
     assert decontaminate.decontaminate(documents, b.limit(0)).where("contaminated").count() == 0
 
 
-@pytest.mark.parametrize("block_bytes", [1 << 24, 100])
-def test_items_with_a_null_id(spark, documents, texts, block_bytes):
+@pytest.mark.parametrize("size", [1 << 24, 20_000])
+def test_items_with_a_null_id(spark, documents, texts, size, monkeypatch):
+    monkeypatch.setattr(decontaminate, "PIECE", 3)
     part = lambda i, n: " ".join(words(texts[i])[k].decode() for k in range(n))
     items = [(None, part(0, 12)), (None, part(5, 14)), (4, part(5, 11)), (None, "two words")]
     b = spark.createDataFrame(items, "item_id long, text string")
-    got = {r.doc_id: (r.n_words, r.n_hit, r.n_items, r.items_sha256) for r in decontaminate.decontaminate(documents, b, block_bytes=block_bytes).collect()}
+    got = {r.doc_id: (r.n_words, r.n_hit, r.n_items, r.items_sha256) for r in decontaminate.decontaminate(documents, b, automaton_bytes=size).collect()}
     named = brute_hits(enumerate(texts), [x for x in items if x[0] is not None])
     every = brute_hits(enumerate(texts), items)
     assert got == {d: (*every[d][:2], *named[d][2:]) for d in every} and got[0][1] and not got[0][2]
-    kept = {r.doc_id for r in decontaminate.drop_contaminated(documents, b, block_bytes=block_bytes).collect()}
+    kept = {r.doc_id for r in decontaminate.drop_contaminated(documents, b, automaton_bytes=size).collect()}
     assert kept == {d for d, r in every.items() if not r[1]}
 
 
+def test_automaton_of_a_large_benchmark_is_bounded(spark):
+    """Blocks of a benchmark of 2 MB are as large as estimated at most, and find what one block finds."""
+    r = random.Random(11)
+    vocabulary = ["".join(r.choice("abcdefghij") for _ in range(r.randint(2, 9))) for _ in range(3000)]
+    items = [(i, " ".join(r.choices(vocabulary, k=r.randint(3, 6000)))) for i in range(120)]
+    texts = [" ".join(r.choices(vocabulary, k=30) + items[i][1].split()[5 * i : 5 * i + 14]) for i in range(100)]
+    docs = spark.createDataFrame([*enumerate(texts), (None, texts[0]), (3, None)], "doc_id long, text string")
+    b = spark.createDataFrame(items, "item_id long, text string").repartition(2)
+    with Scratch(spark) as scratch:
+        n, blocks = decontaminate._blocks(scratch, b, "item_id", "text", 10, 100_000_000)
+        held = [(x.i, x.t) for x in blocks.where("block = 0").collect()]
+    assert n > 3 and 20_000_000 < decontaminate.Automaton(held, 10).size() < 130_000_000
+    found = [sorted((x.doc_id or -1, x.n_words, x.n_hit, x.items_sha256, str(x.spans)) for x in decontaminate.decontaminate(docs, b, automaton_bytes=size).collect()) for size in (100_000_000, 1 << 40)]
+    assert found[0] == found[1] and len(found[0]) == 102 and any(x[2] for x in found[0])
+
+
 def brute_components(docs, k, percent):
     sets = {}
     for d, t in docs:
@@ -270,7 +288,7 @@ def brute_repeats(docs, length):
     return out
 
 
-@pytest.mark.parametrize("classes", [400, 2])
+@pytest.mark.parametrize("classes", [4000, 1])
 def test_remove_repeats(documents, texts, nothing, monkeypatch, classes):
     monkeypatch.setattr(substrings, "CLASSES", classes)
     got = {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in substrings.remove_repeats(documents).collect()}
@@ -278,16 +296,54 @@ def test_remove_repeats(documents, texts, nothing, monkeypatch, classes):
     assert substrings.remove_repeats(nothing).count() == 0
 
 
+def test_a_line_between_many_neighbours(spark, monkeypatch):
+    """More contexts than one text takes: runs are halved until they fit."""
+    monkeypatch.setattr(substrings, "CLASSES", 5)
+    r = random.Random(8)
+    part = lambda n: "".join(r.choice("abcdefgh ") for _ in range(n))
+    line, ends = part(180), [part(70) for _ in range(3)]
+    texts = [part(r.randint(0, 130)) + r.choice(ends) + line + r.choice(ends) + part(r.randint(0, 130)) for _ in range(60)]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {x.doc_id: (x.n_bytes, x.n_removed, x.n_spans, x.kept_sha256) for x in substrings.remove_repeats(df).collect()}
+    assert got == brute_repeats(enumerate(texts), 100)
+
+
+def test_halves_hold_their_cores():
+    for m in (24, 62, 63, 81, 98, 99):
+        x = 100 - m + 3
+        runs = [(x - (100 - m) + i, n) for i in range(4) for n in range(1, 100 - m + 2 - i)]
+        for start, n in runs:
+            parts = substrings.halves(start, n, x, m, 100)
+            assert [p for first, count, _, _ in parts for p in range(first, first + count)] == list(range(start, start + n))
+            assert all(size > m and first + count - 1 <= y and y + size <= first + 100 for first, count, y, size in parts)
+
+
+def test_remove_repeats_with_repeated_and_null_ids(spark):
+    r = random.Random(9)
+    part = lambda n: "".join(r.choice("abcdefgh ") for _ in range(n))
+    a, b, c = part(150), part(150), part(150)
+    rows = [(1, a), (5, a + part(120)), (5, part(60) + b), (5, part(60) + b), (7, b + c), (None, c + part(50)), (None, part(20)), (None, None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = sorted(((x.doc_id, x.n_bytes, x.n_removed, x.n_spans) for x in substrings.remove_repeats(df, with_text=True).collect()), key=str)
+    want = [(1, 150, 0, 0), (5, 270, 150, 1), (5, 210, 0, 0), (5, 210, 0, 0), (7, 300, 150, 1), (None, 200, 150, 1), (None, 20, 0, 0), (None, 0, 0, 0)]
+    assert got == sorted(want, key=str)
+
+
 def test_interval_expansion():
     import numpy as np
 
-    text = np.frombuffer(b"abracadabra_abracadabra$", np.uint8).astype(np.int64) + 2
-    order, interval = substrings.equal_prefixes(text, 4)
-    by = {}
-    for place, n in zip(order, interval, strict=True):
-        by.setdefault(n, set()).add(bytes((text[place : place + 4] - 2).astype(np.uint8)))
-    assert all(len({s[:4] for s in group if len(s) == 4}) <= 1 for group in by.values())
-    assert sum(1 for n in by if list(interval).count(n) == 4) == 1  # "abra" four times
+    raw = b"abracadabra_abracadabra_bra$"
+    text = np.frombuffer(raw, np.uint8).astype(np.int16) + 2
+    for length in (1, 3, 4, 11):
+        ends = np.arange(length, len(raw))
+        starts, string = substrings.repeated_starts(text, ends, length)
+        by = {}
+        for s, n in zip(starts.tolist(), string.tolist(), strict=True):
+            by.setdefault(n, set()).add(s)
+        want = {}
+        for e in ends.tolist():
+            want.setdefault(raw[e - length : e], set()).add(e - length)
+        assert sorted(map(sorted, by.values())) == sorted(sorted(v) for v in want.values() if len(v) > 1)
 
 
 def test_licenses(spark, documents, texts, nothing):
