@@ -194,6 +194,16 @@ def _anchor_rows(length: int):
     return run
 
 
+def _anchor_hashes(length: int):
+    schema = pa.schema([("h", pa.int64())])
+
+    def run(batches):
+        for _, data, offs in slices(batches, "text", TEXT_SLICE):
+            yield pa.RecordBatch.from_arrays([pa.array(anchors(data, offs, length)[3].view(np.int64))], schema=schema)
+
+    return run
+
+
 _CUT = pa.schema([("h", pa.int64()), *_RUN, ("x", pa.int32()), ("m", pa.int32()), ("b", pa.binary())])
 _CUT_SCHEMA = f"h long, {_RUN_SCHEMA}, x int, m int, b binary"
 
@@ -286,11 +296,12 @@ def _kept(length: int, with_text: bool):
 
 
 def _first_and_copies(scratch: Scratch, runs: DataFrame, more: list[str]) -> tuple[DataFrame, DataFrame]:
-    """The earliest run of each class (h, c1, c2), and the windows [s, e) of all others."""
-    first = runs.groupBy("h", "c1", "c2").agg(F.min(F.struct("doc", "s0", "t")).alias("f"))
-    marked = scratch.write(runs.join(first, ["h", "c1", "c2"]).withColumn("again", (F.col("doc") != F.col("f.doc")) | (F.col("s0") != F.col("f.s0"))).drop("f"))
-    copies = marked.where("again").select("doc", "t", F.col("s0").alias("s"), (F.col("s0") + F.col("n")).alias("e"))
-    return marked.where("NOT again").dropDuplicates(["h", "c1", "c2"]).select("h", "doc", "t", "s0", "n", *more), copies
+    """The earliest run of each class (h, c1, c2) of a written table, and the windows [s, e) of all others, written."""
+    key = ["h", "c1", "c2"]
+    classes = scratch.write(runs.groupBy(*key).agg(F.min(F.struct("doc", "s0", "t", "n", *more)).alias("f"), F.count(F.lit(1)).alias("m")))
+    led = classes.where("m > 1").select(*key, F.col("f.doc").alias("doc0"), F.col("f.s0").alias("s00"))
+    copies = runs.join(led, key).where("doc <> doc0 OR s0 <> s00").select("doc", "t", F.col("s0").alias("s"), (F.col("s0") + F.col("n")).alias("e"))
+    return classes.select("h", *(f"f.{c}" for c in ("doc", "t", "s0", "n", *more))), scratch.write(copies)
 
 
 def _mixed(runs: DataFrame) -> DataFrame:
@@ -315,16 +326,18 @@ def _spans(scratch: Scratch, documents: DataFrame, length: int, id_col: str, tex
     # Rows of one id with different texts are told apart by a hash of the text; without such rows t needs no bytes.
     several = named.groupBy("id").agg(F.min(F.xxhash64("text")).alias("a"), F.max(F.xxhash64("text")).alias("b")).where("a < b OR id IS NULL").limit(1).count()
     docs = named.select(F.coalesce("id", F.lit(LAST)).alias("doc"), (F.xxhash64("text", F.col("id").isNull()) if several else F.lit(0).cast("long")).alias("t"), "text", F.col("id").isNull().alias("nameless"))
-    anchored = scratch.write(docs.select("doc", "t", "text").mapInArrow(_anchor_rows(length), f"{_RUN_SCHEMA}, h long, c1 long, c2 long, o int"))
-    twice = anchored.groupBy("h").agg(F.count(F.lit(1)).alias("m")).where("m > 1").select("h")
-    runs, copies = _first_and_copies(scratch, anchored.join(twice, "h"), ["o"])
-    scratch.drop(anchored)
+    texts = docs.select("doc", "t", "text")
+    # The anchors are found twice, which costs less than to write and read a row for every 39 bytes.
+    twice = scratch.write(texts.mapInArrow(_anchor_hashes(length), "h long").groupBy("h").agg(F.count(F.lit(1)).alias("m")).where("m > 1").select("h"))
+    placed = scratch.write(texts.mapInArrow(_anchor_rows(length), f"{_RUN_SCHEMA}, h long, c1 long, c2 long, o int").join(twice, "h"))
+    scratch.drop(twice)
+    runs, copies = _first_and_copies(scratch, placed, ["o"])
+    scratch.drop(placed)
     removed = [copies]
-    runs = scratch.write(runs)
     mixed = scratch.write(_mixed(runs))
     listed = runs.join(mixed, "h").groupBy("doc", "t").agg(F.collect_list(F.struct("h", "s0", "n", "o")).alias("runs"))
-    texts = docs.where("text IS NOT NULL").dropDuplicates(["doc", "t"]) if several else docs
-    cut = scratch.write(listed.join(texts, ["doc", "t"]).select("doc", "t", "text", "runs").mapInArrow(_cut(length, GRAM), _CUT_SCHEMA))
+    once = docs.where("text IS NOT NULL").dropDuplicates(["doc", "t"]) if several else docs
+    cut = scratch.write(listed.join(once, ["doc", "t"]).select("doc", "t", "text", "runs").mapInArrow(_cut(length, GRAM), _CUT_SCHEMA))
     while True:
         few, many = ((scratch.write(mixed.where(c).select("h"))) for c in (f"k <= {CLASSES}", f"k > {CLASSES}"))
         extended = cut.join(few, "h", "left_semi").repartition("h").sortWithinPartitions("h").mapInArrow(_extend(length), "doc long, t long, s long, e long")
@@ -333,9 +346,9 @@ def _spans(scratch: Scratch, documents: DataFrame, length: int, id_col: str, tex
             break
         # Runs of anchors between very many neighbours go by longer cores; at last a core is a whole window, of one class.
         halved = scratch.write(cut.join(many, "h", "left_semi").mapInArrow(_split(length), f"{_CUT_SCHEMA}, c1 long, c2 long"))
-        runs, copies = _first_and_copies(scratch, halved, ["x", "m", "b"])
+        cut, copies = _first_and_copies(scratch, halved, ["x", "m", "b"])
+        scratch.drop(halved)
         removed.append(copies)
-        cut = scratch.write(runs)
         mixed = scratch.write(_mixed(cut))
     every = removed[0]
     for more in removed[1:]:
