@@ -37,19 +37,43 @@ def number(c: Column) -> Column:
     return let(F.replace(F.trim(c), F.lit(","), F.lit(".")).try_cast("double"), lambda v: F.when(~F.isnan(v) & (F.abs(v) < float("inf")), v))
 
 
+def _moment(*parts: Column | str) -> Column:
+    """A time from the parts of its ISO text, in no zone; null if there is no such time."""
+    return F.concat(*(F.lit(p) if isinstance(p, str) else p for p in parts)).try_cast("timestamp_ntz")
+
+
 def parse_time(c: Column) -> Column:
-    """Time from YYYYMMDDHHMM, YYYYMMDD, a spreadsheet day number from 20000 to 60000, or a standard text; else null."""
+    """Time from YYYYMMDDHHMM, YYYYMMDD, a spreadsheet day number from 20000 to 60000, or a standard text; else null. The session's zone has no part in it."""
     raw = F.regexp_replace(F.trim(c), r"\.0+$", "")
-    day = F.trim(c).try_cast("double")
-    serial = F.timestamp_seconds((day - 25569) * 86400).cast("timestamp_ntz")
-    text = F.trim(c).try_cast("timestamp_ntz")
-    fixed = lambda fmt: F.try_to_timestamp(raw, F.lit(fmt)).cast("timestamp_ntz")
-    return F.when(raw.rlike(r"^\d{12}$"), fixed("yyyyMMddHHmm")).when(raw.rlike(r"^\d{8}$"), fixed("yyyyMMdd")).when(day.between(20000, 60000), serial).otherwise(text)
+    number_ = F.trim(c).try_cast("double")
+    day = F.when(number_.between(20000, 60000), number_)
+    serial = F.expr("TIMESTAMP_NTZ '1899-12-30 00:00:00'") + F.make_dt_interval(F.floor(day).cast("int"), F.lit(0), F.lit(0), F.round((day - F.floor(day)) * 86400, 6).cast("decimal(18,6)"))
+    part = lambda start, n: F.substring(raw, start, n)
+    date = (part(1, 4), "-", part(5, 2), "-", part(7, 2))
+    out = F.when(raw.rlike(r"^\d{12}$"), _moment(*date, " ", part(9, 2), ":", part(11, 2), ":00")).when(raw.rlike(r"^\d{8}$"), _moment(*date))
+    return out.when(day.isNotNull(), serial).otherwise(F.trim(c).try_cast("timestamp_ntz"))
+
+
+#: The layouts of visit dates, year first and day first, with or without time.
+_YEAR_FIRST = r"^(\d{4})-(\d{1,2})-(\d{1,2})(?: (\d{1,2}:\d{1,2}:\d{1,2}(?:\.\d{1,6})?))?$"
+_DAY_FIRST = r"^(\d{1,2})/(\d{1,2})/(\d{4})(?: (\d{1,2}:\d{1,2})(:\d{1,2})?)?$"
+
+
+def parse_date(c: Column, strict: bool = True) -> Column:
+    """The time of a visit date in one of six layouts: year-month-day or day/month/year, each with or without time.
+
+    Any other text, a missing one included, fails the job when it is met; without strict it gives null.
+    """
 
+    def read(text: Column) -> Column:
+        part = lambda pattern, i: F.regexp_extract(text, pattern, i)
+        year = F.when(text.rlike(_YEAR_FIRST), _moment(part(_YEAR_FIRST, 1), "-", part(_YEAR_FIRST, 2), "-", part(_YEAR_FIRST, 3), " ", F.coalesce(F.nullif(part(_YEAR_FIRST, 4), F.lit("")), F.lit("00:00:00"))))
+        clock = F.coalesce(F.nullif(part(_DAY_FIRST, 4), F.lit("")), F.lit("00:00"))
+        day = F.when(text.rlike(_DAY_FIRST), _moment(part(_DAY_FIRST, 3), "-", part(_DAY_FIRST, 2), "-", part(_DAY_FIRST, 1), " ", clock, F.coalesce(F.nullif(part(_DAY_FIRST, 5), F.lit("")), F.lit(":00"))))
+        known = F.coalesce(year, day)
+        return F.coalesce(known, F.raise_error(F.concat(F.lit("no known date: "), text)).cast("timestamp_ntz")) if strict else known
 
-def parse_date(c: Column, formats: tuple[str, ...] = ("yyyy-MM-dd", "dd/MM/yyyy", "yyyyMMdd", "yyyy/MM/dd", "dd-MM-yyyy", "yyyy-MM-dd HH:mm:ss")) -> Column:
-    """The first of the formats that fits, else null."""
-    return F.coalesce(*(F.to_date(F.try_to_timestamp(F.trim(c), F.lit(f))) for f in formats))
+    return let(clean(c), read)
 
 
 def study_date(c: Column) -> Column:
@@ -175,7 +199,7 @@ def imputed_time(time: Column, *fallbacks: tuple[str, Column]) -> Column:
 
 def node_features(value: Column, median: Column, iqr: Column, count: Column, hours: Column, lower: Column, upper: Column, level: Column) -> Column:
     """Scaled features of a graph node as an array."""
-    clip = lambda c, k: F.greatest(F.lit(-k), F.least(F.lit(k), c))
+    clip = lambda c, k: F.when(c.isNotNull(), F.greatest(F.lit(-k), F.least(F.lit(k), c)))
     scaled = clip((value - median) / F.when(iqr <= 1e-8, F.lit(1.0)).otherwise(iqr), 5.0)
     flag = lambda c: c.isNotNull().cast("double")
     known = lambda c: F.coalesce(c, F.lit(0.0))

@@ -1,10 +1,14 @@
-"""Scalar normalisation of text, codes and identifiers as column expressions (N1-N5, N13, N15-N18, N22-N25, N30, N32, parts of N31 and N33, P3, P8)."""
+"""Scalar normalisation of text, codes and identifiers as column expressions."""
 
 from __future__ import annotations
 
+import hashlib
+
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: Texts that mean "missing"; the strict set also takes the short forms.
 MISSING = ("", "null", "none", "nan", "nat", "not available")
@@ -16,16 +20,21 @@ def let(c: Column, f) -> Column:
     return F.get(F.transform(F.array(c), f), F.lit(0))
 
 
-def nfkc(c: Column) -> Column:
-    """Unicode NFKC, by a pandas UDF only where the text isn't ASCII."""
+def normal_form(c: Column, form: str) -> Column:
+    """A Unicode normal form, by a pandas UDF only where the text isn't ASCII."""
 
     @F.pandas_udf("string")
     def normalised(s: pd.Series) -> pd.Series:
-        return s.str.normalize("NFKC")
+        return s.str.normalize(form)
 
     return F.when(c.rlike(r"[^\x00-\x7F]"), normalised(c)).otherwise(c)
 
 
+def nfkc(c: Column) -> Column:
+    """Unicode NFKC."""
+    return normal_form(c, "NFKC")
+
+
 def collapse(c: Column) -> Column:
     """White space runs to one space, ends trimmed."""
     return F.trim(F.regexp_replace(c, r"(?U)\s+", " "))
@@ -135,14 +144,28 @@ def unique_headers(names: list[str | None]) -> list[str]:
 
 
 def split_text(c: Column, size: int = 30_000) -> Column:
-    """Pieces of at most size characters."""
-    n = F.greatest(F.lit(1), F.ceil(F.length(c) / size).cast("int"))
-    return F.transform(F.sequence(F.lit(0), n - 1), lambda i: F.substring(c, i * size + 1, F.lit(size)))
+    """Pieces of at most size UTF-16 units, as long as can be; a character of two units is not parted."""
+    wide = r"[^\x{0}-\x{FFFF}]"
+    starts = lambda t: F.transform(F.sequence(F.lit(0), F.greatest(F.lit(1), F.ceil(F.length(t) / size).cast("int")) - 1), lambda i: i * size)
+    state = lambda cuts, units, at: F.struct(cuts.alias("cuts"), units.alias("units"), at.alias("at"))
+
+    def add(acc: Column, x: Column) -> Column:
+        cost = F.when(x.rlike(wide), F.lit(2)).otherwise(F.lit(1))
+        full = acc["units"] + cost > size
+        return state(F.when(full, F.concat(acc["cuts"], F.array(acc["at"]))).otherwise(acc["cuts"]), F.when(full, cost).otherwise(acc["units"] + cost), acc["at"] + 1)
+
+    # Only texts with characters of two units are gone through one by one.
+    walked = lambda t: F.aggregate(F.filter(F.split(t, ""), lambda x: x != ""), state(F.array(F.lit(0)), F.lit(0), F.lit(0)), add, lambda acc: acc["cuts"])
+    cut = lambda t, at: F.transform(at, lambda s, i: F.substring(t, s + 1, F.coalesce(F.get(at, i + 1), F.length(t)) - s))
+    return let(c, lambda t: let(F.when(t.rlike(wide), walked(t)).otherwise(starts(t)), lambda at: cut(t, at)))
 
 
 def matches_all(label: Column, search: Column) -> Column:
-    """Every word of the search occurs in the label."""
-    return F.forall(F.filter(F.split(F.lower(search), r"\s+"), lambda t: t != ""), lambda t: F.contains(F.lower(label), t))
+    """Every word of the search occurs in the label, both in Unicode NFC and lower case."""
+    # The label stands beside each word, as a pandas UDF can't enter a lambda.
+    words = F.filter(F.split(F.lower(normal_form(search, "NFC")), r"\s+"), lambda t: t != "")
+    beside = F.arrays_zip(words.alias("w"), F.array_repeat(F.lower(normal_form(label, "NFC")), F.size(words)).alias("l"))
+    return F.forall(beside, lambda p: F.contains(p["l"], p["w"]))
 
 
 def strip_json_fence(c: Column) -> Column:
@@ -150,6 +173,23 @@ def strip_json_fence(c: Column) -> Column:
     return F.trim(F.regexp_replace(c, r"(?s)^\s*```(?:json)?\s*|\s*```\s*$", ""))
 
 
+def patient_blocks(c: Column, title: str = "BỆNH NHÂN") -> Column:
+    """Map from patient id to the text under its heading line, of what follows the last DATA line, if there is one.
+
+    A heading is the title, an id of a capital letter and digits, and the end of the line. Of an id that comes twice the later block counts.
+    """
+    data = F.regexp_replace(c, r"(?s)^.*\nDATA\n", "")
+    heading = rf"(?m)^{title}\s+([A-Z][0-9]+)\s*$"
+
+    def blocks(t: Column) -> Column:
+        ids, bodies = F.regexp_extract_all(t, F.lit(heading), F.lit(1)), F.slice(F.split(t, heading, -1), 2, F.size(F.regexp_extract_all(t, F.lit(heading), F.lit(1))) + 1)
+        pairs = F.zip_with(ids, bodies, lambda i, b: F.struct(i.alias("key"), F.regexp_replace(b, r"(?U)^\s+|\s+$", "").alias("value")))
+        last = F.filter(pairs, lambda p, n: ~F.array_contains(F.slice(ids, n + 2, F.size(ids)), p["key"]))
+        return F.map_from_entries(last)
+
+    return let(data, blocks)
+
+
 def labelled_sections(*parts: tuple[str, Column]) -> Column:
     """'name: text' lines of the parts that have text."""
     lines = F.array(*(F.when(F.coalesce(c, F.lit("")) != "", F.concat(F.lit(f"{name}: "), c)) for name, c in parts))
@@ -164,3 +204,36 @@ def instruct(task: str, c: Column) -> Column:
 def text_sha256(c: Column) -> Column:
     """SHA-256 of the text's UTF-8 bytes, lowercase hex."""
     return F.sha2(c.cast("binary"), 256)
+
+
+def file_sha256(content: Column) -> Column:
+    """SHA-256 of a file's bytes, lowercase hex."""
+    return F.sha2(content, 256)
+
+
+def vector_sha256(v: Column) -> Column:
+    """SHA-256 of a vector's components as little-endian 32-bit floats, lowercase hex; null for null."""
+
+    @F.pandas_udf("string")
+    def digest(s: pd.Series) -> pd.Series:
+        return s.map(lambda x: None if x is None else hashlib.sha256(np.asarray(x, "<f4").tobytes()).hexdigest())
+
+    return digest(v)
+
+
+def canonical(c: Column, kind: T.DataType) -> Column:
+    """The value with the fields of its structs in the order of their names; a float that isn't finite fails the job when it is met."""
+    if isinstance(kind, T.StructType):
+        fields = [canonical(c[f.name], f.dataType).alias(f.name) for f in sorted(kind, key=lambda f: f.name)]
+        return F.when(c.isNotNull(), F.struct(*fields))
+    if isinstance(kind, T.ArrayType):
+        return F.transform(c, lambda x: canonical(x, kind.elementType))
+    if isinstance(kind, (T.FloatType, T.DoubleType)):
+        wrong = F.isnan(c) | (F.abs(c) == float("inf"))
+        return F.when(wrong, F.raise_error(F.lit("a number that JSON can't hold")).cast(kind)).otherwise(c)
+    return c
+
+
+def canonical_json(columns: dict[str, T.DataType]) -> Column:
+    """One JSON object of the columns, keys in order at every level, without nulls' keys."""
+    return F.to_json(F.struct(*(canonical(F.col(f"`{n}`"), columns[n]).alias(n) for n in sorted(columns))))

@@ -108,11 +108,25 @@ def concept_inventory(events: DataFrame, keys: list[str], visit: str, patient: s
 
 
 def group_tail_median(df: DataFrame, keys: list[str], exact: str, bound: str) -> DataFrame:
-    """keys, bound, tail: the median of x - bound over the group's exact values x above it; bounds are made distinct first."""
-    b = df.where(F.col(bound).isNotNull()).select(*keys, F.col(bound).alias("bound")).distinct()
-    x = df.where(F.col(exact).isNotNull()).select(*keys, F.col(exact).alias("_x"))
-    joined = b.join(x, keys).where(F.col("_x") > F.col("bound"))
-    return joined.groupBy(*keys, "bound").agg(F.percentile(F.col("_x") - F.col("bound"), 0.5).alias("tail"))
+    """keys, bound, tail: the median of x - bound over the group's exact values x above it; bounds are made distinct first.
+
+    Equal values are counted first, so a key's rows are its different values. Values and bounds go in one falling order,
+    in which a bound's tail is what precedes it: with n values before it the median is at ranks (n + 1) / 2 and
+    n / 2 + 1 from the bound's end. These ranks are joined back, so nothing is paired with all it precedes.
+    """
+    side = lambda c, is_bound: df.where(F.col(c).isNotNull()).groupBy(*keys, F.col(c).cast("double").alias("v")).agg((F.lit(0).cast("long") if is_bound else F.count(F.lit(1))).alias("n")).withColumn("is_bound", F.lit(is_bound))
+    rows = side(exact, False).unionByName(side(bound, True))
+    # A value that equals a bound is not above it, so bounds come first among equals.
+    w = Window.partitionBy(*keys).orderBy(F.desc("v"), F.desc("is_bound")).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    ranked = rows.withColumn("above", F.sum("n").over(w))
+    bounds = ranked.where("is_bound AND above > 0").select(*keys, F.col("v").alias("bound"), "above")
+    places = bounds.select(*keys, "bound", F.explode(F.array_distinct(F.array(F.floor((F.col("above") + 1) / 2), F.floor(F.col("above") / 2) + 1))).alias("place"))
+    # The value at a place is the first whose running count reaches it: places and values in one order again.
+    values = ranked.where("NOT is_bound").select(*keys, F.col("above").alias("place"), F.lit(None).cast("double").alias("bound"), "v")
+    both = values.unionByName(places.withColumn("v", F.lit(None).cast("double")))
+    up = Window.partitionBy(*keys).orderBy(F.desc("place"), F.col("v").isNull()).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    found = both.withColumn("x", F.last("v", ignorenulls=True).over(up)).where("bound IS NOT NULL")
+    return found.groupBy(*keys, "bound").agg(F.avg("x").alias("_m")).select(*keys, "bound", (F.col("_m") - F.col("bound")).alias("tail"))
 
 
 def _stacked(df: DataFrame, columns: list[str]) -> DataFrame:

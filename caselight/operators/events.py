@@ -33,8 +33,14 @@ def demographic_events(visits: DataFrame, patient: str = "patient_id", admission
 
 
 def build_events(parts: list[DataFrame]) -> DataFrame:
-    """All events with their place in the patient's and the visit's order; equal events count once."""
-    rows = union_projected(parts).dropDuplicates(["event_id"])
+    """All events with their place in the patient's and the visit's order; equal events count once.
+
+    An id says all that an event holds but its priority, which its source sets, so events are made distinct on their
+    columns and the ids are worked out afterwards, once an event.
+    """
+    columns = ["source_table", "patient_id", "visit_id", "time", "code", "numeric_value", "text_value", "priority"]
+    rows = union_projected(parts).select(columns).distinct()
+    rows = rows.withColumn("event_id", ids.event_id(*(F.col(c) for c in columns[:-1])))
     order = [F.asc_nulls_last("time"), "priority", "event_id"]
     return W.ordinal(W.ordinal(rows, ["patient_id"], order, "patient_ordinal"), ["patient_id", "visit_id"], order, "visit_ordinal")
 
@@ -89,6 +95,24 @@ def preflight(lines: DataFrame) -> DataFrame:
     return lines.groupBy("target_visit_id").agg(F.count(F.lit(1)).alias("n_events"), F.count_if("is_current").alias("n_current"), visits.alias("n_visits"), F.min("time").alias("first_time"), F.max("time").alias("last_time"))
 
 
+def history_counts(events: DataFrame, goals: DataFrame) -> DataFrame:
+    """The counts that preflight gives of full histories, without listing them.
+
+    A patient's events and cutoffs go in one order in time, and a cutoff's counts are running ones, so a long-lived
+    patient costs its rows and not their product with its targets. A visit counts from its first event on.
+    """
+    e = events.where("time IS NOT NULL").select("patient_id", F.col("visit_id").cast("string").alias("visit_id"), "time")
+    goals = goals.withColumn("visit_id", F.col("visit_id").cast("string"))
+    opens = F.row_number().over(Window.partitionBy("patient_id", "visit_id").orderBy("time")) == 1
+    rows = e.select("patient_id", "time", F.lit(None).cast("string").alias("target_visit_id"), F.lit(1).alias("n"), (opens & (F.col("visit_id") != "")).cast("int").alias("v"), F.col("time").alias("at"))
+    cut = goals.where("cutoff IS NOT NULL").select("patient_id", F.col("cutoff").alias("time"), F.col("visit_id").alias("target_visit_id"), F.lit(0).alias("n"), F.lit(0).alias("v"), F.lit(None).cast(e.schema["time"].dataType).alias("at"))
+    w = Window.partitionBy("patient_id").orderBy("time", "target_visit_id").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    counted = rows.unionByName(cut).select("target_visit_id", F.sum("n").over(w).alias("n_events"), F.sum("v").over(w).alias("n_visits"), F.min("at").over(w).alias("first_time"), F.max("at").over(w).alias("last_time"))
+    own = e.join(goals.select("patient_id", "visit_id", "cutoff"), ["patient_id", "visit_id"]).where("time <= cutoff").groupBy(F.col("visit_id").alias("target_visit_id")).agg(F.count(F.lit(1)).alias("n_current"))
+    out = counted.where("target_visit_id IS NOT NULL AND n_events > 0").join(own, "target_visit_id", "left")
+    return out.select("target_visit_id", "n_events", F.coalesce("n_current", F.lit(0)).alias("n_current"), "n_visits", "first_time", "last_time")
+
+
 def serialise(lines: DataFrame, line: Column, limit: int) -> DataFrame:
     """Each target's events as one text in order, its words, SHA-256 and whether it passes the limit of words."""
     rows = F.array_sort(F.collect_list(F.struct("time", "priority", "event_id", line.alias("_l"))))

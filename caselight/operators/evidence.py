@@ -1,10 +1,30 @@
-"""Literal evidence for a match."""
+"""Literal evidence for a match."""
 
 from __future__ import annotations
 
+import re
+import unicodedata
+from itertools import accumulate
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from caselight.functions.text import let, normal_form
+
+#: Words that are no evidence in shared fields.
+STOP_WORDS = (
+    "bệnh", "nhân", "điều", "trị", "chẩn", "đoán", "không", "có", "của", "cho", "và", "với", "trong", "ngoài", "được", "theo", "sau", "trước",
+    "tại", "này", "đến", "vào", "ra", "viện", "khoa", "ngày", "tháng", "năm", "một", "các", "những", "hiện", "tiền", "sử", "tình", "trạng",
+    "the", "patient", "normal", "âm", "tính", "dương", "ghi", "nhận", "bình", "thường", "cấp", "cứu", "khám", "kết", "quả", "lần",
+)
+#: Words without content in phrases, and words that negate what follows.
+GENERIC = (
+    "bệnh", "nhân", "vào", "ra", "viện", "được", "theo", "dõi", "điều", "trị", "khám", "lần", "tình", "trạng", "với", "và", "các", "của", "trong", "sau",
+    "trước", "này", "đã", "có", "bị", "không", "chưa", "ngày", "tháng", "năm", "khi", "tại", "từ", "đến", "là", "do", "cho", "thấy", "ghi", "nhận",
+)
+NEGATORS = ("không", "chưa", "chẳng", "chả", "phủ", "âm")
+
 
 def tokens(c: Column, stop: tuple[str, ...] = ()) -> Column:
     """Letters and digits in runs of two or more, lower case, without stop words."""
@@ -18,17 +38,26 @@ def ngrams(words: Column, n: int) -> Column:
     return F.when(last >= 0, F.array_distinct(F.transform(F.sequence(F.lit(0), last), lambda i: F.array_join(F.slice(words, i + 1, F.lit(n)), " ")))).otherwise(F.array().cast("array<string>"))
 
 
-def shared_terms(pairs: DataFrame, left: str, right: str, stop: tuple[str, ...] = ()) -> DataFrame:
-    """The pairs with shared terms and phrases of two or three words and their score: 3, one a term, three a word of a phrase.
+def terms_of(c: Column, stop: tuple[str, ...] = STOP_WORDS) -> Column:
+    """struct(words, phrases) of a text: its different terms, and its different runs of three and of two of them."""
+    return let(tokens(c, stop), lambda t: F.struct(F.array_distinct(t).alias("words"), F.concat(ngrams(t, 3), ngrams(t, 2)).alias("phrases")))
+
 
-    Pairs without a shared phrase and with fewer than two shared terms leave.
+def shared_terms(pairs: DataFrame, left: str, right: str, title_left: str, title_right: str, terms: int = 8, phrases: int = 4) -> DataFrame:
+    """The pairs of one title with shared terms and phrases: those with a shared phrase or two shared terms at least.
+
+    left and right are columns made by terms_of, once a text and before texts are paired. Adds n_terms, n_phrases, the
+    first terms (8) and phrases (4), longest first and then by text, and score: 3, one a term, three a word of a phrase. Titles
+    agree in NFC, case and outer spaces aside.
     """
-    df = pairs.withColumn("_l", tokens(F.col(left), stop)).withColumn("_r", tokens(F.col(right), stop))
-    df = df.withColumn("terms", F.array_sort(F.array_intersect("_l", "_r")))
-    for n in (2, 3):
-        df = df.withColumn(f"_p{n}", F.array_intersect(ngrams(F.col("_l"), n), ngrams(F.col("_r"), n)))
-    df = df.withColumn("phrases", F.array_sort(F.concat("_p2", "_p3"))).withColumn("score", 3 + F.size("terms") + 6 * F.size("_p2") + 9 * F.size("_p3"))
-    return df.where((F.size("phrases") > 0) | (F.size("terms") >= 2)).drop("_l", "_r", "_p2", "_p3")
+    longest = lambda a, most: F.slice(F.transform(F.array_sort(F.transform(a, lambda x: F.struct((-F.length(x)).alias("n"), x.alias("x")))), lambda s: s["x"]), 1, most)
+    both = F.struct(F.array_intersect(F.col(left)["words"], F.col(right)["words"]).alias("t"), F.array_intersect(F.col(left)["phrases"], F.col(right)["phrases"]).alias("p"))
+    score = lambda m: (3 + F.size(m["t"]) + 3 * F.aggregate(m["p"], F.lit(0), lambda s, x: s + F.regexp_count(x, F.lit(" ")) + 1)).cast("int")
+    shown = lambda m: F.struct(F.size(m["t"]).alias("n_terms"), F.size(m["p"]).alias("n_phrases"), longest(m["t"], terms).alias("terms"), longest(m["p"], phrases).alias("phrases"), score(m).alias("score"))
+    same = pairs.where(F.lower(F.trim(normal_form(F.col(title_left), "NFC"))) == F.lower(F.trim(normal_form(F.col(title_right), "NFC"))))
+    # A generator of no or one row: a filter on the result would work the intersections out a second time.
+    enough = F.filter(F.array(both), lambda m: (F.size(m["p"]) > 0) | (F.size(m["t"]) >= 2))
+    return same.select(*(c for c in pairs.columns if c not in (left, right)), F.inline(F.transform(enough, shown)))
 
 
 def best_pairs(matches: DataFrame, keys: list[str], title_left: str, title_right: str, top: int = 12) -> DataFrame:
@@ -53,22 +82,63 @@ def shared_labs(pairs: DataFrame, rows: DataFrame, key: str, name: str, time: st
     return out.select("left", "right", "name", "left_values", "right_values", (F.col("left_flagged") & F.col("right_flagged")).alias("both_flagged"))
 
 
+_SPANS = "array<struct<key:string,start:int,end:int>>"
+
+
 def icd_spans(text: Column) -> Column:
-    """Codes in a text, upper case, each once."""
-    return F.array_distinct(F.transform(F.regexp_extract_all(text, F.lit(r"\b[A-Za-z][0-9][0-9A-Za-z](?:\.[0-9A-Za-z]{1,4})?\b"), F.lit(0)), F.upper))
-
-
-def content_phrases(text: Column, least: int = 2, most: int = 6, content: int = 1, generic: tuple[str, ...] = (), negators: tuple[str, ...] = ()) -> Column:
-    """Runs of least to most words with enough content words, of clauses without a negation."""
-    clause = F.filter(F.split(F.lower(F.coalesce(text, F.lit(""))), r"[^\p{L}\p{N}\s]+"), lambda c: F.length(F.trim(c)) > 0)
-    words = F.transform(clause, lambda c: F.filter(F.split(c, r"(?U)\s+"), lambda w: w != ""))
-    plain = F.filter(words, lambda ws: ~F.exists(ws, lambda w: w.isin(*negators) if negators else F.lit(False)))
-    is_content = lambda w: ~w.rlike(r"^\d+$") & (~w.isin(*generic) if generic else F.lit(True))
-    out = F.array().cast("array<string>")
-    for n in range(least, most + 1):
-        grams = F.flatten(F.transform(plain, lambda ws: ngrams(ws, n)))
-        out = F.concat(out, F.filter(grams, lambda g: F.size(F.filter(F.split(g, " "), is_content)) >= content))
-    return F.array_distinct(out)
+    """Codes of a text, upper case, with their places: array of struct(key, start, end)."""
+
+    @F.pandas_udf(_SPANS)
+    def find(s: pd.Series) -> pd.Series:
+        return s.map(lambda t: [(m.group().upper(), m.start(), m.end()) for m in re.finditer(r"(?i)(?<!\w)[A-Z][0-9]{2}(?:\.[A-Z0-9]{1,4})?(?!\w)", t or "")])
+
+    return find(text)
+
+
+def phrase_spans(text: Column, least: int = 2, most: int = 6, chars: int = 6, content: int = 1, generic: tuple[str, ...] = GENERIC, negators: tuple[str, ...] = ()) -> Column:
+    """Phrases of least to most words with their places: array of struct(key, start, end), key the words in NFC and one case.
+
+    The words of a phrase are parted by white space only. It has at least content words that are neither generic nor numbers and
+    spans at least chars characters. With negators, a phrase that ends after one of them in its run of words is left out: give
+    them for fields that tell what was not found.
+    """
+    plain, no = frozenset(generic), frozenset(negators)
+
+    def phrases(t: str | None) -> list[tuple[str, int, int]]:
+        out = []
+        for run in re.finditer(r"\w+(?:\s+\w+)*", t or ""):
+            words = [(unicodedata.normalize("NFC", m.group()).casefold(), m.start(), m.end()) for m in re.finditer(r"\w+", run.group())]
+            counted = [0, *accumulate(w not in plain and not w.isdigit() for w, _, _ in words)]
+            end_of = next((i for i, (w, _, _) in enumerate(words) if w in no), len(words))
+            for i, (_, start, _) in enumerate(words[:end_of]):
+                for j in range(i + least, min(i + most, end_of) + 1):
+                    if counted[j] - counted[i] >= content and words[j - 1][2] - start >= chars:
+                        out.append((" ".join(w for w, _, _ in words[i:j]), run.start() + start, run.start() + words[j - 1][2]))
+        return out
+
+    @F.pandas_udf(_SPANS)
+    def find(s: pd.Series) -> pd.Series:
+        return s.map(phrases)
+
+    return find(text)
+
+
+def shared_spans(own: Column, other: Column, priority: int) -> Column:
+    """struct(priority, start, end) of one text's spans whose key the other text's spans have."""
+    keys = F.transform(other, lambda s: s["key"])
+    held = F.filter(own, lambda s: F.array_contains(keys, s["key"]))
+    return F.transform(held, lambda s: F.struct(F.lit(priority).alias("priority"), s["start"].alias("start"), s["end"].alias("end")))
+
+
+def marked(text: Column, spans: Column, kinds: tuple[str, ...] = ("icd", "diagnosis", "summary")) -> Column:
+    """The text as HTML with spans struct(start, end, priority), apart and in order, in marks of their kind."""
+    safe = lambda c: F.replace(F.replace(F.replace(F.replace(F.replace(c, F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;")), F.lit(">"), F.lit("&gt;")), F.lit('"'), F.lit("&quot;")), F.lit("'"), F.lit("&#x27;"))
+    part = lambda start, end: safe(F.substring(text, start + 1, end - start))
+    before = lambda i: F.coalesce(F.get(spans, i - 1)["end"], F.lit(0))
+    names = F.array(*map(F.lit, kinds))
+    pieces = F.transform(spans, lambda s, i: F.concat(part(before(i), s["start"]), F.lit('<mark class="match-'), F.get(names, s["priority"]), F.lit('">'), part(s["start"], s["end"]), F.lit("</mark>")))
+    tail = part(F.coalesce(F.get(spans, F.size(spans) - 1)["end"], F.lit(0)), F.length(text))
+    return F.concat(F.array_join(pieces, ""), tail)
 
 
 def apart(spans: Column) -> Column:

@@ -47,8 +47,20 @@ def list_violations(ranked: DataFrame, size: int = 20) -> DataFrame:
     return bad.select("query_id", F.explode(F.filter(F.array(*(F.when(F.col(r), F.lit(r)) for r in reasons)), lambda x: x.isNotNull())).alias("reason"))
 
 
+def rank_metrics(ranks: DataFrame, ks: tuple[int, ...] = (1, 5, 10)) -> DataFrame:
+    """recall_at_k and median_rank of the true candidates' ranks."""
+    return ranks.agg(*(F.avg((F.col("rank") <= k).cast("double")).alias(f"recall_at_{k}") for k in ks), F.percentile("rank", 0.5).alias("median_rank"))
+
+
 def retrieval_metrics(scores: DataFrame, truth: DataFrame, ks: tuple[int, ...] = (1, 5, 10)) -> DataFrame:
     """recall_at_k and median_rank of the true candidate among each query's scores."""
     true = truth.join(scores, ["query_id", "candidate_id"]).select("query_id", F.col("score").alias("_t"))
-    ranks = scores.join(true, "query_id").groupBy("query_id").agg((F.count_if(F.col("score") > F.col("_t")) + 1).alias("rank"))
-    return ranks.agg(*(F.avg((F.col("rank") <= k).cast("double")).alias(f"recall_at_{k}") for k in ks), F.percentile("rank", 0.5).alias("median_rank"))
+    return rank_metrics(scores.join(true, "query_id").groupBy("query_id").agg((F.count_if(F.col("score") > F.col("_t")) + 1).alias("rank")), ks)
+
+
+def replay_differences(packaged: DataFrame, computed: DataFrame, digits: int = 6) -> DataFrame:
+    """query_id, rank, reason: places of packaged lists whose candidate or score (as a decimal of so many digits) differs from the computed list's, or that only one of them has."""
+    left = packaged.select("query_id", "rank", F.col("candidate_id").alias("_pc"), F.col("score").cast(f"decimal(18,{digits})").alias("_ps"), F.lit(True).alias("_p"))
+    right = computed.select("query_id", "rank", F.col("candidate_id").alias("_cc"), F.col("score").cast(f"decimal(18,{digits})").alias("_cs"), F.lit(True).alias("_c"))
+    reason = F.when(F.col("_c").isNull(), "extra").when(F.col("_p").isNull(), "missing").when(F.col("_pc") != F.col("_cc"), "candidate").when(F.col("_ps") != F.col("_cs"), "score")
+    return left.join(right, ["query_id", "rank"], "full_outer").select("query_id", "rank", reason.alias("reason")).where("reason IS NOT NULL")

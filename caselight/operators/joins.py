@@ -1,4 +1,4 @@
-"""Joins with checked cardinality, cutoffs and intervals."""
+"""Joins with checked cardinality, cutoffs and intervals."""
 
 from __future__ import annotations
 
@@ -74,6 +74,38 @@ def evidence_link(keys: DataFrame, evidence: DataFrame, cohort: DataFrame, key:
     return out.select(key, reason.alias("reason"), F.col("_c").alias(visit), "candidates")
 
 
+def one_to_one(left: DataFrame, right: DataFrame, left_id: str, right_id: str, identity: DataFrame) -> DataFrame:
+    """left_id, right_id of an identity table that must name every left and every right id, each once; anything else fails the job."""
+    pairs = identity.select(left_id, right_id)
+    faults = []
+    for name, df in ((left_id, left), (right_id, right)):
+        n = pairs.groupBy(name).agg(F.count(F.lit(1)).alias("_n"))
+        known = df.select(name).distinct().withColumn("_k", F.lit(True))
+        faults.append(n.join(known, name, "full_outer").where("_n IS NULL OR _k IS NULL OR _n > 1").agg(F.count(F.lit(1)).alias(f"_bad_{name}")))
+    out = with_constants(with_constants(pairs, faults[0]), faults[1])
+    wrong = F.coalesce(F.col(f"_bad_{left_id}") + F.col(f"_bad_{right_id}"), F.lit(0))
+    return out.where(F.when(wrong > 0, F.raise_error(F.lit("identity is not one-to-one")).cast("boolean")).otherwise(F.lit(True))).select(left_id, right_id)
+
+
+def with_images(visits: DataFrame, images: DataFrame, visit: str, modalities: list[str], path: str = "path", dim: str = "dim", date: str = "study_date", modality: str = "modality") -> DataFrame:
+    """Visits that have images, with the number, modalities, paths, sizes and dates of these, and paths and number by modality.
+
+    Lists are in the order of path; the visit table must have a visit once, or the job fails.
+    """
+    listed = lambda rows, field: F.transform(rows, lambda r: r[field])
+    rows = F.array_sort(F.collect_list(F.struct(F.col(path).alias("path"), F.col(dim).cast("int").alias("dim"), F.col(date).alias("date"), F.col(modality).alias("modality"))))
+    one = images.groupBy(visit).agg(rows.alias("_r"))
+    of = lambda m: lambda r: r["modality"] == m
+    out = one.select(
+        visit, F.size("_r").cast("long").alias("n_images"), F.array_sort(F.array_distinct(listed(F.col("_r"), "modality"))).alias("modalities"), listed(F.col("_r"), "path").alias("paths"),
+        listed(F.col("_r"), "dim").alias("dims"), listed(F.col("_r"), "date").alias("study_dates"),
+        *(listed(F.filter("_r", of(m)), "path").alias(f"{m.lower()}_paths") for m in modalities),
+    )
+    for m in modalities:
+        out = out.withColumn(f"{m.lower()}_count", F.size(f"{m.lower()}_paths").cast("long"))
+    return checked(out, visits, [visit], "inner")
+
+
 def pair_by_name(left: DataFrame, right: DataFrame, name: str, value: str) -> DataFrame:
     """name, left_values, right_values: both sides' values under each name, sorted, with empty lists where a side has none."""
     side = lambda df, to: df.groupBy(F.lower(F.trim(name)).alias("name")).agg(F.array_sort(F.collect_list(value)).alias(to))
@@ -125,5 +157,6 @@ def condition(*parts: Column) -> Column:
 
 
 def with_constants(df: DataFrame, one: DataFrame) -> DataFrame:
-    """The rows with the columns of a table of one row, by a broadcast equi-join on a constant."""
-    return df.withColumn("_one", F.lit(1)).join(F.broadcast(one.limit(1).withColumn("_one", F.lit(1))), "_one").drop("_one")
+    """The rows with the columns of a table of one row (nulls if it has none), worked out once as a scalar subquery; no join."""
+    row = one.limit(1).select(F.struct(*one.columns).alias("_one")).scalar()
+    return df.withColumn("_one", row).select(*df.columns, *(F.col("_one")[c].alias(c) for c in one.columns))

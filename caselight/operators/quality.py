@@ -1,12 +1,17 @@
-"""Constraints, validation and lineage."""
+"""Constraints, validation and lineage."""
 
 from __future__ import annotations
 
+import re
 from functools import reduce
+from urllib.parse import unquote
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from caselight.functions import text
+from caselight.operators.joins import with_constants
+
 
 def repeated_keys(df: DataFrame, keys: list[str]) -> DataFrame:
     """Keys that occur more than once; empty if they are unique."""
@@ -63,11 +68,15 @@ def asymmetric(edges: DataFrame, a: str, b: str) -> DataFrame:
 
 
 def manifest(tables: dict[str, DataFrame], config: dict[str, str]) -> DataFrame:
-    """table, rows, digest: counts and order-free digests of the tables with the run's settings."""
+    """table, rows, digest: counts and order-free digests of the tables with the run's settings.
+
+    A digest is the sums of two hashes of each row, so rows that repeat count as often as they occur.
+    """
     parts = []
     for name, df in sorted(tables.items()):
-        row = F.xxhash64(*(F.col(c) for c in sorted(df.columns)))
-        parts.append(df.agg(F.count(F.lit(1)).alias("rows"), F.coalesce(F.bit_xor(row), F.lit(0)).alias("digest")).select(F.lit(name).alias("table"), "rows", "digest"))
+        columns = [F.col(f"`{c}`") for c in sorted(df.columns)]
+        sums = [F.coalesce(F.sum(F.xxhash64(F.lit(seed), *columns).cast("decimal(20,0)")), F.lit(0)).cast("string") for seed in (1, 2)]
+        parts.append(df.agg(F.count(F.lit(1)).alias("rows"), F.concat_ws(":", *sums).alias("digest")).select(F.lit(name).alias("table"), "rows", "digest"))
     out = reduce(DataFrame.unionByName, parts)
     return out.withColumn("config", F.to_json(F.create_map(*(F.lit(x) for kv in sorted(config.items()) for x in kv))))
 
@@ -78,6 +87,52 @@ def fingerprint(stats: DataFrame) -> DataFrame:
     return stats.agg(F.sha2(F.array_join(rows, "\n").cast("binary"), 256).alias("fingerprint"))
 
 
+def file_inventory(spark: SparkSession, root: str) -> DataFrame:
+    """path (from the root on), bytes, sha256 of every file below a folder; each file is read in one piece by the task that hashes it."""
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root)
+    base = re.sub(r"^[a-z]+:/*|^/+|/+$", "", root) + "/"
+    inner = lambda c: F.replace(F.regexp_replace(c, r"^[a-z]+:/+", ""), F.lit(base), F.lit(""))
+    found = files.select(inner(F.col("path")).alias("path"), F.col("length").alias("bytes"), text.file_sha256(F.col("content")).alias("sha256"))
+    # Empty files are listed, but have no part that is read.
+    listed = spark.createDataFrame([(unquote(f),) for f in files.inputFiles()], "path string").select(inner(F.col("path")).alias("path"))
+    empty = listed.join(found.select("path"), "path", "left_anti").select("path", F.lit(0).cast("long").alias("bytes"), F.sha2(F.lit("").cast("binary"), 256).alias("sha256"))
+    return found.unionByName(empty)
+
+
+def inventory_differences(expected: DataFrame, actual: DataFrame) -> DataFrame:
+    """path, reason: files that are missing, extra, or differ in size or digest; empty if the folders agree."""
+    e = expected.select("path", F.col("bytes").alias("_b"), F.col("sha256").alias("_s"), F.lit(True).alias("_e"))
+    a = actual.select("path", "bytes", "sha256", F.lit(True).alias("_a"))
+    reason = F.when(F.col("_a").isNull(), "missing").when(F.col("_e").isNull(), "extra").when((F.col("bytes") != F.col("_b")) | (F.col("sha256") != F.col("_s")), "mismatch")
+    return e.join(a, "path", "full_outer").select("path", reason.alias("reason")).where("reason IS NOT NULL")
+
+
+def relocated(paths: DataFrame, path: str, old_root: str, new_root: str) -> DataFrame:
+    """The rows with the root of their paths exchanged; paths outside the old root stay."""
+    inside = F.startswith(F.col(path), F.lit(old_root.rstrip("/") + "/"))
+    return paths.withColumn(path, F.when(inside, F.concat(F.lit(new_root.rstrip("/")), F.substring(F.col(path), F.lit(len(old_root.rstrip("/")) + 1), F.length(path)))).otherwise(F.col(path)))
+
+
+def late_events(events: DataFrame, cutoff: str, time: str = "time") -> DataFrame:
+    """Events after their target's cutoff, or without a time: each is a leak."""
+    return events.where(F.col(time).isNull() | (F.col(time) > F.col(cutoff)))
+
+
+def embedding_gates(diagnostics: DataFrame) -> DataFrame:
+    """gate, passed of one row of diagnostics of one split, and whether all gates are passed.
+
+    The row holds n_not_finite, norm_min, norm_max, effective_rank, effective_rank_target, top1_hub, size_correlation and recall_delta.
+    """
+    c = F.col
+    gates = {
+        "finite": c("n_not_finite") == 0, "l2_norm": (c("norm_min") >= 1.0 - 1e-4) & (c("norm_max") <= 1.0 + 1e-4), "effective_rank": c("effective_rank") >= c("effective_rank_target"),
+        "top1_hub": c("top1_hub") <= 0.05, "graph_size_correlation": F.abs("size_correlation") < 0.20, "cross_view_beats_shuffled_null": c("recall_delta") > 0.05,
+    }
+    known = {n: F.coalesce(g, F.lit(False)) for n, g in gates.items()}
+    every = reduce(lambda a, b: a & b, known.values())
+    return diagnostics.select(F.inline(F.array(*(F.struct(F.lit(n).alias("gate"), g.alias("passed")) for n, g in [*known.items(), ("all", every)]))))
+
+
 def review_violations(reviews: DataFrame, selections: DataFrame, candidates: DataFrame, key: str = "review_id", least: int = 1, most: int = 19, size: int = 20) -> DataFrame:
     """key, reason: reviews with a wrong number of candidates or selections, selections that aren't candidates, or 'none' beside selections."""
     c = candidates.groupBy(key).agg(F.count(F.lit(1)).alias("n_candidates"))
@@ -116,6 +171,4 @@ def export_join(ranking: DataFrame, reviews: DataFrame, keys: list[str], at: str
 def estimated_bytes(df: DataFrame, share: float = 0.01, seed: int = 0) -> DataFrame:
     """n_rows and the estimated size as JSON lines, from a seeded sample."""
     size = df.sample(share, seed).agg(F.avg(F.octet_length(F.to_json(F.struct(*df.columns)))).alias("_a"))
-    from caselight.operators.joins import with_constants
-
     return with_constants(df.agg(F.count(F.lit(1)).alias("n_rows")), size).select("n_rows", (F.col("n_rows") * (F.coalesce("_a", F.lit(0.0)) + 1)).cast("long").alias("bytes"))

@@ -1,9 +1,11 @@
-"""Builders of the clinical tables."""
+"""Builders of the clinical tables."""
 
 from __future__ import annotations
 
+import difflib
 from functools import reduce
 
+import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -22,25 +24,41 @@ def build_visits(visits: DataFrame, patients: DataFrame, visit: str, patient: st
 def build_diagnoses(sources: list[tuple[str, DataFrame, str | None, str | None]], patient: str = "patient_id", visit: str = "visit_id") -> DataFrame:
     """One row a (patient, visit, code, name), with the fields it came from and how often.
 
-    Each source is (field, table, code column or None, name column or None); a code column may list several.
+    Each source is (field, table, code column or None, name column or None); a code column may list several. Equal
+    rows of a source are counted before their texts are cleaned, so a text is cleaned once a visit.
     """
     parts = []
     for field, df, code, name in sources:
-        n = text.clean(F.col(name)) if name else F.lit("")
-        base = df.select(patient, visit, F.lit(field).alias("field"), n.alias("name"), (F.col(code) if code else F.lit(None).cast("string")).alias("_c"))
-        parts.append(base.withColumn("code", F.explode(text.icd_list(F.col("_c"))) if code else F.lit("")).drop("_c"))
+        raw = df.select(patient, visit, *([F.col(code).alias("_c")] if code else []), *([F.col(name).alias("_n")] if name else []))
+        one = raw.groupBy(*raw.columns).agg(F.count(F.lit(1)).alias("_m"))
+        code_ = F.explode(text.icd_list(F.col("_c"))) if code else F.lit("")
+        listed = one.select(patient, visit, F.lit(field).alias("field"), code_.alias("code"), *(["_n"] if name else []), "_m")
+        cleaned = text.clean(F.col("_n")) if name else F.lit("")
+        named = listed.select(patient, visit, "field", "code", cleaned.alias("name"), "_m")
+        parts.append(named.withColumn("name_key", text.entity_key(F.col("name")) if name else F.lit("")))
     rows = reduce(DataFrame.unionByName, parts).where((F.col("code") != "") | (F.col("name") != ""))
-    rows = rows.withColumn("name_key", text.entity_key(F.col("name")))
-    out = rows.groupBy(patient, visit, "code", "name_key").agg(F.min("name").alias("name"), F.array_join(F.array_sort(F.collect_set("field")), ";").alias("fields"), F.count(F.lit(1)).alias("source_row_count"))
+    out = rows.groupBy(patient, visit, "code", "name_key").agg(F.min("name").alias("name"), F.array_join(F.array_sort(F.collect_set("field")), ";").alias("fields"), F.sum("_m").alias("source_row_count"))
     return out.withColumn("diagnosis_id", ids.prefix_id("dx", F.col(patient), F.col(visit), F.col("code"), F.col("name_key")))
 
 
-def build_medicines(rows: DataFrame, visits: DataFrame, columns: list[str], visit: str = "visit_id") -> DataFrame:
-    """Medicine rows of known visits, cleaned; equal rows once with their number."""
+def code_only(diagnoses: DataFrame, visit: str = "visit_id", code: str = "code") -> DataFrame:
+    """Diagnoses that may become nodes: those of a visit with a controlled code. A name never stands in for a code."""
+    return diagnoses.where((text.clean(F.col(visit).cast("string")) != "") & (text.clean(F.col(code)) != ""))
+
+
+def build_medicines(rows: DataFrame, visits: DataFrame, columns: list[str], visit: str = "visit_id", return_reason: str | None = None, include_returned: bool = True) -> DataFrame:
+    """Medicine rows of known visits, cleaned; equal rows once with their number.
+
+    A row with a return_reason is a returned medicine: it has status 'returned', others 'prescribed'; without include_returned it leaves.
+    """
     known = rows.join(visits.select(visit), visit, "left_semi")
-    cleaned = known.select(visit, *(text.clean(F.col(c).cast("string")).alias(c) for c in columns))
-    out = A.collapse(cleaned, [visit, *columns])
-    return out.withColumn("medicine_id", ids.prefix_id("med", F.col(visit), *(F.col(c) for c in columns)))
+    extra = [F.when(text.clean(F.col(return_reason)) != "", "returned").otherwise("prescribed").alias("status")] if return_reason else []
+    cleaned = known.select(visit, *(text.clean(F.col(c).cast("string")).alias(c) for c in columns), *extra)
+    if return_reason and not include_returned:
+        cleaned = cleaned.where("status = 'prescribed'")
+    keys = [*columns, *(["status"] if extra else [])]
+    out = A.collapse(cleaned, [visit, *keys])
+    return out.withColumn("medicine_id", ids.prefix_id("med", F.col(visit), *(F.col(c) for c in keys)))
 
 
 def build_procedures(orders: DataFrame, codes: DataFrame, performed: DataFrame, order: str = "order_id", code: str = "service_code") -> DataFrame:
@@ -57,22 +75,28 @@ def build_notes(rows: DataFrame, visit: str, fields: list[str], placeholder: str
     return A.collapse(flat, [visit, "section", "text"]).withColumn("note_id", ids.prefix_id("note", F.col(visit), F.col("section"), F.col("text")))
 
 
-def build_observations(labs: DataFrame, vitals: DataFrame | None, visit: str, name: str, result: str, time: str, vital_columns: list[str] | None = None, source_row: str = "source_row") -> DataFrame:
-    """Laboratory rows and vital signs as one table with typed results."""
-    rows = labs.select(F.col(visit).alias("visit_id"), F.lit("lab").alias("source"), text.clean(F.col(name)).alias("name"), F.col(result).cast("string").alias("value"), F.col(time).alias("time"), F.col(source_row).alias("source_row"))
+def build_observations(labs: DataFrame, vitals: DataFrame | None, visit: str, name: str, result: str, time: str, vital_columns: list[str] | None = None, source_row: str = "source_row", unit: str | None = None) -> DataFrame:
+    """Laboratory rows and vital signs as one table with typed results; a row's unit is the unit column's, else the one in its result."""
+    own = (text.clean(F.col(unit)) if unit else F.lit("")).alias("unit")
+    rows = labs.select(F.col(visit).alias("visit_id"), F.lit("lab").alias("source"), text.clean(F.col(name)).alias("name"), F.col(result).cast("string").alias("value"), own, F.col(time).alias("time"), F.col(source_row).alias("source_row"))
     if vitals is not None and vital_columns:
         pairs = F.inline(F.array(*(F.struct(F.lit(c).alias("name"), F.col(c).cast("string").alias("value")) for c in vital_columns)))
-        rows = rows.unionByName(vitals.select(F.col(visit).alias("visit_id"), F.lit("vital").alias("source"), F.col(time).alias("time"), F.col(source_row).alias("source_row"), pairs).where("value IS NOT NULL"))
-    typed = rows.withColumn("r", parse.parse_result(F.col("value"))).select("visit_id", "source", "name", "time", "source_row", "r.*")
-    return typed.withColumn("entity", text.entity_key(F.col("name"))).withColumn("observation_id", ids.prefix_id("obs", F.col("visit_id"), F.col("source"), F.col("name"), F.col("result_raw"), F.col("source_row").cast("string")))
+        rows = rows.unionByName(vitals.select(F.col(visit).alias("visit_id"), F.lit("vital").alias("source"), F.lit("").alias("unit"), F.col(time).alias("time"), F.col(source_row).alias("source_row"), pairs).where("value IS NOT NULL"))
+    typed = rows.withColumn("r", parse.parse_result(F.col("value"))).select("visit_id", "source", "name", "unit", "time", "source_row", "r.*")
+    typed = typed.withColumn("unit", F.coalesce(F.nullif("unit", F.lit("")), "value_unit"))
+    return typed.withColumn("entity", text.entity_key(F.col("name"))).withColumn("unit_key", text.entity_key(F.col("unit"))).withColumn("observation_id", ids.prefix_id("obs", F.col("visit_id"), F.col("source"), F.col("name"), F.col("result_raw"), F.col("source_row").cast("string")))
 
 
-def assign_tail_proxies(observations: DataFrame, keys: list[str]) -> DataFrame:
-    """Right-censored rows get their bound plus the median tail of exact rows above it, where there are any."""
-    tails = A.group_tail_median(observations.withColumn("_x", F.when(F.col("result_type") == "numeric_exact", F.col("result_numeric"))).withColumn("_b", F.when(F.col("result_operator").isin(">", ">="), F.col("result_lower_bound"))), keys, "_x", "_b")
+def assign_tail_proxies(observations: DataFrame, keys: tuple[str, ...] = ("entity", "unit_key")) -> DataFrame:
+    """Right-censored rows get their bound plus the median tail of the exact values of their test and unit above it; without any, their bound."""
+    right = F.col("result_operator").isin(">", ">=") & (F.col("result_type") == "numeric_censored")
+    exact = F.when(F.col("result_type").isin("numeric_exact", "numeric_with_unit"), F.col("result_numeric"))
+    tails = A.group_tail_median(observations.withColumn("_x", exact).withColumn("_b", F.when(right, F.col("result_lower_bound"))), list(keys), "_x", "_b")
     out = observations.join(tails.withColumnRenamed("bound", "result_lower_bound"), [*keys, "result_lower_bound"], "left")
-    right = F.col("result_operator").isin(">", ">=") & F.col("tail").isNotNull()
-    return out.withColumn("value_proxy", F.when(right, F.col("result_lower_bound") + F.col("tail")).otherwise(F.col("value_proxy"))).withColumn("proxy_method", F.when(right, "group_tail_median").otherwise(F.col("proxy_method"))).select(*observations.columns)
+    found = right & F.col("tail").isNotNull()
+    proxy = F.when(found, F.col("result_lower_bound") + F.col("tail")).when(right, F.col("result_lower_bound")).otherwise(F.col("value_proxy"))
+    method = F.when(found, "threshold_plus_group_tail_median").when(right, "lower_bound_fallback").otherwise(F.col("proxy_method"))
+    return out.withColumn("value_proxy", proxy).withColumn("proxy_method", method).select(*observations.columns)
 
 
 def attach_summary(visits: DataFrame, notes: DataFrame, tables: dict[str, DataFrame], visit: str = "visit_id") -> DataFrame:
@@ -103,16 +127,68 @@ def without_identifiers(df: DataFrame, names: list[str]) -> DataFrame:
     return df.drop(*names)
 
 
-def close_names(df: DataFrame, column: str, least: float = 0.92, top: int = 500) -> DataFrame:
-    """a, b, similarity: close pairs among the top most frequent values with different keys, for review and never merged.
+def close_names(df: DataFrame, column: str, least: float = 0.92, top: int = 500, most: int = 2) -> DataFrame:
+    """value, suggested, similarity: the close spellings among the top most frequent values with other keys, for review and never merged.
 
-    The top limit is the feature: at most top values meet. Keys that reach least differ in length by at most their
-    edits, so the shorter has least of the longer one's length or more; a key meets all keys of such lengths.
+    Closeness is twice the characters in matching blocks over both lengths. Of the most (2) values closest to a
+    value, itself among them and the larger text first among equals, those with another entity key stay; similarity is
+    without regard to case. The limits are the feature. Two values can only reach least if the shorter has
+    least / (2 - least) of the longer one's length, so a value meets those of such lengths, and only these are compared.
     """
+
+    @F.pandas_udf("double")
+    def matching(a: pd.Series, b: pd.Series) -> pd.Series:
+        return pd.Series([difflib.SequenceMatcher(None, x, y).ratio() for x, y in zip(a, b, strict=True)], dtype=float)
+
     values = df.select(text.clean(F.col(column)).alias("v")).where("v <> ''").groupBy("v").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "v").limit(top)
-    keyed = values.select("v", text.entity_key(F.col("v")).alias("k")).withColumn("l", F.length("k"))
-    shortest = F.greatest(F.lit(0), F.least("l", F.ceil(F.col("l") * least - 1e-9).cast("int")))
-    x = keyed.select(F.col("v").alias("x"), F.col("k").alias("kx"), F.col("l").alias("lx"), F.explode(F.sequence(shortest, F.col("l"))).alias("l"))
-    pairs = x.join(keyed, "l").where("kx <> k AND (lx > l OR x < v)")
-    s = 1 - F.levenshtein("kx", "k") / F.greatest("lx", "l")
-    return pairs.select(F.least("x", "v").alias("a"), F.greatest("x", "v").alias("b"), s.alias("similarity")).where(F.col("similarity") >= least)
+    keyed = values.select("v", text.entity_key(F.col("v")).alias("k"), F.length("v").alias("l"))
+    share = least / (2 - least)
+    lengths = F.sequence(F.ceil(F.col("l") * share - 1e-9).cast("int"), F.floor(F.col("l") / share + 1e-9).cast("int"))
+    x = keyed.select(F.col("v").alias("value"), F.col("k").alias("kx"), F.explode(lengths).alias("l"))
+    pairs = x.join(keyed.withColumnRenamed("v", "suggested"), "l")
+    scored = pairs.withColumn("s", matching(F.col("suggested"), F.col("value"))).where(F.col("s") >= least)
+    w = Window.partitionBy("value").orderBy(F.desc("s"), F.desc("suggested"))
+    near = scored.withColumn("r", F.row_number().over(w)).where((F.col("r") <= most) & (F.col("suggested") != F.col("value")) & (F.col("k") != F.col("kx")))
+    return near.select("value", "suggested", matching(text.casefold(F.col("value")), text.casefold(F.col("suggested"))).alias("similarity"))
+
+
+def packets(visits: DataFrame, tables: dict[str, tuple[DataFrame, list[str], list[str]]], order_fields: dict[str, tuple[DataFrame, str]] | None = None, private: tuple[str, ...] = (), patient: str = "patient_id", visit: str = "visit_id") -> DataFrame:
+    """One row a (patient, visit): its own fields and those of its tables as arrays of structs, for one document a visit.
+
+    tables: name -> (table with the visit's keys, columns, order). order_fields: name -> (table, key), whose rows go by
+    that key into a list beside each row of 'procedures'. Private columns enter no packet.
+    """
+    out = visits.select(patient, visit, F.struct(*(c for c in visits.columns if c not in (patient, visit, *private))).alias("fields"))
+    for name, (df, columns, order) in tables.items():
+        kept = [c for c in columns if c not in private]
+        if name == "procedures":
+            for extra, (rows, key) in (order_fields or {}).items():
+                listed = rows.groupBy(key).agg(F.array_sort(F.collect_list(F.struct(*sorted(c for c in rows.columns if c not in (key, *private))))).alias(extra))
+                df, kept = df.join(listed, key, "left").withColumn(extra, F.coalesce(extra, F.array().cast(listed.schema[extra].dataType))), [*kept, extra]
+        rows = F.array_sort(F.collect_list(F.struct(*(F.col(o).alias(f"_o{i}") for i, o in enumerate(order)), F.struct(*kept).alias("_r"))))
+        one = df.groupBy(patient, visit).agg(F.transform(rows, lambda r: r["_r"]).alias(name))
+        out = out.join(one, [patient, visit], "left").withColumn(name, F.coalesce(name, F.array().cast(one.schema[name].dataType)))
+    return out
+
+
+def read_model(ehr: DataFrame, labels: list[tuple[str, str]], labs: DataFrame, canonical: DataFrame | None = None, patient: str = "patient_id", visit: str = "visit_id") -> DataFrame:
+    """One row a (patient, visit) for display: details, (label, text) pairs in order, and labs with their flag.
+
+    Details are the labelled columns that have text, then the other columns by name, then the canonical table's values that
+    differ from them, marked as such. labs: name, value, unit, range, time; missing names, values and ranges show a dash.
+    """
+    shown = [c for c, _ in labels]
+    rest = [c for c in ehr.columns if c not in (patient, visit, *shown)]
+    pair = lambda label, value: F.when(F.coalesce(value, F.lit("")) != "", F.struct(F.lit(label).alias("label"), value.alias("value")))
+    pairs = [pair(label, F.col(c).cast("string")) for c, label in labels] + [pair(c, F.col(c).cast("string")) for c in sorted(rest)]
+    out = ehr
+    if canonical is not None:
+        more = [c for c in canonical.columns if c not in (patient, visit)]
+        out = ehr.join(canonical.select(patient, visit, *(F.col(c).alias(f"_canon_{c}") for c in more)), [patient, visit], "left")
+        same = lambda c: F.col(f"_canon_{c}").cast("string").eqNullSafe(F.col(c).cast("string")) if c in ehr.columns else F.lit(False)
+        pairs += [F.when(~same(c), pair(f"{c} (canonical)", F.col(f"_canon_{c}").cast("string"))) for c in more]
+    details = out.select(patient, visit, F.filter(F.array(*pairs), lambda p: p.isNotNull()).alias("details"))
+    dash = lambda c: F.coalesce(F.nullif(F.col(c).cast("string"), F.lit("")), F.lit("—"))
+    row = F.struct(F.col("time").alias("time"), dash("name").alias("name"), dash("value").alias("value"), F.coalesce(F.col("unit"), F.lit("")).alias("unit"), dash("range").alias("range"), text.is_flagged(F.col("value").cast("string"), F.col("range")).alias("flagged"))
+    listed = labs.groupBy(patient, visit).agg(F.array_sort(F.collect_list(row)).alias("labs"))
+    return details.join(listed, [patient, visit], "left").withColumn("labs", F.coalesce("labs", F.array().cast(listed.schema["labs"].dataType)))

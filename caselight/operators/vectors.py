@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -14,6 +15,8 @@ from caselight.session import ship_package
 
 #: Bytes of query vectors that one block of a search sends to every executor.
 QUERY_BLOCK_BYTES = 32_000_000
+#: Scores that a task holds at once.
+SCORES = 4_000_000
 
 
 def is_valid(v: Column, dim: int | None = None) -> Column:
@@ -55,6 +58,16 @@ def mean_pool(df: DataFrame, key: str, vector: str) -> DataFrame:
     return means.groupBy(key).agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "m"))), lambda s: s.m).alias(vector))
 
 
+def _query_blocks(queries: DataFrame, width: int) -> Iterator[DataFrame]:
+    """The stated queries in blocks of at most about QUERY_BLOCK_BYTES, dealt by hash; one block is with the driver at a time."""
+    size = queries.agg(F.sum(F.size("v") * 8 + width)).first()[0] or 0
+    n = int(size // QUERY_BLOCK_BYTES) + 1
+    for b in range(n):
+        part = queries if n == 1 else queries.where(F.pmod(F.xxhash64("id"), F.lit(n)) == b)
+        if len(held := part.toPandas()):
+            yield held
+
+
 def topk_cosine(queries: DataFrame, candidates: DataFrame, id_col: str, vector: str, k: int, exclude: str | None = None, query_vector: str | None = None) -> DataFrame:
     """query_id, rank, candidate_id, score: the k best candidates of each query by exact cosine, ties by id.
 
@@ -67,43 +80,84 @@ def topk_cosine(queries: DataFrame, candidates: DataFrame, id_col: str, vector:
     extra = [F.col(exclude).cast("string").alias("x") if exclude else F.lit(None).cast("string").alias("x")]
     q = queries.where(is_valid(F.col(query_vector or vector))).select(F.col(id_col).alias("id"), *extra, normalize(F.col(query_vector or vector)).alias("v"))
     c = candidates.where(is_valid(F.col(vector))).select(F.col(id_col).alias("id"), *extra, normalize(F.col(vector)).alias("v"))
-    size = q.agg(F.sum(F.size("v") * 8)).first()[0] or 0
-    blocks = int(size // QUERY_BLOCK_BYTES) + 1
     kind = dict(c.dtypes)["id"]
-    parts = []
-    for b in range(blocks):
-        part = (q if blocks == 1 else q.where(F.pmod(F.xxhash64("id"), F.lit(blocks)) == b)).toPandas()
-        if len(part):
-            parts.append(c.mapInPandas(_local_topk(spark.sparkContext.broadcast(part), k), f"query_id {kind}, candidate_id {kind}, score double"))
+    parts = [c.mapInPandas(_local_topk(spark.sparkContext.broadcast(part), k), f"query_id {kind}, candidate_id {kind}, score double") for part in _query_blocks(q, 32)]
     if not parts:
         return spark.createDataFrame([], f"query_id {kind}, rank long, candidate_id {kind}, score double")
-    found = parts[0]
-    for p in parts[1:]:
-        found = found.unionByName(p)
+    found = reduce(DataFrame.unionByName, parts)
     w = Window.partitionBy("query_id").orderBy(F.desc("score"), "candidate_id")
     ranked = found.withColumn("rank", F.row_number().over(w).cast("long")).where(F.col("rank") <= k)
     return ranked.select("query_id", "rank", "candidate_id", F.round("score", 6).alias("score"))
 
 
 def _local_topk(held, k: int):
+    """Keeps the k best of each query over a partition, from score matrices of at most SCORES numbers."""
+
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         q = held.value
         qv, qid, qx = np.array(q["v"].tolist(), float), q["id"].to_numpy(), q["x"].to_numpy(object)
-        best = None
-        for c in batches:
-            if not len(c):
-                continue
-            s = np.array(c["v"].tolist(), float) @ qv.T
-            cid, cx = c["id"].to_numpy(), c["x"].to_numpy(object)
-            i, j = np.nonzero(~((cid[:, None] == qid[None, :]) | ((cx[:, None] == qx[None, :]) & pd.notna(cx)[:, None])))
-            new = pd.DataFrame({"query_id": qid[j], "candidate_id": cid[i], "score": s[i, j]})
-            best = (new if best is None else pd.concat([best, new])).sort_values(["query_id", "score", "candidate_id"], ascending=[True, False, True]).groupby("query_id").head(k)
-        if best is not None:
-            yield best
+        known = pd.notna(qx).any()
+        best = np.empty((len(qid), 0))
+        ids = np.empty((len(qid), 0), qid.dtype)
+        rows = max(k, SCORES // len(qid))
+        for batch in batches:
+            for at in range(0, len(batch), rows):
+                c = batch.iloc[at : at + rows]
+                s = qv @ np.array(c["v"].tolist(), float).T
+                cid, cx = c["id"].to_numpy(), c["x"].to_numpy(object)
+                s[qid[:, None] == cid[None, :]] = -np.inf
+                if known:
+                    s[(qx[:, None] == cx[None, :]) & pd.notna(cx)[None, :]] = -np.inf
+                best, ids = np.concatenate([best, s], 1), np.concatenate([ids, np.broadcast_to(cid, s.shape)], 1)
+                if best.shape[1] > k:
+                    # All that reach the k-th best score stay in play, so that ties go by id.
+                    least = np.partition(best, best.shape[1] - k, axis=1)[:, best.shape[1] - k]
+                    new_s, new_i = np.full((len(qid), k), -np.inf), np.zeros((len(qid), k), ids.dtype)
+                    x, y = np.nonzero(best >= least[:, None])
+                    order = np.lexsort((ids[x, y], -best[x, y], x))
+                    x, y = x[order], y[order]
+                    place = np.arange(len(x)) - np.searchsorted(x, x)
+                    x, y, place = x[place < k], y[place < k], place[place < k]
+                    new_s[x, place], new_i[x, place] = best[x, y], ids[x, y]
+                    best, ids = new_s, new_i
+        x, y = np.nonzero(best > -np.inf)
+        yield pd.DataFrame({"query_id": qid[x], "candidate_id": ids[x, y], "score": best[x, y]})
 
     return run
 
 
+def ranks_of_own(queries: DataFrame, candidates: DataFrame, id_col: str, query_vector: str, vector: str, digits: int = 9) -> DataFrame:
+    """query_id, rank: the place of the candidate with the query's own id among all candidates' inner products; equal scores share the better place.
+
+    Scores are counted against the own one inside the tasks, so a task sends a number a query. Queries without a candidate of their id have no rank.
+    """
+    spark = candidates.sparkSession
+    ship_package(spark)
+    own = candidates.select(F.col(id_col).alias("id"), F.col(vector).alias("_own"))
+    q = queries.select(F.col(id_col).alias("id"), F.col(query_vector).alias("v")).join(own, "id").select("id", "v", F.round(dot(F.col("v"), F.col("_own")), digits).alias("t"))
+    c = candidates.select(F.col(vector).alias("v"))
+    kind = dict(q.dtypes)["id"]
+
+    def above(held):
+        def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            p = held.value
+            v, t = np.array(p["v"].tolist(), float), p["t"].to_numpy()
+            n = np.zeros(len(t), np.int64)
+            rows = max(1, SCORES // len(t))
+            for batch in batches:
+                for at in range(0, len(batch), rows):
+                    s = v @ np.array(batch["v"].iloc[at : at + rows].tolist(), float).T
+                    n += (np.round(s, digits) > t[:, None]).sum(1)
+            yield pd.DataFrame({"query_id": p["id"], "n": n})
+
+        return run
+
+    parts = [c.mapInPandas(above(spark.sparkContext.broadcast(part)), f"query_id {kind}, n long") for part in _query_blocks(q, 24)]
+    if not parts:
+        return spark.createDataFrame([], f"query_id {kind}, rank long")
+    return reduce(DataFrame.unionByName, parts).groupBy("query_id").agg((F.sum("n") + 1).alias("rank"))
+
+
 def gram(df: DataFrame, vector: str) -> DataFrame:
     """i, j, g: the Gram matrix of the valid vectors, i <= j; d * d / 2 sums combined before the shuffle."""
     rows = df.where(is_valid(F.col(vector))).select(F.col(vector).alias("v"))
@@ -142,6 +196,17 @@ def random_pair_cosines(df: DataFrame, id_col: str, vector: str, seed: int = 0)
     return rows.withColumn("b", F.lead("a").over(w)).withColumn("u", F.lead("v").over(w)).where("b IS NOT NULL").select("a", "b", dot(F.col("v"), F.col("u")).alias("cosine"))
 
 
+def nearest_cosines(df: DataFrame, id_col: str, vector: str, of: Column) -> DataFrame:
+    """One row: number, mean, standard deviation and median of the cosines between the rows that the condition names and their nearest other rows."""
+    top = topk_cosine(df.where(of), df, id_col, vector, 1)
+    return cosine_statistics(top, "score")
+
+
+def cosine_statistics(df: DataFrame, cosine: str) -> DataFrame:
+    """One row: n, mean, sd and median of a column of cosines."""
+    return df.agg(F.count(cosine).alias("n"), F.avg(cosine).alias("mean"), F.stddev_pop(cosine).alias("sd"), F.percentile(cosine, 0.5).alias("median"))
+
+
 def two_stage(queries: DataFrame, candidates: DataFrame, id_col: str, coarse: str, fine: str, wide: int, k: int) -> DataFrame:
     """The wide best by the coarse vectors, ranked again by the fine ones."""
     first = topk_cosine(queries, candidates, id_col, coarse, wide)

@@ -34,13 +34,29 @@ def parse_result_types(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _results(spark, sf_dir).select("event_id", parse.parse_result(F.col("result")).alias("r")).select("event_id", "r.result_type", "r.result_operator", "r.result_category", "r.ordinal_level", "r.value_unit")
 
 
-@query()
+_SHAPES = """
+e AS (SELECT event_id, user_id, event_type, ts, round(value, 2) AS v, round(value + 1, 2) AS w, event_id % 8 AS s FROM events),
+r AS (SELECT *, CASE s WHEN 0 THEN 'numeric_censored' WHEN 1 THEN 'numeric_censored' WHEN 2 THEN 'numeric_interval' WHEN 3 THEN 'numeric_approx' WHEN 4 THEN 'semi_quantitative' WHEN 5 THEN 'categorical' WHEN 6 THEN 'free_text' ELSE 'numeric_exact' END AS result_type,
+  CASE s WHEN 0 THEN '< ' || v WHEN 1 THEN '>=' || v WHEN 2 THEN v || ' - ' || w WHEN 3 THEN '~' || v || ' mg' WHEN 4 THEN '+++' WHEN 5 THEN 'Positive' WHEN 6 THEN 'see note' ELSE replace(v::VARCHAR, '.', ',') END AS result_raw,
+  CASE WHEN s IN (3, 7) THEN v END AS result_numeric, CASE s WHEN 0 THEN v / 2 WHEN 1 THEN v WHEN 2 THEN (v + w) / 2 WHEN 3 THEN v WHEN 7 THEN v END AS value_proxy,
+  CASE s WHEN 0 THEN 'half_upper_bound_nonnegative' WHEN 1 THEN 'lower_bound' WHEN 2 THEN 'interval_midpoint' WHEN 3 THEN 'approximate_value' WHEN 7 THEN 'exact_value' ELSE '' END AS proxy_method,
+  CASE s WHEN 3 THEN 'approximate' ELSE '' END AS numeric_subtype, CASE s WHEN 3 THEN 'mg' ELSE '' END AS value_unit, CASE s WHEN 0 THEN '<' WHEN 1 THEN '>=' ELSE '' END AS result_operator,
+  CASE WHEN s IN (1, 2) THEN v END AS result_lower_bound, CASE s WHEN 0 THEN v WHEN 2 THEN w END AS result_upper_bound, CASE s WHEN 4 THEN 'positive_plusplusplus' WHEN 5 THEN 'positive' ELSE '' END AS result_category,
+  CASE s WHEN 4 THEN 'semi_quantitative' WHEN 5 THEN 'polarity' ELSE '' END AS result_category_group, CAST(CASE s WHEN 4 THEN 3.0 END AS DOUBLE) AS ordinal_level FROM e)
+"""
+
+
+@query(f"""
+WITH {_SHAPES} SELECT event_id, result_raw, result_type, result_numeric, round(value_proxy, 6) AS value_proxy, proxy_method, numeric_subtype, value_unit, result_operator, result_lower_bound, result_upper_bound, result_category, result_category_group, ordinal_level,
+  round(value_proxy, 6) AS proxy, CASE s WHEN 7 THEN v END AS numeric_value, CASE WHEN s IN (4, 5) THEN result_category WHEN s <> 7 THEN result_raw END AS text_value FROM r
+""")
 def parse_result_struct(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All fields of the typed results, with proxies and projected values."""
+    """All fields of the typed results, with proxies and projected values."""
     out = _results(spark, sf_dir).select("event_id", parse.parse_result(F.col("result")).alias("r")).select("event_id", "r.*")
     proxy = parse.observation_proxy(F.col("value_proxy"), F.col("result_numeric"), F.col("result_lower_bound"), F.col("result_upper_bound"))
     value = parse.observation_values(F.col("result_type"), F.col("result_numeric"), F.col("result_category"), F.col("result_raw"))
-    return out.withColumn("proxy", proxy).withColumn("v", value).select("*", F.col("v.numeric").alias("numeric_value"), F.col("v.text").alias("text_value")).drop("v")
+    out = out.withColumn("proxy", F.round(proxy, 6)).withColumn("v", value).withColumn("value_proxy", F.round("value_proxy", 6))
+    return out.select("*", F.col("v.numeric").alias("numeric_value"), F.col("v.text").alias("text_value")).drop("v")
 
 
 @query("SELECT doc_id, trim(regexp_replace(replace(lower(source || '_ ß-' || lang || ' ' || n_chars), 'ß', 'ss'), '[^\\p{L}\\p{N}]+', ' ', 'g')) AS key FROM documents")
@@ -58,20 +74,38 @@ def icd_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("""
-SELECT o_orderkey, o_orderdate::DATE AS compact, date_trunc('minute', o_orderdate) AS minute, CAST(NULL AS TIMESTAMP) AS bad, TIMESTAMP '2023-03-15 12:00:00' AS serial FROM orders
+WITH t AS (SELECT o_orderkey, o_orderdate AS d, o_orderdate + to_minutes(o_orderkey % 1440) AS t FROM orders)
+SELECT o_orderkey, d::DATE AS compact, t AS minute, d AS day, CAST(NULL AS TIMESTAMP) AS bad, d + to_hours(6 * (o_orderkey % 4)) AS serial, t AS iso, CASE WHEN o_orderkey % 6 IN (2, 5) THEN d ELSE t END AS visit FROM t
 """)
 def parsed_times(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Times in several layouts."""
-    o = table(spark, sf_dir, "orders")
-    return o.select("o_orderkey", parse.study_date(F.concat(F.date_format("o_orderdate", "yyyyMMdd"), F.lit("-x"))).alias("compact"), parse.parse_time(F.date_format("o_orderdate", "yyyyMMddHHmm")).alias("minute"), parse.parse_time(F.lit("not a time")).alias("bad"), parse.parse_time(F.lit("45000.5")).alias("serial"))
+    """Times in every layout."""
+    o = table(spark, sf_dir, "orders").select("o_orderkey", F.col("o_orderdate").alias("d"), (F.col("o_orderdate") + F.expr("make_dt_interval(0, 0, CAST(o_orderkey % 1440 AS INT))")).alias("t"))
+    as_text = lambda c, layout: F.date_format(c, layout)
+    serial = F.concat((F.datediff("d", F.lit("1899-12-30"))).cast("string"), F.element_at(F.array(*map(F.lit, ("", ".25", ".5", ".75"))), (F.col("o_orderkey") % 4 + 1).cast("int")))
+    visit = F.lit(None).cast("string")
+    for i, layout in enumerate(("yyyy-MM-dd HH:mm:ss.SSSSSS", "yyyy-MM-dd HH:mm:ss", "yyyy-MM-dd", "dd/MM/yyyy HH:mm:ss", "d/M/yyyy HH:mm", "dd/MM/yyyy")):
+        visit = F.when(F.col("o_orderkey") % 6 == i, as_text("t", layout)).otherwise(visit)
+    return o.select(
+        "o_orderkey", parse.study_date(F.concat(as_text("d", "yyyyMMdd"), F.lit("-x"))).alias("compact"), parse.parse_time(as_text("t", "yyyyMMddHHmm")).alias("minute"), parse.parse_time(F.concat(as_text("d", "yyyyMMdd"), F.lit(".0"))).alias("day"),
+        parse.parse_time(F.concat(F.lit("no time "), F.col("o_orderkey").cast("string"))).alias("bad"), parse.parse_time(serial).alias("serial"), parse.parse_time(as_text("t", "yyyy-MM-dd HH:mm:ss")).alias("iso"), parse.parse_date(visit).alias("visit"),
+    )
 
 
 @query("SELECT event_id, value < 20.0 OR value > 60.0 AS flagged FROM events")
 def flagged_values(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Values outside their reference range."""
+    """Values outside their reference range."""
     return table(spark, sf_dir, "events").select("event_id", text.is_flagged(F.replace(F.col("value").cast("string"), F.lit("."), F.lit(",")), F.lit("20,0 - 60.0 U")).alias("flagged"))
 
 
+@query("SELECT event_id, CASE WHEN event_id % 5 > 1 THEN CASE WHEN event_id % 5 = 2 THEN -value ELSE value END END AS x FROM events")
+def parsed_numbers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Numbers with a decimal comma or point; other texts and numbers that aren't finite give null."""
+    m, v = F.col("event_id") % 5, F.col("value").cast("string")
+    comma = F.replace(v, F.lit("."), F.lit(","))
+    raw = F.when(m == 0, "1,2,3").when(m == 1, F.when(F.col("event_id") % 2 == 0, "1e999").otherwise("NaN")).when(m == 2, F.concat(F.lit(" -"), comma)).when(m == 3, F.concat(comma, F.lit(" "))).otherwise(v)
+    return table(spark, sf_dir, "events").select("event_id", parse.number(raw).alias("x"))
+
+
 @query("SELECT c_custkey, CASE WHEN c_custkey % 3 = 0 THEN 'code:' || c_nationkey WHEN c_custkey % 3 = 1 THEN 'name:' || c_name ELSE 'code_name:' || c_nationkey || '|' || c_name END AS k, CASE WHEN c_custkey % 3 = 1 THEN c_name ELSE c_nationkey::VARCHAR END AS first FROM customer")
 def source_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Source keys and first non-empty values."""
@@ -128,20 +162,30 @@ def event_store_union(spark: SparkSession, sf_dir: str) -> DataFrame:
     return E.inventory(_events(spark, sf_dir)).select("source_table", "code", "n_events", "n_visits", "n_patients")
 
 
-@query()
+_EVENTS = """
+e AS (SELECT 'diagnoses' AS source_table, 20 AS priority, o_custkey::VARCHAR AS p, o_orderkey::VARCHAR AS v, o_orderdate AS t, 'code:' || o_orderpriority AS c, CAST(NULL AS DOUBLE) AS q FROM orders
+  UNION SELECT 'medicines', 30, o_custkey::VARCHAR, l_orderkey::VARCHAR, l_shipdate, 'code:' || p_brand, l_quantity FROM lineitem JOIN orders ON o_orderkey = l_orderkey JOIN part ON p_partkey = l_partkey),
+g AS (SELECT o_orderkey::VARCHAR AS target_visit_id, o_custkey::VARCHAR AS p, o_orderdate + to_days(CAST(o_orderkey % 7 AS INTEGER)) AS cutoff FROM orders)
+"""
+
+
+@query(f"WITH {_EVENTS} SELECT target_visit_id, count(*) AS n_events, count(*) FILTER (WHERE v = target_visit_id) AS n_current, count(DISTINCT v) AS n_visits, min(t) AS first_time, max(t) AS last_time FROM g JOIN e USING (p) WHERE t <= cutoff GROUP BY 1")
 def target_timelines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Histories of targets and their counts."""
-    v = _visits(spark, sf_dir)
+    """Counts of the histories of targets."""
     ev = _events(spark, sf_dir)
-    return E.preflight(E.timelines(ev, E.targets(v, ev)))
+    return E.history_counts(ev, E.targets(_visits(spark, sf_dir), ev))
 
 
-@query()
+@query(f"""
+WITH {_EVENTS}, x AS (SELECT *, substr(sha256(concat_ws(chr(31), source_table, p, v, t::VARCHAR, c, coalesce(q::VARCHAR, ''), '')), 1, 24) AS event_id FROM e),
+l AS (SELECT target_visit_id, string_agg(strftime(t, '%Y-%m-%d') || ' ' || c, chr(10) ORDER BY t, priority, event_id) AS text FROM g JOIN x USING (p) WHERE t <= cutoff AND v = target_visit_id GROUP BY 1)
+SELECT target_visit_id, CAST(len(list_filter(string_split_regex(text, '\\s+'), lambda w: w <> '')) AS INTEGER) AS n_words, sha256(text) AS sha256, len(list_filter(string_split_regex(text, '\\s+'), lambda w: w <> '')) > 10 AS over_limit FROM l
+""")
 def timeline_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Each target's own visit as text, its words and digest."""
+    """Each target's own visit as text, its words and digest."""
     ev = _events(spark, sf_dir)
     lines = E.timelines(ev, E.targets(_visits(spark, sf_dir), ev), "visit_only")
-    return E.serialise(lines, F.concat_ws(" ", F.date_format("time", "yyyy-MM-dd"), "code"), 40).drop("text")
+    return E.serialise(lines, F.concat_ws(" ", F.date_format("time", "yyyy-MM-dd"), "code"), 10).drop("text")
 
 
 @query("""
@@ -171,12 +215,19 @@ def build_notes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return B.build_notes(table(spark, sf_dir, "conversations"), "conv_id", ["role", "text"]).drop("note_id")
 
 
-@query()
+@query(f"""
+WITH {_SHAPES}, t AS (SELECT a.event_id, quantile_cont(x.v - a.v, 0.5) AS tail FROM r a JOIN r x ON x.event_type = a.event_type AND x.s = 7 AND x.v > a.v WHERE a.s = 1 GROUP BY 1)
+SELECT user_id AS visit_id, 'lab' AS source, event_type AS name, event_id AS source_row, result_type, value_unit AS unit, round(value_proxy + coalesce(tail, 0), 6) AS value_proxy,
+  CASE WHEN s = 1 THEN CASE WHEN tail IS NULL THEN 'lower_bound_fallback' ELSE 'threshold_plus_group_tail_median' END ELSE proxy_method END AS proxy_method FROM r LEFT JOIN t USING (event_id)
+UNION ALL SELECT o_custkey, 'vital', 'price', o_orderkey, 'numeric_exact', '', round(o_totalprice, 6), 'exact_value' FROM orders
+UNION ALL SELECT o_custkey, 'vital', 'state', o_orderkey, 'free_text', '', NULL, '' FROM orders
+""")
 def build_observations(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Typed observations with proxies from the group's tail."""
+    """Typed results of labs and vital signs, with proxies from the tail of their test and unit."""
     rows = _results(spark, sf_dir).withColumn("source_row", F.col("event_id"))
-    out = B.build_observations(rows, None, "user_id", "event_type", "result", "ts")
-    return B.assign_tail_proxies(out, ["entity"])
+    vitals = table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("user_id"), F.lit(None).cast("timestamp").alias("ts"), F.col("o_orderkey").alias("source_row"), F.col("o_totalprice").cast("decimal(18,2)").cast("string").alias("price"), F.concat(F.lit("state "), "o_orderstatus").alias("state"), F.lit(None).cast("string").alias("pulse"))
+    out = B.assign_tail_proxies(B.build_observations(rows, vitals, "user_id", "event_type", "result", "ts", ["price", "state", "pulse"]))
+    return out.select("visit_id", "source", "name", "source_row", "result_type", "unit", F.round("value_proxy", 6).alias("value_proxy"), "proxy_method")
 
 
 @query("""
@@ -189,7 +240,9 @@ def visit_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     return B.attach_summary(c.select("conv_id").distinct(), notes, {"turns": c.select("conv_id")}, "conv_id")
 
 
-@query()
+@query("""
+SELECT o_orderkey AS visit_id, coalesce(lines_json, '[]') AS lines_json FROM orders LEFT JOIN (SELECT l_orderkey, '[' || string_agg('{"l_partkey":' || l_partkey || ',"l_quantity":' || l_quantity || '}', ',' ORDER BY l_shipdate, l_linenumber, l_partkey, l_suppkey) || ']' AS lines_json FROM lineitem GROUP BY 1) ON l_orderkey = o_orderkey
+""")
 def visit_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     """JSON records of each visit."""
     v = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("visit_id"))
@@ -209,21 +262,30 @@ def text_budget_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("conv_id", "turn", "duplicate", "taken", "kept_text")
 
 
-@query("""
-WITH t AS (SELECT conv_id, turn, list_filter(regexp_extract_all(lower(text), '[\\p{L}\\p{N}]+'), lambda x: length(x) >= 2) AS w FROM conversations),
-g AS (SELECT *, CASE WHEN len(w) >= 2 THEN list_distinct(list_transform(range(1, len(w)), lambda i: array_to_string(w[i:i+1], ' '))) ELSE [] END AS g2, CASE WHEN len(w) >= 3 THEN list_distinct(list_transform(range(1, len(w) - 1), lambda i: array_to_string(w[i:i+2], ' '))) ELSE [] END AS g3 FROM t),
-p AS (SELECT a.conv_id, a.turn, len(list_distinct(list_intersect(a.w, b.w))) AS n_terms, len(list_intersect(a.g2, b.g2)) AS n2, len(list_intersect(a.g3, b.g3)) AS n3 FROM g a JOIN g b ON a.conv_id = b.conv_id AND b.turn = a.turn + 1)
-SELECT conv_id, turn, CAST(n_terms AS INTEGER) AS n_terms, CAST(n2 + n3 AS INTEGER) AS n_phrases, CAST(3 + n_terms + 6 * n2 + 9 * n3 AS INTEGER) AS score FROM p WHERE n2 + n3 > 0 OR n_terms >= 2
-""")
+_STOP = ", ".join(f"'{w}'" for w in X.STOP_WORDS)
+
+
+@query(f"""
+WITH t AS (SELECT conv_id, turn, role, list_filter(regexp_extract_all(lower(text), '[\\p{{L}}\\p{{N}}]+'), lambda x: length(x) >= 2 AND NOT list_contains([{_STOP}], x)) AS w FROM conversations),
+g AS (SELECT *, list_concat(CASE WHEN len(w) >= 3 THEN list_distinct(list_transform(range(1, len(w) - 1), lambda i: array_to_string(w[i:i+2], ' '))) ELSE [] END, CASE WHEN len(w) >= 2 THEN list_distinct(list_transform(range(1, len(w)), lambda i: array_to_string(w[i:i+1], ' '))) ELSE [] END) AS g FROM t),
+p AS (SELECT a.conv_id, a.turn, list_distinct(list_intersect(a.w, b.w)) AS t, list_intersect(a.g, b.g) AS p FROM g a JOIN g b ON a.conv_id = b.conv_id AND b.turn = a.turn + 2 AND a.role = b.role),
+f AS (SELECT *, lambda_sorted(t, 8) AS terms, lambda_sorted(p, 4) AS phrases FROM p WHERE len(p) > 0 OR len(t) >= 2)
+SELECT conv_id, turn, CAST(len(t) AS INTEGER) AS n_terms, CAST(len(p) AS INTEGER) AS n_phrases, terms, phrases, CAST(3 + len(t) + 3 * coalesce(list_sum(list_transform(p, lambda x: length(x) - length(replace(x, ' ', '')) + 1)), 0) AS INTEGER) AS score FROM f
+""".replace("lambda_sorted(t, 8)", "array_to_string(list_transform(list_sort(list_transform(t, lambda x: {'n': -length(x), 'x': x}))[1:8], lambda s: s.x), '|')").replace("lambda_sorted(p, 4)", "array_to_string(list_transform(list_sort(list_transform(p, lambda x: {'n': -length(x), 'x': x}))[1:4], lambda s: s.x), '|')"))
 def shared_terms_evidence(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Shared terms and phrases of consecutive turns."""
-    c = table(spark, sf_dir, "conversations").select("conv_id", "turn", "text")
-    pairs = c.join(c.select("conv_id", (F.col("turn") - 1).alias("turn"), F.col("text").alias("other")), ["conv_id", "turn"])
-    out = X.shared_terms(pairs, "text", "other")
-    return out.select("conv_id", "turn", F.size("terms").alias("n_terms"), F.size("phrases").alias("n_phrases"), "score")
+    """Shared terms and phrases of a speaker's turns that follow one another."""
+    c = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", X.terms_of(F.col("text")).alias("own"))
+    pairs = c.join(c.select("conv_id", (F.col("turn") - 2).alias("turn"), F.col("role").alias("other_role"), F.col("own").alias("other")), ["conv_id", "turn"])
+    out = X.shared_terms(pairs, "own", "other", "role", "other_role")
+    return out.select("conv_id", "turn", "n_terms", "n_phrases", F.array_join("terms", "|").alias("terms"), F.array_join("phrases", "|").alias("phrases"), "score")
 
 
-@query()
+@query("""
+WITH r AS (SELECT user_id, lower(trim(event_type)) AS n, value, row_number() OVER (PARTITION BY user_id, lower(trim(event_type)) ORDER BY ts DESC, value) AS r FROM events),
+t AS (SELECT user_id, n, string_agg(value::VARCHAR, ';' ORDER BY r) AS x, bool_or(value > 50) AS f FROM r WHERE r <= 3 GROUP BY ALL),
+p AS (SELECT user_id AS l, lead(user_id) OVER (ORDER BY user_id) AS r FROM (SELECT DISTINCT user_id FROM events WHERE user_id IS NOT NULL))
+SELECT p.l AS "left", p.r AS "right", a.n AS name, a.x AS left_values, b.x AS right_values, a.f AND b.f AS both_flagged FROM p JOIN t a ON a.user_id = p.l JOIN t b ON b.user_id = p.r AND b.n = a.n
+""")
 def shared_labs_evidence(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The last three results of tests that two patients share, for every patient and the one of the next id."""
     e = table(spark, sf_dir, "events").withColumn("flag", F.col("value") > 50)
@@ -233,7 +295,9 @@ def shared_labs_evidence(spark: SparkSession, sf_dir: str) -> DataFrame:
     first = first.select("range", F.lead("first").over(Window.orderBy("range")).alias("after"))
     near = users.withColumn("near", F.lead("user_id").over(Window.partitionBy("range").orderBy("user_id")))
     pairs = near.join(first, "range").select(F.col("user_id").alias("left"), F.coalesce("near", "after").alias("right")).where("right IS NOT NULL")
-    return X.shared_labs(pairs, e, "user_id", "event_type", "ts", "value", "flag")
+    out = X.shared_labs(pairs, e, "user_id", "event_type", "ts", "value", "flag")
+    texts = lambda c: F.array_join(F.transform(c, lambda v: v.cast("string")), ";").alias(c)
+    return out.select("left", "right", "name", texts("left_values"), texts("right_values"), "both_flagged")
 
 
 @query()
@@ -249,13 +313,7 @@ def table_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return Q.manifest({n: table(spark, sf_dir, n) for n in ("orders", "customer")}, {"run": "test"})
 
 
-@query("SELECT c_mktsegment AS value, count(*) AS n FROM customer GROUP BY 1")
-def close_name_base(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """B20 input: the values that are compared for near spellings."""
-    return table(spark, sf_dir, "customer").groupBy(F.col("c_mktsegment").alias("value")).agg(F.count(F.lit(1)).alias("n"))
-
-
 @query()
 def close_names(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Close spellings among the most frequent part names."""
-    return B.close_names(table(spark, sf_dir, "part"), "p_name", 0.8)
+    return B.close_names(table(spark, sf_dir, "part"), "p_name")

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from caselight.functions import ids, parse
 from caselight.operators import aggregates as A
+from caselight.operators import events as E
 from caselight.operators import graph as G
 from caselight.operators import joins as J
 from caselight.operators import quality as Q
@@ -58,12 +59,29 @@ FROM orders o JOIN orders p ON p.o_custkey = o.o_custkey JOIN lineitem l ON l.l_
 WHERE l_shipdate <= o.o_orderdate + to_days(30) GROUP BY 1
 """)
 def cutoff_history_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Each visit's history of events up to its cutoff."""
-    o = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_orderdate")
-    e = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_shipdate").join(o.select(F.col("o_orderkey").alias("l_orderkey"), "o_custkey"), "l_orderkey")
-    t = o.select(F.col("o_orderkey").alias("visit_id"), "o_custkey", (F.col("o_orderdate") + F.expr("make_dt_interval(30)")).alias("cutoff"))
-    rows = J.history(e, t, "o_custkey", "l_shipdate", "cutoff")
-    return rows.groupBy("visit_id").agg(F.count(F.lit(1)).alias("n_events"), F.count_if(F.col("l_orderkey") == F.col("visit_id")).alias("n_current"), F.countDistinct("l_orderkey").alias("n_visits"), F.min("l_shipdate").alias("first_time"), F.max("l_shipdate").alias("last_time"))
+    """Counts of each visit's history of events up to its cutoff."""
+    events, goals = _line_history(spark, sf_dir)
+    out = E.history_counts(events, goals)
+    return out.select(F.col("target_visit_id").cast("long").alias("visit_id"), "n_events", "n_current", "n_visits", "first_time", "last_time")
+
+
+def _line_history(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Lines as events, and orders as targets whose cutoff is 30 days after the order."""
+    o = table(spark, sf_dir, "orders").select("o_orderkey", F.col("o_custkey").alias("patient_id"), (F.col("o_orderdate") + F.expr("make_dt_interval(30)")).alias("cutoff"))
+    line = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_shipdate", "l_returnflag", "l_quantity")
+    e = line.join(o.select(F.col("o_orderkey").alias("l_orderkey"), "patient_id"), "l_orderkey")
+    return e.select("patient_id", F.col("l_orderkey").alias("visit_id"), F.col("l_shipdate").alias("time"), "l_returnflag", "l_quantity"), o.select(F.col("o_orderkey").alias("visit_id"), "patient_id", "cutoff")
+
+
+@query("""
+SELECT o.o_orderkey AS visit_id, l_returnflag AS flag, count(*) AS n, sum(l_quantity) AS quantity
+FROM orders o JOIN orders p ON p.o_custkey = o.o_custkey JOIN lineitem l ON l.l_orderkey = p.o_orderkey WHERE l_shipdate <= o.o_orderdate + to_days(30) GROUP BY ALL
+""")
+def cutoff_history_by_flag(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The events of each target's patient up to its cutoff, joined by patient and time, summed by kind."""
+    events, goals = _line_history(spark, sf_dir)
+    rows = J.history(events.withColumnRenamed("visit_id", "event_visit_id"), goals, "patient_id", "time", "cutoff")
+    return rows.groupBy("visit_id", F.col("l_returnflag").alias("flag")).agg(F.count(F.lit(1)).alias("n"), F.sum("l_quantity").alias("quantity"))
 
 
 @query(f"""
@@ -422,11 +440,17 @@ def quality_constraints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tables.unionByName(Q.violations(o, {"negative_price": F.col("o_totalprice") >= 0, "unknown_status": F.col("o_orderstatus").isin("P", "O")}))
 
 
-@query("SELECT 'left' AS side, o_orderstatus FROM (SELECT o_orderstatus FROM orders EXCEPT ALL SELECT o_orderstatus FROM orders WHERE o_orderkey % 100 <> 0)")
+@query("""
+WITH a AS (SELECT o_orderstatus, o_orderpriority, o_custkey % 5 AS m FROM orders WHERE o_orderkey % 100 <> 1 UNION ALL SELECT 'X', 'twice', 1 UNION ALL SELECT 'X', 'twice', 1),
+b AS (SELECT o_orderstatus, o_orderpriority, o_custkey % 5 AS m FROM orders WHERE o_orderkey % 100 <> 0 UNION ALL SELECT 'X', 'twice', 1)
+SELECT 'left' AS side, * FROM (FROM a EXCEPT ALL FROM b) UNION ALL SELECT 'right', * FROM (FROM b EXCEPT ALL FROM a)
+""")
 def multiset_difference(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Rows that one table has more often."""
-    o = table(spark, sf_dir, "orders")
-    return Q.same_rows(o.select("o_orderstatus"), o.where("o_orderkey % 100 <> 0").select("o_orderstatus")).select("side", "o_orderstatus")
+    """Rows that one of two tables has more often, of several columns and with both sides short of some."""
+    o = table(spark, sf_dir, "orders").select("o_orderkey", "o_orderstatus", "o_orderpriority", (F.col("o_custkey") % 5).alias("m"))
+    more = lambda n: spark.range(n).select(F.lit("X").alias("o_orderstatus"), F.lit("twice").alias("o_orderpriority"), F.lit(1).cast("long").alias("m"))
+    a, b = o.where("o_orderkey % 100 <> 1").drop("o_orderkey").unionByName(more(2)), o.where("o_orderkey % 100 <> 0").drop("o_orderkey").unionByName(more(1))
+    return Q.same_rows(a, b)
 
 
 @query("SELECT user_id, arg_max(event_type, (ts, event_id)) AS event_type, max(ts) AS ts FROM events GROUP BY 1")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from caselight.operators import fusion, vectors
@@ -116,10 +116,30 @@ def vote_fusion_top20(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("query_id", "candidate_id", "votes", F.round("mean_rank", 6).alias("mean_rank"), F.round("best_normalised", 6).alias("best_normalised"), "rank")
 
 
-@query("SELECT CAST(NULL AS BIGINT) AS query_id, '' AS reason WHERE false")
+@query("""
+SELECT vec_id AS query_id, unnest(CASE (vec_id // 100) % 6 WHEN 1 THEN ['size', 'ranks'] WHEN 2 THEN ['self'] WHEN 3 THEN ['repeated'] WHEN 4 THEN ['not_finite'] WHEN 5 THEN ['rising'] ELSE [] END) AS reason FROM embeddings WHERE vec_id % 100 = 0
+""")
 def ranked_list_violations(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Ranked lists that break their contract; none do."""
-    return fusion.list_violations(topk_cosine_self_excluded(spark, sf_dir))
+    """Ranked lists that break their contract, each sixth one in another way: one short, itself, one twice, a score that is null, one that rises."""
+    top = topk_cosine_self_excluded(spark, sf_dir)
+    m, r = F.col("query_id") / 100 % 6, F.col("rank")
+    before = F.lag("candidate_id").over(Window.partitionBy("query_id").orderBy("rank"))
+    other = F.when((m == 2) & (r == 3), F.col("query_id")).when((m == 3) & (r == 2), before).otherwise(F.col("candidate_id"))
+    score = F.when((m == 4) & (r == 5), F.lit(None)).when((m == 5) & (r == 4), F.lit(2.0)).otherwise(F.col("score"))
+    planted = top.select("query_id", "rank", other.alias("candidate_id"), score.alias("score")).where(~((m == 1) & (r == 20)))
+    return fusion.list_violations(planted)
+
+
+@query("""
+SELECT vec_id AS query_id, CAST(r AS BIGINT) AS rank, CASE r WHEN 1 THEN 'candidate' WHEN 2 THEN 'score' WHEN 3 THEN 'missing' ELSE 'extra' END AS reason FROM embeddings, (SELECT unnest([1, 2, 3, 21]) AS r) WHERE vec_id % 200 = 100 OR (vec_id % 100 = 0 AND r = 21)
+""")
+def replayed_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Packaged lists against computed ones, with faults in every second list and one rank too many in all."""
+    top = topk_cosine_self_excluded(spark, sf_dir)
+    odd, r = F.col("query_id") % 200 == 100, F.col("rank")
+    packaged = top.select("query_id", "rank", F.when(odd & (r == 1), F.lit(-1)).otherwise(F.col("candidate_id")).alias("candidate_id"), F.when(odd & (r == 2), F.col("score") + 0.00001).otherwise(F.col("score")).alias("score")).where(~(odd & (r == 3)))
+    more = top.where("rank = 20").select("query_id", F.lit(21).cast("long").alias("rank"), "candidate_id", "score")
+    return fusion.replay_differences(packaged.unionByName(more), top)
 
 
 @query("WITH " + _topk(f"SELECT vec_id, {_unit('embedding[1:16]')} AS v FROM embeddings") + f""",
@@ -146,6 +166,13 @@ def hub_share(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vectors.hub_share(topk_cosine_self_excluded(spark, sf_dir))
 
 
+@query("WITH " + _topk(f"SELECT vec_id, label, {_unit('embedding')} AS v FROM embeddings") + ", n AS (SELECT round(s, 6) AS s FROM r WHERE rank = 1) SELECT count(*) AS n, round(avg(s), 6) AS mean, round(stddev_pop(s), 6) AS sd, round(quantile_cont(s, 0.5), 6) AS median FROM n")
+def nearest_cosines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Statistics of the cosines between every hundredth row and its nearest other row."""
+    out = vectors.nearest_cosines(table(spark, sf_dir, "embeddings"), "vec_id", "embedding", F.col("vec_id") % 100 == 0)
+    return out.select("n", *(F.round(c, 6).alias(c) for c in ("mean", "sd", "median")))
+
+
 @query()
 def random_pair_cosines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Cosines of seeded random pairs."""
@@ -162,8 +189,5 @@ SELECT avg(CASE WHEN rank <= 1 THEN 1.0 ELSE 0.0 END) AS recall_at_1, avg(CASE W
 def cross_view_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Recall and median rank of the same row in another view."""
     emb = table(spark, sf_dir, "embeddings")
-    q = F.broadcast(emb.where("vec_id % 100 = 0").select(F.col("vec_id").alias("query_id"), vectors.normalize(F.slice("embedding", 1, 32)).alias("a"), F.lit(1).alias("k")))
-    c = emb.select(F.col("vec_id").alias("candidate_id"), F.slice(vectors.normalize(F.col("embedding")), 1, 32).alias("b"), F.lit(1).alias("k"))
-    scores = c.join(q, "k").select("query_id", "candidate_id", F.round(vectors.dot(F.col("a"), F.col("b")), 9).alias("score"))
-    truth = emb.where("vec_id % 100 = 0").select(F.col("vec_id").alias("query_id"), F.col("vec_id").alias("candidate_id"))
-    return fusion.retrieval_metrics(scores, truth)
+    whole = emb.select("vec_id", vectors.normalize(F.slice("embedding", 1, 32)).alias("a"), F.slice(vectors.normalize(F.col("embedding")), 1, 32).alias("b"))
+    return fusion.rank_metrics(vectors.ranks_of_own(whole.where("vec_id % 100 = 0"), whole, "vec_id", "a", "b"))

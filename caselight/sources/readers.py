@@ -10,8 +10,9 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 
-def conform(df: DataFrame, schema: T.StructType, required: tuple[str, ...] = ()) -> DataFrame:
+def conform(df: DataFrame, schema: T.StructType | str, required: tuple[str, ...] = ()) -> DataFrame:
     """The schema's columns in order, cast; absent ones are null, absent required ones are an error. Texts that can't be read as a type become null."""
+    schema = T.StructType.fromDDL(schema) if isinstance(schema, str) else schema
     missing = [c for c in required if c not in df.columns]
     if missing:
         raise ValueError(f"missing required columns: {', '.join(missing)}")
@@ -19,7 +20,7 @@ def conform(df: DataFrame, schema: T.StructType, required: tuple[str, ...] = ())
     return df.select(*(pick(f).alias(f.name) for f in schema))
 
 
-def read_table(spark: SparkSession, path: str, schema: T.StructType, required: tuple[str, ...] = (), fmt: str = "parquet") -> DataFrame:
+def read_table(spark: SparkSession, path: str, schema: T.StructType | str, required: tuple[str, ...] = (), fmt: str = "parquet") -> DataFrame:
     """A Parquet or CSV table, only the wanted columns that exist, the others null."""
     raw = spark.read.parquet(path) if fmt == "parquet" else spark.read.option("header", True).csv(path)
     return conform(raw, schema, required)
@@ -31,10 +32,27 @@ def read_sheets(spark: SparkSession, folder: str, sheets: list[str], columns: di
     for sheet in sheets:
         df = spark.read.option("header", True).option("multiLine", True).option("escape", '"').csv(f"{folder}/{sheet}.csv")
         keep = [c for c in (columns or {}).get(sheet, df.columns) if c in df.columns]
-        out[sheet] = df.select(*(F.col(f"`{c}`") for c in keep)).withColumn("source_row", F.monotonically_increasing_id() + 2)
+        if repeated := {c for c in df.columns if df.columns.count(c) > 1}:
+            raise ValueError(f"{sheet} has columns that repeat: {', '.join(sorted(repeated))}")
+        out[sheet] = numbered(df).select(*(F.col(f"`{c}`") for c in keep), "source_row")
     return out
 
 
+def numbered(df: DataFrame, first: int = 2) -> DataFrame:
+    """The rows of files that are read whole, with source_row: their place from first on (2: below a header), files in the order of their paths.
+
+    Each file's rows are counted; the counts, one a file, are with the driver.
+    """
+    rows = df.select("*", F.col("_metadata.file_path").alias("_file"), F.monotonically_increasing_id().alias("_id"))
+    counts = rows.groupBy("_file").agg(F.count(F.lit(1)).alias("n"), F.min("_id").alias("low")).collect()
+    start, starts = first, []
+    for r in sorted(counts, key=lambda r: r["_file"]):
+        starts.append((r["_file"], start - r["low"]))
+        start += r["n"]
+    shift = df.sparkSession.createDataFrame(starts, "_file string, _shift long")
+    return rows.join(F.broadcast(shift), "_file").select(*(F.col(f"`{c}`") for c in df.columns), (F.col("_id") + F.col("_shift")).alias("source_row"))
+
+
 def non_empty_rows(df: DataFrame, ignore: tuple[str, ...] = ("source_row",)) -> DataFrame:
     """Rows with at least one known cell."""
     return df.where(F.coalesce(*(F.col(f"`{c}`").cast("string") for c in df.columns if c not in ignore)).isNotNull())
@@ -90,7 +108,7 @@ def selective(rows: DataFrame, key: str, keys: DataFrame) -> DataFrame:
 def read_topk(spark: SparkSession, path: str, strict: bool = True) -> DataFrame:
     """Ranked lists from CSV; malformed rows are an error, or left out."""
     schema = "query_patient_id string, rank int, related_patient_id string, cosine_similarity double"
-    df = spark.read.schema(schema).option("header", True).option("enforceSchema", False).option("mode", "FAILFAST" if strict else "DROPMALFORMED").csv(path)
+    df = spark.read.schema(schema).option("header", True).option("enforceSchema", False).option("escape", '"').option("mode", "FAILFAST" if strict else "DROPMALFORMED").csv(path)
     return df.select(F.col("query_patient_id").alias("query_id"), "rank", F.col("related_patient_id").alias("candidate_id"), F.col("cosine_similarity").alias("score"))
 
 
@@ -104,6 +122,6 @@ def read_tree(spark: SparkSession, root: str, schema: T.StructType | str, levels
 
 
 def discover(spark: SparkSession, root: str, suffixes: tuple[str, ...]) -> DataFrame:
-    """path, size of the files below a folder with one of the suffixes; contents aren't read."""
+    """path, size of the files below a folder with one of the suffixes, in the order of their paths; contents aren't read."""
     df = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root).select("path", F.col("length").alias("size"))
-    return df.where(F.lower("path").rlike("(?:" + "|".join(re.escape(s.lower()) for s in suffixes) + ")$"))
+    return df.where(F.lower("path").rlike("(?:" + "|".join(re.escape(s.lower()) for s in suffixes) + ")$")).orderBy("path")

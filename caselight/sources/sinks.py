@@ -44,6 +44,16 @@ def write_jsonl(df: DataFrame, path: str) -> None:
     df.select(*sorted(df.columns)).write.mode("error").json(path)
 
 
+def write_text(spark: SparkSession, path: str, content: str) -> None:
+    """One small file; folders on the way are made, a file that is there is an error."""
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    out = p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).create(p, False)
+    try:
+        out.write(bytearray(content.encode()))
+    finally:
+        out.close()
+
+
 def append_log(df: DataFrame, path: str) -> None:
     """Appends documents to a log; quality.latest reads the newest of each key."""
     df.withColumn("at", F.current_timestamp()).write.mode("append").parquet(path)

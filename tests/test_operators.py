@@ -1,5 +1,10 @@
 import datetime
+import difflib
+import hashlib
 import os
+import random
+import re
+import statistics
 from itertools import pairwise
 
 import pytest
@@ -20,20 +25,38 @@ def test_interval_link(spark):
     assert got == {1: ("matched", "v1"), 2: ("no_visit_on_study_date", None), 3: ("ambiguous", None), 4: ("no_visit_on_study_date", None)}
 
 
-def test_vote(spark):
-    def ranked(rows):
-        return spark.createDataFrame([("q", c, r, 1.0 - r / 100) for c, r in rows], "query_id string, candidate_id string, rank int, score double")
+def brute_votes(lists, top):
+    held = {}
+    for source, rows in lists.items():
+        low, high = min(s for _, _, s in rows), max(s for _, _, s in rows)
+        for c, r, s in rows:
+            held.setdefault(c, []).append((r, (s - low) / (high - low) if high > low else 0.5))
+    scored = [(-len(v), sum(r for r, _ in v) / len(v) if len(v) > 1 else -v[0][1], c) for c, v in held.items()]
+    return [c for _, _, c in sorted(scored)][:top]
 
-    fill = lambda s, used: [(f"{s}{i:02d}", i) for i in range(1, 21) if i not in used]
-    lists = {
-        "x": ranked([("TRIPLE", 18), ("DOUBLE_A", 2), ("DOUBLE_B", 4), *fill("F", {18, 2, 4})]),
-        "y": ranked([("TRIPLE", 19), ("DOUBLE_A", 3), ("DOUBLE_B", 5), *fill("G", {19, 3, 5})]),
-        "z": ranked([("TRIPLE", 20), *fill("H", {20})]),
-    }
-    got = fusion.vote(lists).orderBy("rank").collect()
-    assert [r.candidate_id for r in got[:3]] == ["TRIPLE", "DOUBLE_A", "DOUBLE_B"] and got[1].mean_rank == 2.5 and len(got) == 20
-    assert fusion.list_violations(lists["x"]).count() == 0
-    assert {r.reason for r in fusion.list_violations(ranked([("q", 1), ("q", 3)])).collect()} == {"size", "ranks", "self", "repeated"}
+
+@pytest.mark.parametrize("seed", range(4))
+def test_vote_against_brute_force(spark, seed):
+    r = random.Random(seed)
+    lists = {}
+    for source in "abcd"[: 2 + seed % 3]:
+        names = r.sample([f"c{i:03d}" for i in range(45)], 20)
+        scores = sorted((r.choice([0.1, 0.2, 0.3, 0.4, 0.5, 0.9]) for _ in names), reverse=True) if seed else [0.7] * 20
+        lists[source] = [(c, i + 1, s) for i, (c, s) in enumerate(zip(names, scores, strict=True))]
+    frames = {k: spark.createDataFrame([("q", *x) for x in v], "query_id string, candidate_id string, rank int, score double") for k, v in lists.items()}
+    got = fusion.vote(frames).orderBy("rank").collect()
+    assert [x.candidate_id for x in got] == brute_votes(lists, 20) and [x.rank for x in got] == list(range(1, 21))
+
+
+def test_faulty_lists(spark):
+    def faults(rows, size=3):
+        df = spark.createDataFrame([("q", c, r, s) for c, r, s in rows], "query_id string, candidate_id string, rank int, score double")
+        return {r.reason for r in fusion.list_violations(df, size).collect()}
+
+    good = [("a", 1, 0.9), ("b", 2, 0.5), ("c", 3, 0.5)]
+    assert faults(good) == set() and faults(good[:2]) == {"size", "ranks"}
+    assert faults([("q", 1, 0.9), *good[1:]]) == {"self"} and faults([("b", 1, 0.9), *good[1:]]) == {"repeated"}
+    assert faults([("a", 1, 0.4), *good[1:]]) == {"rising"} and faults([("a", 1, None), *good[1:]]) == {"not_finite"} and faults([("a", 0, 0.9), *good[1:]]) == {"ranks"}
 
 
 def test_min_max_constant(spark):
@@ -41,17 +64,26 @@ def test_min_max_constant(spark):
     assert [r.normalised for r in windows.min_max(df, ["k"], "s").collect()] == [0.5, 0.5]
 
 
-def test_group_tail(spark):
-    rows = [("t", "exact", 12.0, None), ("t", "exact", 16.0, None), ("t", "exact", 9.0, None), ("t", "right", None, 10.0)]
-    df = spark.createDataFrame(rows, "k string, kind string, x double, b double")
-    assert [tuple(r) for r in aggregates.group_tail_median(df, ["k"], "x", "b").collect()] == [("t", 10.0, 4.0)]
+def test_group_tail_against_brute_force(spark):
+    r = random.Random(3)
+    rows = [(r.choice("pqr"), r.choice([1.0, 1.5, 2.0, 3.25, 4.0, 8.0, 9.5]) if r.random() < 0.7 else None, r.choice([0.5, 1.5, 2.0, 3.0, 9.5, 20.0]) if r.random() < 0.3 else None) for _ in range(120)]
+    df = spark.createDataFrame(rows, "k string, x double, b double")
+    want = {}
+    for k, _, b in rows:
+        above = [x - b for k2, x, _ in rows if k2 == k and b is not None and x is not None and x > b]
+        if above:
+            want[k, b] = statistics.median(above)
+    got = {(x.k, x.bound): x.tail for x in aggregates.group_tail_median(df, ["k"], "x", "b").collect()}
+    assert got == pytest.approx(want) and set(got) == set(want)
 
 
-def test_right_censored_proxy(spark):
-    df = spark.createDataFrame([("v", "t", "> 10", 1), ("v", "t", "12", 2), ("v", "t", "16", 3)], "visit string, name string, result string, source_row long").withColumn("time", F.lit(None).cast("timestamp_ntz"))
-    out = tables.assign_tail_proxies(tables.build_observations(df, None, "visit", "name", "result", "time"), ["entity"])
-    row = out.where("result_type = 'numeric_censored'").first()
-    assert (row.value_proxy, row.proxy_method) == (14.0, "group_tail_median")
+def test_right_censored_proxies(spark):
+    rows = [("a", "sodium", ">= 150", "mM"), ("b", "Sodium", "151", "mm"), ("c", "sodium", "2 x 10^2 mM", None), ("d", "sodium", "170", "g"), ("e", "sodium", "150", "mM"), ("f", "iron", ">40", "u"), ("g", "iron", "30-50", "u"), ("h", "sodium", "> 150", "g"), ("i", "sodium", "< 8", "g")]
+    df = spark.createDataFrame([(*r, i) for i, r in enumerate(rows)], "visit string, name string, result string, unit string, source_row long").withColumn("time", F.lit(None).cast("timestamp_ntz"))
+    out = tables.assign_tail_proxies(tables.build_observations(df, None, "visit", "name", "result", "time", unit="unit"))
+    got = {r.visit_id: (r.value_proxy, r.proxy_method) for r in out.collect()}
+    assert got["a"] == (150 + (1 + 50) / 2, "threshold_plus_group_tail_median") and got["h"] == (170.0, "threshold_plus_group_tail_median")
+    assert got["f"] == (40.0, "lower_bound_fallback") and got["i"] == (4.0, "half_upper_bound_nonnegative") and got["e"] == (150.0, "exact_value")
 
 
 def test_node_buckets(spark):
@@ -92,14 +124,58 @@ def test_cosine(spark):
     assert abs(vectors.matrix_statistics(df, "v").first().effective_rank - 1.2) < 0.2
 
 
-def test_evidence(spark):
-    df = spark.createDataFrame([("acute heart failure today", "no acute heart failure")], "a string, b string")
-    row = evidence.shared_terms(df, "a", "b").first()
-    assert (row.terms, row.phrases, row.score) == (["acute", "failure", "heart"], ["acute heart", "acute heart failure", "heart failure"], 3 + 3 + 12 + 9)
-    spans = spark.sql("SELECT array(named_struct('priority', 2, 'start', 0, 'end', 9), named_struct('priority', 1, 'start', 5, 'end', 7), named_struct('priority', 2, 'start', 10, 'end', 12)) s")
-    assert [(x.start, x.end) for x in spans.select(evidence.apart(F.col("s")).alias("x")).first().x] == [(5, 7), (10, 12)]
-    codes = spark.range(1).select(evidence.icd_spans(F.lit("J18.9, j18.8")).alias("c")).first().c
-    assert codes == ["J18.9", "J18.8"]
+def test_shared_terms(spark):
+    rows = [
+        ("Lý do", "đau ngực trái lan vai", " lý DO", "lan vai và đau ngực"), ("Lý do", "đau ngực", "Tiền sử", "đau ngực"), ("t", "alpha beta", "t", "beta gamma"), ("t", "one two x", "t", "two one"),
+        ("t", "the patient normal", "t", "the patient normal"), ("t", " ".join(f"w{i:02d}" for i in range(20)), "t", " ".join(f"w{i:02d}" for i in range(20))), ("t", None, "t", "a b"),
+    ]
+    df = spark.createDataFrame([(i, *r) for i, r in enumerate(rows)], "i int, lt string, l string, rt string, r string")
+    df = df.select("i", "lt", "rt", evidence.terms_of(F.col("l")).alias("a"), evidence.terms_of(F.col("r")).alias("b"))
+    got = {r.i: r for r in evidence.shared_terms(df, "a", "b", "lt", "rt").collect()}
+    assert set(got) == {0, 3, 5}
+    assert (got[0].terms, got[0].phrases, got[0].score) == (["ngực", "lan", "vai", "đau"], ["đau ngực", "lan vai"], 3 + 4 + 6 + 6)
+    assert (got[3].terms, got[3].phrases, got[3].score) == (["one", "two"], [], 5)
+    assert len(got[5].terms) == 8 and got[5].phrases == [f"w{i:02d} w{i + 1:02d} w{i + 2:02d}" for i in range(4)] and got[5].score == 3 + 20 + 9 * 18 + 6 * 19
+
+
+def brute_phrases(t, least, most, chars, content, generic, negators):
+    out = []
+    for run in re.finditer(r"\w+(?:\s+\w+)*", t):
+        w = [(m.group().casefold(), run.start() + m.start(), run.start() + m.end()) for m in re.finditer(r"\w+", run.group())]
+        for i in range(len(w)):
+            for n in range(least, most + 1):
+                part = w[i : i + n]
+                if len(part) == n and sum(x not in generic and not x.isdigit() for x, _, _ in part) >= content and part[-1][2] - part[0][1] >= chars and not any(x in negators for x, _, _ in w[: i + n]):
+                    out.append((" ".join(x for x, _, _ in part), part[0][1], part[-1][2]))
+    return out
+
+
+def test_phrase_spans(spark):
+    texts = ["sốt cao kéo dài, không ho ra máu; đau  bụng\n12 34", "Viêm phổi nặng. chưa rõ", "a b", "", "(x) viêm-phổi thùy dưới phải điều trị ngoại trú lâu ngày rồi"]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)] + [(9, None)], "i int, t string")
+    for args in ((2, 6, 6, 2), (2, 3, 8, 1), (1, 2, 1, 1)):
+        for no in ((), evidence.NEGATORS):
+            got = {r.i: [tuple(x) for x in r.s] for r in df.select("i", evidence.phrase_spans(F.col("t"), *args, negators=no).alias("s")).collect()}
+            want = {i: brute_phrases(t, *args, set(evidence.GENERIC), set(no)) for i, t in enumerate(texts)}
+            assert {k: sorted(v) for k, v in got.items()} == {k: sorted(v) for k, v in (want | {9: []}).items()}
+
+
+def test_marked_evidence(spark):
+    left, right = "J18.9 & viêm phổi thùy <dưới>, i10", "ho; I10 Viêm  phổi thùy trên"
+    df = spark.createDataFrame([(left, right)], "l string, r string")
+    for side in "lr":
+        df = df.withColumn(f"icd_{side}", evidence.icd_spans(F.col(side))).withColumn(f"ph_{side}", evidence.phrase_spans(F.col(side), chars=8))
+    spans = evidence.apart(F.concat(evidence.shared_spans(F.col("icd_l"), F.col("icd_r"), 0), evidence.shared_spans(F.col("ph_l"), F.col("ph_r"), 1)))
+    row = df.select("icd_l", evidence.marked(F.col("l"), spans).alias("html"), evidence.marked(F.lit("a<b"), F.array().cast("array<struct<start:int,end:int,priority:int>>")).alias("none")).first()
+    assert [(x.key, left[x.start : x.end]) for x in row.icd_l] == [("J18.9", "J18.9"), ("I10", "i10")]
+    assert row.html == 'J18.9 &amp; <mark class="match-diagnosis">viêm phổi thùy</mark> &lt;dưới&gt;, <mark class="match-icd">i10</mark>' and row.none == "a&lt;b"
+    spans = [(2, 0, 9), (1, 5, 7), (2, 10, 12), (0, 8, 11), (1, 1, 4), (1, 2, 6)]
+    chosen = []
+    for p, s, e in sorted(spans, key=lambda x: (x[0], x[1] - x[2], x[1])):
+        if all(e <= s2 or s >= e2 for s2, e2 in chosen):
+            chosen.append((s, e))
+    df = spark.createDataFrame([([dict(zip(("priority", "start", "end"), x, strict=True)) for x in spans],)], "s array<struct<priority:int,start:int,end:int>>")
+    assert [(x.start, x.end) for x in df.select(evidence.apart(F.col("s")).alias("x")).first().x] == sorted(chosen)
 
 
 def test_quality(spark):
@@ -157,7 +233,8 @@ def test_shared_labs_of_every_next_user(spark):
     tests = {u: {n: [v for _, v in sorted(x)[:3]] for n, x in t.items()} for u, t in tests.items()}
     users = sorted(tests)
     want = sorted((a, b, n, tests[a][n], tests[b][n], any(v > 50 for v in tests[a][n]) and any(v > 50 for v in tests[b][n])) for a, b in pairwise(users) for n in tests[a].keys() & tests[b].keys())
-    got = sorted((r.left, r.right, r.name, r.left_values, r.right_values, r.both_flagged) for r in plans.queries()["shared_labs_evidence"](spark, sf).collect())
+    numbers = lambda x: [float(v) for v in x.split(";")]
+    got = sorted((r.left, r.right, r.name, numbers(r.left_values), numbers(r.right_values), r.both_flagged) for r in plans.queries()["shared_labs_evidence"](spark, sf).collect())
     assert got == want and len({r[0] for r in got}) == len(users) - 1
 
 
@@ -171,20 +248,62 @@ def test_next_user_over_gaps(spark, tmp_path):
 
 @pytest.mark.parametrize("least", [0.8, 0.92, 0.5])
 def test_close_names_against_brute_force(spark, least):
-    names = ["cold rod", "old rod", "xabcdefghijklmno", "abcdefghijklmno", "Ünder pan", "nder pan", "red bolt", "red-bolt", "blue bolt", "rod", "rid", "!!", "a"]
+    names = ["cold rod", "old rod", "xabcdefghijklmno", "abcdefghijklmno", "Ünder pan", "nder pan", "red bolt", "red-bolt", "Red bolts", "blue bolt", "rod", "rid", "!!", "a"]
     names += [f"{c}{w}" for c in ("", "s", "th") for w in ("pring coil", "ring coils", "in washer large", "hin washer large")]
-
-    def edits(a, b):
-        row = list(range(len(b) + 1))
-        for i, x in enumerate(a, 1):
-            last, row[0] = row[0], i
-            for j, y in enumerate(b, 1):
-                last, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, last + (x != y))
-        return row[-1]
-
     df = spark.createDataFrame([(n,) for n in names], "name string")
-    keys = {r.v: r.k for r in df.select(text.clean(F.col("name")).alias("v"), text.entity_key(text.clean(F.col("name"))).alias("k")).distinct().collect()}
-    want = {(a, b): 1 - edits(keys[a], keys[b]) / max(len(keys[a]), len(keys[b])) for a in keys for b in keys if a.encode() < b.encode() and keys[a] != keys[b]}
-    got = tables.close_names(df, "name", least).collect()
-    assert sorted((r.a, r.b, round(r.similarity, 9)) for r in got) == sorted((*p, round(v, 9)) for p, v in want.items() if v >= least)
-    assert least > 0.9 or ("cold rod", "old rod") in {(r.a, r.b) for r in got}
+    keys = {r.v: r.k for r in df.select(text.clean(F.col("name")).alias("v"), text.entity_key(F.col("name")).alias("k")).distinct().collect()}
+    want = set()
+    for v in keys:
+        for m in difflib.get_close_matches(v, sorted(keys), n=2, cutoff=least):
+            if m != v and keys[m] != keys[v]:
+                want.add((v, m, round(difflib.SequenceMatcher(None, v.casefold(), m.casefold()).ratio(), 9)))
+    got = {(r.value, r.suggested, round(r.similarity, 9)) for r in tables.close_names(df, "name", least).collect()}
+    assert got == want and want
+
+
+def test_digests_count_repeats(spark):
+    digest = lambda *x: quality.manifest({"t": spark.createDataFrame([(v, "s") for v in x], "x int, y string")}, {}).first().digest
+    assert digest(1, 1, 2) != digest(3, 3, 2) and digest(1, 2, 1) == digest(2, 1, 1) != digest(1, 2) and digest() == "0:0"
+
+
+def test_file_inventory(spark, tmp_path):
+    for name, raw in (("a.bin", b"\x00\x01"), ("sub/b.txt", "é".encode()), ("sub/c", b"")):
+        (tmp_path / "in" / name).parent.mkdir(parents=True, exist_ok=True)
+        (tmp_path / "in" / name).write_bytes(raw)
+    found = quality.file_inventory(spark, f"{tmp_path}/in")
+    rows = {r.path: (r.bytes, r.sha256) for r in found.collect()}
+    assert rows == {"a.bin": (2, hashlib.sha256(b"\x00\x01").hexdigest()), "sub/b.txt": (2, hashlib.sha256("é".encode()).hexdigest()), "sub/c": (0, hashlib.sha256(b"").hexdigest())}
+    assert quality.inventory_differences(found, found).count() == 0
+    other = spark.createDataFrame([("a.bin", 2, "0"), ("sub/b.txt", *rows["sub/b.txt"]), ("new", 1, "1")], "path string, bytes long, sha256 string")
+    assert {(r.path, r.reason) for r in quality.inventory_differences(found, other).collect()} == {("a.bin", "mismatch"), ("sub/c", "missing"), ("new", "extra")}
+    moved = quality.relocated(spark.createDataFrame([("/old/x/y",), ("/older/z",)], "p string"), "p", "/old/", "/new")
+    assert [r.p for r in moved.collect()] == ["/new/x/y", "/older/z"]
+
+
+def test_one_to_one(spark):
+    a, b = spark.createDataFrame([(1,), (2,)], "profile int"), spark.createDataFrame([("x",), ("y",)], "raw string")
+    pairs = lambda *x: joins.one_to_one(a, b, "profile", "raw", spark.createDataFrame(list(x), "profile int, raw string"))
+    assert sorted(map(tuple, pairs((1, "y"), (2, "x")).collect())) == [(1, "y"), (2, "x")]
+    for wrong in ([(1, "x")], [(1, "x"), (2, "x")], [(1, "x"), (1, "y")], [(1, "x"), (2, "y"), (3, "z")]):
+        with pytest.raises(Exception, match="not one-to-one"):
+            pairs(*wrong).collect()
+
+
+def test_returned_and_code_only(spark):
+    m = spark.createDataFrame([("v", "drug", None), ("v", "drug", " "), ("v", "drug", "allergy"), ("w", "drug", None)], "visit_id string, name string, why string")
+    v = spark.createDataFrame([("v",)], "visit_id string")
+    every = {(r.status, r.source_row_count) for r in tables.build_medicines(m, v, ["name"], return_reason="why").collect()}
+    assert every == {("prescribed", 2), ("returned", 1)}
+    assert [r.status for r in tables.build_medicines(m, v, ["name"], return_reason="why", include_returned=False).collect()] == ["prescribed"]
+    d = spark.createDataFrame([("v", "J18"), ("v", " "), ("", "J18"), ("v", None), (None, "x")], "visit_id string, code string")
+    assert [tuple(r) for r in tables.code_only(d).collect()] == [("v", "J18")]
+
+
+def test_sheet_rows(spark, tmp_path):
+    """source_row is the row of the sheet, also where it comes in several files."""
+    (tmp_path / "s.csv").mkdir()
+    for i in range(3):
+        (tmp_path / "s.csv" / f"part-{i}.csv").write_text("a,b\n" + "".join(f"{10 * i + k},\"x\ny\"\n" for k in range(4)))
+    df = readers.read_sheets(spark, str(tmp_path), ["s"])["s"]
+    rows = {int(r.a): r.source_row for r in df.collect()}
+    assert [rows[k] for k in sorted(rows)] == list(range(2, 14))
