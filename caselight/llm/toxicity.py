@@ -1,22 +1,25 @@
 """Toxicity (9): weak supervision by lexicon and pattern voters, a generative label model, a linear classifier.
 
-Voters vote "toxic" or abstain. Some are fixed (a seed lexicon, repeated seeds, direct address, shouting);
-the others use a lexicon of up to LEXICON stems learned from at most MAX_LABELLED labelled training rows:
-prefixes of STEM_LENGTHS characters that occur in far more toxic than other texts, in both halves of the
-sample (equal texts fall in one half). They vote by how many different stems of the strong or of either part
-of that lexicon a text holds. Votes of a text make one bit mask, so all that the models need of the corpus is
-a count for each mask and label, at most 3 * 2 ** voters rows, gathered over every document. The label model
-estimates each voter's accuracy by EM (labelled rows keep their label, the others enter with weight
-UNLABELLED) and discounts voters by their correlations within the classes; a ridge logistic regression on
-the votes is then fitted to its posteriors.
+Each of VOTERS votes "toxic" or "clean" or abstains. Toxic: groups of a fixed seed lexicon (by meaning, and by
+language), groups of up to LEXICON stems found in at most MAX_LABELLED labelled training rows (prefixes of STEM_LENGTHS
+characters that occur in far more toxic than other texts, in both halves of the sample; equal texts fall in one half),
+and patterns: direct address, shouting, hits that repeat, many different hits, hits that are dense. Clean: no hit at all,
+one hit alone in a long text, hits in less than a share of words, hits only where a text quotes. A text's votes make
+one bit mask, so all that the models need of the corpus is a count for each mask that occurs, gathered over every document.
+
+The label model doesn't see labels. It gives each class a distribution over masks: a probability for each voter's vote (its
+accuracy), and pairwise factors along the tree of voters whose votes agree or disagree most beyond what the classes
+explain (their correlations). EM estimates all of it from how voters agree over the whole corpus, starting from the votes'
+signs. A ridge logistic regression on the votes is fitted to its posterior labels. Labels of the sample then only set two
+numbers, the slope and offset that calibrate its scores.
 
 Scale: voting and scoring are built-in functions on the scan, without a shuffle; labels enter as a broadcast
 of the bounded sample; the fit shuffles stem counts (map-side combined) and mask counts.
 
-Defined results: null or empty texts have no votes and the score of no votes; null ids count as not held
+Defined results: null or empty texts have the score of texts without hits; null ids count as not held
 out; labels of ids without documents, null labels and held-out rows are ignored, of an id labelled more than
-once the largest label counts; with no usable labels the fixed voters keep prior accuracies; empty tables
-give empty results. Rows repeated in the documents each give a row; other columns aren't read.
+once the largest label counts; without usable labels of both classes there are no stems and no calibration; empty tables
+give empty results. Rows repeated in the documents each give a row; other columns aren't read, nor changed.
 """
 
 from __future__ import annotations
@@ -36,24 +39,31 @@ from caselight.session import ship_package
 MAX_LABELLED = 20_000
 LEXICON = 160
 STEM_LENGTHS = (4, 5, 6, 7, 8, 9)
-UNLABELLED = 0.1
+#: Groups of stems, each a voter.
+STEM_GROUPS = 6
+#: Mutual information from which a voter leans on another, in nats.
+LEAST_INFORMATION = 1e-4
 THRESHOLD = 0.3
-#: The seed lexicon, whole words with or without a plural s.
-SEEDS = (
-    "idiot", "moron", "stupid", "pathetic", "worthless", "disgusting", "trash", "scum", "loser", "clown",
-    "dumb", "imbecile", "bastard", "asshole", "bitch", "idiota", "estúpido", "imbécil", "connard", "crétin",
-    "dummkopf", "arschloch",
+#: The seed lexicon by group, whole words with or without a plural s.
+SEED_GROUPS = (
+    ("idiot", "moron", "stupid", "dumb", "imbecile", "fool", "brainless", "ignorant", "cretin", "dimwit"),
+    ("pathetic", "worthless", "loser", "useless", "failure", "coward", "nobody"),
+    ("disgusting", "trash", "scum", "clown", "garbage", "filth", "vermin", "pig", "rat"),
+    ("bastard", "asshole", "bitch", "whore", "shit", "fuck", "fucking", "dickhead", "slut", "crap"),
+    ("idiota", "estúpido", "imbécil", "inútil", "basura", "cabrón", "puta", "payaso"),
+    ("connard", "crétin", "abruti", "salope", "ordure", "débile"),
+    ("dummkopf", "arschloch", "abschaum", "schwachkopf", "vollidiot", "versager"),
 )
+SEEDS = tuple(w for g in SEED_GROUPS for w in g)
 #: Words of direct address before a seed.
 ADDRESS = ("you", "your", "you're", "du", "ihr", "tu", "vous", "eres", "usted")
 
 
 @dataclass(frozen=True)
 class Model:
-    """The learned lexicon, strong and other stems, and the classifier's weights, the constant last."""
+    """Groups of stems, and the classifier's weights, the constant last."""
 
-    strong: tuple[str, ...]
-    other: tuple[str, ...]
+    stems: tuple[tuple[str, ...], ...]
     weights: tuple[float, ...]
 
 
@@ -88,27 +98,26 @@ def _stem_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield out()
 
 
-def find_stems(sample: DataFrame, most: int = LEXICON) -> tuple[tuple[str, ...], tuple[str, ...]]:
-    """Strong and other stems that tell toxic texts of the sample (text, y, half) from the rest.
+def find_stems(sample: DataFrame, most: int = LEXICON) -> tuple[tuple[str, ...], ...]:
+    """Stems that tell toxic texts of the sample (text, y, half) from the rest, dealt to STEM_GROUPS in the order of their worth.
 
-    No stem is a prefix of another or of a seed. A strong one is in no other labelled text.
+    No stem is a prefix of another or of a seed.
     """
     counts = sample.select("text", "y", "half").mapInArrow(_stem_counts, "stem string, n array<long>")
     n = counts.groupBy("stem").agg(*(F.sum(F.col("n")[i]).alias(c) for i, c in enumerate(("n0", "p0", "n1", "p1"))))
     total = n.where("stem = ''").first()
     if total is None or not total.p0 + total.p1:
-        return (), ()
+        return ((),) * STEM_GROUPS
     pos, neg = total.p0 + total.p1, total.n0 + total.n1
     least = max(2, int(0.005 * pos))
     p, q = F.col("p0") + F.col("p1"), F.col("n0") + F.col("n1")
     good = n.where((F.col("stem") != "") & (F.col("p0") >= least) & (F.col("p1") >= least) & (p * max(neg, 1) >= 10.0 * (q + 0.5) * pos))
     best = good.withColumn("p", p).withColumn("q", q).withColumn("s", p - 4.0 * q * pos / max(neg, 1))
-    strong: list[str] = []
-    other: list[str] = []
+    kept: list[str] = []
     for r in best.orderBy(F.desc("s"), F.length("stem"), "stem").limit(40 * most).collect():
-        if len(strong) + len(other) < most and not any(r.stem.startswith(x) or x.startswith(r.stem) for x in (*strong, *other, *SEEDS)):
-            (other if r.q else strong).append(r.stem)
-    return tuple(sorted(strong)), tuple(sorted(other))
+        if len(kept) < most and not any(r.stem.startswith(x) or x.startswith(r.stem) for x in (*kept, *SEEDS)):
+            kept.append(r.stem)
+    return tuple(tuple(sorted(kept[g::STEM_GROUPS])) for g in range(STEM_GROUPS))
 
 
 def _branches(stems: list[str], depth: int = 3) -> str:
@@ -121,62 +130,95 @@ def _branches(stems: list[str], depth: int = 3) -> str:
     return "|".join(re.escape(c) + f"(?:{_branches(rest, depth - 1)})" for c, rest in sorted(heads.items()))
 
 
-VOTERS = 9
+#: The sign of each voter's vote, toxic or clean, in the order of the bits that `votes` sets.
+VOTERS = (*(1 for _ in SEED_GROUPS), *(1 for _ in range(STEM_GROUPS)), 1, 1, 1, 1, 1, 1, -1, -1, -1, -1)
 
 
-def votes(text: Column, strong: tuple[str, ...], other: tuple[str, ...]) -> Column:
-    """Bit mask of the voters that vote "toxic"."""
+def votes(text: Column, stems: tuple[tuple[str, ...], ...]) -> Column:
+    """Bit mask of the voters that vote."""
     whole = F.coalesce(text, F.lit(""))
     seeds, address = "|".join(map(re.escape, SEEDS)), "|".join(map(re.escape, ADDRESS))
-    learned = "".join(f"|{_branches(sorted(part))}" for part in (strong, other) if part)
+    every = sorted(x for g in stems for x in g)
+    learned = f"|{_branches(every)}" if every else ""
     pattern = rf"(?<!\p{{L}})(?:(?:{seeds})s?(?!\p{{L}}){learned})"
     addressed = rf"(?<!\p{{L}})(?:{address})(?!\p{{L}})[^.!?\n]{{0,40}}(?<!\p{{L}})(?:{seeds})(?!\p{{L}})"
     shouted = rf"(?<!\p{{L}})(?:{seeds.upper()})(?!\p{{L}})"
-
-    def counts(hits: Column) -> Column:
-        return let(hits, counted)
-
-    def counted(hits: Column) -> Column:
-        of = lambda words: F.size(F.array_distinct(F.filter(hits, lambda h: h.isin(*words)))) if words else F.lit(0)
-        seeded = F.size(F.filter(hits, lambda h: h.isin(*SEEDS, *(s + "s" for s in SEEDS))))
-        return F.struct(seeded.alias("seeded"), of(strong).alias("sure"), of((*strong, *other)).alias("stems"))
-
-    def mask(low: Column, n: Column) -> Column:
-        any_seed = n["seeded"] >= 1
-        bits = [any_seed, n["seeded"] >= 3, any_seed & low.rlike(addressed), any_seed & whole.rlike(shouted), n["sure"] >= 1, n["sure"] >= 2, n["sure"] >= 4, n["stems"] >= 1, n["stems"] >= 3]
+    quoted = rf"[\"'\u201c\u00ab](?:{seeds})[\"'\u201d\u00bb]"
+
+    def mask(low: Column, hits: Column, n: Column) -> Column:
+        of = lambda words: F.exists(hits, lambda h: h.isin(*words)) if words else F.lit(False)
+        bits = [of([*g, *(w + "s" for w in g)]) for g in SEED_GROUPS] + [of(g) for g in stems]
+        seeded = F.exists(hits, lambda h: h.isin(*SEEDS, *(w + "s" for w in SEEDS)))
+        kinds, size = F.size(F.array_distinct(hits)), F.size(hits)
+        bits += [seeded & low.rlike(addressed), seeded & whole.rlike(shouted), size >= 3, kinds >= 2, kinds >= 4, size * 100 >= n]
+        bits += [F.lit(False), (size == 1) & (n >= 400), size * 500 < n, seeded & low.rlike(quoted)]
         return sum((F.when(b, F.lit(1 << j)).otherwise(F.lit(0)) for j, b in enumerate(bits)), F.lit(0))
 
     # Bound values are worked out once a text, and only where the pattern occurs.
-    found = lambda low: let(counts(F.regexp_extract_all(low, F.lit(pattern), F.lit(0))), lambda n: mask(low, n))
-    return let(F.lower(whole), lambda low: F.when(low.rlike(pattern), found(low)).otherwise(F.lit(0)))
-
-
-def label_model(bits: np.ndarray, known: np.ndarray, unknown: np.ndarray, rounds: int = 25) -> np.ndarray:
-    """Posterior probability of "toxic" for each mask. known: counts of labels 0 and 1; unknown: of no label."""
+    words = lambda low: F.regexp_count(low, F.lit(r"[^\x00-\x20]+"))
+    found = lambda low: let(F.regexp_extract_all(low, F.lit(pattern), F.lit(0)), lambda hits: let(words(low), lambda n: mask(low, hits, n)))
+    nothing = F.lit(1 << (len(VOTERS) - 4))
+    return let(F.lower(whole), lambda low: F.when(low.rlike(pattern), found(low)).otherwise(nothing))
+
+
+def _sigmoid(x: np.ndarray) -> np.ndarray:
+    return 1 / (1 + np.exp(-np.clip(x, -30, 30)))
+
+
+def _tree(joint: np.ndarray) -> list[tuple[int, int]]:
+    """(voter, the one it leans on or -1) along a maximum spanning tree of the mutual information that joint (class, voter, voter, vote, vote) leaves within classes."""
+    v = joint.shape[1]
+    within = joint / joint.sum((3, 4), keepdims=True)
+    own = np.einsum("yjjaa->yja", within)
+    apart = own[:, :, None, :, None] * own[:, None, :, None, :]
+    share = joint.sum((3, 4))[:, 0, 0] / joint.sum((3, 4))[:, 0, 0].sum()
+    info = np.einsum("y,yjkab->jk", share, within * np.log(within / apart))
+    out, best, lean, free = [], np.full(v, -1.0), np.full(v, -1), np.ones(v, bool)
+    for _ in range(v):
+        j = int(np.argmax(np.where(free, best, -np.inf)))
+        out.append((j, int(lean[j])))
+        free[j] = False
+        closer = free & (info[j] > np.maximum(best, LEAST_INFORMATION))
+        best[closer], lean[closer] = info[j][closer], j
+    return out
+
+
+def label_model(bits: np.ndarray, count: np.ndarray, signs: np.ndarray, rounds: int = 40) -> tuple[np.ndarray, np.ndarray, list[tuple[int, int]]]:
+    """(posterior probability of "toxic" for each mask, each class's probability of each voter's vote, pairwise factors).
+
+    A class's distribution is a product over voters, each given the voter it leans on, if any: pairwise factors along a tree. EM
+    estimates votes, factors and the prior from weighted masks; the tree is chosen when the classes have taken shape, and again.
+    """
     n, v = bits.shape
-    weight = unknown * UNLABELLED
-    if known.sum() > 0 and known[:, 1].sum() > 0:
-        post = np.where(known.sum(1) > 0, (known[:, 1] + 0.01) / (known.sum(1) + 0.1), bits.any(1) * 0.5)
-    else:
-        post = np.where(bits.any(1), 0.9, 0.02)
-    for _ in range(rounds):
-        one, zero = known[:, 1] + weight * post, known[:, 0] + weight * (1 - post)
-        p1 = (one @ bits + 0.5) / (one.sum() + 2)
-        p0 = (zero @ bits + 0.02) / (zero.sum() + 2)
-        prior = (one.sum() + 0.5) / (one.sum() + zero.sum() + 5)
-        shrink = np.ones(v)
-        for total, p in ((one, p1), (zero, p0)):
-            if total.sum() > 20:
-                d = bits - p
-                cov = (d * total[:, None]).T @ d / total.sum()
-                sd = np.sqrt(np.clip(np.diag(cov), 1e-9, None))
-                rho = cov / sd / sd[:, None]
-                np.fill_diagonal(rho, 0)
-                shrink = np.maximum(shrink, 1 + np.clip(rho, 0, 1).sum(1))
-        yes, no = np.log(p1 / p0), np.log((1 - p1) / (1 - p0))
-        logit = np.log(prior / (1 - prior)) + (bits * yes + (1 - bits) * no) @ (1 / shrink)
-        post = 1 / (1 + np.exp(-np.clip(logit, -30, 30)))
-    return post
+    b = bits.astype(int)
+    one_hot = np.stack([1 - bits, bits], 2)
+    # One imagined text a class, so that a handful of texts is read by the votes' signs.
+    vote = np.stack([np.where(signs > 0, 0.03, 0.3), np.where(signs > 0, 0.3, 0.03)])
+    belief = np.stack([1 - vote, vote], 2)
+    post = _sigmoid(2.0 * (bits @ signs) - 4.0)  # at first, of more than two votes more than against it
+    factors = [(j, -1) for j in range(v)]
+    rate = np.zeros((2, v))
+    for turn in range(rounds):
+        share = np.stack([count * (1 - post), count * post])
+        joint = np.einsum("yn,nja,nkb->yjkab", share, one_hot, one_hot) + np.einsum("yja,ykb->yjkab", belief, belief)
+        for j in range(v):  # a voter with itself
+            own = np.einsum("yn,na->ya", share, one_hot[:, j]) + belief[:, j]
+            joint[:, j, j] = np.stack([np.diag(o) for o in own]) + 1e-12
+        if turn in (rounds // 4, rounds // 2):
+            factors = _tree(joint)
+        logs = np.zeros((2, n))
+        for j, k in factors:
+            own = np.einsum("yaa->ya", joint[:, j, j])
+            own = own / own.sum(1, keepdims=True)
+            rate[:, j] = own[:, 1]
+            if k < 0:
+                logs += np.log(own)[:, b[:, j]]
+            else:
+                given = joint[:, j, k] / joint[:, j, k].sum(1, keepdims=True)
+                logs += np.log(given)[:, b[:, j], b[:, k]]
+        prior = np.log((share.sum(1) + 0.5) / (count.sum() + 1))
+        post = _sigmoid(prior[1] - prior[0] + logs[1] - logs[0])
+    return post, rate, [f for f in factors if f[1] >= 0]
 
 
 def linear(bits: np.ndarray, target: np.ndarray, weight: np.ndarray, ridge: float = 0.3, rounds: int = 40) -> np.ndarray:
@@ -194,36 +236,40 @@ def linear(bits: np.ndarray, target: np.ndarray, weight: np.ndarray, ridge: floa
     return w
 
 
+def calibration(logit: np.ndarray, known: np.ndarray) -> tuple[float, float]:
+    """Slope and offset that fit the logits of masks to the counts of labels 0 and 1; 1 and 0 without both."""
+    if not known[:, 0].sum() or not known[:, 1].sum():
+        return 1.0, 0.0
+    both = np.concatenate([logit, logit])[:, None]
+    w = linear(both, np.r_[np.zeros(len(logit)), np.ones(len(logit))], np.r_[known[:, 0], known[:, 1]], 0.02)
+    return (float(w[0]), float(w[1])) if w[0] > 0 else (1.0, 0.0)
+
+
 def fit(documents: DataFrame, labels: DataFrame, label: str = "toxic", held_out: tuple[int, int] = (4, 2), id_col: str = "doc_id", text_col: str = "text", limit: int = MAX_LABELLED) -> Model:
     """The voters and the classifier; labels come only from rows that are not held out."""
     ship_package(documents.sparkSession)
     docs = documents.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
     lab = F.broadcast(labelled(labels, label, id_col, held_out, limit))  # at most limit rows of two numbers
     sample = docs.join(lab, "id").withColumn("half", F.pmod(F.xxhash64("text"), F.lit(2)).cast("int"))
-    strong, other = find_stems(sample)
-    v = VOTERS
-    masks = docs.select("id", votes(F.col("text"), strong, other).alias("mask")).join(lab, "id", "left")
-    rows = masks.groupBy("mask", "y").count().collect()  # at most 3 * 2 ** v rows
-    held = sorted({r["mask"] for r in rows} | {0})
+    stems = find_stems(sample)
+    masks = docs.select("id", votes(F.col("text"), stems).alias("mask")).join(lab, "id", "left")
+    rows = masks.groupBy("mask", "y").count().collect()  # three rows a mask at most, and a text has few of the masks' many bits
+    held = sorted({r["mask"] for r in rows} | {1 << (len(VOTERS) - 4)})
     at = {m: i for i, m in enumerate(held)}
-    known, unknown = np.zeros((len(held), 2)), np.zeros(len(held))
+    known, count = np.zeros((len(held), 2)), np.zeros(len(held))
     for r in rows:
-        if r["y"] is None:
-            unknown[at[r["mask"]]] += r["count"]
-        else:
+        count[at[r["mask"]]] += r["count"]
+        if r["y"] is not None:
             known[at[r["mask"]], int(r["y"] > 0)] += r["count"]
-    bits = np.array([[m >> j & 1 for j in range(v)] for m in held], float)
-    post = label_model(bits, known, unknown)
-    target = np.concatenate([post, post])
-    weight = np.concatenate([known.sum(1), unknown * UNLABELLED])
-    if weight.sum() == 0:
-        weight = np.ones(len(weight))
-    w = linear(np.r_[bits, bits], target, weight / max(weight.sum() / 5000, 1.0))
-    return Model(strong, other, tuple(float(x) for x in w))
+    bits = np.array([[m >> j & 1 for j in range(len(VOTERS))] for m in held], float)
+    post = label_model(bits, count, np.array(VOTERS, float))[0]
+    w = linear(bits, post, np.maximum(count, 0.01) / max(count.sum() / 5000, 1.0))
+    slope, offset = calibration(bits @ w[:-1] + w[-1], known)
+    return Model(stems, (*(float(slope * x) for x in w[:-1]), float(slope * w[-1] + offset)))
 
 
-def score(documents: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The documents with a column toxicity_score from 0 to 1."""
+def scored(text: Column, model: Model) -> Column:
+    """The score from 0 to 1 of a text, as one expression, so that a filter on it works it out once."""
 
     def logistic(mask: Column) -> Column:
         logit = F.lit(model.weights[-1])
@@ -231,13 +277,17 @@ def score(documents: DataFrame, model: Model, id_col: str = "doc_id", text_col:
             logit = logit + F.when(mask.bitwiseAND(1 << j) != 0, F.lit(w)).otherwise(F.lit(0.0))
         return 1 / (1 + F.exp(-logit))
 
-    # One expression, so that a filter on the score works it out once.
-    return documents.withColumn("toxicity_score", let(votes(F.col(text_col), model.strong, model.other), logistic))
+    return let(votes(text, model.stems), logistic)
+
+
+def keep_clean(documents: DataFrame, model: Model, text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
+    """The documents, with all their columns, whose score is below the threshold."""
+    return documents.where(scored(F.col(text_col), model) < threshold)
 
 
 def classify(documents: DataFrame, labels: DataFrame, label: str = "toxic", held_out: tuple[int, int] = (4, 2), id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
     """One row a document: id, held_out, score, predicted."""
     model = fit(documents, labels, label, held_out, id_col, text_col)
-    scored = score(documents.select(id_col, text_col), model, id_col, text_col)
     out = F.coalesce(remainder(F.col(id_col), held_out[0]) == held_out[1], F.lit(False))
-    return scored.select(id_col, out.alias("held_out"), F.col("toxicity_score").alias("score"), (F.col("toxicity_score") >= threshold).cast("int").alias("predicted"))
+    rows = documents.select(F.col(id_col), out.alias("held_out"), scored(F.col(text_col), model).alias("score"))
+    return rows.withColumn("predicted", (F.col("score") >= threshold).cast("int"))

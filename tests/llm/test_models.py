@@ -1,5 +1,6 @@
 """Classifiers, url filters, vectors and the pipeline."""
 
+import re
 import zlib
 
 import numpy as np
@@ -22,8 +23,8 @@ def test_toxicity_held_out(spark):
     truth = {r.doc_id: r.toxic for r in labels.collect()}
     assert len(rows) == docs.count() and all(r.held_out == held(r.doc_id, 4, 2) and 0 <= r.score <= 1 and r.predicted == (r.score >= 0.3) for r in rows)
     out = [r for r in rows if r.held_out and r.doc_id in truth]
-    assert sum(r.predicted and not truth[r.doc_id] for r in out) <= 2
-    assert sum(r.predicted for r in out if truth[r.doc_id]) >= 0.5 * sum(truth[r.doc_id] for r in out)
+    assert sum(r.predicted and not truth[r.doc_id] for r in out) <= 1
+    assert sum(r.predicted for r in out if truth[r.doc_id]) >= 0.6 * sum(truth[r.doc_id] for r in out)
 
 
 def test_toxicity_edges(spark):
@@ -34,12 +35,76 @@ def test_toxicity_edges(spark):
     assert toxicity.classify(docs.limit(0), labels.limit(0)).count() == 0
 
 
-def test_label_model_and_classifier():
+def brute_mask(text, stems):
+    """The votes on a text, by plain loops."""
+    whole = text or ""
+    low = whole.lower()
+    seeds = {w: g for g, words in enumerate(toxicity.SEED_GROUPS) for w in words}
+    learned = {x: g for g, words in enumerate(stems) for x in words}
+    hits, at = [], 0
+    while at < len(low):  # matches don't overlap, and begin where no letter stands before
+        found = ""
+        if not (at and low[at - 1].isalpha()):
+            whole_words = [w + e for w in seeds for e in ("s", "") if low.startswith(w + e, at) and not low[at + len(w + e) : at + len(w + e) + 1].isalpha()]
+            found = max(whole_words, key=len, default="") or next((x for x in learned if low.startswith(x, at)), "")
+        if found:
+            hits.append(found)
+        at += max(len(found), 1)
+    if not hits:
+        return 1 << (len(toxicity.VOTERS) - 4)
+    seed_of = lambda h: seeds.get(h, seeds.get(h[:-1]) if h.endswith("s") else None)
+    bits = [any(seed_of(h) == g for h in hits) for g in range(len(toxicity.SEED_GROUPS))] + [any(learned.get(h) == g for h in hits) for g in range(len(stems))]
+    seeded, n = any(seed_of(h) is not None for h in hits), len(re.findall(r"[^\x00-\x20]+", low))
+    bound = lambda x: rf"(?<![^\W\d_])(?:{x})(?![^\W\d_])"
+    names, address = "|".join(map(re.escape, toxicity.SEEDS)), "|".join(map(re.escape, toxicity.ADDRESS))
+    bits += [seeded and bool(re.search(bound(address) + r"[^.!?\n]{0,40}" + bound(names), low)), seeded and bool(re.search(bound(names.upper()), whole))]
+    bits += [len(hits) >= 3, len(set(hits)) >= 2, len(set(hits)) >= 4, len(hits) * 100 >= n]
+    bits += [False, len(hits) == 1 and n >= 400, len(hits) * 500 < n, seeded and bool(re.search(f"[\"'\u201c\u00ab](?:{names})[\"'\u201d\u00bb]", low))]
+    return sum(1 << k for k, x in enumerate(bits) if x)
+
+
+def test_votes_against_brute_force(spark):
+    r = np.random.default_rng(4)
+    stems = (("zorg", "blix"), ("quam",), (), (), (), ("ferd",))
+    words = [*toxicity.SEEDS, "IDIOT", "Morons", "clowns", "idiotic", "zorgon", "blix", "quamquam", "aferd", "ferdé", "you", "tu", "the", "calm", "river", "\"loser\"", "n1", "été", "scum.", "\n", "«puta»"]
+    texts = [" ".join(r.choice(words[-19:] if k % 2 else words, r.integers(0, 12)).tolist() + ["plain"] * int(r.choice([0, 0, 20, 450, 1200]))) for k in range(150)] + [None, "", "x" * 300_000, "idiot " * 20_000]
+    df = spark.createDataFrame(list(enumerate(texts)), "i int, t string")
+    got = {x.i: x.m for x in df.select("i", toxicity.votes(F.col("t"), stems).alias("m")).collect()}
+    want = {k: brute_mask(t, stems) for k, t in enumerate(texts)}
+    assert got == want and len(set(got.values())) > 30
+
+
+def test_label_model_finds_accuracies_without_labels():
+    """Votes drawn with known accuracies, two voters nearly copies of each other; no label is given."""
+    r = np.random.default_rng(5)
+    n, rates = 40_000, {1: [0.9, 0.8, 0.7, 0.6, 0.6, 0.05], 0: [0.03, 0.02, 0.05, 0.01, 0.02, 0.5]}
+    y = (r.random(n) < 0.12).astype(int)
+    votes = np.stack([r.random(n) < np.where(y, rates[1][j], rates[0][j]) for j in range(6)], 1)
+    votes = np.c_[votes, np.where(r.random(n) < 0.95, votes[:, 3], r.random(n) < 0.5)].astype(int)
+    masks, inverse, count = np.unique(votes, axis=0, return_inverse=True, return_counts=True)
+    post, rate, factors = toxicity.label_model(masks.astype(float), count.astype(float), np.array([1, 1, 1, 1, 1, -1, 1], float))
+    assert np.mean((post[inverse.ravel()] > 0.5) == y) > 0.98
+    assert np.allclose(rate[1, :6], rates[1], atol=0.05) and np.allclose(rate[0, :6], rates[0], atol=0.05)
+    assert {frozenset(f) for f in factors} >= {frozenset((3, 6))}
+
+
+def test_classifier_and_calibration():
     bits = np.array([[0, 0], [1, 0], [0, 1], [1, 1]], float)
-    post = toxicity.label_model(bits, np.array([[90, 2], [1, 20], [15, 3], [0, 15]], float), np.array([900, 100, 150, 60], float))
-    assert post[0] < 0.1 < post[2] < post[1] <= post[3] and post[1] > 0.8
-    w = toxicity.linear(bits, post, np.array([92, 21, 18, 15], float))
+    w = toxicity.linear(bits, np.array([0.02, 0.9, 0.3, 0.97]), np.array([92, 21, 18, 15], float))
     assert w[0] > w[1] > 0
+    logit = bits @ w[:-1] + w[-1]
+    slope, offset = toxicity.calibration(logit, np.array([[90, 2], [5, 20], [15, 3], [1, 15]], float))
+    share = 1 / (1 + np.exp(-(slope * logit + offset)))
+    assert abs(share @ np.array([92, 25, 18, 16]) - 40) < 2 and toxicity.calibration(logit, np.array([[9, 0]] * 4, float)) == (1.0, 0.0)
+
+
+def test_toxic_documents_leave_with_their_columns(spark):
+    docs = spark.createDataFrame([(1, "you idiot, pathetic loser, scum and trash", 0.7, "a"), (2, "a calm river", 0.2, "b"), (None, None, None, None)], "doc_id long, text string, toxicity_score double, low string")
+    labels = spark.createDataFrame([(1, 1), (2, 0)], "doc_id long, toxic int")
+    model = toxicity.fit(docs, labels)
+    assert toxicity.keep_clean(docs, model).columns == docs.columns
+    left = {r.doc_id: r.toxicity_score for r in docs.withColumn("s", toxicity.scored(F.col("text"), model)).orderBy("s").collect()}
+    assert list(left)[-1] == 1 and left == {1: 0.7, 2: 0.2, None: None}
 
 
 def test_quality_held_out(spark):
