@@ -10,7 +10,6 @@ which gives them no tokens; null ids stay.
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from caselight.llm import bpe, decontaminate, near_dup, pii, toxicity
 from caselight.llm.shared import Scratch
@@ -19,7 +18,7 @@ from caselight.llm.shared import Scratch
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Toxicity (9): the documents whose score is below the threshold."""
     model = toxicity.fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
-    return toxicity.score(docs, model).where(F.col("toxicity_score") < toxicity.THRESHOLD).select(docs.columns)
+    return toxicity.keep_clean(docs, model)
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -50,10 +49,9 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The stages in order; what each returns is written, as Parquet in the shared folder, and read again."""
-    scratch = Scratch(spark)
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES[:-1]:
-        done = scratch.write(stage(spark, docs, sf_dir))
-        scratch.keep_only(done)
-        docs = done
-    return STAGES[-1][1](spark, docs, sf_dir)
+    with Scratch(spark) as scratch:
+        docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+        for _, stage in STAGES[:-1]:
+            docs = scratch.write(stage(spark, docs, sf_dir))
+            scratch.keep_only(docs)
+        return STAGES[-1][1](spark, docs, sf_dir)
