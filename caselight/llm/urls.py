@@ -1,26 +1,32 @@
 """URL filters (3), with DataFrame functions only: a ratio of two character language models.
 
-Rules (host and path prefix) judge the urls they fit. The rest are judged by two Markov models of characters,
-one of the urls that rules allow and one of those they block: each character's probability after the two before
-it, smoothed by the same after one, after none and a uniform share (contexts not seen fall back to shorter
-ones). A url's score is the difference of its log-likelihoods over its length; the threshold lies between the
-two classes' means, nearer to the class that spreads less, and scores from it on are allowed.
-
-Urls enter the models without their scheme, A-Z lowered, digits alike and in an alphabet of SYMBOLS codes, so
-a model has SYMBOLS ** 3 weights whatever the input: that bound allows one broadcast row. Counts are gathered
-over all urls that rules judge, combined before their shuffle.
+Rules (host and path prefix) judge the urls they fit. The rest are judged by two variable-order Markov models of
+characters, one of the urls that rules allow and one of those they block. A character's context is the longest run of up to
+ORDER characters before it that makes up at least SHARE of all places of both classes (runs of up to BASE always
+count); its probability is smoothed by the one after the next shorter context, down to none and a uniform share. A url's score is
+the difference of its log-likelihoods over its length. The cut is calibrated on urls that the models haven't seen: of the
+rule-judged urls, a share of 1 in HELD_OUT (by hash) is kept out of the counts, and the cut is the one that makes the
+least sum of error shares of their two classes, the middle one of equals. Urls that score the cut or more are allowed.
+
+Urls enter the models without their scheme, A-Z lowered, digits alike and in an alphabet of SYMBOLS codes. Counts are
+gathered over all urls that rules judge, combined before their shuffle; runs of ORDER + 1 codes are counted once, shorter
+ones are sums of these. A context of a kept one is kept, too, and at most 1 / SHARE contexts of a length are, so the models'
+weights have a bound whatever the input: SYMBOLS ** (BASE + 1) rows and SYMBOLS / SHARE for each longer length, which
+allows their broadcast. Different urls are scored once: their characters meet the weights in broadcast joins and are
+summed before the shuffle, which moves urls, never pages' other columns; the scores go back to the pages by url.
 
 Defined results: null urls or urls without "://" have empty host and path and no rule, the models judge what
-text they have; an empty text scores 0; if no url of either class is known, scores are 0 and the verdict is
-allow. Equal urls get equal verdicts; repeated rows each give a row; empty tables give empty results. Other
-columns aren't read.
+text they have; an empty text scores 0; if no url of either class is known, scores are 0, and if none is held out of either
+class, the cut is 0; then 0 is allowed. Equal urls get equal verdicts; repeated rows each give a row; empty tables give empty
+results; null ids stay null. Other columns aren't read.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from caselight.functions.text import let
 from caselight.llm.shared import Scratch
 
 #: Action, host, path.
@@ -31,6 +37,11 @@ ALPHABET = _LOWER + "0./-_?=&%#:"
 SYMBOLS = len(ALPHABET) + 2
 START = SYMBOLS - 1
 SMOOTHING = 2.0
+#: Characters of the longest contexts, of those that are always used, and the least share of all places of the others.
+ORDER, BASE, SHARE = 5, 2, 2e-4
+HELD_OUT = 5
+#: Steps of the cut, and the scores between which it lies.
+STEP, MOST = 0.005, 8.0
 
 
 def host_and_path(url: Column) -> tuple[Column, Column]:
@@ -50,72 +61,99 @@ def matching_rule(host: Column, path: Column, rules=RULES) -> tuple[Column, Colu
     return rule, action
 
 
-def codes(url: Column) -> Column:
-    """The url's codes of three: the character and the two before it."""
+def runs(url: Column) -> Column:
+    """For each character of a url the number of the run of codes that ends with it: up to ORDER before it and its own."""
     at = F.locate("://", url)
     text = F.when(at > 0, F.substring(url, at + 3, F.length(url))).otherwise(F.coalesce(url, F.lit("")))
     flat = F.translate(text, _UPPER + "123456789", _LOWER + "000000000")
-    return F.when(F.length(flat) > 0, F.transform(F.split(flat, ""), lambda c: F.when(c == "", F.lit(0)).otherwise(F.instr(F.lit(ALPHABET), c)))).otherwise(F.array().cast("array<int>"))
-
-
-def _triples(c: Column) -> Column:
-    before = lambda i, k: F.when(i >= k, F.get(c, i - k)).otherwise(F.lit(START))
-    return F.transform(c, lambda x, i: before(i, 2) * (SYMBOLS * SYMBOLS) + before(i, 1) * SYMBOLS + x)
-
-
-def _log_ratio(counts: DataFrame) -> DataFrame:
-    """code, w: log p(allow) - log p(block) of the third character after the two others, for every code."""
-    s = SYMBOLS
-    spark = counts.sparkSession
-    n = spark.range(s**3).select(F.col("id").cast("int").alias("code")).join(counts, "code", "left").na.fill(0, ["n0", "n1"])
-    n = n.withColumn("a", F.floor(F.col("code") / (s * s))).withColumn("b", F.pmod(F.floor(F.col("code") / s), F.lit(s))).withColumn("c", F.pmod("code", F.lit(s)))
-    sums = lambda keys, name: n.groupBy(*keys).agg(*(F.sum(f"n{k}").alias(f"{name}{k}") for k in (0, 1)))
-    n = n.join(F.broadcast(sums(["a", "b"], "ab")), ["a", "b"]).join(F.broadcast(sums(["b", "c"], "bc")), ["b", "c"])
-    n = n.join(F.broadcast(sums(["b"], "b")), "b").join(F.broadcast(sums(["c"], "c")), "c")
-    total = n.agg(*(F.sum(f"n{k}").alias(f"t{k}") for k in (0, 1))).withColumn("one", F.lit(1))
-    n = n.withColumn("one", F.lit(1)).join(F.broadcast(total), "one")
-    logs = []
-    for k in (0, 1):
-        p = (F.col(f"c{k}") + SMOOTHING / s) / (F.col(f"t{k}") + SMOOTHING)
-        p = (F.col(f"bc{k}") + SMOOTHING * p) / (F.col(f"b{k}") + SMOOTHING)
-        p = (F.col(f"n{k}") + SMOOTHING * p) / (F.col(f"ab{k}") + SMOOTHING)
-        logs.append(F.log(p))
-    known = (F.col("t0") > 0) & (F.col("t1") > 0)
-    return n.select("code", F.when(known, logs[1] - logs[0]).otherwise(F.lit(0.0)).alias("w"))
-
-
-def fit(scratch: Scratch, parsed: DataFrame) -> DataFrame:
-    """One row: w, the weights by code, and t, the threshold. parsed holds tri (codes) and action."""
-    known = parsed.where("action IS NOT NULL")
-    one = known.select(F.explode("tri").alias("code"), (F.col("action") == "allow").cast("int").alias("y"))
-    counts = one.groupBy("code").agg(F.sum(1 - F.col("y")).alias("n0"), F.sum("y").alias("n1"))
-    weights = _log_ratio(counts).agg(F.transform(F.array_sort(F.collect_list(F.struct("code", "w"))), lambda x: x["w"]).alias("w"))
-    model = scratch.write(weights.withColumn("one", F.lit(1)))
-    s = _scored(known, model)
-    by = s.agg(*(f(F.when(F.col("action") == a, F.col("score"))).alias(f"{name}{a}") for a in ("allow", "block") for name, f in (("m", F.avg), ("s", F.stddev_pop))))
-    spread = F.col("sallow") + F.col("sblock")
-    t = F.when(spread > 0, (F.col("mallow") * F.col("sblock") + F.col("mblock") * F.col("sallow")) / spread).otherwise((F.col("mallow") + F.col("mblock")) / 2)
-    held = by.select(F.coalesce(t, F.lit(0.0)).alias("t"), F.lit(1).alias("one"))
-    out = scratch.write(model.join(F.broadcast(held), "one"))
-    scratch.drop(model)
-    return out
-
-
-def _scored(parsed: DataFrame, model: DataFrame) -> DataFrame:
-    """Adds the score; the model is one row of a fixed size."""
-    both = parsed.withColumn("one", F.lit(1)).join(F.broadcast(model), "one")
-    total = F.aggregate("tri", F.lit(0.0), lambda s, c: s + F.get(F.col("w"), c))
-    return both.withColumn("score", F.when(F.size("tri") > 0, total / F.size("tri")).otherwise(F.lit(0.0))).drop("w", "one")
+    padded = F.sequence(F.lit(1), F.lit(ORDER))
+    code = lambda c: F.when(c == "", F.lit(0)).otherwise(F.instr(F.lit(ALPHABET), c)).cast("long")
+    every = lambda f: F.concat(F.transform(padded, lambda _: F.lit(START).cast("long")), F.transform(F.split(f, ""), code))
+    run = lambda c, i: sum((F.get(c, i + ORDER - k) * SYMBOLS**k for k in range(1, ORDER + 1)), F.get(c, i + ORDER))
+    numbered = lambda f: let(every(f), lambda c: F.transform(F.sequence(F.lit(0), F.size(c) - ORDER - 1), lambda i: run(c, i)))
+    return let(flat, lambda f: F.when(F.length(f) > 0, numbered(f)).otherwise(F.array().cast("array<long>")))
+
+
+def _smoothed(k: int, shorter: str) -> list[Column]:
+    """Class k's probability of a run's last code, from the counts of the run, of its context, and the probability after the shorter context."""
+    return (F.col(f"n{k}") + SMOOTHING * F.col(f"{shorter}{k}")) / (F.col(f"c{k}") + SMOOTHING)
+
+
+def _models(scratch: Scratch, counts: DataFrame) -> dict[int, DataFrame]:
+    """Weights by length from BASE + 1 on, from counts (run, n0, n1): code, w = log p(allow) - log p(block) of the run's last code after those before it."""
+    s, spark = SYMBOLS, counts.sparkSession
+    sums = lambda df, key: df.groupBy(key.alias("code")).agg(*(F.sum(f"n{k}").alias(f"n{k}") for k in (0, 1)))
+    total = counts.agg(F.coalesce(F.sum("n0"), F.lit(0)).alias("t0"), F.coalesce(F.sum("n1"), F.lit(0)).alias("t1"))
+    total = scratch.write(total).select(F.struct("t0", "t1").alias("t")).scalar()
+    p: DataFrame | None = None
+    found = {}
+    for length in range(1, ORDER + 2):
+        seen = scratch.write(sums(counts, F.pmod("run", F.lit(s**length))))
+        context = seen.groupBy(F.floor(F.col("code") / s).cast("long").alias("context")).agg(*(F.sum(f"n{k}").alias(f"c{k}") for k in (0, 1)))
+        if length <= BASE + 1:
+            every = spark.range(s**length).select(F.col("id").alias("code"))
+        else:
+            kept = context.where(F.col("c0") + F.col("c1") >= SHARE * (total["t0"] + total["t1"]))
+            every = kept.select(F.explode(F.transform(F.sequence(F.lit(0), F.lit(s - 1)), lambda c: F.col("context") * s + c)).alias("code"))
+        rows = every.join(seen, "code", "left").withColumn("context", F.floor(F.col("code") / s).cast("long")).join(context, "context", "left").na.fill(0, ["n0", "n1", "c0", "c1"])
+        if p is None:
+            rows = rows.withColumn("q0", F.lit(1 / s)).withColumn("q1", F.lit(1 / s))
+        else:
+            rows = rows.withColumn("shorter", F.pmod("code", F.lit(s ** (length - 1)))).join(p.select(F.col("code").alias("shorter"), F.col("p0").alias("q0"), F.col("p1").alias("q1")), "shorter")
+        p = scratch.write(rows.select("code", *(_smoothed(k, "q").alias(f"p{k}") for k in (0, 1))))
+        if length > BASE:
+            known = (total["t0"] > 0) & (total["t1"] > 0)
+            found[length] = p.select("code", F.when(known, F.log("p1") - F.log("p0")).otherwise(F.lit(0.0)).alias("w"))
+    return found
+
+
+def fit(scratch: Scratch, known: DataFrame) -> dict[int, DataFrame]:
+    """The weights (code, w) of runs by their length, from urls with their action."""
+    one = known.select(F.explode(runs(F.col("url"))).alias("run"), (F.col("action") == "allow").cast("long").alias("y"))
+    counts = scratch.write(one.groupBy("run").agg(F.sum(1 - F.col("y")).alias("n0"), F.sum("y").alias("n1")))
+    return _models(scratch, counts)
+
+
+def scores(urls: DataFrame, models: dict[int, DataFrame]) -> DataFrame:
+    """url, score of different urls: the weights of its characters' longest runs that have one, over its length.
+
+    Weights are summed in whole billionths, so a score doesn't depend on the order of its terms.
+    """
+    rows = urls.where("url IS NOT NULL").select("url").distinct().select("url", F.explode(runs(F.col("url"))).alias("run"))
+    for length, weights in models.items():
+        held = F.broadcast(weights.select(F.col("code").alias(f"code{length}"), F.round(F.col("w") * 1e9).cast("long").alias(f"w{length}")))
+        rows = rows.join(held, F.pmod("run", F.lit(SYMBOLS**length)) == F.col(f"code{length}"), "left")
+    best = F.coalesce(*(f"w{length}" for length in sorted(models, reverse=True)))
+    return rows.groupBy("url").agg((F.sum(best) / F.count(F.lit(1)) / 1e9).alias("score"))
+
+
+def cut(scored: DataFrame) -> DataFrame:
+    """One row, t: the cut of the least sum of error shares over scored (action, score); 0 without both classes."""
+    place = F.ceil(F.greatest(F.lit(-MOST), F.least(F.lit(MOST), F.col("score"))) / STEP).cast("int")
+    steps = scored.groupBy(place.alias("i")).agg(F.count_if(F.col("action") == "allow").alias("a"), F.count_if(F.col("action") == "block").alias("b"))
+    up, all_ = Window.orderBy("i").rowsBetween(Window.unboundedPreceding, Window.currentRow), Window.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    # At most 2 * MOST / STEP + 1 rows. A cut above step i loses the allowed up to it and lets pass the blocked beyond it.
+    sums = steps.select("i", F.sum("a").over(up).alias("lost"), F.sum("b").over(up).alias("caught"), F.sum("a").over(all_).alias("a"), F.sum("b").over(all_).alias("b"), F.lead("i").over(Window.orderBy("i")).alias("next"))
+    error = F.col("lost") / F.col("a") + 1 - F.col("caught") / F.col("b")
+    rows = sums.where("a > 0 AND b > 0").select(error.alias("error"), ((F.col("i") + F.coalesce("next", F.col("i") + 1) - 1) / 2 * STEP + STEP / 2).alias("t"))
+    least = rows.agg(F.min_by(F.col("t"), F.struct("error", F.abs("t"))).alias("t"))
+    return least.select(F.coalesce("t", F.lit(0.0)).alias("t"))
 
 
 def judge(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", rules=RULES) -> DataFrame:
     """id, host, path, rule, verdict, score of every row."""
-    scratch = Scratch(pages.sparkSession)
     df = pages.select(F.col(id_col), F.col(url_col).alias("url"))
     host, path = host_and_path(F.col("url"))
-    df = df.withColumn("host", host).withColumn("path", path).withColumn("chars", codes(F.col("url")))
+    df = df.withColumn("host", host).withColumn("path", path)
     rule, action = matching_rule(F.col("host"), F.col("path"), rules)
-    df = df.withColumn("rule", rule).withColumn("action", action).withColumn("tri", _triples(F.col("chars"))).drop("chars")
-    out = _scored(df, fit(scratch, df))
-    verdict = F.coalesce("action", F.when(F.col("score") >= F.col("t"), "allow").otherwise("block"))
-    return out.select(id_col, "host", "path", "rule", verdict.alias("verdict"), "score")
+    df = df.withColumn("rule", rule).withColumn("action", action)
+    with Scratch(pages.sparkSession) as scratch:
+        known = df.where("action IS NOT NULL").select("url", "action")
+        out = F.pmod(F.xxhash64("url"), F.lit(HELD_OUT)) == 0
+        models = fit(scratch, known.where(~out))
+        found = scratch.write(scores(df, models))
+        t = scratch.write(cut(known.where(out).join(found, "url")))
+        scratch.keep_only(found, t)
+        scored = df.join(found, "url", "left").withColumn("score", F.coalesce("score", F.lit(0.0)))
+        verdict = F.coalesce("action", F.when(F.col("score") >= t.scalar(), "allow").otherwise("block"))
+        return scored.select(id_col, "host", "path", "rule", verdict.alias("verdict"), "score")

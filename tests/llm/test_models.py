@@ -1,5 +1,6 @@
 """Classifiers, url filters, vectors and the pipeline."""
 
+import collections
 import re
 import zlib
 
@@ -142,30 +143,68 @@ def test_urls(spark):
     assert {r.verdict for r in urls.judge(df.where("page_id = 82")).collect()} == {"allow"}
 
 
-def test_url_scores_against_brute_force(spark):
-    made = [f"https://h{i % 7}.example.{'org' if i % 3 else 'com'}/{'fr' if i % 2 else 'de'}/{i}" for i in range(60)]
-    df = spark.createDataFrame(list(enumerate(made)), "page_id long, url string")
-    rows = urls.judge(df).collect()
+def brute_url_models(rows, made, held_out):
+    """Weights by run of codes, longest runs that a character may use, from counts of all runs."""
     s, d = urls.SYMBOLS, urls.SMOOTHING
 
-    def triples(u):
-        text = u.split("://", 1)[1].lower()
-        codes = [urls.ALPHABET.find("0" if c.isdigit() else c) + 1 for c in text]
-        return list(zip([urls.START, urls.START, *codes][: len(codes)], [urls.START, *codes][: len(codes)], codes, strict=True))
+    def codes(u):
+        text = u.split("://", 1)[1] if "://" in u else u
+        return [urls.ALPHABET.find("0" if c.isdigit() else c) + 1 for c in text.translate(str.maketrans(urls._UPPER, urls._LOWER))]
+
+    def places(u):
+        c = [urls.START] * urls.ORDER + codes(u)
+        return [tuple(c[i : i + urls.ORDER + 1]) for i in range(len(c) - urls.ORDER)]
 
-    counts = [np.zeros((s, s, s)), np.zeros((s, s, s))]
+    n = [collections.Counter(), collections.Counter()]
     for r in rows:
-        if r.rule:
-            for t in triples(made[r.page_id]):
-                counts[r.verdict == "allow"][t] += 1
-    w = []
-    for n in counts:
-        p = (n.sum((0, 1)) + d / s) / (n.sum() + d)
-        p = (n.sum(0) + d * p[None]) / (n.sum((0, 2))[:, None] + d)
-        w.append(np.log((n + d * p[None]) / (n.sum(2)[:, :, None] + d)))
+        if r.rule and not held_out[r.page_id]:
+            for run in places(made[r.page_id]):
+                for k in range(urls.ORDER + 1):
+                    n[r.verdict == "allow"][run[urls.ORDER - k :]] += 1
+                    n[r.verdict == "allow"]["context", run[urls.ORDER - k : -1]] += 1
+    total = sum(n[0]["context", ()] + n[1]["context", ()] for _ in (0,))
+
+    def p(k, run):
+        shorter = p(k, run[1:]) if run else 1 / s
+        return (n[k][run] + d * shorter) / (n[k]["context", run[:-1]] + d) if run else shorter
+
+    def weight(run):
+        for k in range(urls.ORDER, urls.BASE, -1):
+            part = run[urls.ORDER - k :]
+            if n[0]["context", part[:-1]] + n[1]["context", part[:-1]] >= urls.SHARE * total:
+                break
+        else:
+            part = run[urls.ORDER - urls.BASE :]
+        return np.log(p(1, part)) - np.log(p(0, part))
+
+    return lambda u: float(np.mean([weight(x) for x in places(u)])) if u and codes(u) else 0.0
+
+
+def test_url_scores_against_brute_force(spark, monkeypatch):
+    monkeypatch.setattr(urls, "SHARE", 0.01)
+    made = [f"https://h{i % 7}.example.{('org', 'com', 'edu')[i % 3]}/{'fr' if i % 2 else 'de'}/Page-{i * 37 % 91}" for i in range(90)] + ["http://x.net/é?q=1", "x", "http://Y.Z/", "a" * 5000]
+    df = spark.createDataFrame([(i, u, 0.5) for i, u in enumerate(made)] + [(None, made[0], 0.1), (90, made[90], 0.2)], "page_id long, url string, score double")
+    rows = urls.judge(df).collect()
+    assert len(rows) == len(made) + 2
+    held = {r.page_id: r.h == 0 for r in df.select("page_id", F.pmod(F.xxhash64("url"), F.lit(urls.HELD_OUT)).alias("h")).collect()}
+    known = [r for r in rows if r.page_id is not None or r.rule]
+    again = [made[0] if r.page_id is None else made[r.page_id] for r in known]
+    copies = [type("R", (), {"page_id": i, "rule": r.rule, "verdict": r.verdict}) for i, r in enumerate(known)]
+    score = brute_url_models(copies, again, [held[r.page_id] for r in known])
     for r in rows:
-        t = triples(made[r.page_id])
-        assert abs(r.score - np.mean([w[1][x] - w[0][x] for x in t])) < 1e-9
+        assert abs(r.score - score(made[r.page_id or 0])) < 1e-8, made[r.page_id or 0]
+    out = [(r.score, r.verdict) for r in rows if r.rule and held[r.page_id]]
+    allow, block = [x for x, v in out if v == "allow"], [x for x, v in out if v == "block"]
+    error = lambda t: sum(x < t for x in allow) / len(allow) + sum(x >= t for x in block) / len(block)
+    said = [(r.score, r.verdict) for r in rows if not r.rule]
+    low, high = max((x for x, v in said if v == "block"), default=-9), min((x for x, v in said if v == "allow"), default=9)
+    assert low < high and min(error(t) for t in np.arange(low, high + 1e-9, 0.001)[1:]) <= min(error(t) for t in np.arange(-8, 8, 0.01)) + 1e-9
+
+
+def test_urls_of_one_class_only(spark):
+    df = spark.createDataFrame([(i, f"http://a{i}.net/") for i in range(20)] + [(50, "http://b.edu/"), (51, "")], "page_id long, url string")
+    rows = urls.judge(df).collect()
+    assert all(r.score == 0 for r in rows) and {r.verdict for r in rows if not r.rule} == {"allow"}
 
 
 def brute_vectors(rows, cosine):
