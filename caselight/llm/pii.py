@@ -4,14 +4,16 @@ Base spans are fixed by format: e-mail addresses, IPv4 addresses, card numbers t
 international phone numbers. High-recall generators propose further, possibly overlapping spans: spelt-out
 addresses, national phone numbers, IPv6, IBAN, identity numbers, secrets by shape and values assigned to
 words such as "token". Each candidate gets format features and features of the text just before and after it,
-all defined by one table of patterns. Gradient-boosted trees of depth 2, fitted with numpy on TRAIN generated
-examples (personal data and look-alikes such as dates, versions and order numbers), score it; the threshold of
-each kind is the least that keeps PRECISION on generated examples held out from the fit. Accepted
+all defined by one table of patterns. Gradient-boosted trees of depth 3 score it. They are fitted with numpy on TRAIN examples
+of one family of carriers, sentences in four languages that hold personal data or look-alikes (digests, commits, dates, versions,
+order numbers, serial numbers); the threshold of each kind is the least that keeps PRECISION on a second family, whose
+sentences and look-alikes the trees haven't seen, and a third one measures both (tests and README). Accepted
 candidates become spans unless they overlap a base span or an accepted one that starts before them.
 
 The trees become CASE expressions, so scoring stays on the scan: no shuffle, no Python on executors. Places are
 sums of the lengths of what lies between matches (code points), added in blocks, so a text with n matches costs
-n * BLOCK steps. The patterns use possessive repeats and don't recurse with the length of the text.
+n * BLOCK steps; added spans meet base spans in one pass over both in order. Lists that grow are copied as they grow: a pass
+over n spans costs n steps and copies n * n / 2 references, and redaction cuts n pieces from the text. The patterns use possessive repeats and don't recurse with the length of the text.
 
 Defined results: null or empty texts have no spans; equal rows give equal rows; null ids stay null; empty
 tables give empty results; other columns stay as they are (redact) or aren't read (find).
@@ -34,7 +36,7 @@ BLOCK = 32
 TRAIN = 6000
 ROUNDS = 30
 PRECISION = 0.97
-CONTEXT = 28
+CONTEXT = 40
 
 _LOCAL = r"[A-Za-z0-9._%+-]"
 #: The base patterns; possessive, and tried only where an earlier start in the same run could not fail alike.
@@ -53,77 +55,107 @@ GENERATORS = {
     "phone": (r"(?<![0-9+().-])(?:\([0-9]{3}\)\x20?|[0-9]{3}[\x20.-])[0-9]{3}[\x20.-][0-9]{4}(?![0-9-])", r"[0-9]{3}[\x20.-][0-9]{4}"),
     "iban": (r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]{4}){2,7}+(?:\x20?[A-Z0-9]{1,3})?(?![A-Za-z0-9])", r"[A-Z]{2}[0-9]{2}"),
     "identity": (r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])", r"[0-9]-[0-9]{2}-[0-9]"),
-    "secret": (r"(?<![A-Za-z0-9])(?:(?=[A-Fa-f]{0,31}[0-9])(?=[0-9]{0,31}[A-Fa-f])[0-9A-Fa-f]{32,128}+(?![A-Za-z0-9])|(?:AKIA|ASIA)[A-Z0-9]{16}|(?i:gh[pousr]_|sk-)[A-Za-z0-9]{20,60}+|(?<=(?i:token|secret|password|passwd|api_key|apikey)\x20{0,2}[=:]\x20{0,2}[\"']{0,1})[^\s\"']{6,128}+)", r"[0-9A-Fa-f]{32}|AKIA|ASIA|(?i:gh[pousr]_|sk-|(?:token|secret|password|passwd|api_key|apikey)\x20{0,2}[=:])"),
+    "secret": (r"(?<![A-Za-z0-9])(?:(?<=(?i:password|passwort|passwd|passphrase|token|contraseña|mot de passe)\x20(?i:is|was|ist|lautet|est|es)\x20{1,2}[\"'«]{0,1})[^\s\"'»]{6,128}+|(?=[A-Fa-f]{0,31}[0-9])(?=[0-9]{0,31}[A-Fa-f])[0-9A-Fa-f]{32,128}+(?![A-Za-z0-9])|(?:AKIA|ASIA)[A-Z0-9]{16}|(?i:gh[pousr]_|sk-)[A-Za-z0-9]{20,60}+|(?<=(?i:token|secret|password|passwd|api_key|apikey)\x20{0,2}[=:]\x20{0,2}[\"']{0,1})[^\s\"']{6,128}+)", r"[0-9A-Fa-f]{32}|AKIA|ASIA|(?i:(?:password|passwort|passwd|passphrase|token|contraseña|mot de passe)\x20(?:is|was|ist|lautet|est|es)\x20)|(?i:gh[pousr]_|sk-|(?:token|secret|password|passwd|api_key|apikey)\x20{0,2}[=:])"),
 }
 
 #: Features: of the match, the text before or the text after it; "n" counts matches of the pattern, "?" tests it.
 FEATURES = (
     ("match", "n", r"[0-9]"),
     ("match", "n", r"[A-Za-z]"),
+    ("match", "n", r"[A-Z]"),
     ("match", "n", r"[\x20.:()-]"),
+    ("match", "n", r"[^A-Za-z0-9\x20.:()-]"),
     ("match", "?", r"^[0-9A-Fa-f]+$"),
-    ("match", "?", r"^(?:[0-9]{4}[-.][0-9]{2}[-.][0-9]{2}|(?:000|666|9[0-9]{2})-|[0-9]{3}-00-|[0-9]{3}-[0-9]{2}-0000)"),
-    ("match", "?", r"^(?:0[0-9]{2}|\(0|1[0-9]{2}|\(1)"),
-    ("match", "?", r"[A-Z].*[0-9]|[0-9].*[A-Z]"),
-    ("match", "?", r"(?:\(at\)|\[at\]|\{at\}).*(?:\(dot\)|\[dot\]|\{dot\}|\.)"),
-    ("match", "?", r"\x20at\x20.*(?:\x20dot\x20|\.)[A-Za-z]{2,4}$"),
-    ("before", "?", r"(?i)(?:token|key|secret|passw|pwd|auth|bearer)[^\n]{0,10}$"),
-    ("before", "?", r"(?i)(?:phone|tel|call|mobile|fax|cell|contact)[^\n]{0,12}$"),
-    ("before", "?", r"(?i)(?:iban|account|acct|bank|ssn|social|identity|passport)[^\n]{0,14}$"),
-    ("before", "?", r"(?i)(?:order|invoice|version|isbn|page|fig|item|ref|part|commit|checksum|sha|md5|etag|serial)[^\n]{0,10}$"),
-    ("before", "?", r"(?i)(?:mail|write to|reach|address|contact)[^\n]{0,12}$"),
+    ("match", "?", r"[a-z].*[0-9]|[0-9].*[a-z]|[A-Z].*[0-9]|[0-9].*[A-Z]"),
+    ("match", "?", r"^(?:0|\(0|1|\(1)"),
+    ("match", "?", r"^(?:[09]|666)|-00-|-0000$"),
+    ("match", "?", r"[(\[{]"),
+    ("match", "?", r"\x20dot\x20|\.[a-z]{2,4}$"),
+    ("match", "?", r"\x20"),
+    ("match", "?", r"(?i)^[a-z]+[.,;:!?]*$"),
+    ("before", "?", r"(?i)(?:token|key|secret|passw|passphrase|contrase|mot\x20de\x20passe|pwd|auth|bearer|credential)[^\n]{0,16}$"),
+    ("before", "?", r"(?i)(?:phone|tel|call|mobil|fax|cell|contact|ring|dial|llam|appel|anruf|nummer)[^\n]{0,24}$"),
+    ("before", "?", r"(?i)(?:iban|account|acct|bank|konto|compte|cuenta)[^\n]{0,24}$"),
+    ("before", "?", r"(?i)(?:ssn|social|identity|passport|insurance|tax)[^\n]{0,24}$"),
+    ("before", "?", r"(?i)(?:sha|md5|crc|hash|digest|checksum|sum|commit|revision|etag|uuid|blob|fingerprint|build|object)[^\n]{0,28}$"),
+    ("before", "?", r"(?i)(?:order|invoice|version|isbn|issn|page|fig|item|ref|part|serial|ticket|batch|lot|sku|parcel|model|release|score|time|clock)[^\n]{0,24}$"),
+    ("before", "?", r"(?i)(?:mail|write\x20to|reach|address|contact|send|schreib|écri|escrib)[^\n]{0,24}$"),
+    ("before", "?", r"[=:]\x20{0,2}[\"']?$"),
+    ("before", "?", r"[\"'«]$"),
+    ("before", "?", r"(?i)\x20(?:is|was|ist|est|es|lautet)\x20{1,2}[\"'«]?$"),
     ("before", "?", r"[0-9A-Za-z][.:-]?$"),
     ("after", "?", r"^[.:-]?[0-9A-Za-z%]"),
+    ("after", "?", r"^[\"'»]"),
 )
 
+#: Carriers: for each family and kind, sentences that hold personal data (#) and sentences that hold look-alikes.
+_CARRIERS = {
+    "fit": {
+        "email": (("write to #", "contact: #", "you reach me at #.", "mail # for details", "# is my address", "écrivez à #", "Schreib an #,"), ("we met # yesterday", "look # later", "the boat lay #,", "he pointed # and")),
+        "ip": (("host # answered", "from # port 22", "address: #", "route via #", "ping #"), ("the clock showed #", "duration #,", "time code # of the film", "ratio # in")),
+        "phone": (("call #", "tel: #", "my mobile is #", "phone #, evenings", "Fax #", "appelez le #", "ring # now"), ("order #", "part no. #", "version #", "serial #,", "ISBN # (paper)", "item # of the list")),
+        "iban": (("IBAN #", "account: #", "pay to bank account #", "Konto #", "compte # svp"), ("serial #", "part #", "licence plate code #", "ref: #", "parcel # left")),
+        "identity": (("SSN #", "social security: #", "identity number #", "his social is #."), ("order #", "ticket # closed", "room #", "batch #,", "item: #")),
+        "secret": (('token = "#"', "api_key=#", "password: #", "secret: '#'", "Authorization: Bearer #", "my password is #", "TOKEN=#", "the key was #", 'passwd = "#";', "Passwort ist #"), ("commit #", "md5=#", "checksum: #", "sha256 # of the image", "ETag: \"#\"", "revision # broke it", "the sha1 of the archive is #")),
+    },
+    "calibrate": {
+        "email": (("send it to # today", "ask # about it", "my mail: #", "escriba a #", "- # (office)"), ("they arrived # noon and", "stay # home", "sold # last", "good # it")),
+        "ip": (("server #:", "client [#]", "listens on #", "blocked #"), ("at # sharp", "lap #;", "from minute # on", "offset #")),
+        "phone": (("reach us on #", "cell: #", "Anruf unter #", "dial # for help", "contact # or"), ("invoice #", "model #", "ref #", "lot # expires", "release # notes")),
+        "iban": (("transfer to #", "bank details: #", "cuenta #", "acct #"), ("model #", "sku #", "batch # of", "case #")),
+        "identity": (("ssn: #", "insurance no #", "tax identity #", "passport/social #"), ("invoice #", "version #", "fig. #", "score #")),
+        "secret": (("secret = #", 'api_key: "#"', "password=#", "export AUTH_TOKEN=#", "token: #", "the password was #", "mot de passe est #", "credentials key: #", "access key #"), ("the md5 of the file: #", "blob #", "build #", "digest #", "fingerprint #,", "hash of the text: #", "uuid #")),
+    },
+    "test": {
+        "email": (("questions? # please", "mailto #", "you may reach # any time", "Adresse: #"), ("he laughed # them", "we waited # dawn", "thrown # me")),
+        "ip": (("peer # timed out", "gateway: #", "login from #"), ("start # end", "runtime #", "clock: #")),
+        "phone": (("phone us: #", "call me at #", "mobile #;", "Llama al #"), ("ticket #", "part: #", "page # ff", "order no #")),
+        "iban": (("bank: #", "IBAN: #", "account no. #"), ("serial no #", "lot #", "parcel #")),
+        "identity": (("social: #", "identity #", "SSN is #"), ("ref. #", "order # of", "lot #")),
+        "secret": (('secret_token = "#"', "password: '#'", "api_key=#,", "the token is #", "bearer #", "contraseña es #"), ("sha #", "object #", "commit id #", "md5 sum: #", "etag #", "the checksum of the disc was #")),
+    },
+}
+FAMILIES = tuple(_CARRIERS)
+
 
-def _examples(n: int, seed: int) -> list[tuple[int, str, str, str, int]]:
-    """(kind, match, before, after, label) of generated personal data and look-alikes."""
-    r, case = random.Random(seed), random.Random(seed + 1)
+def examples(n: int, family: str) -> list[tuple[int, str, str, str, int]]:
+    """(kind, match, before, after, label) of generated personal data and look-alikes in a family's carriers."""
+    r = random.Random(17 + FAMILIES.index(family))
     word = lambda lo=3, hi=9: "".join(r.choice("abcdefghilmnoprstuvwz") for _ in range(r.randint(lo, hi)))
     digits = lambda k: "".join(r.choice("0123456789") for _ in range(k))
     code = lambda k, s="0123456789abcdef": "".join(r.choice(s) for _ in range(k))
     alnum = "ABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789"
-    neutral = ("", "the ", "and ", "in ", word() + " ", word() + ". ", word() + ", ")
-    serial = ("order ", "invoice no ", "ref: ", "part ", "item ", "commit ", "checksum: ", "sha ", "md5=", "serial ")
+    filler = lambda: " ".join(r.choice((word(), word(), word(2, 4), digits(r.randint(1, 4)), word().title(), word() + r.choice(".,;"))) for _ in range(r.randint(0, 6)))
     out = []
     for _ in range(n):
-        kind = r.choice(("email", "ip", "phone", "iban", "identity", "secret"))
-        label = int(r.random() < 0.55)
-        before, after = word() + " " + r.choice(neutral), r.choice((" ", ".", ", ", "\n", ""))
+        kind = r.choice(KINDS[:2] + KINDS[3:])
+        label = int(r.random() < 0.5)
+        carrier = r.choice(_CARRIERS[family][kind][1 - label])
         if kind == "email":
-            if label:
-                at, dot = r.choice((("(at)", "(dot)"), ("[at]", "[dot]"), (" at ", " dot "), (" (at) ", "."), (" at ", ".")))
-                m = word() + r.choice(("", "." + word(), digits(2))) + at + word() + dot + r.choice(("com", "org", "net", "de"))
-                before = r.choice((before, "mail ", "write to ", "contact: ", "reach me: "))
-            else:
-                m = word() + " at " + word() + r.choice((". " + word(), "." + word(5, 9).title()))
+            at, dot = r.choice((("(at)", "(dot)"), ("[at]", "[dot]"), (" at ", " dot "), (" (at) ", "."), (" at ", ".")))
+            m = word() + r.choice(("", "." + word(), digits(2))) + at + word() + dot + r.choice(("com", "org", "net", "de", "fr", "edu"))
+            m = m if label else word() + " at " + word() + r.choice((". " + word(), "." + word(5, 9).title()))
         elif kind == "ip":
-            m = ":".join(code(r.randint(1, 4)) for _ in range(8 if label else r.choice((4, 5))))
-            m = m if label else ":".join(digits(2) for _ in range(4))
+            m = ":".join(code(r.randint(1, 4)) for _ in range(8)) if label else ":".join(digits(2) for _ in range(r.choice((4, 4, 5))))
         elif kind == "phone":
-            body = f"{r.randint(200, 989)}", digits(3), digits(4)
-            if label:
-                m = r.choice(("({}) {}-{}", "{}-{}-{}", "{}.{}.{}", "{} {} {}")).format(*body)
-                before = r.choice((before, "call ", "tel: ", "phone ", "mobile: "))
-            else:
-                m = "{}{}{}{}{}".format("0" + digits(2), sep := r.choice(".- "), digits(3), sep, digits(4))
-                before = r.choice((*serial, "isbn ", "version ", word() + "1"))
+            sep = r.choice(".- ")
+            m = r.choice(("({}) {}-{}", "{}-{}-{}", "{}.{}.{}", "{} {} {}")).format(f"{r.randint(200, 989)}", digits(3), digits(4))
+            m = m if label or r.random() < 0.5 else r.choice("01") + digits(2) + sep + digits(3) + sep + digits(4)
         elif kind == "iban":
-            m = code(2, alnum[:26]) + digits(2) + (digits(r.choice((14, 16, 18))) if label else code(r.choice((8, 12)), alnum[:26]))
-            before = r.choice((before, "iban ", "account: ", "bank ")) if label else r.choice((before, *serial))
+            m = code(2, alnum[:26]) + digits(2) + (digits(r.choice((14, 16, 18))) if label else code(r.choice((8, 12, 16)), alnum))
         elif kind == "identity":
-            m = f"{r.randint(1, 665):03d}-{r.randint(1, 99):02d}-{r.randint(1, 9999):04d}" if label else r.choice(("000-", "9" + digits(2) + "-")) + digits(2) + "-" + digits(4)
-            before = r.choice((before, "ssn ", "social: ", "identity ")) if label else r.choice((before, *serial))
+            m = f"{r.randint(1, 665):03d}-{r.randint(1, 99):02d}-{r.randint(1, 9999):04d}"
+            m = m if label or r.random() < 0.5 else r.choice(("000-", "9" + digits(2) + "-", "666-")) + digits(2) + "-" + digits(4)
         else:
-            m = r.choice((code(40), code(32), code(64), code(24, alnum + alnum.lower()), "AKIA" + code(16, alnum)))
-            if label:
-                before = r.choice(('token = "', "secret: ", "api_key=", "password = '", "auth ", before if m.startswith("AKIA") else 'key: "'))
-            else:
-                m, before = code(r.choice((32, 40, 64))), r.choice(serial)
-            # Either in lower or upper case, as texts and the labels before them are.
-            m, before = m.upper() if case.random() < 0.4 else m, case.choice((before, before, before.upper(), before.title()))
-        out.append((KINDS.index(kind), m, before[-CONTEXT:], after, label))
+            m = code(r.choice((32, 40, 64)))
+            if label and r.random() < 0.6:
+                m = r.choice((code(24, alnum + alnum.lower()), code(r.choice((8, 10, 14)), alnum.lower() + "!$%&"), word(6, 9) + digits(2), "AKIA" + code(16, alnum), "sk-" + code(32, alnum.lower())))
+            if r.random() < 0.35:  # in upper case, with the words before it or without
+                m, carrier = m.upper(), r.choice((carrier, carrier.upper()))
+        if r.random() < 0.15:
+            carrier = r.choice((carrier.upper(), carrier.title()))
+        before, after = carrier.split("#", 1)
+        out.append((KINDS.index(kind), m, (filler() + r.choice((" ", ". ", "\n", ", ")) + before)[-CONTEXT:], (after + r.choice((" ", ".", ", ", "\n", ""))  + filler())[:4], label))
     return out
 
 
@@ -163,21 +195,26 @@ def _value(tree: Tree | float, x: np.ndarray) -> np.ndarray:
     return np.where(x[:, f] <= t, _value(left, x), _value(right, x))
 
 
+def _measured(family: str, n: int) -> tuple[np.ndarray, np.ndarray]:
+    rows = examples(n, family)
+    return np.array([_row(*r[:4]) for r in rows]), np.array([r[4] for r in rows], float)
+
+
 @lru_cache(maxsize=1)
 def model(n: int = TRAIN, rounds: int = ROUNDS, precision: float = PRECISION) -> tuple[tuple, tuple[float, ...]]:
-    """Boosted trees and, for each kind, the least score that keeps the precision on the held-out half."""
-    rows = _examples(n, 17)
-    x, y = np.array([_row(*r[:4]) for r in rows]), np.array([r[4] for r in rows], float)
-    fit = np.arange(n) % 2 == 0
+    """Boosted trees and, for each kind, the least score that keeps the precision on the family that they weren't fitted to."""
+    x, y = _measured("fit", n)
     score, trees = np.zeros(n), []
     for _ in range(rounds):
         p = 1 / (1 + np.exp(-score))
-        trees.append(_grow(x, y - p, p * (1 - p), fit, 2, 0.4))
+        trees.append(_grow(x, y - p, p * (1 - p), np.ones(n, bool), 3, 0.3))
         score += _value(trees[-1], x)
+    x, y = _measured("calibrate", n)
+    score = sum(_value(t, x) for t in trees)
     least = []
     for k in range(len(KINDS)):
-        at = np.flatnonzero(~fit & (x[:, 0] == k))
-        order = at[np.argsort(-score[at])]
+        at = np.flatnonzero(x[:, 0] == k)
+        order = at[np.argsort(-score[at], kind="stable")]
         ranked = score[order]
         last = np.r_[ranked[1:] < ranked[:-1], True] if len(order) else np.zeros(0, bool)  # of equal scores
         good = np.flatnonzero(last & (np.cumsum(y[order]) / np.arange(1, len(order) + 1) >= precision))
@@ -185,6 +222,14 @@ def model(n: int = TRAIN, rounds: int = ROUNDS, precision: float = PRECISION) ->
     return tuple(trees), tuple(least)
 
 
+def quality(family: str = "test", n: int = 4000) -> dict[str, tuple[float, float]]:
+    """Precision and recall by kind on a family of examples."""
+    trees, least = model()
+    x, y = _measured(family, n)
+    said = sum(_value(t, x) for t in trees) >= np.array(least)[x[:, 0].astype(int)]
+    return {kind: (float(y[at & said].mean()) if (at & said).any() else 1.0, float(said[at & (y == 1)].mean())) for k, kind in enumerate(KINDS) if (at := x[:, 0] == k).any()}
+
+
 def _tree(tree: Tree | float, features: list[Column]) -> Column:
     if isinstance(tree, float):
         return F.lit(tree)
@@ -259,7 +304,13 @@ def _with_spans(documents: DataFrame, text_col: str) -> DataFrame:
         df = df.withColumn(f"{name}_c", candidates)
         df = df.withColumn(name, F.transform(F.filter(f"{name}_c", lambda c: _score(c, trees) >= least[k]), plain)).drop(*(f"{name}_{x}" for x in ("m", "gap", "size", "base", "at", "c")))
     accepted = F.concat(*(f"_g{k}" for k in GENERATORS))
-    free = F.filter(accepted, lambda c: ~F.exists(F.col("base"), lambda b: (b["start"] < c["end"]) & (c["start"] < b["end"])))
+    # One pass over base spans by their starts and candidates by their ends: the base spans that start before a candidate's end are known when it comes.
+    event = lambda s, key, base: F.struct(key.alias("key"), F.lit(base).alias("base"), s["kind"].alias("kind"), s["start"].alias("start"), s["end"].alias("end"))
+    events = F.array_sort(F.concat(F.transform("base", lambda s: event(s, s["start"], 1)), F.transform(accepted, lambda s: event(s, s["end"], 0))))
+    state = lambda past, out: F.struct(past.alias("past"), out.alias("out"))
+    none = F.array().cast("array<struct<kind:int,start:int,end:int>>")
+    see = lambda acc, e: F.when(e["base"] == 1, state(F.greatest(acc["past"], e["end"]), acc["out"])).when(e["start"] >= acc["past"], state(acc["past"], F.concat(acc["out"], F.array(plain(e))))).otherwise(acc)
+    free = F.when(F.size(accepted) > 0, F.aggregate(events, state(F.lit(0), none), see, lambda acc: acc["out"])).otherwise(none)
     df = df.withColumn("_free", free)
     by_start = F.array_sort(F.transform("_free", lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), s["kind"].alias("kind"))))
     empty = F.array().cast("array<struct<start:int,end:int,kind:int>>")
