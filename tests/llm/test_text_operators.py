@@ -406,6 +406,68 @@ def test_licenses_over_lines_and_beside_others(spark):
     assert got == [*({label} for label in WRAPPED), {"mit", "apache-2.0"}, {"lgpl-3.0", "gpl-3.0"}, {"apache-2.0"}]
 
 
+def brute_base(text):
+    w = [x.decode() for x in words(text)]
+    found = [(i, label) for p, label in licenses.PHRASES for i in range(len(w)) if w[i : i + len(p.split())] == p.split()]
+    return len(w), len(found), min((i for i, _ in found), default=None), max((i for i, _ in found), default=None), ",".join(sorted({x for _, x in found}))
+
+
+def test_license_phrases_against_brute_force(spark):
+    r = random.Random(6)
+    parts = ["CC", "by", "cc-BY", "General", "public", "LICENSE", "all", "rights", "reserved", "x", "é", "\n", "All Rights Reserved.", "general public license,"]
+    texts = [" ".join(r.choices(parts, k=r.randint(0, 25))) for _ in range(200)] + [None, "", "cc " * 5000 + "by"]
+    df = spark.createDataFrame([*enumerate(texts), (None, "cc by"), (0, texts[0])], "doc_id long, text string")
+    rows = licenses.scan(df).collect()
+    assert len(rows) == len(texts) + 2
+    for row in rows:
+        text = "cc by" if row.doc_id is None else texts[row.doc_id]
+        assert (row.n_words, row.n_base, row.first_word, row.last_word, row.base_labels) == brute_base(text), text
+        assert set(filter(None, row.base_labels.split(","))) <= set(row.labels.split(",")) and 0 <= row.score <= 1
+
+
+def test_license_bodies(spark):
+    r = random.Random(7)
+    fill = " ".join(f"word{i}" for i in range(80))
+    cases = []
+    for label, body in licenses.BODIES:
+        w = body.split()
+        wrapped = "\n".join(" * " + " ".join(w[i : i + 9]) for i in range(0, len(w), 9))
+        cut = " ".join(x for x in w if r.random() > 0.04)
+        cases += [(label, f"{fill}\n{wrapped}\n{fill}"), (label, f"{fill} {cut.upper()} {fill}")]
+    df = spark.createDataFrame([(i, t) for i, (_, t) in enumerate(cases)], "doc_id long, text string")
+    for row in licenses.scan(df).collect():
+        assert cases[row.doc_id][0] in row.labels.split(","), (cases[row.doc_id], row.labels)
+        assert set(row.labels.split(",")) - {"gpl", "reserved", cases[row.doc_id][0]} == set(), row.labels
+
+
+def test_many_license_lines_in_a_long_text(spark):
+    text = "All rights reserved. Released under the MIT License.\n" * 20_000
+    row = licenses.scan(spark.createDataFrame([(1, text)], "doc_id long, text string")).first()
+    assert (row.n_words, row.n_base, row.labels) == (160_000, 20_000, "mit,reserved")
+
+
+def test_license_windows_against_brute_force():
+    """A template has a window in a text just where some run of at most SLACK times its words holds enough of them."""
+    import numpy as np
+
+    r = random.Random(3)
+    templates = [("a", "one two three four five"), ("b", "six seven eight"), ("c", "one seven nine ten eleven twelve thirteen")]
+    vocabulary = licenses._vocabulary(templates)
+    place = {w: i for i, w in enumerate(vocabulary)}
+    m = licenses.Matcher(vocabulary, {w: r.randint(0, 9) for w in vocabulary}, templates)
+    for _ in range(400):
+        text = r.choices([*vocabulary, "x", "y"], k=r.randint(0, 30))
+        known = np.array([place.get(w, -1) for w in text], np.int64)
+        first = set(known.tolist()) & set(m.index)
+        got = {f.label for f in m.windows(known, first)} if first else set()
+        want = set()
+        for label, t in templates:
+            need, size = -(-len(set(t.split())) * 80 // 100), licenses.SLACK * len(t.split())
+            if any(len(set(text[i : i + size]) & set(t.split())) >= need for i in range(len(text))):
+                want.add(label)
+        assert got == want, text
+
+
 def test_license_join_is_exact():
     """The filters find just the templates that a full comparison finds."""
     import random
@@ -419,5 +481,5 @@ def test_license_join_is_exact():
         _, text = r.choice(licenses.TEMPLATES)
         held = {w for w in licenses.template_words(text) if r.random() < 0.85} | set(r.sample(vocabulary, 5))
         nums = {place[w] for w in held}
-        want = sorted((lab, len(held & set(t)) / len(t)) for lab, s in licenses.TEMPLATES if 100 * len(held & set(t := licenses.template_words(s))) >= 80 * len(t))
+        want = sorted((lab, len(held & set(t)) / len(t), len(held & set(t))) for lab, s in licenses.TEMPLATES if 100 * len(held & set(t := licenses.template_words(s))) >= 80 * len(t))
         assert sorted(m.block(nums, len(held), nums & set(m.index))) == want
