@@ -1,21 +1,22 @@
 """Quality classifier (5): random-indexing vectors pooled per document, a two-layer network, a temperature.
 
-A text becomes two streams of tokens: runs of word bytes or of other visible bytes, A-Z lowered, filed by hash
-under BUCKETS numbers; and the shape of each run (case, digits, length, whether it repeats the run before it).
-Every number of either stream has a fixed random index vector of DIM components, NONZERO of them 1 or -1. The
-vector of a token is the sum of the index vectors of its neighbours up to WINDOW places away, over all
-documents, divided by its count and centred: sums are whole numbers, so they don't depend on any order. A
-document is the mean and spread of its run vectors and the mean of its shape vectors. A two-layer network is
-fitted with numpy on at most MAX_LABELLED labelled training rows, in the order of a hash of their id; the last
+A text becomes two streams of tokens: runs of word bytes or of other visible bytes, A-Z lowered, by their hash; and the
+shape of each run (case, digits, length, whether it repeats the run before it). Every token has a fixed random index
+vector of DIM components, NONZERO of them 1 or -1 (one of INDEX, by its hash). The vector of a token is the sum of the index
+vectors of its neighbours up to WINDOW places away, over all documents, divided by its count and centred: sums are whole
+numbers, so they don't depend on any order. The VOCABULARY most frequent runs have vectors of their own, the others share TAIL
+vectors by hash. A document is the mean and spread of its run vectors and the mean of its shape vectors. A two-layer
+network is fitted with numpy on at most MAX_LABELLED labelled training rows, in the order of a hash of their id; the last
 CALIBRATION share of them sets the temperature that its scores are divided by.
 
-Scale: one pass gathers at most BUCKETS sums a task (2 MB), a second scores; the vectors, of a fixed size, go
-to every executor. Documents are never shuffled, and labelled ones are picked by a broadcast of bounded size.
+Scale: one pass over the texts sums by token in each task, the shuffle moves a task's different tokens (DIM + 1 numbers each)
+and combines them; VOCABULARY + TAIL + SHAPES vectors, a fixed size, go to the driver and to every executor; a second pass
+scores. Documents are never shuffled, and labelled ones are picked by a broadcast of bounded size.
 
 Defined results: null or empty texts pool to zeros and get the network's score of that; without usable labels of
 both classes every score is the share of label 1 (0.5 if there are none); of an id labelled more than once the
-largest label counts; null ids count as not held out; repeated rows each give a row; empty tables give empty
-results; other columns aren't read.
+largest label counts; null ids count as not held out; repeated rows each give a row; of runs of equal frequency the smaller
+hash is in the vocabulary; empty tables give empty results; other columns aren't read.
 """
 
 from __future__ import annotations
@@ -25,13 +26,17 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from caselight.llm.shared import Scratch
 from caselight.llm.textbatch import ALNUM, prefix_hash, slices, span_hash
 from caselight.llm.toxicity import labelled, remainder
 from caselight.session import ship_package
 
 MAX_LABELLED = 20_000
 CALIBRATION = 0.2
-BUCKETS, SHAPES = 1 << 14, 128
+VOCABULARY, TAIL, SHAPES = 1 << 15, 1 << 12, 128
+INDEX = 1 << 14
+#: Different tokens that a task sums before it sends them on.
+HELD = 200_000
 DIM, NONZERO, WINDOW = 32, 4, 2
 HIDDEN, EPOCHS = 32, 60
 
@@ -51,7 +56,7 @@ def index_vectors(n: int, seed: int) -> np.ndarray:
 
 
 def streams(data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(run numbers, shape numbers, first run of each text and one past the last)."""
+    """(hashes of runs, shape numbers, first run of each text and one past the last)."""
     kind = _KIND[data]
     edge = np.zeros(len(data) + 1, bool)
     edge[offs] = True
@@ -71,7 +76,7 @@ def streams(data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray,
     shape = np.select([kind[starts] == 2, dig > 0, (up == size) & (size > 1), head & (up == 1), up == 0], [0, 1, 2, 3, 4], 5)
     again = np.r_[False, h[1:] == h[:-1]] if len(h) else np.zeros(0, bool)
     again[first[:-1][first[:-1] < len(h)]] = False
-    return (h % np.uint64(BUCKETS)).astype(np.int64), shape * 16 + np.minimum(size // 3, 7) * 2 + again, first
+    return h, shape * 16 + np.minimum(size // 3, 7) * 2 + again, first
 
 
 def _neighbours(t: np.ndarray, first: np.ndarray, index: np.ndarray) -> np.ndarray:
@@ -87,42 +92,87 @@ def _neighbours(t: np.ndarray, first: np.ndarray, index: np.ndarray) -> np.ndarr
     return out
 
 
+def _summed(keys: np.ndarray, sums: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Different keys, sorted, and the sums of their rows."""
+    order = np.argsort(keys, kind="stable")
+    at = keys[order]
+    cut = np.flatnonzero(np.r_[True, at[1:] != at[:-1]])
+    return at[cut], np.add.reduceat(sums[order], cut, axis=0)
+
+
+_COLUMNS = [f"c{c}" for c in range(DIM + 1)]
+
+
 def _gather(batches):
-    index = index_vectors(BUCKETS, 1), index_vectors(SHAPES, 2)
-    total = np.zeros((BUCKETS + SHAPES, DIM + 1), np.int64)
+    """kind (0 run, 1 shape), key, sums of neighbours' index vectors and count of a task's tokens."""
+    index = index_vectors(INDEX, 1), index_vectors(SHAPES, 2)
+
+    def sums(keys: np.ndarray, numbers: np.ndarray, ix: np.ndarray, first: np.ndarray):
+        near = _neighbours(numbers, first, ix).astype(np.int32)
+        return _summed(keys, np.c_[near, np.ones(len(keys), np.int32)])
+
+    def out(kind: int, held: list):
+        keys, total = _summed(np.concatenate([k for k, _ in held]), np.concatenate([v for _, v in held]).astype(np.int64))
+        return pa.RecordBatch.from_arrays([pa.array(np.full(len(keys), kind, np.int32)), pa.array(keys.view(np.int64)), *(pa.array(total[:, c]) for c in range(DIM + 1))], names=["kind", "k", *_COLUMNS])
+
+    held: tuple[list, list] = [], []
     for _, data, offs in slices(batches, "text", 500_000):
         runs, shapes, first = streams(data, offs)
-        for t, ix, base in ((runs, index[0], 0), (shapes, index[1], BUCKETS)):
-            if not len(t):
-                continue
-            order = np.argsort(t, kind="stable")
-            at = t[order]
-            cut = np.flatnonzero(np.r_[True, at[1:] != at[:-1]])
-            sums = np.add.reduceat(_neighbours(t, first, ix)[order].astype(np.int32), cut, axis=0)
-            total[base + at[cut], :DIM] += sums
-            total[base + at[cut], DIM] += np.diff(np.r_[cut, len(at)])
-    at = np.flatnonzero(total[:, DIM])
-    yield pa.RecordBatch.from_arrays([pa.array(at), *(pa.array(total[at, c]) for c in range(DIM + 1))], names=["k", *(f"c{c}" for c in range(DIM + 1))])
-
-
-def token_vectors(documents: DataFrame, text_col: str = "text") -> np.ndarray:
-    """A vector for each number of either stream, from all documents."""
-    columns = [f"c{c}" for c in range(DIM + 1)]
-    parts = documents.select(F.col(text_col).alias("text")).mapInArrow(_gather, "k long, " + ", ".join(f"{c} long" for c in columns))
-    rows = parts.groupBy("k").agg(*(F.sum(c).alias(c) for c in columns)).toPandas().to_numpy()  # at most BUCKETS + SHAPES rows
-    sums = np.zeros((BUCKETS + SHAPES, DIM + 1))
-    if len(rows):
-        sums[rows[:, 0].astype(int)] = rows[:, 1:]
-    out = sums[:, :DIM] / np.maximum(sums[:, DIM:], 1)
-    for part in (slice(0, BUCKETS), slice(BUCKETS, None)):
-        n = sums[part, DIM:]
+        if not len(runs):
+            continue
+        held[0].append(sums(runs, (runs % np.uint64(INDEX)).astype(np.int64), index[0], first))
+        held[1].append(sums(shapes.astype(np.uint64), shapes, index[1], first))
+        if sum(len(k) for k, _ in held[0]) > HELD:
+            yield out(0, held[0])
+            held[0].clear()
+    for kind in (0, 1):
+        if held[kind]:
+            yield out(kind, held[kind])
+
+
+class Vectors:
+    """Vectors of the vocabulary, of the tail's buckets and of shapes, after one another; and where a run finds its own."""
+
+    def __init__(self, vocabulary: np.ndarray, vectors: np.ndarray):
+        self.vocabulary, self.vectors = vocabulary, vectors  # hashes in order
+
+    def rows(self, runs: np.ndarray) -> np.ndarray:
+        tail = len(self.vocabulary) + (runs % np.uint64(TAIL)).astype(np.int64)
+        if not len(self.vocabulary):
+            return tail
+        at = np.minimum(np.searchsorted(self.vocabulary, runs), len(self.vocabulary) - 1)
+        return np.where(self.vocabulary[at] == runs, at, tail)
+
+
+def token_vectors(documents: DataFrame, text_col: str = "text") -> Vectors:
+    """The vectors of all tokens, from all documents."""
+    ship_package(documents.sparkSession)
+    with Scratch(documents.sparkSession) as scratch:
+        parts = documents.select(F.col(text_col).alias("text")).mapInArrow(_gather, "kind int, k long, " + ", ".join(f"{c} long" for c in _COLUMNS))
+        every = scratch.write(parts.groupBy("kind", "k").agg(*(F.sum(c).alias(c) for c in _COLUMNS)))
+        # At most VOCABULARY, TAIL and SHAPES rows come to the driver.
+        top = every.where("kind = 0").orderBy(F.desc(_COLUMNS[-1]), "k").limit(VOCABULARY).toPandas().drop(columns="kind").to_numpy(np.int64)
+        known = documents.sparkSession.createDataFrame([(int(k),) for k in top[:, 0]], "k long")
+        rest = every.where("kind = 0").join(F.broadcast(known), "k", "left_anti")
+        unsigned = F.pmod("k", F.lit(TAIL))  # TAIL is a power of two, so that signs don't matter
+        tail = rest.groupBy(unsigned.alias("k")).agg(*(F.sum(c).alias(c) for c in _COLUMNS)).toPandas().to_numpy(np.int64)
+        shape = every.where("kind = 1").drop("kind").toPandas().to_numpy(np.int64)
+    top = top[np.argsort(top[:, 0].astype(np.int64).view(np.uint64), kind="stable")]
+    blocks = [top[:, 1:], np.zeros((TAIL, DIM + 1), np.int64), np.zeros((SHAPES, DIM + 1), np.int64)]
+    for block, rows in zip(blocks[1:], (tail, shape), strict=True):
+        block[rows[:, 0]] = rows[:, 1:]
+    out = []
+    for part in (np.concatenate(blocks[:2]), blocks[2]):
+        n = part[:, DIM:]
+        mean = part[:, :DIM] / np.maximum(n, 1)
         if n.sum():
-            out[part] -= (out[part] * n).sum(0) / n.sum()
-            out[part] *= n > 0
-    return out.astype(np.float32)
+            mean -= (mean * n).sum(0) / n.sum()
+            mean *= n > 0
+        out.append(mean)
+    return Vectors(np.ascontiguousarray(top[:, 0]).view(np.uint64), np.concatenate(out).astype(np.float32))
 
 
-def pooled(data: np.ndarray, offs: np.ndarray, vectors: np.ndarray) -> np.ndarray:
+def pooled(data: np.ndarray, offs: np.ndarray, held: Vectors) -> np.ndarray:
     """The features of each text: mean and spread of run vectors, mean of shape vectors."""
     runs, shapes, first = streams(data, offs)
     n = np.diff(first)
@@ -130,11 +180,11 @@ def pooled(data: np.ndarray, offs: np.ndarray, vectors: np.ndarray) -> np.ndarra
     full = np.flatnonzero(n)
     if len(full):
         at, size = first[full], n[full, None]
-        v = vectors[runs]
+        v = held.vectors[held.rows(runs)].astype(float)
         mean = np.add.reduceat(v, at, axis=0, dtype=float) / size
         out[full, :DIM] = mean
         out[full, DIM : 2 * DIM] = np.sqrt(np.maximum(np.add.reduceat(v * v, at, axis=0, dtype=float) / size - mean**2, 0))
-        out[full, 2 * DIM :] = np.add.reduceat(vectors[BUCKETS + shapes], at, axis=0, dtype=float) / size
+        out[full, 2 * DIM :] = np.add.reduceat(held.vectors[len(held.vectors) - SHAPES + shapes], at, axis=0, dtype=float) / size
     return out
 
 

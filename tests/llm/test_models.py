@@ -117,6 +117,67 @@ def test_quality_held_out(spark):
     assert sum(p == t for p, t in out) >= 0.95 * len(out)
 
 
+def plain_tokens(text):
+    """Runs of word bytes or of other visible bytes, A-Z lowered."""
+    return re.findall(rb"[0-9a-z\x80-\xff]+|[\x00-\x08\x0e-\x1f!-/:-@\x5b-\x60{-\x7f]+", (text or "").encode().lower())
+
+
+def test_token_vectors_against_brute_force(spark, monkeypatch):
+    monkeypatch.setattr(quality, "VOCABULARY", 6)
+    monkeypatch.setattr(quality, "TAIL", 4)
+    monkeypatch.setattr(quality, "HELD", 5)
+    r = np.random.default_rng(1)
+    words = ["the", "The", "of", "é", "x1", "--", "a,", "far", "(b)", "zz", "q"]
+    texts = [" ".join(r.choice(words, r.integers(0, 30)).tolist()) for _ in range(40)] + [None, "", "the"]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string").repartition(3)
+    held = quality.token_vectors(df)
+    from caselight.llm.textbatch import span_string
+
+    index = quality.index_vectors(quality.INDEX, 1).astype(int)
+    number = lambda w: int(span_string(w.decode()))
+    sums, count = collections.defaultdict(lambda: np.zeros(quality.DIM)), collections.Counter()
+    for t in texts:
+        tokens = plain_tokens(t)
+        for i, w in enumerate(tokens):
+            count[number(w)] += 1
+            for j in range(max(0, i - quality.WINDOW), min(len(tokens), i + quality.WINDOW + 1)):
+                if j != i:
+                    sums[number(w)] += index[number(tokens[j]) % quality.INDEX]
+    signed = lambda h: h - (1 << 64) if h >> 63 else h
+    top = sorted(count, key=lambda h: (-count[h], signed(h)))[:6]
+    assert held.vocabulary.tolist() == sorted(top)
+    groups = [[h] for h in sorted(top)] + [[h for h in count if h not in top and h % 4 == b] for b in range(4)]
+    n = np.array([sum(count[h] for h in g) for g in groups])
+    mean = np.array([sum((sums[h] for h in g), np.zeros(quality.DIM)) / max(k, 1) for g, k in zip(groups, n, strict=True)])
+    mean = (mean - (mean * n[:, None]).sum(0) / n.sum()) * (n > 0)[:, None]
+    assert np.allclose(held.vectors[:10], mean, atol=1e-5)
+    data = np.frombuffer("".join(t or "" for t in texts).encode(), np.uint8)
+    offs = np.r_[0, np.cumsum([len((t or "").encode()) for t in texts])]
+    x = quality.pooled(data, offs, held)
+    for t, row in zip(texts, x, strict=True):
+        mine = [next(i for i, g in enumerate(groups) if number(w) in g) for w in plain_tokens(t)]
+        v = held.vectors[mine].astype(float) if mine else np.zeros((1, quality.DIM))
+        assert np.allclose(row[: 2 * quality.DIM], np.r_[v.mean(0), v.std(0)], atol=1e-5)
+
+
+def test_network_is_calibrated():
+    r = np.random.default_rng(3)
+    x = r.normal(size=(6000, 5))
+    chance = 1 / (1 + np.exp(-(2 * x[:, 0] - 1.5 * x[:, 1] * (x[:, 2] > 0))))
+    y = (r.random(6000) < chance).astype(float)
+    s = quality.Network(x[:4000], y[:4000]).score(x[4000:])
+    bins = np.digitize(s, np.linspace(0.1, 0.9, 9))
+    assert sum(abs(s[bins == b].mean() - y[4000:][bins == b].mean()) * (bins == b).mean() for b in set(bins)) < 0.05
+    assert np.mean((s >= 0.5) == (y[4000:] == 1)) > 0.95 * np.mean((chance[4000:] >= 0.5) == (y[4000:] == 1))
+
+
+def test_quality_of_long_texts_and_clashing_columns(spark):
+    docs = spark.createDataFrame([(1, "word " * 300_000, 0.1, 5), (2, "x", 0.2, 6), (None, None, None, None), (2, "x", 0.2, 6)], "doc_id long, text string, score double, k long")
+    labels = spark.createDataFrame([(1, 1, 1), (2, 0, 0), (2, 1, 0), (None, 1, 1)], "doc_id long, quality int, k int")
+    rows = quality.classify(docs, labels).collect()
+    assert len(rows) == 4 and all(0 <= r.score <= 1 for r in rows) and len({r.score for r in rows if r.doc_id == 2}) == 1
+
+
 def test_quality_edges(spark):
     docs = spark.createDataFrame([(1, None), (2, ""), (3, "a b c"), (3, "!!! ###"), (None, "x")], "doc_id long, text string")
     labels = spark.createDataFrame([(3, 1), (9, None)], "doc_id long, quality int")
