@@ -307,6 +307,15 @@ def test_vectors(spark, monkeypatch):
     assert vector_dup.near_duplicates(df.limit(0)).count() == 0
 
 
+def test_vectors_with_repeated_and_null_ids(spark):
+    a, b = [1.0, 0.0, 0.0, 0.1], [0.0, 1.0, 0.1, 0.0]
+    rows = [(5, a, 0), (5, b, 0), (3, [x * 2 for x in a], 0), (1, [1.0, 0.05, 0.0, 0.1], 0), (2, [0.0, 1.0, 0.15, 0.0], 0), (9, b, 1), (None, a, 0), (None, None, 0), (7, None, 0), (7, b, 1), (8, a, None)]
+    df = spark.createDataFrame([(*r, "x") for r in rows], "vec_id long, embedding array<double>, label int, n string")
+    got = sorted(((x.vec_id, x.n_links, x.component_id, x.kept) for x in vector_dup.near_duplicates(df).collect()), key=str)
+    want = [(5, 2, 1, False), (5, 1, 1, False), (3, 2, 1, False), (1, 2, 1, True), (2, 1, 1, False), (9, 1, 7, False), (None, 0, None, True), (None, 0, None, True), (7, 0, 7, True), (7, 1, 7, True), (8, 0, 8, True)]
+    assert got == sorted(want, key=str)
+
+
 def test_pipeline(spark):
 
 
