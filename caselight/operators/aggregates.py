@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from caselight.operators import windows as W
 from caselight.operators.joins import with_constants
 
 
@@ -42,16 +43,6 @@ def json_records(columns: list[str], *order: str) -> Column:
     return F.to_json(F.transform(rows, lambda r: r["_r"]))
 
 
-def nearest_rank(value: str, percents: list[int]) -> list[Column]:
-    """Nearest-rank percentiles, the ceil(n * p / 100)-th smallest values."""
-    return [F.expr(f"percentile_disc({p / 100}) WITHIN GROUP (ORDER BY {value})").alias(f"p{p}") for p in percents]
-
-
-def quantiles(value: str, shares: list[float]) -> list[Column]:
-    """Linearly interpolated quantiles."""
-    return [F.percentile(value, s).alias(f"q{round(s * 100)}") for s in shares]
-
-
 def mode(value: str) -> Column:
     """The most frequent value, the smallest of equals."""
     return F.mode(F.col(value), True)
@@ -78,28 +69,62 @@ def table_counts(visits: DataFrame, tables: dict[str, DataFrame], key: str) -> D
 def idf(df: DataFrame, group: str, token: str) -> DataFrame:
     """token, df, idf = ln((N + 1) / (df + 1)) + 1 over the groups."""
     n = df.agg(F.countDistinct(group).alias("n_groups"))
-    out = with_constants(df.groupBy(token).agg(F.countDistinct(group).alias("df")), n)
+    # Distinct pairs are counted in a second stage, so that a frequent token's groups meet in many tasks.
+    out = with_constants(df.select(group, token).distinct().groupBy(token).agg(F.count(group).alias("df")), n)
     return out.select(token, "df", (F.log((F.col("n_groups") + 1) / (F.col("df") + 1)) + 1).alias("idf"))
 
 
+def exact_quantiles(df: DataFrame, keys: list[str], value: str, linear: dict[str, float] | None = None, nearest: dict[str, float] | None = None, ranges: int = 64) -> DataFrame:
+    """keys and named quantiles of each group: linear ones interpolate between ranks, nearest ones are the ceil(n * share)-th smallest values.
+
+    Equal values are counted first. A sketch cuts each group into ranges, sums of these tell which range holds a rank, and
+    only such ranges are ordered, each on its own, so a group of any size is spread over tasks and the result is exact.
+    """
+    v = F.col(value).cast("double")
+    rows = df.where(v.isNotNull() & ~F.isnan(v)).select(F.lit(0).alias("_g"), *keys, v.alias("_v"))
+    keys = ["_g", *keys]
+    cuts = rows.groupBy(*keys).agg(F.percentile_approx("_v", [i / ranges for i in range(1, ranges)], 1000).alias("_cuts"), F.count(F.lit(1)).alias("_total"))
+    counts = rows.groupBy(*keys, "_v").agg(F.count(F.lit(1)).alias("_n"))
+    spread = counts.join(cuts.drop("_total"), keys).select(*keys, "_v", "_n", F.size(F.filter("_cuts", lambda c: c < F.col("_v"))).alias("_b"))
+    sums = spread.groupBy(*keys, "_b").agg(F.sum("_n").alias("_m"))
+    before = sums.withColumn("_end", F.sum("_m").over(Window.partitionBy(*keys).orderBy("_b"))).withColumn("_start", F.col("_end") - F.col("_m"))  # at most ranges rows a group
+    asked = []
+    for name, share in (linear or {}).items():
+        place = (F.col("_total") - 1) * share
+        asked += [F.struct(F.lit(name).alias("name"), (F.floor(place) + 1).alias("rank"), (1 - place + F.floor(place)).alias("weight")), F.struct(F.lit(name).alias("name"), (F.floor(place) + 2).alias("rank"), (place - F.floor(place)).alias("weight"))]
+    for name, share in (nearest or {}).items():
+        asked.append(F.struct(F.lit(name).alias("name"), F.greatest(F.ceil(F.col("_total") * share - 1e-9), F.lit(1)).alias("rank"), F.lit(1.0).alias("weight")))
+    ranks = cuts.select(*keys, F.inline(F.array(*asked))).where("weight > 0")
+    found = ranks.join(before, keys).where((F.col("_start") < F.col("rank")) & (F.col("rank") <= F.col("_end"))).select(*keys, "_b", "name", "weight", (F.col("rank") - F.col("_start")).alias("r"))
+    ordered = spread.join(found.select(*keys, "_b").distinct(), [*keys, "_b"], "left_semi").withColumn("_up", F.sum("_n").over(Window.partitionBy(*keys, "_b").orderBy("_v")))
+    hits = found.join(ordered, [*keys, "_b"]).where((F.col("_up") - F.col("_n") < F.col("r")) & (F.col("r") <= F.col("_up")))
+    names = [*(linear or {}), *(nearest or {})]
+    # The two terms of an interpolation, the smaller first, so that sums don't depend on their order.
+    term = lambda n: F.array_sort(F.collect_list(F.when(F.col("name") == n, F.struct("_v", "weight"))))
+    mixed = lambda n: F.aggregate(term(n), F.lit(0.0), lambda s, x: s + x["_v"] * x["weight"])
+    return hits.groupBy(*keys).agg(*(mixed(n).alias(n) for n in names)).drop("_g")
+
+
 def robust_stats(df: DataFrame, token: str, value: str) -> DataFrame:
     """token, median, iqr; a spread of 1e-8 or less becomes 1."""
-    q = F.percentile(value, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)))
-    spread = F.col("q")[2] - F.col("q")[0]
-    return df.groupBy(token).agg(q.alias("q")).select(token, F.col("q")[1].alias("median"), F.when(spread <= 1e-8, F.lit(1.0)).otherwise(spread).alias("iqr"))
+    q = exact_quantiles(df, [token], value, {"low": 0.25, "median": 0.5, "high": 0.75})
+    spread = F.col("high") - F.col("low")
+    return q.select(token, "median", F.when(spread <= 1e-8, F.lit(1.0)).otherwise(spread).alias("iqr"))
 
 
 def vocabulary(df: DataFrame, token: str, reserved: int = 3) -> DataFrame:
     """token, index: sorted different tokens numbered after the reserved ids."""
-    w = Window.orderBy(token)
-    return df.select(token).where(F.col(token).isNotNull()).distinct().withColumn("index", F.row_number().over(w) + reserved - 1)
+    known = df.select(token).where(F.col(token).isNotNull()).distinct()
+    return W.placed(known, [token], "index", reserved).withColumn("index", F.col("index").cast("int"))
 
 
 def ranked_vocabulary(df: DataFrame, group: str, token: str, top: int = 0) -> DataFrame:
     """token, frequency, index from 0: by number of groups, then token; only the first top if it isn't 0."""
-    counts = df.groupBy(token).agg(F.countDistinct(group).alias("frequency"))
-    out = counts.withColumn("index", F.row_number().over(Window.orderBy(F.desc("frequency"), token)) - 1)
-    return out.where(F.col("index") < top) if top else out
+    counts = df.select(group, token).distinct().groupBy(token).agg(F.count(group).alias("frequency"))
+    order = [F.desc("frequency"), F.asc(token)]
+    if top:  # the window orders top rows
+        return counts.orderBy(*order).limit(top).withColumn("index", F.row_number().over(Window.orderBy(*order)) - 1)
+    return W.placed(counts, order, "index").withColumn("index", F.col("index").cast("int"))
 
 
 def concept_inventory(events: DataFrame, keys: list[str], visit: str, patient: str, example: str, order: str) -> DataFrame:
@@ -134,21 +159,25 @@ def _stacked(df: DataFrame, columns: list[str]) -> DataFrame:
     return df.select(F.inline(pairs))
 
 
-def column_profile(df: DataFrame, columns: list[str], high: int = 50, examples: int = 8) -> DataFrame:
-    """Each column's rows, missing and different values, whether they are many, and its most frequent ones."""
-    counts = _stacked(df, columns).groupBy("column", "value").agg(F.count(F.lit(1)).alias("n"))
-    known = (F.coalesce(F.col("value"), F.lit("")) != "").alias("known")
-    w = Window.partitionBy("column").orderBy(F.desc("known"), F.desc("n"), "value")
-    ranked = counts.select("*", known).withColumn("r", F.row_number().over(w))
-    top = F.transform(F.array_sort(F.collect_list(F.when(F.col("known") & (F.col("r") <= examples), F.struct("r", "value")))), lambda x: x["value"])
-    out = ranked.groupBy("column").agg(F.sum("n").alias("n_rows"), F.sum(F.when(~F.col("known"), F.col("n")).otherwise(0)).alias("n_missing"), F.count_if("known").alias("n_distinct"), top.alias("examples"))
+def column_profile(df: DataFrame, columns: list[str], high: int = 50, examples: int = 8, parts: int = 64) -> DataFrame:
+    """Each column's rows, missing and different values, whether they are many, and its most frequent ones.
+
+    Values are counted by column; the most frequent ones are picked first in parts of a column's values, by hash, then among the parts' picks.
+    """
+    counts = _stacked(df, columns).groupBy("column", "value").agg(F.count(F.lit(1)).alias("n")).withColumn("known", F.coalesce(F.col("value"), F.lit("")) != "")
+    order = [F.desc("n"), F.col("value")]
+    picked = W.recent(counts.where("known").withColumn("_part", F.pmod(F.xxhash64("value"), F.lit(parts))), ["column", "_part"], order, examples, "_r")
+    best = W.recent(picked, ["column"], order, examples, "r").groupBy("column").agg(F.transform(F.array_sort(F.collect_list(F.struct("r", "value"))), lambda x: x["value"]).alias("examples"))
+    sums = counts.groupBy("column").agg(F.sum("n").alias("n_rows"), F.sum(F.when(~F.col("known"), F.col("n")).otherwise(0)).alias("n_missing"), F.count_if("known").alias("n_distinct"))
+    out = sums.join(best, "column", "left").withColumn("examples", F.coalesce("examples", F.array().cast("array<string>")))
     return out.withColumn("high_cardinality", F.col("n_distinct") > high)
 
 
 def value_dictionary(df: DataFrame, columns: list[str], most: int = 50) -> DataFrame:
     """column, value, n of the columns with at most that many different values."""
     counts = _stacked(df, columns).where("value IS NOT NULL").groupBy("column", "value").agg(F.count(F.lit(1)).alias("n"))
-    return counts.withColumn("_k", F.count(F.lit(1)).over(Window.partitionBy("column"))).where(F.col("_k") <= most).drop("_k")
+    few = counts.groupBy("column").agg(F.count(F.lit(1)).alias("_k")).where(F.col("_k") <= most).select("column")
+    return counts.join(F.broadcast(few), "column", "left_semi")  # a row a column
 
 
 def roll_up(counts: DataFrame, rules: list[tuple[Column, str]], default: str, name: str = "status") -> DataFrame:

@@ -151,9 +151,12 @@ def inventory(events: DataFrame) -> DataFrame:
 
 def windowed_tokens(events: DataFrame, n: int) -> DataFrame:
     """target_visit_id with its last n codes in order."""
-    rows = F.array_sort(F.collect_list(F.struct("time", "priority", "event_id", "code")))
-    out = events.groupBy("target_visit_id").agg(F.transform(rows, lambda r: r["code"]).alias("codes"))
-    return out.withColumn("codes", W.last_tokens(F.col("codes"), n))
+    return W.last_values(events, ["target_visit_id"], ["time", "priority", "event_id"], "code", n, "codes")
+
+
+def target_order(goals: DataFrame) -> DataFrame:
+    """Targets with their place among all targets: by patient, admission and visit."""
+    return W.placed(goals, ["patient_id", F.asc_nulls_last("admission_time"), "visit_id"], "target_index")
 
 
 def notes_text(notes: DataFrame, visits: DataFrame, visit: str, order: str, section: str, text: str, stored: str | None = None) -> DataFrame:

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from caselight.functions import ids
 from caselight.operators import aggregates as A
 from caselight.operators import joins as J
+from caselight.operators import windows as W
 
 
 def star_graph(visits: DataFrame, children: dict[str, DataFrame], visit: str = "visit_id", node: str = "node_id") -> tuple[DataFrame, DataFrame]:
@@ -94,7 +95,7 @@ def select_cohort(domains: dict[str, DataFrame], visits: DataFrame, visit: str,
 def with_indices(cohort: DataFrame, patient: str, visit: str, time: str, seed: int) -> DataFrame:
     """The cohort's visits with their place within the patient and the patient's place in hash order; the cohort is already a cut."""
     df = cohort.withColumn("_h", ids.hash_order(seed, F.col(patient))).withColumn("visit_index", F.row_number().over(Window.partitionBy(patient).orderBy(time, visit)) - 1)
-    order = df.select(patient, "_h").distinct().withColumn("patient_index", F.row_number().over(Window.orderBy("_h", patient)) - 1)
+    order = W.placed(df.select(patient, "_h").distinct(), ["_h", patient], "patient_index").withColumn("patient_index", F.col("patient_index").cast("int"))
     return df.join(order.drop("_h"), patient).drop("_h")
 
 

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from caselight.operators.joins import with_constants
+from caselight.session import work_folder
 
 
 def ordinal(df: DataFrame, keys: list[str], order: list[Column | str], name: str = "ordinal") -> DataFrame:
@@ -88,11 +89,38 @@ def evenly_spaced(df: DataFrame, keys: list[str], order: list[str], n: int) -> D
 
 def shortest_middle_longest(df: DataFrame, length: str, key: str) -> DataFrame:
     """shortest, middle and longest key, ties by key."""
-    median = df.agg(F.percentile(length, 0.5).alias("_m"))
+    from caselight.operators.aggregates import exact_quantiles
+
+    median = exact_quantiles(df, [], length, {"_m": 0.5})
     rows = with_constants(df.select(key, length), median)
     return rows.agg(F.min_by(key, F.struct(length, key)).alias("shortest"), F.min_by(key, F.struct(F.abs(F.col(length) - F.col("_m")), key)).alias("middle"), F.min_by(key, F.struct(-F.col(length), key)).alias("longest"))
 
 
+def placed(df: DataFrame, order: list[Column | str], name: str, first: int = 0) -> DataFrame:
+    """The rows with their place, from first on, in one total order of the whole table.
+
+    The table is sorted by ranges and written; a row's place is its place in its file after the rows of the files before it, so
+    no task orders or counts more than its range. One count a file is with the driver.
+    """
+    spark = df.sparkSession
+    path = work_folder(spark) + "/sorted"
+    df.orderBy(*order).write.parquet(path)
+    rows = spark.read.schema(df.schema).parquet(path).select("*", F.col("_metadata.file_name").alias("_file"), F.col("_metadata.row_index").alias("_row"))
+    start, starts = first, []
+    for r in sorted(rows.groupBy("_file").agg(F.count(F.lit(1)).alias("n")).collect(), key=lambda r: r["_file"]):  # names rise with the ranges
+        starts.append((r["_file"], start))
+        start += r["n"]
+    before = F.broadcast(spark.createDataFrame(starts, "_file string, _start long"))
+    return rows.join(before, "_file").select(*(F.col(f"`{c}`") for c in df.columns), (F.col("_start") + F.col("_row")).alias(name))
+
+
+def last_values(df: DataFrame, keys: list[str], order: list[str], value: str, n: int, name: str) -> DataFrame:
+    """One row a group: its last n values in order; other rows leave before they are gathered."""
+    kept = recent(df, keys, [F.desc(o) for o in order], n, "_r")
+    rows = F.array_sort(F.collect_list(F.struct((-F.col("_r")).alias("r"), F.col(value).alias("v"))))
+    return kept.groupBy(*keys).agg(F.transform(rows, lambda x: x["v"]).alias(name))
+
+
 def disjoint_split(df: DataFrame, key: str, seed: int) -> DataFrame:
     """key, split: two thirds train, one sixth test, one sixth validation, by the order of a hash of the key.
 

@@ -348,7 +348,7 @@ def value_dictionary(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("SELECT o_orderpriority, quantile_cont(o_totalprice, 0.5) AS q50, quantile_cont(o_totalprice, 0.95) AS q95, quantile_disc(o_totalprice, 0.5) AS p50, quantile_disc(o_totalprice, 0.95) AS p95 FROM orders GROUP BY 1")
 def quantile_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Interpolated and nearest-rank percentiles."""
-    return table(spark, sf_dir, "orders").groupBy("o_orderpriority").agg(*A.quantiles("o_totalprice", [0.5, 0.95]), *A.nearest_rank("o_totalprice", [50, 95]))
+    return A.exact_quantiles(table(spark, sf_dir, "orders"), ["o_orderpriority"], "o_totalprice", {"q50": 0.5, "q95": 0.95}, {"p50": 0.5, "p95": 0.95})
 
 
 @query("""
@@ -500,8 +500,15 @@ def nested_visit_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("SELECT user_id, string_agg(event_type, ',' ORDER BY ts, event_id) AS tokens FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS r FROM events) WHERE r <= 5 GROUP BY 1")
 def last_five_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The last five tokens of each timeline."""
-    out = W.nested(table(spark, sf_dir, "events"), "user_id", ["ts", "event_id"], F.col("event_type"))
-    return out.select("user_id", F.array_join(W.last_tokens(F.col("nested"), 5), ",").alias("tokens"))
+    out = W.last_values(table(spark, sf_dir, "events"), ["user_id"], ["ts", "event_id"], "event_type", 5, "tokens")
+    return out.select("user_id", F.array_join("tokens", ",").alias("tokens"))
+
+
+@query("SELECT o_orderkey::VARCHAR AS visit_id, row_number() OVER (ORDER BY o_custkey, o_orderdate, o_orderkey) - 1 AS target_index FROM orders")
+def target_places(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The place of each target among all, by patient and admission."""
+    o = table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("patient_id"), F.col("o_orderdate").alias("admission_time"), F.col("o_orderkey").alias("visit_id"))
+    return E.target_order(o).select(F.col("visit_id").cast("string").alias("visit_id"), "target_index")
 
 
 @query("SELECT l_orderkey AS row, l_suppkey AS col, 1 AS value FROM lineitem GROUP BY ALL")
