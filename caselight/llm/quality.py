@@ -9,9 +9,9 @@ vectors by hash. A document is the mean and spread of its run vectors and the me
 network is fitted with numpy on at most MAX_LABELLED labelled training rows, in the order of a hash of their id; the last
 CALIBRATION share of them sets the temperature that its scores are divided by.
 
-Scale: one pass over the texts sums by token in each task, the shuffle moves a task's different tokens (DIM + 1 numbers each)
-and combines them; VOCABULARY + TAIL + SHAPES vectors, a fixed size, go to the driver and to every executor; a second pass
-scores. Documents are never shuffled, and labelled ones are picked by a broadcast of bounded size.
+Scale: one pass over the texts counts runs, and its shuffle moves a hash and a count for each different run of a task; a
+second sums VOCABULARY + TAIL + SHAPES vectors in each task, and a third scores. The vocabulary and the vectors, of a fixed size,
+go to the driver and to every executor. Documents are never shuffled, and labelled ones are picked by a broadcast of bounded size.
 
 Defined results: null or empty texts pool to zeros and get the network's score of that; without usable labels of
 both classes every score is the share of label 1 (0.5 if there are none); of an id labelled more than once the
@@ -26,7 +26,6 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from caselight.llm.shared import Scratch
 from caselight.llm.textbatch import ALNUM, prefix_hash, slices, span_hash
 from caselight.llm.toxicity import labelled, remainder
 from caselight.session import ship_package
@@ -35,8 +34,8 @@ MAX_LABELLED = 20_000
 CALIBRATION = 0.2
 VOCABULARY, TAIL, SHAPES = 1 << 15, 1 << 12, 128
 INDEX = 1 << 14
-#: Different tokens that a task sums before it sends them on.
-HELD = 200_000
+#: Different runs that a task counts before it sends them on.
+HELD = 1_000_000
 DIM, NONZERO, WINDOW = 32, 4, 2
 HIDDEN, EPOCHS = 32, 60
 
@@ -79,65 +78,75 @@ def streams(data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray,
     return h, shape * 16 + np.minimum(size // 3, 7) * 2 + again, first
 
 
-def _neighbours(t: np.ndarray, first: np.ndarray, index: np.ndarray) -> np.ndarray:
-    """For each token the sum of its neighbours' index vectors within its text."""
-    out = np.zeros((len(t), DIM), np.int16)
+def _pairs(first: np.ndarray, n: int):
+    """(places, their neighbours' places) of tokens of one text, for each distance and side."""
     doc = np.repeat(np.arange(len(first) - 1), np.diff(first))
-    v = index[t]
     for o in range(1, WINDOW + 1):
-        if len(t) > o:
-            same = (doc[o:] == doc[:-o])[:, None]
-            out[:-o] += v[o:] * same
-            out[o:] += v[:-o] * same
-    return out
+        left = np.flatnonzero(doc[o:] == doc[:-o]) if n > o else np.zeros(0, np.int64)
+        yield left, left + o
+        yield left + o, left
 
 
-def _summed(keys: np.ndarray, sums: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Different keys, sorted, and the sums of their rows."""
-    order = np.argsort(keys, kind="stable")
-    at = keys[order]
-    cut = np.flatnonzero(np.r_[True, at[1:] != at[:-1]])
-    return at[cut], np.add.reduceat(sums[order], cut, axis=0)
+_COLUMNS = [f"c{c}" for c in range(DIM + 1)]
 
 
-_COLUMNS = [f"c{c}" for c in range(DIM + 1)]
+def _counts(batches):
+    """k, n: a task's different runs and how often they occur."""
 
+    def out(held: list) -> pa.RecordBatch:
+        keys, at = np.unique(np.concatenate([k for k, _ in held]), return_inverse=True)
+        n = np.bincount(at.ravel(), np.concatenate([c for _, c in held]), len(keys)).astype(np.int64)
+        return pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), pa.array(n)], names=["k", "n"])
 
-def _gather(batches):
-    """kind (0 run, 1 shape), key, sums of neighbours' index vectors and count of a task's tokens."""
-    index = index_vectors(INDEX, 1), index_vectors(SHAPES, 2)
+    held: list = []
+    for _, data, offs in slices(batches, "text", 500_000):
+        held.append(np.unique(streams(data, offs)[0], return_counts=True))
+        if sum(len(k) for k, _ in held) > HELD:
+            yield out(held)
+            held.clear()
+    if held:
+        yield out(held)
 
-    def sums(keys: np.ndarray, numbers: np.ndarray, ix: np.ndarray, first: np.ndarray):
-        near = _neighbours(numbers, first, ix).astype(np.int32)
-        return _summed(keys, np.c_[near, np.ones(len(keys), np.int32)])
 
-    def out(kind: int, held: list):
-        keys, total = _summed(np.concatenate([k for k, _ in held]), np.concatenate([v for _, v in held]).astype(np.int64))
-        return pa.RecordBatch.from_arrays([pa.array(np.full(len(keys), kind, np.int32)), pa.array(keys.view(np.int64)), *(pa.array(total[:, c]) for c in range(DIM + 1))], names=["kind", "k", *_COLUMNS])
+def _gather(vocabulary, tail: int):
+    """k (row among the vectors), sums of neighbours' index vectors and count of a task's tokens."""
 
-    held: tuple[list, list] = [], []
-    for _, data, offs in slices(batches, "text", 500_000):
-        runs, shapes, first = streams(data, offs)
-        if not len(runs):
-            continue
-        held[0].append(sums(runs, (runs % np.uint64(INDEX)).astype(np.int64), index[0], first))
-        held[1].append(sums(shapes.astype(np.uint64), shapes, index[1], first))
-        if sum(len(k) for k, _ in held[0]) > HELD:
-            yield out(0, held[0])
-            held[0].clear()
-    for kind in (0, 1):
-        if held[kind]:
-            yield out(kind, held[kind])
+    def run(batches):
+        index = index_vectors(INDEX, 1)
+        spot = np.argsort(index == 0, axis=1, kind="stable")[:, :NONZERO]
+        sign = np.take_along_axis(index, spot, 1).astype(float)
+        of_shape = index_vectors(SHAPES, 2).astype(np.int64)
+        held = Vectors(vocabulary.value, np.zeros((0, DIM), np.float32), tail)
+        shape_at = len(held.vocabulary) + tail
+        total = np.zeros((shape_at + SHAPES, DIM + 1), np.int64)
+        for _, data, offs in slices(batches, "text", 2_000_000):
+            runs, shapes, first = streams(data, offs)
+            rows, numbers = held.rows(runs), (runs % np.uint64(INDEX)).astype(np.int64)
+            sums, beside = np.zeros(shape_at * DIM), np.zeros(SHAPES * SHAPES, np.int64)
+            for a, b in _pairs(first, len(runs)):
+                if len(a):
+                    near = numbers[b]
+                    sums += np.bincount((rows[a, None] * DIM + spot[near]).ravel(), sign[near].ravel(), len(sums))
+                    beside += np.bincount(shapes[a] * SHAPES + shapes[b], minlength=len(beside))
+            total[:shape_at, :DIM] += sums.astype(np.int64).reshape(shape_at, DIM)
+            total[:shape_at, DIM] += np.bincount(rows, minlength=shape_at)
+            total[shape_at:, :DIM] += beside.reshape(SHAPES, SHAPES) @ of_shape
+            total[shape_at:, DIM] += np.bincount(shapes, minlength=SHAPES)
+        at = np.flatnonzero(total[:, DIM])
+        yield pa.RecordBatch.from_arrays([pa.array(at), *(pa.array(total[at, c]) for c in range(DIM + 1))], names=["k", *_COLUMNS])
+
+    return run
 
 
 class Vectors:
     """Vectors of the vocabulary, of the tail's buckets and of shapes, after one another; and where a run finds its own."""
 
-    def __init__(self, vocabulary: np.ndarray, vectors: np.ndarray):
-        self.vocabulary, self.vectors = vocabulary, vectors  # hashes in order
+    def __init__(self, vocabulary: np.ndarray, vectors: np.ndarray, tail: int):
+        self.vocabulary, self.vectors, self.tail = vocabulary, vectors, tail  # hashes in order
+        self.moments = np.concatenate([vectors, vectors.astype(float) ** 2], 1)
 
     def rows(self, runs: np.ndarray) -> np.ndarray:
-        tail = len(self.vocabulary) + (runs % np.uint64(TAIL)).astype(np.int64)
+        tail = len(self.vocabulary) + (runs % np.uint64(self.tail)).astype(np.int64)
         if not len(self.vocabulary):
             return tail
         at = np.minimum(np.searchsorted(self.vocabulary, runs), len(self.vocabulary) - 1)
@@ -146,30 +155,23 @@ class Vectors:
 
 def token_vectors(documents: DataFrame, text_col: str = "text") -> Vectors:
     """The vectors of all tokens, from all documents."""
-    ship_package(documents.sparkSession)
-    with Scratch(documents.sparkSession) as scratch:
-        parts = documents.select(F.col(text_col).alias("text")).mapInArrow(_gather, "kind int, k long, " + ", ".join(f"{c} long" for c in _COLUMNS))
-        every = scratch.write(parts.groupBy("kind", "k").agg(*(F.sum(c).alias(c) for c in _COLUMNS)))
-        # At most VOCABULARY, TAIL and SHAPES rows come to the driver.
-        top = every.where("kind = 0").orderBy(F.desc(_COLUMNS[-1]), "k").limit(VOCABULARY).toPandas().drop(columns="kind").to_numpy(np.int64)
-        known = documents.sparkSession.createDataFrame([(int(k),) for k in top[:, 0]], "k long")
-        rest = every.where("kind = 0").join(F.broadcast(known), "k", "left_anti")
-        unsigned = F.pmod("k", F.lit(TAIL))  # TAIL is a power of two, so that signs don't matter
-        tail = rest.groupBy(unsigned.alias("k")).agg(*(F.sum(c).alias(c) for c in _COLUMNS)).toPandas().to_numpy(np.int64)
-        shape = every.where("kind = 1").drop("kind").toPandas().to_numpy(np.int64)
-    top = top[np.argsort(top[:, 0].astype(np.int64).view(np.uint64), kind="stable")]
-    blocks = [top[:, 1:], np.zeros((TAIL, DIM + 1), np.int64), np.zeros((SHAPES, DIM + 1), np.int64)]
-    for block, rows in zip(blocks[1:], (tail, shape), strict=True):
-        block[rows[:, 0]] = rows[:, 1:]
-    out = []
-    for part in (np.concatenate(blocks[:2]), blocks[2]):
-        n = part[:, DIM:]
-        mean = part[:, :DIM] / np.maximum(n, 1)
-        if n.sum():
-            mean -= (mean * n).sum(0) / n.sum()
-            mean *= n > 0
-        out.append(mean)
-    return Vectors(np.ascontiguousarray(top[:, 0]).view(np.uint64), np.concatenate(out).astype(np.float32))
+    spark = documents.sparkSession
+    ship_package(spark)
+    texts = documents.select(F.col(text_col).alias("text"))
+    counts = texts.mapInArrow(_counts, "k long, n long").groupBy("k").agg(F.sum("n").alias("n"))
+    top = counts.orderBy(F.desc("n"), "k").limit(VOCABULARY).select("k").toPandas()["k"].to_numpy(np.int64)
+    vocabulary = np.sort(top.view(np.uint64))
+    parts = texts.mapInArrow(_gather(spark.sparkContext.broadcast(vocabulary), TAIL), "k long, " + ", ".join(f"{c} long" for c in _COLUMNS))
+    rows = parts.groupBy("k").agg(*(F.sum(c).alias(c) for c in _COLUMNS)).toPandas().to_numpy(np.int64)  # at most VOCABULARY + TAIL + SHAPES rows
+    sums = np.zeros((len(vocabulary) + TAIL + SHAPES, DIM + 1), np.int64)
+    sums[rows[:, 0]] = rows[:, 1:]
+    n = sums[:, DIM:]
+    out = sums[:, :DIM] / np.maximum(n, 1)
+    for part in (slice(0, len(sums) - SHAPES), slice(len(sums) - SHAPES, None)):
+        if n[part].sum():
+            out[part] -= (out[part] * n[part]).sum(0) / n[part].sum()
+            out[part] *= n[part] > 0
+    return Vectors(vocabulary, out.astype(np.float32), TAIL)
 
 
 def pooled(data: np.ndarray, offs: np.ndarray, held: Vectors) -> np.ndarray:
@@ -177,14 +179,14 @@ def pooled(data: np.ndarray, offs: np.ndarray, held: Vectors) -> np.ndarray:
     runs, shapes, first = streams(data, offs)
     n = np.diff(first)
     out = np.zeros((len(n), 3 * DIM))
-    full = np.flatnonzero(n)
-    if len(full):
-        at, size = first[full], n[full, None]
-        v = held.vectors[held.rows(runs)].astype(float)
-        mean = np.add.reduceat(v, at, axis=0, dtype=float) / size
-        out[full, :DIM] = mean
-        out[full, DIM : 2 * DIM] = np.sqrt(np.maximum(np.add.reduceat(v * v, at, axis=0, dtype=float) / size - mean**2, 0))
-        out[full, 2 * DIM :] = np.add.reduceat(held.vectors[len(held.vectors) - SHAPES + shapes], at, axis=0, dtype=float) / size
+    rows, of_shape = held.rows(runs), held.vectors[len(held.vectors) - SHAPES :].astype(float)
+    for d in np.flatnonzero(n):
+        part = slice(first[d], first[d + 1])
+        # A product with ones sums the rows of both moments.
+        both = np.ones(n[d]) @ held.moments[rows[part]] / n[d]
+        out[d, :DIM] = both[:DIM]
+        out[d, DIM : 2 * DIM] = np.sqrt(np.maximum(both[DIM:] - both[:DIM] ** 2, 0))
+        out[d, 2 * DIM :] = np.bincount(shapes[part], minlength=SHAPES) @ of_shape / n[d]
     return out
 
 
