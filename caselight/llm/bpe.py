@@ -3,8 +3,8 @@
 A text is split into words by the byte-level pattern, each word's bytes become symbols in a doubly linked
 list, and the queue gives the pair of least rank, leftmost first; an entry whose symbols have changed since
 it was queued is stale and skipped. Decoding concatenates the vocabulary strings of the ids and reads the
-bytes as UTF-8. Words repeat, so each worker keeps what it has encoded, up to CACHE_WORDS words and as many
-space-separated pieces, each of at most CACHE_WORD_CHARS characters, and starts afresh beyond; results don't
+bytes as UTF-8. Words repeat, so each worker keeps what it has encoded, up to CACHE_WORDS pieces with a space before
+them and as many other words, each of at most CACHE_WORD_CHARS characters, and starts afresh beyond; results don't
 depend on that (a full cache becomes the old one, from which what is used again moves on). A word never runs over the place before a lone space, so pieces can be encoded apart; a text
 where a space touches other white space is split as a whole.
 
@@ -13,7 +13,7 @@ each executor from its own installation, or shipped in the closure as text if it
 
 Defined results: null or empty texts have no ids and decode to the empty text; every text decodes to itself;
 added tokens of the file that occur in a text get their own ids, as the tokenizers library does by default.
-Repeated rows and ids each give a row; other columns are not read.
+Repeated rows and ids each give a row, null ids stay null; empty tables give empty results; other columns are not read.
 """
 
 from __future__ import annotations
@@ -30,11 +30,10 @@ from pyspark.sql import DataFrame
 from caselight.llm.textbatch import pieces
 from caselight.session import ship_package
 
-
-CACHE_WORDS = 200_000
+CACHE_WORDS = 250_000
 CACHE_WORD_CHARS = 64
 #: The split pattern of byte-level BPE, with White_Space spelt out.
-_SPACE = r"\t-\r \x85\xa0  -     　"
+_SPACE = r"\t-\r\x20\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 PATTERN = rf"'s|'t|'re|'ve|'m|'ll|'d| ?\p{{L}}+| ?\p{{N}}+| ?[^{_SPACE}\p{{L}}\p{{N}}]+|[{_SPACE}]+(?![^{_SPACE}])|[{_SPACE}]+"
 
 
@@ -104,20 +103,37 @@ class Tokenizer:
                 push(queue, q * n + h)
         return [x for x in ids if x >= 0]
 
+    def _new(self, word: str) -> tuple[int, str, bytes]:
+        ids = self.word_ids(word)
+        return len(ids), ",".join(map(str, ids)), b"".join([self.pieces[i] for i in ids])
+
     def _word(self, word: str) -> tuple[int, str, bytes]:
+        if word[0] == " " and len(word) > 1:
+            return self._chunk(word[1:])
         if out := self.words.get(word):
             return out
-        if not (out := self.old_words.get(word)):
-            ids = self.word_ids(word)
-            out = (len(ids), ",".join(map(str, ids)), b"".join([self.pieces[i] for i in ids]))
+        out = self.old_words.get(word) or self._new(word)
         if len(word) <= CACHE_WORD_CHARS:
             if len(self.words) >= CACHE_WORDS:
                 self.old_words, self.words = self.words, {}
             self.words[word] = out
         return out
 
-    def _whole(self, part: str) -> tuple[int, str, bytes]:
-        n, ids, raw = zip(*map(self._word, self.split(part)), strict=True)
+    def _chunk(self, p: str) -> tuple[int, str, bytes]:
+        """A piece with the space before it; a piece of one word is worked out here, others from their words."""
+        if out := self.chunks.get(p):
+            return out
+        if not (out := self.old_chunks.get(p)):
+            words = self.split(" " + p)
+            out = self._new(words[0]) if len(words) == 1 else self._joined(words)
+        if len(p) <= CACHE_WORD_CHARS:
+            if len(self.chunks) >= CACHE_WORDS:
+                self.old_chunks, self.chunks = self.chunks, {}
+            self.chunks[p] = out
+        return out
+
+    def _joined(self, words: list[str]) -> tuple[int, str, bytes]:
+        n, ids, raw = zip(*map(self._word, words), strict=True)
         return sum(n), ",".join(ids), b"".join(raw)
 
     def _part(self, part: str) -> list[tuple[int, str, bytes]]:
@@ -126,16 +142,11 @@ class Tokenizer:
         found = list(map(self.chunks.get, rest))
         if None in found or self.touching(first):
             if self.touching(first) or any(f is None and self.touching(p) for f, p in zip(found, rest, strict=True)):
-                return [self._whole(part)]
+                return [self._joined(self.split(part))]
             for i, f in enumerate(found):
                 if f is None:
-                    p = rest[i]
-                    found[i] = out = self.chunks.get(p) or self.old_chunks.get(p) or self._whole(" " + p)
-                    if len(p) <= CACHE_WORD_CHARS:
-                        if len(self.chunks) >= CACHE_WORDS:
-                            self.old_chunks, self.chunks = self.chunks, {}
-                        self.chunks[p] = out
-        return [self._whole(first), *found]
+                    found[i] = self._chunk(rest[i])
+        return [self._joined(self.split(first)), *found]
 
     def encoded(self, text: str | None) -> list[tuple[int, str, bytes]]:
         """(number of ids, ids joined by commas, their bytes) of each piece and added token."""

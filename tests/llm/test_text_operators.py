@@ -125,6 +125,14 @@ def test_bpe_against_library(spark, texts):
         assert r.decoded == (every[r.doc_id] or "") and r.n_tokens == len(r.ids)
 
 
+def test_bpe_of_empty_tables_null_ids_and_clashing_columns(spark, nothing):
+    pytest.importorskip("public_tokenizers")
+    assert bpe.encode(nothing).count() == 0 and bpe.encode_digests(nothing).count() == 0
+    df = spark.createDataFrame([(None, "a b", 1), (2, "a b", 2), (2, "a b", 2), (3, None, 3)], "doc_id long, text string, ids int")
+    rows = bpe.encode(df).collect()
+    assert sorted((r.doc_id or 0, r.n_tokens, r.decoded) for r in rows) == [(0, 2, "a b"), (2, 2, "a b"), (2, 2, "a b"), (3, 0, "")]
+
+
 def test_small_cache_gives_the_same(monkeypatch, texts):
     public = pytest.importorskip("public_tokenizers")
     monkeypatch.setattr(bpe, "CACHE_WORDS", 10)
