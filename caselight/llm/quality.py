@@ -4,8 +4,8 @@ A text becomes two streams of tokens: runs of word bytes or of other visible byt
 shape of each run (case, digits, length, whether it repeats the run before it). Every token has a fixed random index
 vector of DIM components, NONZERO of them 1 or -1 (one of INDEX, by its hash). The vector of a token is the sum of the index
 vectors of its neighbours up to WINDOW places away, over all documents, divided by its count and centred: sums are whole
-numbers, so they don't depend on any order. The VOCABULARY most frequent runs have vectors of their own, the others share TAIL
-vectors by hash. A document is the mean and spread of its run vectors and the mean of its shape vectors. A two-layer
+numbers, so they don't depend on any order. The most frequent runs, up to VOCABULARY, have vectors of their own (runs of one
+frequency all do or all don't), the others share TAIL vectors by hash. A document is the mean and spread of its run vectors and the mean of its shape vectors. A two-layer
 network is fitted with numpy on at most MAX_LABELLED labelled training rows, in the order of a hash of their id; the last
 CALIBRATION share of them sets the temperature that its scores are divided by.
 
@@ -15,8 +15,7 @@ go to the driver and to every executor. Documents are never shuffled, and labell
 
 Defined results: null or empty texts pool to zeros and get the network's score of that; without usable labels of
 both classes every score is the share of label 1 (0.5 if there are none); of an id labelled more than once the
-largest label counts; null ids count as not held out; repeated rows each give a row; of runs of equal frequency the smaller
-hash is in the vocabulary; empty tables give empty results; other columns aren't read.
+largest label counts; null ids count as not held out; repeated rows each give a row; empty tables give empty results; other columns aren't read.
 """
 
 from __future__ import annotations
@@ -26,6 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from caselight.llm.shared import Scratch
 from caselight.llm.textbatch import ALNUM, prefix_hash, slices, span_hash
 from caselight.llm.toxicity import labelled, remainder
 from caselight.session import ship_package
@@ -159,7 +159,13 @@ def token_vectors(documents: DataFrame, text_col: str = "text") -> Vectors:
     ship_package(spark)
     texts = documents.select(F.col(text_col).alias("text"))
     counts = texts.mapInArrow(_counts, "k long, n long").groupBy("k").agg(F.sum("n").alias("n"))
-    top = counts.orderBy(F.desc("n"), "k").limit(VOCABULARY).select("k").toPandas()["k"].to_numpy(np.int64)
+    with Scratch(spark) as scratch:
+        counts = scratch.write(counts)
+        # How many runs occur how often: a row for each number of places that any run has.
+        often = counts.groupBy("n").agg(F.count(F.lit(1)).alias("m")).orderBy(F.desc("n")).toPandas().to_numpy(np.int64).reshape(-1, 2)
+        fits = int((np.cumsum(often[:, 1]) <= VOCABULARY).sum())
+        least = int(often[fits - 1, 0]) if fits else 1 << 62
+        top = counts.where(F.col("n") >= least).select("k").toPandas()["k"].to_numpy(np.int64)  # at most VOCABULARY rows
     vocabulary = np.sort(top.view(np.uint64))
     parts = texts.mapInArrow(_gather(spark.sparkContext.broadcast(vocabulary), TAIL), "k long, " + ", ".join(f"{c} long" for c in _COLUMNS))
     rows = parts.groupBy("k").agg(*(F.sum(c).alias(c) for c in _COLUMNS)).toPandas().to_numpy(np.int64)  # at most VOCABULARY + TAIL + SHAPES rows
