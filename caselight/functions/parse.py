@@ -197,10 +197,21 @@ def imputed_time(time: Column, *fallbacks: tuple[str, Column]) -> Column:
     return F.struct(F.coalesce(time, *(c for _, c in fallbacks)).alias("time"), time.isNull().alias("imputed"), F.when(time.isNotNull(), "event").otherwise(source).alias("source"))
 
 
-def node_features(value: Column, median: Column, iqr: Column, count: Column, hours: Column, lower: Column, upper: Column, level: Column) -> Column:
-    """Scaled features of a graph node as an array."""
-    clip = lambda c, k: F.when(c.isNotNull(), F.greatest(F.lit(-k), F.least(F.lit(k), c)))
-    scaled = clip((value - median) / F.when(iqr <= 1e-8, F.lit(1.0)).otherwise(iqr), 5.0)
-    flag = lambda c: c.isNotNull().cast("double")
-    known = lambda c: F.coalesce(c, F.lit(0.0))
-    return F.array(known(scaled), flag(value), F.log1p(count.cast("double")), known(clip(hours / 168, 4.0)), flag(hours), flag(lower), flag(upper), known(level / 4), flag(level))
+def node_features(value: Column, median: Column, iqr: Column, count: Column, hours: Column, kind: Column, lower: Column, upper: Column, level: Column, masked: Column) -> Column:
+    """The 16 features of a graph node, as an array, in this order.
+
+    Scaled value, ln(1 + count), hours / 168, has value, has time, lacks value, is masked, is censored, is an interval, is a category
+    or status, scaled bounds, has them, ordinal level / 4, has a level. Values and bounds are scaled by the token's median
+    and spread (1 where it has none) and clipped to 5, hours to 4; a masked value is 0, and what isn't known is 0.
+    """
+    clip = lambda c, low, high: F.when(c.isNotNull() & ~F.isnan(c), F.greatest(F.lit(float(low)), F.least(F.lit(float(high)), c))).otherwise(F.lit(0.0))
+    flag = lambda c: F.coalesce(c, F.lit(False)).cast("double")
+    has = lambda c: flag(c.isNotNull() & ~F.isnan(c))
+    spread = F.when(iqr <= 1e-8, F.lit(1.0)).otherwise(F.coalesce(iqr, F.lit(1.0)))
+    scaled = lambda c: clip((c.cast("double") - F.coalesce(median, F.lit(0.0))) / spread, -5, 5)
+    value, hours, lower, upper, level = (c.cast("double") for c in (value, hours, lower, upper, level))
+    return F.array(
+        F.when(F.coalesce(masked, F.lit(False)), F.lit(0.0)).otherwise(scaled(value)), F.log1p(F.greatest(F.lit(0), F.coalesce(count, F.lit(0))).cast("double")), clip(hours / 168, -4, 4),
+        has(value), has(hours), 1 - has(value), flag(masked), flag(kind == "numeric_censored"), flag(kind == "numeric_interval"),
+        flag(kind.isin("categorical", "semi_quantitative", "not_applicable", "not_performed", "unknown")), scaled(lower), scaled(upper), has(lower), has(upper), clip(level / 4, 0, 1), has(level),
+    )

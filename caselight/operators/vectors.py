@@ -165,19 +165,38 @@ def gram(df: DataFrame, vector: str) -> DataFrame:
     return cells.groupBy("i", "j").agg(F.sum(F.col("x").cast("double") * F.col("y").cast("double")).alias("g"))
 
 
-def matrix_statistics(df: DataFrame, vector: str) -> DataFrame:
-    """One row: rows, mean norm and effective rank (exponential of the entropy of the squared singular values' shares)."""
+def matrix_statistics(df: DataFrame, vector: str, size: str | None = None) -> DataFrame:
+    """One row on the valid vectors: n, norms, effective rank and its target, mean and deviation of all pairs' inner products.
+
+    The effective rank is the exponential of the entropy of the centred vectors' squared singular values' shares, its target a quarter
+    of the components. With size, also the correlation of each vector's mean product with the others and ln(1 + size). Pairs
+    aren't formed: sums over them follow from the vectors' sum and Gram matrix, d * (d + 1) / 2 numbers.
+    """
     spark = df.sparkSession
-    cells = gram(df, vector).collect()  # at most d * (d + 1) / 2 rows
+    ok = df.where(is_valid(F.col(vector)))
+    cells = gram(ok, vector).collect()
     d = max((r["j"] for r in cells), default=-1) + 1
+    if not d:
+        return spark.createDataFrame([(0, *[None] * 3, 0.0, 0.0, *[None] * 3)], "n long, mean_norm double, norm_min double, norm_max double, effective_rank double, effective_rank_target double, pair_mean double, pair_sd double, size_correlation double")
     g = np.zeros((d, d))
     for r in cells:
         g[r["i"], r["j"]] = g[r["j"], r["i"]] = r["g"]
-    values = np.clip(np.linalg.eigvalsh(g), 0, None) if d else np.zeros(0)
-    share = values[values > 0] / values.sum() if values.sum() > 0 else np.zeros(0)
-    rank = float(np.exp(-(share * np.log(share)).sum())) if len(share) else 0.0
-    ok = df.where(is_valid(F.col(vector)))
-    return ok.agg(F.count(F.lit(1)).alias("n"), F.avg(norm(F.col(vector))).alias("mean_norm")).withColumn("effective_rank", F.lit(rank)) if d else spark.createDataFrame([(0, None, 0.0)], "n long, mean_norm double, effective_rank double")
+    total = np.zeros(d)
+    for r in ok.select(F.posexplode(vector).alias("i", "x")).groupBy("i").agg(F.sum(F.col("x").cast("double")).alias("x")).collect():  # a row a component
+        total[r["i"]] = r["x"]
+    one = F.aggregate(F.transform(vector, lambda x: x.cast("double") * x.cast("double")), F.lit(0.0), lambda s, x: s + x)
+    n, fourth = ok.select(one.alias("q")).agg(F.count(F.lit(1)), F.sum(F.col("q") * F.col("q"))).first()
+    values = np.clip(np.linalg.eigvalsh(g - np.outer(total, total) / n), 0, None)
+    share = values[values > 0] / max(values.sum(), 1e-300)
+    pairs = n * (n - 1)
+    mean = (total @ total - np.trace(g)) / pairs if pairs else None
+    sd = float(np.sqrt(max(((g * g).sum() - fourth) / pairs - mean**2, 0.0))) if pairs else None
+    own = (dot(F.col(vector), F.array(*map(F.lit, total.tolist()))) - one) / max(n - 1, 1)
+    related = F.corr(own, F.log1p(F.col(size).cast("double"))) if size else F.lit(None).cast("double")
+    length = norm(F.col(vector))
+    out = ok.agg(F.count(F.lit(1)).alias("n"), F.avg(length).alias("mean_norm"), F.min(length).alias("norm_min"), F.max(length).alias("norm_max"), related.alias("size_correlation"))
+    known = {"effective_rank": float(np.exp(-(share * np.log(share)).sum())), "effective_rank_target": 0.25 * d, "pair_mean": mean, "pair_sd": sd}
+    return out.select("n", "mean_norm", "norm_min", "norm_max", *(F.lit(v).cast("double").alias(k) for k, v in known.items()), "size_correlation")
 
 
 def hub_share(top: DataFrame) -> DataFrame:

@@ -193,15 +193,19 @@ def kept_edits(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("""
-WITH x AS (SELECT event_id, value AS v, event_id % 3 > 0 AS known, event_id % 50 / 10.0 AS h FROM events)
-SELECT event_id, round(CASE WHEN known THEN greatest(-5, least(5, (v - 40) / 4.0)) ELSE 0 END, 9) AS scaled, CASE WHEN known THEN 1.0 ELSE 0.0 END AS has_value, round(ln(1 + event_id % 7), 9) AS n, round(least(4, h * 100 / 168), 9) AS hours FROM x
+WITH x AS (SELECT event_id, CASE WHEN event_id % 3 > 0 THEN value END AS v, CASE WHEN event_id % 4 > 0 THEN event_id % 50 * 10.0 - 100 END AS h, event_id % 6 AS k, CASE WHEN event_id % 5 = 0 THEN value - 10 END AS lo, CASE WHEN event_id % 7 = 0 THEN value + 10 END AS hi, event_id % 11 = 0 AS masked FROM events),
+f AS (SELECT event_id, unnest([CASE WHEN masked OR v IS NULL THEN 0 ELSE greatest(-5, least(5, (v - 40) / 4.0)) END, ln(1 + event_id % 7), CASE WHEN h IS NULL THEN 0 ELSE greatest(-4, least(4, h / 168)) END, (v IS NOT NULL)::INT, (h IS NOT NULL)::INT, (v IS NULL)::INT, masked::INT,
+  (k = 0)::INT, (k = 1)::INT, (k IN (2, 3))::INT, CASE WHEN lo IS NULL THEN 0 ELSE greatest(-5, least(5, (lo - 40) / 4.0)) END, CASE WHEN hi IS NULL THEN 0 ELSE greatest(-5, least(5, (hi - 40) / 4.0)) END, (lo IS NOT NULL)::INT, (hi IS NOT NULL)::INT, CASE k WHEN 2 THEN 0.75 WHEN 3 THEN 1 ELSE 0 END, (k IN (2, 3))::INT]::DOUBLE[]) AS x, unnest(range(16)) AS i FROM x)
+SELECT event_id, i, round(x, 9) AS x FROM f
 """)
 def node_features(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Scaled and clipped features of nodes."""
+    """The 16 scaled features of nodes."""
     e = table(spark, sf_dir, "events")
-    null, value = F.lit(None).cast("double"), F.when(F.col("event_id") % 3 > 0, F.col("value"))
-    x = parse.node_features(value, F.lit(40.0), F.lit(4.0), F.col("event_id") % 7, F.col("event_id") % 50 * 10.0, null, null, null)
-    return e.select("event_id", x.alias("x")).select("event_id", *(F.round(F.col("x")[i], 9).alias(n) for i, n in enumerate(("scaled", "has_value", "n", "hours"))))
+    k, v, null = F.col("event_id"), F.col("value"), F.lit(None).cast("double")
+    kinds = F.element_at(F.array(*map(F.lit, ("numeric_censored", "numeric_interval", "semi_quantitative", "unknown", "numeric_exact", "free_text"))), (k % 6 + 1).cast("int"))
+    level = F.when(k % 6 == 2, 3.0).when(k % 6 == 3, 9.0)
+    x = parse.node_features(F.when(k % 3 > 0, v), F.lit(40.0), F.lit(4.0), k % 7, F.when(k % 4 > 0, k % 50 * 10.0 - 100), kinds, F.when(k % 5 == 0, v - 10).otherwise(null), F.when(k % 7 == 0, v + 10), level, k % 11 == 0)
+    return e.select("event_id", F.posexplode(x).alias("i", "x")).select("event_id", F.col("i").cast("long").alias("i"), F.round("x", 9).alias("x"))
 
 
 @query("SELECT unnest(['id', 'unnamed_column_2', 'id__2', 'unnamed_column_4', 'name', 'id__3']) AS header, unnest([0, 1, 2, 3, 4, 5])::BIGINT AS place")
@@ -444,9 +448,9 @@ def embedding_gates(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Gates on diagnostics of one split: normalised vectors pass, a correlation that isn't known doesn't."""
     e = table(spark, sf_dir, "embeddings").where("vec_id % 2 = 0").select("vec_id", vectors.normalize(F.col("embedding")).alias("embedding"))
     n = e.agg(F.count_if(~vectors.is_valid(F.col("embedding"))).alias("n_not_finite"), F.min(vectors.norm(F.col("embedding"))).alias("norm_min"), F.max(vectors.norm(F.col("embedding"))).alias("norm_max"))
-    rank = vectors.matrix_statistics(e, "embedding").select("effective_rank")
+    rank = vectors.matrix_statistics(e, "embedding").select("effective_rank", "effective_rank_target")
     hub = vectors.hub_share(vectors.topk_cosine(e.where("vec_id % 20 = 0"), e, "vec_id", "embedding", 1)).select((F.col("hub_share") / 100).alias("top1_hub"))
-    row = J.with_constants(J.with_constants(n, rank), hub).withColumn("effective_rank_target", F.lit(8.0)).withColumn("size_correlation", F.lit(None).cast("double")).withColumn("recall_delta", F.lit(0.4))
+    row = J.with_constants(J.with_constants(n, rank), hub).withColumn("size_correlation", F.lit(None).cast("double")).withColumn("recall_delta", F.lit(0.4))
     return Q.embedding_gates(row)
 
 

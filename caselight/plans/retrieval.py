@@ -160,6 +160,16 @@ def effective_rank(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vectors.matrix_statistics(table(spark, sf_dir, "embeddings"), "embedding")
 
 
+@query(f"""
+WITH u AS (SELECT vec_id, {_unit('embedding')} AS v FROM embeddings), p AS (SELECT a.vec_id, list_inner_product(a.v, b.v) AS s FROM u a, u b WHERE a.vec_id <> b.vec_id), m AS (SELECT vec_id, avg(s) AS m FROM p GROUP BY 1)
+SELECT (SELECT count(*) FROM u) AS n, round(avg(s), 6) AS pair_mean, round(stddev_pop(s), 6) AS pair_sd, (SELECT round(corr(m, ln(1 + vec_id % 9)), 6) FROM m) AS size_correlation FROM p
+""")
+def pair_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Mean and deviation of all pairs' cosines, and how a vector's mean cosine goes with a size, without forming pairs."""
+    e = table(spark, sf_dir, "embeddings").select(vectors.normalize(F.col("embedding")).alias("v"), (F.col("vec_id") % 9).alias("size"))
+    return vectors.matrix_statistics(e, "v", "size").select("n", *(F.round(c, 6).alias(c) for c in ("pair_mean", "pair_sd", "size_correlation")))
+
+
 @query("WITH " + _topk(f"SELECT vec_id, {_unit('embedding')} AS v FROM embeddings") + ", n AS (SELECT candidate_id, count(*) AS n FROM r WHERE rank = 1 GROUP BY 1) SELECT max(n) / sum(n) AS hub_share FROM n")
 def hub_share(spark: SparkSession, sf_dir: str) -> DataFrame:
     """How often the most frequent nearest neighbour is one."""
