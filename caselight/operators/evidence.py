@@ -82,6 +82,14 @@ def shared_labs(pairs: DataFrame, rows: DataFrame, key: str, name: str, time: st
     return out.select("left", "right", "name", "left_values", "right_values", (F.col("left_flagged") & F.col("right_flagged")).alias("both_flagged"))
 
 
+def shared_modalities(pairs: DataFrame, rows: DataFrame, key: str, modality: str) -> DataFrame:
+    """left, right, modalities: the pairs (left, right) of keys whose rows have modalities in common, and these in order."""
+    held = rows.where(F.col(modality).isNotNull()).groupBy(F.col(key).alias("_k")).agg(F.collect_set(modality).alias("_m"))
+    side = lambda s: held.select(F.col("_k").alias(s), F.col("_m").alias(f"_{s}"))
+    both = pairs.select("left", "right").join(side("left"), "left").join(side("right"), "right")
+    return both.select("left", "right", F.array_sort(F.array_intersect("_left", "_right")).alias("modalities")).where(F.size("modalities") > 0)
+
+
 _SPANS = "array<struct<key:string,start:int,end:int>>"
 
 

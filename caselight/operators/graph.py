@@ -80,6 +80,14 @@ def training_statistics(nodes: DataFrame, split: Column, graph: str, token: str,
     return A.vocabulary(train, token), A.idf(train, graph, token), A.robust_stats(train.where(F.col(value).isNotNull()), token, value)
 
 
+def structured_dataset(events: DataFrame, visit: str, token: str, hours: str, value: str, split: Column, bucket_hours: int = 24) -> dict[str, DataFrame]:
+    """nodes (numbered, by visit, token and day), chains, vocabulary, idf, statistics and splits of a structured dataset; the last three of the training part alone."""
+    nodes = node_events(events, visit, F.col(token), hours, value, None, bucket_hours)
+    placed = indexed(nodes, visit, ["token", "bucket"])
+    words, weights, stats = training_statistics(placed, split, visit, "token", "value")
+    return {"nodes": placed, "chains": temporal_chains(placed, visit, "token", ["bucket"]), "vocabulary": words, "idf": weights, "statistics": stats, "splits": events.select(visit).distinct().withColumn("split", split)}
+
+
 def select_cohort(domains: dict[str, DataFrame], visits: DataFrame, visit: str, patient: str, token: str, top: dict[str, int], min_visits: int) -> DataFrame:
     """visit, patient, visit_index, edge_index, patient_index: visits with every domain after its vocabulary cut, of patients with enough of them."""
     eligible = []

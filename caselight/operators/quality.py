@@ -70,12 +70,14 @@ def asymmetric(edges: DataFrame, a: str, b: str) -> DataFrame:
 def manifest(tables: dict[str, DataFrame], config: dict[str, str]) -> DataFrame:
     """table, rows, digest: counts and order-free digests of the tables with the run's settings.
 
-    A digest is the sums of two hashes of each row, so rows that repeat count as often as they occur.
+    A digest is the sums of two parts of each row's SHA-256, so rows that repeat count as often as they occur. A row is its columns
+    in the order of their names, as text, a unit separator after each and a null as a lone record separator.
     """
     parts = []
     for name, df in sorted(tables.items()):
-        columns = [F.col(f"`{c}`") for c in sorted(df.columns)]
-        sums = [F.coalesce(F.sum(F.xxhash64(F.lit(seed), *columns).cast("decimal(20,0)")), F.lit(0)).cast("string") for seed in (1, 2)]
+        cells = F.concat(*(F.concat(F.coalesce(F.col(f"`{c}`").cast("string"), F.lit("\x1e")), F.lit("\x1f")) for c in sorted(df.columns)))
+        digest = F.sha2(cells.cast("binary"), 256)
+        sums = [F.coalesce(F.sum(F.conv(F.substring(digest, at, 15), 16, 10).cast("decimal(20,0)")), F.lit(0)).cast("string") for at in (1, 16)]
         parts.append(df.agg(F.count(F.lit(1)).alias("rows"), F.concat_ws(":", *sums).alias("digest")).select(F.lit(name).alias("table"), "rows", "digest"))
     out = reduce(DataFrame.unionByName, parts)
     return out.withColumn("config", F.to_json(F.create_map(*(F.lit(x) for kv in sorted(config.items()) for x in kv))))

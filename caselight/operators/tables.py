@@ -75,6 +75,12 @@ def build_notes(rows: DataFrame, visit: str, fields: list[str], placeholder: str
     return A.collapse(flat, [visit, "section", "text"]).withColumn("note_id", ids.prefix_id("note", F.col(visit), F.col("section"), F.col("text")))
 
 
+def build_all_notes(sources: list[tuple[str, DataFrame, list[str]]], visit: str, placeholder: str = "richeditcontrol1") -> DataFrame:
+    """The notes of several tables, such as main fields, order notes and reports: (name, table, fields); source tells which."""
+    parts = [build_notes(df, visit, fields, placeholder).withColumn("source", F.lit(name)) for name, df, fields in sources]
+    return reduce(DataFrame.unionByName, parts)
+
+
 def build_observations(labs: DataFrame, vitals: DataFrame | None, visit: str, name: str, result: str, time: str, vital_columns: list[str] | None = None, source_row: str = "source_row", unit: str | None = None) -> DataFrame:
     """Laboratory rows and vital signs as one table with typed results; a row's unit is the unit column's, else the one in its result."""
     own = (text.clean(F.col(unit)) if unit else F.lit("")).alias("unit")

@@ -10,6 +10,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from caselight.functions.ids import hash_order
 from caselight.functions.text import let
 from caselight.session import ship_package
 
@@ -206,12 +207,9 @@ def hub_share(top: DataFrame) -> DataFrame:
 
 
 def random_pair_cosines(df: DataFrame, id_col: str, vector: str, seed: int = 0) -> DataFrame:
-    """a, b, cosine of rows paired by the order of a hash: each row with the next in its bucket of the hash."""
-    from pyspark.sql import Window as W
-
-    h = F.xxhash64(F.lit(seed), F.col(id_col))
-    rows = df.where(is_valid(F.col(vector))).select(F.col(id_col).alias("a"), normalize(F.col(vector)).alias("v"), h.alias("h"), F.pmod(h, F.lit(256)).alias("k"))
-    w = W.partitionBy("k").orderBy("h", "a")
+    """a, b, cosine of rows paired by the order of a hash: each row with the next in its range of the hash."""
+    rows = df.where(is_valid(F.col(vector))).select(F.col(id_col).alias("a"), normalize(F.col(vector)).alias("v"), hash_order(seed, F.col(id_col)).alias("h"))
+    w = Window.partitionBy(F.substring("h", 1, 2)).orderBy("h", "a")
     return rows.withColumn("b", F.lead("a").over(w)).withColumn("u", F.lead("v").over(w)).where("b IS NOT NULL").select("a", "b", dot(F.col("v"), F.col("u")).alias("cosine"))
 
 
@@ -241,3 +239,16 @@ def overlap_gate(a: Column, b: Column, least: int = 3, coverage: float = 0.5) ->
     shared = F.size(F.array_intersect(a, b))
     cover = shared / F.nullif(F.least(F.size(a), F.size(b)), F.lit(0))
     return F.struct(shared.alias("shared"), cover.alias("coverage"), (shared / F.nullif(F.size(F.array_union(a, b)), F.lit(0))).alias("jaccard"), F.coalesce((shared >= least) & (cover >= coverage), F.lit(False)).alias("ok"))
+
+
+def gated_neighbours(pairs: DataFrame, rows: DataFrame, key: str, name: str, least: int = 3, coverage: float = 0.5) -> DataFrame:
+    """left, right, shared, coverage, jaccard: the pairs (left, right) of keys whose names overlap enough to be compared."""
+    held = rows.where(F.col(name).isNotNull()).groupBy(F.col(key).alias("_k")).agg(F.collect_set(name).alias("_m"))
+    side = lambda s: held.select(F.col("_k").alias(s), F.col("_m").alias(f"_{s}"))
+    both = pairs.select("left", "right").join(side("left"), "left").join(side("right"), "right")
+    return both.select("left", "right", overlap_gate(F.col("_left"), F.col("_right"), least, coverage).alias("_g")).where("_g.ok").select("left", "right", "_g.shared", "_g.coverage", "_g.jaccard")
+
+
+def shape_counts(df: DataFrame, vector: str, *by: str) -> DataFrame:
+    """How many vectors there are of each length, in all or by other columns; null vectors have none."""
+    return df.groupBy(*by, F.size(vector).alias("length")).agg(F.count(F.lit(1)).alias("n")) if by else df.groupBy(F.size(vector).alias("length")).agg(F.count(F.lit(1)).alias("n"))

@@ -462,3 +462,109 @@ def marked_turns(spark: SparkSession, sf_dir: str) -> DataFrame:
     o = c.select("conv_id", (F.col("turn") - 2).alias("turn"), "role", F.col("icd").alias("icd2"), F.col("phrases").alias("phrases2"))
     spans = X.apart(F.concat(X.shared_spans(F.col("icd"), F.col("icd2"), 0), X.shared_spans(F.col("phrases"), F.col("phrases2"), 1)))
     return c.join(o, ["conv_id", "turn", "role"]).withColumn("spans", spans).where(F.size("spans") > 0).select("conv_id", "turn", F.size("spans").alias("n"), X.marked(F.col("text"), F.col("spans")).alias("html"))
+
+
+@query("""
+WITH f AS (SELECT o_custkey, o_orderkey, o_orderdate, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey::VARCHAR) AS r FROM orders)
+SELECT 'demographics' AS source_table, o_custkey::VARCHAR AS patient_id, '' AS visit_id, make_date(CAST(1900 + o_orderkey % 99 AS INTEGER), 1, 1)::TIMESTAMP AS time, 'GENDER/' || CASE WHEN o_orderkey % 2 = 0 THEN 'F' ELSE 'M' END AS code, 0 AS priority FROM f WHERE r = 1
+""")
+def demographic_store(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One gender event a patient, at birth, from its first visit."""
+    o = table(spark, sf_dir, "orders")
+    v = o.select(F.col("o_custkey").alias("patient_id"), F.col("o_orderkey").cast("string").alias("visit_id"), F.col("o_orderdate").alias("admission_time"), F.when(F.col("o_orderkey") % 2 == 0, "F").otherwise("M").alias("gender_code"), (F.col("o_orderkey") % 99 + 1900).cast("int").alias("birth_year"))
+    return E.demographic_events(v).select("source_table", "patient_id", "visit_id", "time", "code", "priority")
+
+
+@query("""
+WITH n AS (SELECT 'main' AS source, l_orderkey AS visit, 'flag' AS section, l_returnflag AS text FROM lineitem UNION ALL SELECT 'main', l_orderkey, 'status', l_linestatus FROM lineitem
+  UNION ALL SELECT 'orders', o_orderkey, 'priority', o_orderpriority FROM orders UNION ALL SELECT 'reports', o_orderkey, 'report', 'state ' || o_orderstatus FROM orders WHERE o_orderkey % 3 > 0)
+SELECT source, visit, section, text, count(*) AS source_row_count FROM n GROUP BY ALL
+""")
+def build_all_notes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Note fields of several tables; placeholders and empty texts leave."""
+    line = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("visit"), F.col("l_returnflag").alias("flag"), F.concat(F.lit("  "), "l_linestatus").alias("status"), F.lit("RichEditControl1").alias("empty"))
+    o = table(spark, sf_dir, "orders")
+    reports = o.select(F.col("o_orderkey").alias("visit"), F.when(F.col("o_orderkey") % 3 > 0, F.concat(F.lit("state \n "), "o_orderstatus")).otherwise("null").alias("report"))
+    sources = [("main", line, ["flag", "status", "empty"]), ("orders", o.select(F.col("o_orderkey").alias("visit"), F.col("o_orderpriority").alias("priority")), ["priority"]), ("reports", reports, ["report"])]
+    return B.build_all_notes(sources, "visit").drop("note_id")
+
+
+def _neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    u = table(spark, sf_dir, "events").where("user_id IS NOT NULL").select("user_id").distinct()
+    return u.select(F.col("user_id").alias("left"), (F.col("user_id") + 1).alias("right")).join(u.select(F.col("user_id").alias("right")), "right", "left_semi")
+
+
+@query("""
+WITH u AS (SELECT user_id, list_sort(list_distinct(list(event_type))) AS m FROM events WHERE value > 60 GROUP BY 1)
+SELECT a.user_id AS "left", b.user_id AS "right", array_to_string(list_sort(list_intersect(a.m, b.m)), ',') AS modalities FROM u a JOIN u b ON b.user_id = a.user_id + 1 WHERE len(list_intersect(a.m, b.m)) > 0
+""")
+def shared_modalities_evidence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The kinds of study that two patients have in common."""
+    out = X.shared_modalities(_neighbours(spark, sf_dir), table(spark, sf_dir, "events").where("value > 60"), "user_id", "event_type")
+    return out.select("left", "right", F.array_join("modalities", ",").alias("modalities"))
+
+
+@query("""
+WITH u AS (SELECT user_id, list_distinct(list(event_type)) AS m FROM events WHERE value > 60 GROUP BY 1), p AS (SELECT a.user_id AS l, b.user_id AS r, len(list_intersect(a.m, b.m)) AS s, len(a.m) AS x, len(b.m) AS y FROM u a JOIN u b ON b.user_id = a.user_id + 1)
+SELECT l AS "left", r AS "right", CAST(s AS INTEGER) AS shared, round(s / least(x, y), 9) AS coverage, round(s / (x + y - s), 9) AS jaccard FROM p WHERE s >= 2 AND s / least(x, y) >= 0.6
+""")
+def gated_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pairs whose tests overlap enough to be compared."""
+    out = vectors.gated_neighbours(_neighbours(spark, sf_dir), table(spark, sf_dir, "events").where("value > 60"), "user_id", "event_type", 2, 0.6)
+    return out.select("left", "right", "shared", F.round("coverage", 9).alias("coverage"), F.round("jaccard", 9).alias("jaccard"))
+
+
+@query("SELECT label, CAST(len(embedding[1:CASE WHEN vec_id % 3 = 0 THEN 8 ELSE 64 END]) AS INTEGER) AS length, count(*) AS n FROM embeddings GROUP BY ALL")
+def shape_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How many vectors there are of each length, by label."""
+    e = table(spark, sf_dir, "embeddings")
+    return vectors.shape_counts(e.withColumn("embedding", F.when(F.col("vec_id") % 3 == 0, F.slice("embedding", 1, 8)).otherwise(F.col("embedding"))), "embedding", "label")
+
+
+@query("""
+WITH e AS (SELECT l_orderkey AS g, l_returnflag AS t, floor((l_linenumber * 10) / 24.0) AS b, l_quantity AS v FROM lineitem), n AS (SELECT g, t, b, quantile_cont(v, 0.5) AS v FROM e GROUP BY ALL), s AS (SELECT * FROM n WHERE g % 10 < 7)
+SELECT 'nodes' AS part, count(*) AS n, round(sum(v), 6) AS total FROM n UNION ALL SELECT 'chains', 2 * (SELECT count(*) - count(DISTINCT (g, t)) FROM n), NULL UNION ALL SELECT 'vocabulary', count(DISTINCT t), NULL FROM s
+UNION ALL SELECT 'idf', count(*), round(sum(ln((k + 1) / (d + 1)) + 1), 6) FROM (SELECT t, count(DISTINCT g) AS d FROM s GROUP BY 1), (SELECT count(DISTINCT g) AS k FROM s)
+UNION ALL SELECT 'statistics', count(*), round(sum(m), 6) FROM (SELECT quantile_cont(v, 0.5) AS m FROM s GROUP BY t) UNION ALL SELECT 'splits', count(DISTINCT g), NULL FROM e
+""")
+def structured_dataset(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All parts of a structured dataset; their sizes and sums."""
+    line = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("graph"), F.col("l_returnflag").alias("kind"), (F.col("l_linenumber") * 10.0).alias("at"), "l_quantity")
+    parts = G.structured_dataset(line, "graph", "kind", "at", "l_quantity", F.when(F.col("graph") % 10 < 7, "train").otherwise("test"))
+    sums = {"nodes": "value", "idf": "idf", "statistics": "median"}
+    rows = [df.agg(F.count(F.lit(1)).alias("n"), (F.round(F.sum(sums[name]), 6) if name in sums else F.lit(None).cast("double")).alias("total")).select(F.lit(name).alias("part"), "n", "total") for name, df in parts.items()]
+    return readers.union_projected(rows)
+
+
+@query("SELECT c_custkey AS id, CASE WHEN c_custkey % 3 = 0 THEN 'second' ELSE 'first' END AS state, CASE WHEN c_custkey % 3 = 0 THEN c_acctbal + 1 ELSE c_acctbal END AS balance FROM customer")
+def appended_log(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents appended to a log in two turns, and the newest of each key."""
+    c = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("id"), F.lit("first").alias("state"), F.col("c_acctbal").alias("balance"))
+    path = f"{work_folder(spark)}/log"
+    sinks.append_log(c, path)
+    sinks.append_log(c.where("id % 3 = 0").withColumn("state", F.lit("second")).withColumn("balance", F.col("balance") + 1), path)
+    return Q.latest(spark.read.parquet(path), "id", "at").drop("at")
+
+
+@query("SELECT c_custkey, c_name, 'x' AS again FROM customer")
+def sized_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A table in shards of a given size; a damaged and a missing shard are written anew, whole ones stay."""
+    c = table(spark, sf_dir, "customer").select("c_custkey", "c_name", F.lit("x").alias("again"))
+    path = f"{work_folder(spark)}/shards"
+    wrote = sinks.write_shards(c, path, "c_custkey", 40)
+    part = spark.read.parquet(path).where(F.col("shard") == wrote[0]).limit(1).drop("shard").withColumn("shard", F.lit(wrote[0]))
+    part.withColumn("again", F.lit("damaged")).write.partitionBy("shard").mode("append").parquet(path)
+    if sinks.write_shards(c, path, "c_custkey", 40) != wrote[:1] or sinks.write_shards(c, path, "c_custkey", 40):
+        raise ValueError("a whole shard was written again, or a damaged one was not")
+    return spark.read.parquet(path).drop("shard")
+
+
+@query("""
+WITH c AS (SELECT c_custkey AS key, 'c_name' AS header, c_name AS v FROM customer UNION ALL SELECT c_custkey, 'c_custkey', c_custkey::VARCHAR FROM customer UNION ALL SELECT c_custkey, 'note', '=' || repeat('ab', 20) FROM customer),
+s AS (SELECT key, header, CASE WHEN v LIKE '=%' THEN chr(39) || v ELSE v END AS v FROM c), p AS (SELECT *, unnest(range(0, CAST(ceil(length(v) / 15.0) AS BIGINT))) AS i FROM s)
+SELECT 'customers' AS sheet, key, header, CAST(i + 1 AS INTEGER) AS part, substr(v, i * 15 + 1, 15) AS value FROM p
+""")
+def workbook_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The cells of a workbook, long ones in parts, formulas as text."""
+    c = table(spark, sf_dir, "customer").select("c_custkey", "c_name", F.concat(F.lit("="), F.repeat(F.lit("ab"), 20)).alias("note"), F.lit(None).cast("string").alias("nothing"))
+    return sinks.workbook_cells(c, "customers", "c_custkey", 15)

@@ -183,10 +183,13 @@ def nearest_cosines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("n", *(F.round(c, 6).alias(c) for c in ("mean", "sd", "median")))
 
 
-@query()
+@query(f"""
+WITH h AS (SELECT vec_id, sha256('0:' || vec_id) AS h, {_unit('embedding')} AS v FROM embeddings), p AS (SELECT vec_id AS a, lead(vec_id) OVER w AS b, v, lead(v) OVER w AS u FROM h WINDOW w AS (PARTITION BY substr(h, 1, 2) ORDER BY h, vec_id))
+SELECT a, b, round(list_inner_product(v, u), 6) AS cosine FROM p WHERE b IS NOT NULL
+""")
 def random_pair_cosines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Cosines of seeded random pairs."""
-    return vectors.random_pair_cosines(table(spark, sf_dir, "embeddings"), "vec_id", "embedding")
+    return vectors.random_pair_cosines(table(spark, sf_dir, "embeddings"), "vec_id", "embedding").withColumn("cosine", F.round("cosine", 6))
 
 
 @query(f"""

@@ -2,12 +2,19 @@
 
 from __future__ import annotations
 
+import io
+import json
 import re
 import unicodedata
+import zipfile
+from xml.sax.saxutils import escape, quoteattr
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from caselight.functions.text import split_text
+
 
 def write_table(df: DataFrame, path: str) -> None:
     """Parquet, committed as a whole; a path that holds data is an error."""
@@ -23,6 +30,84 @@ def write_missing(df: DataFrame, path: str, key: str, spark: SparkSession) -> No
     df.write.mode("append").parquet(path)
 
 
+def write_shards(df: DataFrame, path: str, key: str, size: int) -> list[int]:
+    """Writes the table in shards of about size rows, by a hash of the key, each as a whole; returns the shards that it wrote.
+
+    What a shard holds is checked by its rows' number and digests when the path is met again: whole shards are left
+    alone, and missing or damaged ones are written anew, so an ended run can be taken up again.
+    """
+    spark = df.sparkSession
+    n = max(1, -(-df.count() // size))
+    rows = df.withColumn("shard", F.pmod(F.xxhash64(key), F.lit(n)).cast("int"))
+
+    def state(t: DataFrame) -> dict[int, tuple]:
+        sums = [F.sum(F.xxhash64(F.lit(seed), *(F.col(f"`{c}`") for c in sorted(df.columns))).cast("decimal(20,0)")) for seed in (1, 2)]
+        return {r[0]: tuple(r[1:]) for r in t.groupBy("shard").agg(F.count(F.lit(1)), *sums).collect()}  # a row a shard
+
+    want = state(rows)
+    try:
+        have = state(spark.read.schema(rows.schema).parquet(path))
+    except AnalysisException:
+        have = {}
+    missing = sorted(k for k, v in want.items() if have.get(k) != v)
+    if missing:
+        kept = rows.where(F.col("shard").isin(missing)).repartition(len(missing), "shard")
+        kept.write.partitionBy("shard").option("partitionOverwriteMode", "dynamic").mode("overwrite").parquet(path)
+    return missing
+
+
+def workbook_cells(df: DataFrame, sheet: str, key: str, size: int = 30_000) -> DataFrame:
+    """sheet, key, header, part, value: a sheet's cells as rows, long texts in parts of at most size UTF-16 units, formulas as text."""
+    cells = F.array(*(F.struct(F.lit(c).alias("header"), F.col(f"`{c}`").cast("string").alias("v")) for c in df.columns))
+    flat = df.select(F.lit(sheet).alias("sheet"), F.col(key).alias("key"), F.inline(cells)).where("v IS NOT NULL")
+    return flat.select("sheet", "key", "header", F.posexplode(split_text(csv_cell(F.col("v")), size)).alias("part", "value")).withColumn("part", F.col("part") + 1)
+
+
+#: The most rows and columns of a sheet.
+_SHEET_ROWS, _SHEET_COLUMNS = 1_048_576, 16_384
+
+
+def write_workbook(sheets: dict[str, DataFrame], path: str, bold_header: bool = True) -> None:
+    """An XLSX file of small tables, as reviewers get them: a frozen header, one sheet a table, every cell as text or number.
+
+    A workbook is one file made on the driver, so a sheet takes no more rows than the format; a larger table or a path
+    that is there is an error.
+    """
+    spark = next(iter(sheets.values())).sparkSession
+    name = lambda i: (name(i // 26 - 1) if i >= 26 else "") + chr(65 + i % 26)
+    out = io.BytesIO()
+    with zipfile.ZipFile(out, "w", zipfile.ZIP_DEFLATED) as z:
+
+        def put(part: str, body: str) -> None:
+            z.writestr(part, '<?xml version="1.0" encoding="UTF-8" standalone="yes"?>' + body)
+
+        main, office = "http://schemas.openxmlformats.org/spreadsheetml/2006/main", "http://schemas.openxmlformats.org/officeDocument/2006/relationships"
+        package = "http://schemas.openxmlformats.org/package/2006"
+        kind = "application/vnd.openxmlformats-officedocument.spreadsheetml"
+        for n, df in enumerate(sheets.values(), 1):
+            rows = df.limit(_SHEET_ROWS).collect()
+            if len(rows) >= _SHEET_ROWS or len(df.columns) > _SHEET_COLUMNS:
+                raise ValueError("the table doesn't fit a sheet")
+
+            def cell(v, r: int, c: int) -> str:
+                at = f'r="{name(c)}{r}"' + (' s="1"' if r == 1 and bold_header else "")
+                if isinstance(v, (int, float)) and not isinstance(v, bool):
+                    return f"<c {at}><v>{v!r}</v></c>"
+                text = re.sub("[\x00-\x08\x0b\x0c\x0e-\x1f]", "", str(v))
+                return f'<c {at} t="inlineStr"><is><t xml:space="preserve">{escape(text)}</t></is></c>'
+
+            body = [f'<row r="{r}">' + "".join(cell(v, r, c) for c, v in enumerate(values) if v is not None) + "</row>" for r, values in enumerate([df.columns, *rows], 1)]
+            frozen = '<sheetViews><sheetView workbookViewId="0"><pane ySplit="1" topLeftCell="A2" activePane="bottomLeft" state="frozen"/></sheetView></sheetViews>'
+            put(f"xl/worksheets/sheet{n}.xml", f'<worksheet xmlns="{main}">{frozen}<sheetData>{"".join(body)}</sheetData></worksheet>')
+        count = range(1, len(sheets) + 1)
+        put("xl/workbook.xml", f'<workbook xmlns="{main}" xmlns:r="{office}"><sheets>' + "".join(f'<sheet name={quoteattr(t[:31])} sheetId="{n}" r:id="rId{n}"/>' for n, t in zip(count, sheets, strict=True)) + "</sheets></workbook>")
+        put("xl/_rels/workbook.xml.rels", f'<Relationships xmlns="{package}/relationships">' + "".join(f'<Relationship Id="rId{n}" Type="{office}/worksheet" Target="worksheets/sheet{n}.xml"/>' for n in count) + f'<Relationship Id="rId0" Type="{office}/styles" Target="styles.xml"/></Relationships>')
+        put("xl/styles.xml", f'<styleSheet xmlns="{main}"><fonts count="2"><font/><font><b/></font></fonts><fills count="1"><fill/></fills><borders count="1"><border/></borders><cellXfs count="2"><xf/><xf fontId="1" applyFont="1"/></cellXfs></styleSheet>')
+        put("_rels/.rels", f'<Relationships xmlns="{package}/relationships"><Relationship Id="rId1" Type="{office}/officeDocument" Target="xl/workbook.xml"/></Relationships>')
+        put("[Content_Types].xml", f'<Types xmlns="{package}/content-types"><Default Extension="rels" ContentType="application/vnd.openxmlformats-package.relationships+xml"/><Default Extension="xml" ContentType="application/xml"/><Override PartName="/xl/workbook.xml" ContentType="{kind}.sheet.main+xml"/><Override PartName="/xl/styles.xml" ContentType="{kind}.styles+xml"/>' + "".join(f'<Override PartName="/xl/worksheets/sheet{n}.xml" ContentType="{kind}.worksheet+xml"/>' for n in count) + "</Types>")
+    write_bytes(spark, path, out.getvalue())
+
+
 def sparse(memberships: DataFrame, row: str, column: str) -> DataFrame:
     """row, col, value of a binary matrix in coordinate form."""
     return memberships.select(F.col(row).alias("row"), F.col(column).alias("col")).distinct().withColumn("value", F.lit(1))
@@ -45,11 +130,16 @@ def write_jsonl(df: DataFrame, path: str) -> None:
 
 
 def write_text(spark: SparkSession, path: str, content: str) -> None:
+    """One small file of UTF-8 text."""
+    write_bytes(spark, path, content.encode())
+
+
+def write_bytes(spark: SparkSession, path: str, content: bytes) -> None:
     """One small file; folders on the way are made, a file that is there is an error."""
     p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
     out = p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).create(p, False)
     try:
-        out.write(bytearray(content.encode()))
+        out.write(bytearray(content))
     finally:
         out.close()
 
@@ -66,12 +156,15 @@ def safe_name(sheet: str) -> str:
 
 
 def write_sheets(sheets: dict[str, DataFrame], folder: str) -> dict[str, str]:
-    """One CSV folder a sheet under its safe name; two sheets of one name are an error. Returns the names."""
+    """One CSV folder a sheet under its safe name; two sheets of one name are an error; manifest.jsonl lists them. Returns the names."""
     names = {s: safe_name(s) for s in sheets}
     if len(set(names.values())) < len(names):
         raise ValueError("sheet names collide")
     for s, df in sheets.items():
         write_csv(df, f"{folder}/{names[s]}")
+    spark = next(iter(sheets.values())).sparkSession
+    listed = [json.dumps({"columns": df.columns, "file": names[s], "rows": df.count(), "sheet": s}, ensure_ascii=False, sort_keys=True) for s, df in sheets.items()]
+    write_text(spark, f"{folder}/manifest.jsonl", "\n".join(listed) + "\n")
     return names
 
 

@@ -5,7 +5,9 @@ import os
 import random
 import re
 import statistics
+import zipfile
 from itertools import pairwise
+from xml.etree import ElementTree
 
 import pytest
 from pyspark.sql import functions as F
@@ -307,3 +309,26 @@ def test_sheet_rows(spark, tmp_path):
     df = readers.read_sheets(spark, str(tmp_path), ["s"])["s"]
     rows = {int(r.a): r.source_row for r in df.collect()}
     assert [rows[k] for k in sorted(rows)] == list(range(2, 14))
+
+
+def test_workbook_file(spark, tmp_path):
+    df = spark.createDataFrame([(1, "a<b & \u0001c", 0.5), (2, None, -3.0)], "n int, t string, x double")
+    sinks.write_workbook({"One": df, "Two & more": df.limit(0)}, f"{tmp_path}/w.xlsx")
+    with zipfile.ZipFile(tmp_path / "w.xlsx") as z:
+        assert z.testzip() is None
+        parts = {n: ElementTree.fromstring(z.read(n)) for n in z.namelist()}
+    space = {"m": "http://schemas.openxmlformats.org/spreadsheetml/2006/main"}
+    assert [x.get("name") for x in parts["xl/workbook.xml"].iterfind(".//m:sheet", space)] == ["One", "Two & more"]
+    cells = {c.get("r"): "".join(c.itertext()) for c in parts["xl/worksheets/sheet1.xml"].iterfind(".//m:c", space)}
+    assert cells == {"A1": "n", "B1": "t", "C1": "x", "A2": "1", "B2": "a<b & c", "C2": "0.5", "A3": "2", "C3": "-3.0"}
+    with pytest.raises(Exception, match="exist"):
+        sinks.write_workbook({"One": df}, f"{tmp_path}/w.xlsx")
+
+
+def test_sheets_are_listed(spark, tmp_path):
+    df = spark.createDataFrame([(1, "é")], "n int, t string")
+    assert sinks.write_sheets({"Bệnh án": df, "B": df}, f"{tmp_path}/out") == {"Bệnh án": "benh_an", "B": "b"}
+    lines = (tmp_path / "out" / "manifest.jsonl").read_text().splitlines()
+    assert lines[0] == '{"columns": ["n", "t"], "file": "benh_an", "rows": 1, "sheet": "Bệnh án"}' and len(lines) == 2
+    with pytest.raises(ValueError, match="collide"):
+        sinks.write_sheets({"A b": df, "a_B": df}, f"{tmp_path}/other")
