@@ -42,9 +42,12 @@ def hash_order(seed: int, key: Column) -> Column:
 
 
 def category_id(c: Column) -> Column:
-    """Fixed numbers of five categories, else 100 and a hash below 900000."""
+    """Fixed numbers of five categories, else 100 and the text's bytes, the first the least digit of a number to base 256, modulo 900000."""
     fixed = {"negative": 0, "positive": 1, "indeterminate": -1, "normal": 10, "abnormal": 11}
-    out = F.lit(100) + F.pmod(F.xxhash64(c), F.lit(900_000)).cast("int")
+    digits = F.hex(c.cast("binary"))
+    byte = lambda i: F.conv(F.substring(digits, 2 * i + 1, F.lit(2)), 16, 10).cast("int")
+    places = F.when(F.length(digits) > 0, F.reverse(F.sequence(F.lit(0), (F.length(digits) / 2).cast("int") - 1))).otherwise(F.array().cast("array<int>"))
+    out = F.lit(100) + F.aggregate(places, F.lit(0), lambda n, i: (n * 256 + byte(i)) % 900_000)
     for word, n in fixed.items():
         out = F.when(c == word, F.lit(n)).otherwise(out)
     return out

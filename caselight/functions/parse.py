@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from caselight.functions.text import casefold, clean, let
+from caselight.functions.binding import let
+from caselight.functions.text import casefold, clean
 
 #: Result words by category and group, in order of precedence.
 CATEGORIES = (

@@ -10,16 +10,13 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from caselight.functions.binding import let
+
 #: Texts that mean "missing"; the strict set also takes the short forms.
 MISSING = ("", "null", "none", "nan", "nat", "not available")
 MISSING_STRICT = (*MISSING, "n/a", "na")
 
 
-def let(c: Column, f) -> Column:
-    """f of a column that is worked out once, however often f uses it."""
-    return F.get(F.transform(F.array(c), f), F.lit(0))
-
-
 def normal_form(c: Column, form: str) -> Column:
     """A Unicode normal form, by a pandas UDF only where the text isn't ASCII."""
 

@@ -45,6 +45,29 @@ def build_events(parts: list[DataFrame]) -> DataFrame:
     return W.ordinal(W.ordinal(rows, ["patient_id"], order, "patient_ordinal"), ["patient_id", "visit_id"], order, "visit_ordinal")
 
 
+def context_events(events: DataFrame, mapping: DataFrame, visits: DataFrame, visit_code: str = "Visit/IP", birth_code: str = "SNOMED/3950001") -> DataFrame:
+    """Mapped events with those of visits and of patients' birth and gender, each patient's in order.
+
+    A visit's event is at its admission; a patient's birth is on the first day of the year, if from 1900 to 2100, and its
+    gender at its first admission. In one patient, times come first, unknown ones last, then priority and id.
+    """
+    columns = ["source_table", "patient_id", "visit_id", "time", "code", "numeric_value", "priority", "event_id"]
+    mapped_ = mapped(events, mapping).drop("code").withColumnRenamed("target_code", "code").select(columns)
+    first = visits.groupBy("patient_id").agg(F.min_by(F.struct("admission_time", "birth_year", "gender_code"), F.struct("admission_time", "visit_id")).alias("f"))
+    when_born = F.make_date(F.col("f.birth_year"), F.lit(1), F.lit(1))
+
+    def person(source: str, rows: DataFrame, visit: Column, time: Column, code: Column, priority: int) -> DataFrame:
+        out = rows.select(F.lit(source).alias("source_table"), "patient_id", visit.alias("visit_id"), time.cast("timestamp_ntz").alias("time"), code.alias("code"), F.lit(None).cast("double").alias("numeric_value"), F.lit(priority).alias("priority"))
+        return out.withColumn("event_id", ids.event_id(F.col("source_table"), F.col("patient_id"), F.col("visit_id"), F.col("code")))
+
+    parts = [
+        mapped_.withColumn("time", F.col("time").cast("timestamp_ntz")), person("visits", visits, F.col("visit_id"), F.col("admission_time"), F.lit(visit_code), 10),
+        person("demographics", first.where(F.col("f.birth_year").between(1900, 2100)), F.lit(""), when_born, F.lit(birth_code), 0),
+        person("demographics", first.where(F.coalesce(F.col("f.gender_code"), F.lit("")) != ""), F.lit(""), F.col("f.admission_time"), F.concat(F.lit("Gender/"), F.col("f.gender_code")), 1),
+    ]
+    return W.ordinal(union_projected(parts), ["patient_id"], [F.asc_nulls_last("time"), "priority", "event_id"], "patient_ordinal")
+
+
 def place(events: DataFrame, visits: DataFrame) -> DataFrame:
     """Events with imputed times and their status against their visit."""
     v = visits.select("visit_id", "admission_time", "discharge_time")

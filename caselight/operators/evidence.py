@@ -10,7 +10,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from caselight.functions.text import let, normal_form
+from caselight.functions.binding import let
+from caselight.functions.text import normal_form
 
 #: Words that are no evidence in shared fields.
 STOP_WORDS = (

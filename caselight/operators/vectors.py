@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from caselight.functions.ids import hash_order
-from caselight.functions.text import let
+from caselight.functions.binding import let
 from caselight.session import ship_package
 
 #: Bytes of query vectors that one block of a search sends to every executor.

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from caselight.functions import parse, text
+from caselight.functions import ids, parse, text
 from caselight.operators import evidence as X
 from caselight.operators import events as E
 from caselight.operators import graph as G
@@ -568,3 +568,34 @@ def workbook_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The cells of a workbook, long ones in parts, formulas as text."""
     c = table(spark, sf_dir, "customer").select("c_custkey", "c_name", F.concat(F.lit("="), F.repeat(F.lit("ab"), 20)).alias("note"), F.lit(None).cast("string").alias("nothing"))
     return sinks.workbook_cells(c, "customers", "c_custkey", 15)
+
+
+@query("""
+WITH c AS (SELECT DISTINCT c FROM (SELECT lower(p_type) AS c FROM part UNION ALL SELECT p_name || ' é' FROM part UNION ALL SELECT unnest(['negative', 'positive', 'indeterminate', 'normal', 'abnormal', 'x', ''])))
+SELECT c, CASE c WHEN 'negative' THEN 0 WHEN 'positive' THEN 1 WHEN 'indeterminate' THEN -1 WHEN 'normal' THEN 10 WHEN 'abnormal' THEN 11
+  ELSE CAST(100 + list_reduce(list_prepend(0::BIGINT, list_reverse(list_transform(range(1, octet_length(encode(c)) + 1), lambda i: ('0x' || substr(hex(encode(c)), 2 * i - 1, 2))::BIGINT))), lambda a, b: (a * 256 + b) % 900000) AS INTEGER) END AS id FROM c
+""")
+def category_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Stable numbers of categories."""
+    p = table(spark, sf_dir, "part")
+    words = spark.createDataFrame([(w,) for w in ("negative", "positive", "indeterminate", "normal", "abnormal", "x", "")], "c string")
+    c = p.select(F.lower("p_type").alias("c")).union(p.select(F.concat("p_name", F.lit(" é")).alias("c"))).union(words).distinct()
+    return c.select("c", ids.category_id(F.col("c")).alias("id"))
+
+
+@query("""
+WITH b AS (SELECT l.*, o_custkey, CAST(regexp_extract(p_brand, '[0-9]+') AS INTEGER) AS n FROM lineitem l JOIN part ON p_partkey = l_partkey JOIN orders ON o_orderkey = l_orderkey),
+f AS (SELECT o_custkey, o_orderkey, o_orderdate, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey::VARCHAR) AS r FROM orders),
+e AS (SELECT 'medicines' AS source_table, o_custkey AS p, l_shipdate AS t, 'T/' || n AS code FROM b WHERE n % 3 <> 2 UNION ALL SELECT 'visits', o_custkey, o_orderdate, 'Visit/IP' FROM orders
+  UNION ALL SELECT 'demographics', o_custkey, make_date(CAST(1880 + o_orderkey % 99 AS INTEGER), 1, 1)::TIMESTAMP, 'SNOMED/3950001' FROM f WHERE r = 1 AND 1880 + o_orderkey % 99 >= 1900
+  UNION ALL SELECT 'demographics', o_custkey, o_orderdate, 'Gender/F' FROM f WHERE r = 1 AND o_orderkey % 2 = 0)
+SELECT p::VARCHAR AS patient_id, source_table, code, count(*) AS n, min(t) AS first_time, max(t) AS last_time, (SELECT count(*) FROM e x WHERE x.p = e.p) AS n_patient FROM e GROUP BY ALL
+""")
+def context_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Mapped events with those of visits and patients, in each patient's order."""
+    o = table(spark, sf_dir, "orders")
+    v = o.select(F.col("o_custkey").cast("string").alias("patient_id"), F.col("o_orderkey").cast("string").alias("visit_id"), F.col("o_orderdate").alias("admission_time"), F.when(F.col("o_orderkey") % 2 == 0, "F").otherwise("").alias("gender_code"), (F.col("o_orderkey") % 99 + 1880).cast("int").alias("birth_year"))
+    lines = _lines(spark, sf_dir).withColumn("priority", F.lit(30)).withColumn("event_id", F.concat_ws("-", "visit_id", "l_linenumber", "l_partkey", "l_suppkey"))
+    out = E.context_events(lines, _concept_map(spark, sf_dir), v)
+    whole = out.groupBy("patient_id").agg((F.max("patient_ordinal") + 1).cast("long").alias("n_patient"))
+    return out.groupBy("patient_id", "source_table", "code").agg(F.count(F.lit(1)).alias("n"), F.min("time").alias("first_time"), F.max("time").alias("last_time")).join(whole, "patient_id")

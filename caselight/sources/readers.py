@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import io
 import re
 from functools import reduce
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -125,3 +128,26 @@ def discover(spark: SparkSession, root: str, suffixes: tuple[str, ...]) -> DataF
     """path, size of the files below a folder with one of the suffixes, in the order of their paths; contents aren't read."""
     df = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root).select("path", F.col("length").alias("size"))
     return df.where(F.lower("path").rlike("(?:" + "|".join(re.escape(s.lower()) for s in suffixes) + ")$")).orderBy("path")
+
+
+def discover_calls(spark: SparkSession, root: str, folder: str = "calls", without: tuple[str, ...] = ("attempts.json",), depth: int = 6, most: int = 5000) -> DataFrame:
+    """path of JSON files that lie in folders of a name, at most depth folders below the root, the first most in order; the limits are the feature."""
+    found = discover(spark, root, (".json",)).select("path")
+    inside = F.replace(F.regexp_replace("path", r"^[a-z]+:/+", ""), F.lit(re.sub(r"^[a-z]+:/*|^/+|/+$", "", root) + "/"), F.lit(""))
+    parts = F.split(inside, "/")
+    kept = found.where((F.get(parts, F.size(parts) - 2) == folder) & (F.size(parts) - 1 <= depth) & ~F.element_at(parts, -1).isin(*without))
+    return kept.orderBy("path").limit(most)
+
+
+def read_arrays(spark: SparkSession, root: str, levels: tuple[str, ...] = ()) -> DataFrame:
+    """path, shape, values of the NumPy files below a folder, with the last folders' names as columns; object arrays are an error."""
+
+    @F.pandas_udf("struct<shape:array<int>,values:array<double>>")
+    def load(content: pd.Series) -> pd.DataFrame:
+        arrays = [np.load(io.BytesIO(c), allow_pickle=False) for c in content]
+        return pd.DataFrame({"shape": [list(a.shape) for a in arrays], "values": [a.astype(float).ravel() for a in arrays]})
+
+    df = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", "*.npy").load(root)
+    parts = F.split("path", "/")
+    named = [F.get(parts, F.size(parts) - 2 - i).alias(name) for i, name in enumerate(reversed(levels))]
+    return df.select("path", *reversed(named), load("content").alias("a")).select("path", *levels, "a.shape", "a.values")

@@ -9,6 +9,7 @@ import zipfile
 from itertools import pairwise
 from xml.etree import ElementTree
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -332,3 +333,16 @@ def test_sheets_are_listed(spark, tmp_path):
     assert lines[0] == '{"columns": ["n", "t"], "file": "benh_an", "rows": 1, "sheet": "Bệnh án"}' and len(lines) == 2
     with pytest.raises(ValueError, match="collide"):
         sinks.write_sheets({"A b": df, "a_B": df}, f"{tmp_path}/other")
+
+
+def test_arrays_and_calls_in_folders(spark, tmp_path):
+    for name, a in (("p1/v1/CT/a.npy", np.arange(6.0).reshape(2, 3)), ("p1/v2/CT/b.npy", np.float32([0.5, -1.0]))):
+        (tmp_path / name).parent.mkdir(parents=True)
+        np.save(tmp_path / name, a)
+    for name in ("r/calls/2.json", "r/calls/1.json", "r/calls/attempts.json", "r/other/3.json", "r/a/b/c/d/e/calls/4.json", "r/a/b/c/d/calls/5.json", "r/calls/6.txt"):
+        (tmp_path / name).parent.mkdir(parents=True, exist_ok=True)
+        (tmp_path / name).write_text("{}")
+    rows = {(r.patient, r.visit): (r.shape, r["values"]) for r in readers.read_arrays(spark, str(tmp_path), ("patient", "visit", "kind")).collect()}
+    assert rows == {("p1", "v1"): ([2, 3], [0, 1, 2, 3, 4, 5]), ("p1", "v2"): ([2], [0.5, -1.0])}
+    names = lambda **k: [r.path.rsplit("/", 1)[1] for r in readers.discover_calls(spark, f"{tmp_path}/r", **k).collect()]
+    assert names() == ["5.json", "4.json", "1.json", "2.json"] and names(depth=2) == ["1.json", "2.json"] and names(most=1) == ["5.json"]
