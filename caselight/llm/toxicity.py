@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from caselight.functions.text import let
+from caselight.functions.binding import let
 from caselight.session import ship_package
 
 MAX_LABELLED = 20_000
@@ -91,7 +91,7 @@ def _stem_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             w = set(find((text or "").lower()))
             for stem in {x[:k] for x in w for k in STEM_LENGTHS if len(x) >= k} | {""}:
                 held.setdefault(stem, [0, 0, 0, 0])[2 * half + y] += 1
-        if len(held) > 300_000:
+        if len(held) > 100_000:
             yield out()
             held.clear()
     if held:
