@@ -3,7 +3,8 @@
 Each stage takes what its predecessor kept. A document leaves if its toxicity score reaches the threshold, if
 a near-duplicate (five-word shingles, similarity 0.8 or more) has a smaller id, or if it holds ten consecutive
 words of a benchmark item; personal data in the rest is replaced by its kind in brackets; at last texts become
-token ids. All stages but the last return the columns of documents. Null texts stay null up to the last stage,
+token ids. All stages but the last return the columns of documents. As an application of its own the pipeline sets its session's Arrow batches
+to BATCH_ROWS rows, so that a batch of texts stays small beside the sorts and joins of the stages before. Null texts stay null up to the last stage,
 which gives them no tokens; null ids stay.
 """
 
@@ -15,6 +16,14 @@ from caselight.llm import bpe, decontaminate, near_dup, pii, toxicity
 from caselight.llm.shared import Scratch
 
 
+#: Rows in an Arrow batch of the stages that run Python over whole texts.
+BATCH_ROWS = 500
+
+
+def _small_batches(spark: SparkSession) -> None:
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+
+
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Toxicity (9): the documents whose score is below the threshold."""
     model = toxicity.fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
@@ -28,6 +37,7 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 def drop_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Benchmark decontamination (8): the documents without item windows."""
+    _small_batches(spark)
     return decontaminate.drop_contaminated(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
@@ -38,6 +48,7 @@ def redact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """BPE (4): doc_id, n_tokens, ids and the text that they decode to."""
+    _small_batches(spark)
     return bpe.encode(docs)
 
 
