@@ -189,14 +189,18 @@ def timeline_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("""
-WITH e AS (SELECT o_orderkey AS visit_id, 'main' AS field, upper(replace(replace(o_orderpriority, '.', ''), ' ', '')) AS code FROM orders UNION ALL SELECT l_orderkey, 'secondary', upper(replace(replace(unnest([l_returnflag, l_linestatus]), '.', ''), ' ', '')) FROM lineitem)
-SELECT visit_id::VARCHAR AS visit_id, code, string_agg(DISTINCT field, ';' ORDER BY field) AS fields, count(*) AS source_row_count FROM e GROUP BY 1, 2
+WITH e AS (SELECT o_orderkey AS visit_id, 'main' AS field, upper(replace(replace(o_orderpriority, '.', ''), ' ', '')) AS code, '' AS name FROM orders
+  UNION ALL SELECT l_orderkey, 'secondary', upper(replace(replace(unnest([l_returnflag, l_linestatus]), '.', ''), ' ', '')), '' FROM lineitem
+  UNION ALL SELECT l_orderkey, 'note', '', p_name FROM lineitem JOIN part ON p_partkey = l_partkey WHERE l_linenumber = 1 UNION ALL SELECT o_orderkey, 'discharge', upper(replace(replace(o_orderpriority, '.', ''), ' ', '')), 'State-' || o_orderstatus FROM orders WHERE o_orderkey % 2 = 0)
+SELECT visit_id::VARCHAR AS visit_id, code, replace(lower(name), '-', ' ') AS name_key, min(name) AS name, string_agg(DISTINCT field, ';' ORDER BY field) AS fields, count(*) AS source_row_count FROM e GROUP BY ALL
 """)
 def build_diagnoses(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Codes of two source fields in one table."""
-    o = table(spark, sf_dir, "orders").select(F.col("o_custkey").cast("string").alias("patient_id"), F.col("o_orderkey").cast("string").alias("visit_id"), "o_orderpriority")
-    line = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").cast("string").alias("visit_id"), F.concat_ws(";", "l_returnflag", "l_linestatus").alias("codes")).join(o.select("visit_id", "patient_id"), "visit_id")
-    return B.build_diagnoses([("main", o, "o_orderpriority", None), ("secondary", line, "codes", None)]).select("visit_id", "code", "fields", "source_row_count")
+    """Codes and names of four source fields in one table: codes alone, a list of codes, names alone, both."""
+    o = table(spark, sf_dir, "orders").select(F.col("o_custkey").cast("string").alias("patient_id"), F.col("o_orderkey").cast("string").alias("visit_id"), "o_orderpriority", F.concat(F.lit(" State-"), "o_orderstatus").alias("state"), "o_orderkey")
+    line = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").cast("string").alias("visit_id"), F.concat_ws(";", "l_returnflag", "l_linestatus").alias("codes"), "l_partkey", "l_linenumber").join(o.select("visit_id", "patient_id"), "visit_id")
+    notes = line.where("l_linenumber = 1").join(table(spark, sf_dir, "part").select(F.col("p_partkey").alias("l_partkey"), "p_name"), "l_partkey")
+    sources = [("main", o, "o_orderpriority", None), ("secondary", line, "codes", None), ("note", notes, None, "p_name"), ("discharge", o.where("o_orderkey % 2 = 0"), "o_orderpriority", "state")]
+    return B.build_diagnoses(sources).select("visit_id", "code", "name_key", "name", "fields", "source_row_count")
 
 
 @query("SELECT l_orderkey AS visit_id, l_returnflag, l_linestatus, count(*) AS source_row_count FROM lineitem WHERE l_orderkey IN (SELECT o_orderkey FROM orders WHERE o_orderstatus <> 'P') GROUP BY ALL")
