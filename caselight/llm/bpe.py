@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame
 from caselight.llm.textbatch import pieces
 from caselight.session import ship_package
 
-CACHE_WORDS = 250_000
+CACHE_WORDS = 160_000
 CACHE_WORD_CHARS = 64
 #: The split pattern of byte-level BPE, with White_Space spelt out.
 _SPACE = r"\t-\r\x20\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
