@@ -228,13 +228,14 @@ class _Search:
         """key, id, c, g of the rows in buckets of several components."""
         rows = self.scratch.write(self.grouped(filed.select("key", "id", "c")))
         open_keys = rows.groupBy("key").agg(F.min("g").alias("g0"), F.max("g").alias("g1"), F.count(F.lit(1)).alias("size")).where("g0 < g1").select("key", "size")
-        return self.scratch.write(rows.join(open_keys, "key"))
+        # Written, so that the join can split a hot key's rows, which it can't above an aggregate.
+        return self.scratch.write(rows.join(self.scratch.write(open_keys), "key"))
 
     def hold_against_leaders(self, rows: DataFrame, turn: int) -> None:
         """Ties the rows that link with the leader of one of their buckets."""
         rank = F.col("id") if turn == 0 else F.xxhash64("id", "c", F.lit(turn))
         lead = rows.groupBy("key").agg(F.min(F.struct(rank.alias("r"), "id", "c", "g")).alias("x")).select("key", F.col("x.id").alias("x_id"), F.col("x.c").alias("x_c"), F.col("x.g").alias("x_g"))
-        pairs = rows.join(lead, "key").where("g <> x_g").select("x_id", "x_c", F.col("id").alias("y_id"), F.col("c").alias("y_c")).distinct()
+        pairs = rows.join(self.scratch.write(lead), "key").where("g <> x_g").select("x_id", "x_c", F.col("id").alias("y_id"), F.col("c").alias("y_c")).distinct()
         columns = ["id", "c", "n", *_PARTS]
         near = pairs.join(_as(self.classes, "y_", columns), ["y_id", "y_c"]).join(_as(self.classes, "x_", columns), ["x_id", "x_c"])
         self.confirm(near.where(_may_link("x_", "y_", self.percent)).select("x_id", "x_c", "y_id", "y_c"))
@@ -247,7 +248,7 @@ class _Search:
         placed = s.write(sets.join(rest, ["id", "c"]).select("id", "c", "g", "n", F.explode("tokens").alias("t")))
         s.drop(sets)
         common = placed.groupBy("t").agg(F.count(F.lit(1)).alias("f"), F.min("g").alias("g0"), F.max("g").alias("g1")).where("g0 < g1").select("t", "f")
-        held = placed.join(common, "t")
+        held = placed.join(s.write(common), "t")
         mine = Window.partitionBy("id", "c")
         # Shingles of one component come first in the order, so the others start at n - count.
         ranked = held.withColumn("i", F.row_number().over(mine.orderBy("f", "t")) + F.col("n") - F.count(F.lit(1)).over(mine) - 1)
@@ -267,7 +268,7 @@ class _Search:
         """id, component of every vertex that is tied to another."""
         s = self.scratch
         filed = self.classes.select("id", "c", F.explode("bands").alias("key"))
-        shared = filed.groupBy("key").agg(F.count(F.lit(1)).alias("size")).where("size > 1").select("key", "size")
+        shared = s.write(filed.groupBy("key").agg(F.count(F.lit(1)).alias("size")).where("size > 1").select("key", "size"))
         if self.links.limit(1).count():
             self.group = _components(s, self.links)
         rows = s.write(self.grouped(filed.join(shared, "key")))
