@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from caselight.llm import bpe, decontaminate, licenses, near_dup, pii, quality, substrings, toxicity, urls, vector_dup
+from caselight.llm import alignment, bpe, decontaminate, exact_topk, licenses, near_dup, pii, quality, substrings, toxicity, urls, vector_dup
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -65,8 +66,19 @@ def op10_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dup.near_duplicates(_read(spark, sf_dir, "documents"), k=3, percent=85)
 
 
+def op11_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Groups and links of every document under two tokenizers, with corpus-wide counts of linked pairs."""
+    return alignment.align(_read(spark, sf_dir, "documents"))
+
+
+def op13_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 5 highest integer inner products of every 50th embedding against all."""
+    return exact_topk.search(_read(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0, 5)
+
+
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op1_pii, op2_suffix, op3_urls, op4_bpe, op5_quality, op6_vectors, op7_licenses, op8_decontaminate, op9_toxicity, op10_minhash)}
+    numbered = (op1_pii, op2_suffix, op3_urls, op4_bpe, op5_quality, op6_vectors, op7_licenses, op8_decontaminate, op9_toxicity, op10_minhash, op11_alignment, op13_topk)
+    return {f.__name__: f for f in numbered}
 
 
 _LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
@@ -108,5 +120,14 @@ SELECT d.doc_id, coalesce(n.n, 0) AS n_shingles, c.c AS component_id, d.doc_id =
 """
 
 
+_OP13 = """
+WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS e FROM embeddings
+           WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (SELECT a.vec_id AS query_id, b.vec_id, list_inner_product(a.e, b.e)::BIGINT AS score FROM v a JOIN v b ON a.vec_id % 50 = 0 AND a.vec_id <> b.vec_id AND len(a.e) = len(b.e)),
+r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM s)
+SELECT query_id, rank::INTEGER AS rank, vec_id, score FROM r WHERE rank <= 5
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op6_vectors": _OP6, "op8_decontaminate": _OP8, "op10_minhash": _OP10}
+    return {"op6_vectors": _OP6, "op8_decontaminate": _OP8, "op10_minhash": _OP10, "op13_topk": _OP13}

@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -27,9 +28,23 @@ def shared_dir(spark: SparkSession) -> str:
     return spark.sparkContext.getCheckpointDir().rstrip("/")
 
 
-#: Rows in an Arrow batch while a table is written; with texts of a few KB this is a few MB.
+#: Rows and bytes in an Arrow batch while a table is written; a batch ends at the first row that passes either.
 ARROW_ROWS = 500
-_ARROW = "spark.sql.execution.arrow.maxRecordsPerBatch"
+ARROW_BYTES = 16_000_000
+_ARROW = {"spark.sql.execution.arrow.maxRecordsPerBatch": str(ARROW_ROWS), "spark.sql.execution.arrow.maxBytesPerBatch": str(ARROW_BYTES)}
+
+
+@contextmanager
+def small_batches(spark: SparkSession):
+    """Arrow batches of at most ARROW_ROWS rows and about ARROW_BYTES bytes in the block; the session's own settings come back."""
+    before = {k: spark.conf.get(k, None) for k in _ARROW}
+    for k, v in _ARROW.items():
+        spark.conf.set(k, v)
+    try:
+        yield
+    finally:
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
 
 
 class Scratch:
@@ -52,15 +67,11 @@ class Scratch:
             self._delete(self.paths.pop(i))
 
     def write(self, df: DataFrame) -> DataFrame:
-        """The table, written and read again, in Arrow batches of ARROW_ROWS rows; the session's own setting stays."""
+        """The table, written and read again, in small Arrow batches."""
         self.n += 1
         path = f"{self.base}/{self.n}"
-        before = self.spark.conf.get(_ARROW, None)
-        self.spark.conf.set(_ARROW, str(ARROW_ROWS))
-        try:
+        with small_batches(self.spark):
             df.write.parquet(path)
-        finally:
-            self.spark.conf.unset(_ARROW) if before is None else self.spark.conf.set(_ARROW, before)
         out = self.spark.read.schema(df.schema).parquet(path)
         self.paths[id(out)] = path
         out._scratch = self.n  # keeps the id from being used again while the table lives
