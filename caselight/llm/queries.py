@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from caselight.llm import alignment, bpe, decontaminate, exact_topk, licenses, near_dup, pii, quality, substrings, toxicity, urls, vector_dup
+from caselight.llm import alignment, bpe, decontaminate, exact_topk, licenses, near_dup, phrases, pii, quality, substrings, toxicity, urls, vector_dup
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -71,13 +71,18 @@ def op11_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     return alignment.align(_read(spark, sf_dir, "documents"))
 
 
+def op12_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first 2000 phrases of every language of documents, of those that occur 30 times at least."""
+    return phrases.collocations(_read(spark, sf_dir, "documents"), 30, 2000)
+
+
 def op13_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The 5 highest integer inner products of every 50th embedding against all."""
     return exact_topk.search(_read(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0, 5)
 
 
 def queries() -> dict[str, Query]:
-    numbered = (op1_pii, op2_suffix, op3_urls, op4_bpe, op5_quality, op6_vectors, op7_licenses, op8_decontaminate, op9_toxicity, op10_minhash, op11_alignment, op13_topk)
+    numbered = (op1_pii, op2_suffix, op3_urls, op4_bpe, op5_quality, op6_vectors, op7_licenses, op8_decontaminate, op9_toxicity, op10_minhash, op11_alignment, op12_phrases, op13_topk)
     return {f.__name__: f for f in numbered}
 
 
@@ -120,6 +125,25 @@ SELECT d.doc_id, coalesce(n.n, 0) AS n_shingles, c.c AS component_id, d.doc_id =
 """
 
 
+_OP12 = f"""
+WITH d AS (SELECT coalesce(lang, 'und') AS lang, {_LOWER} AS t FROM documents),
+p AS (SELECT lang, unnest(regexp_split_to_array(t, '[.,;:!?\\x0A-\\x0D]')) AS p FROM d),
+w AS (SELECT lang, regexp_extract_all(p, '[^\\x20\\x09]+') AS w FROM p),
+i AS (SELECT lang, w, k, unnest(range(1, len(w) - k + 2)) AS i FROM w, (VALUES (1), (2), (3), (4)) t(k) WHERE len(w) >= k),
+f AS (SELECT lang, k, array_to_string(w[i:i + k - 1], ' ') AS phrase, count(*) AS n FROM i GROUP BY ALL),
+c AS (SELECT lang, k, phrase, n AS a, string_split(phrase, ' ') AS w FROM f WHERE k > 1 AND n >= 30),
+u AS (SELECT *, unnest(range(1, k)) AS cut FROM c),
+s AS (SELECT u.lang, u.k, u.phrase, u.a, u.w, cut, x.n AS l, y.n AS r, (2000000::HUGEINT * u.a) // (x.n + y.n) AS score
+      FROM u JOIN f x ON x.lang = u.lang AND x.phrase = array_to_string(w[1:cut], ' ') JOIN f y ON y.lang = u.lang AND y.phrase = array_to_string(w[cut + 1:u.k], ' ')),
+m AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY lang, phrase ORDER BY score, cut) AS p FROM s) WHERE p = 1),
+t AS (SELECT lang, a, w, k, size, unnest(range(1, k - size + 2)) AS j FROM (SELECT *, unnest(range(2, k)) AS size FROM c)),
+x AS (SELECT lang, array_to_string(w[j:j + size - 1], ' ') AS phrase, max(a) AS most FROM t GROUP BY ALL),
+k AS (SELECT m.* FROM m LEFT JOIN x ON x.lang = m.lang AND x.phrase = m.phrase WHERE x.most IS NULL OR 100::HUGEINT * x.most < 80::HUGEINT * m.a),
+r AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, encode(phrase)) AS rank FROM k),
+n AS (SELECT lang, sum(n)::BIGINT AS n FROM f WHERE k = 1 GROUP BY 1)
+SELECT r.lang, r.rank, r.phrase, r.a, r.l, r.r, n.n, r.score::BIGINT AS score FROM r JOIN n ON n.lang = r.lang WHERE rank <= 2000
+"""
+
 _OP13 = """
 WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS e FROM embeddings
            WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
@@ -130,4 +154,4 @@ SELECT query_id, rank::INTEGER AS rank, vec_id, score FROM r WHERE rank <= 5
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op6_vectors": _OP6, "op8_decontaminate": _OP8, "op10_minhash": _OP10, "op13_topk": _OP13}
+    return {"op6_vectors": _OP6, "op8_decontaminate": _OP8, "op10_minhash": _OP10, "op12_phrases": _OP12, "op13_topk": _OP13}
