@@ -6,7 +6,7 @@ Postings cogroup: each batch of documents becomes postings, one row an A id and
 multiplicity) of its linked pairs in order. They are written once, with one row a document of its own figures.
 The documents of each pair are counted with sums inside tasks first. Then counts and postings meet by A id: they are shuffled by it and
 sorted, counts first, so a task holds the counts of one A id (at most one for each id of B) and streams that id's postings past them; the
-highest count is local. It emits what each document gains, summed in blocks, and those are summed by document.
+highest count is local. It emits what documents gain, summed and packed by batch of documents, and those are summed by document.
 
 Scale: pieces between lone spaces are encoded apart (no token of either crosses the place before a lone space), and a worker keeps
 what it has encoded, CACHE_PIECES at most between batches; a batch is BATCH_BYTES of text or one longer text. An A id of more
@@ -327,22 +327,48 @@ def _pair_counts(postings: DataFrame) -> DataFrame:
     return postings.select("a", "n", "b").mapInArrow(run, "a int, b int, n long").groupBy("a", "b").agg(F.sum("n").alias("n"))
 
 
+def _summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Sums of the gains of each batch of documents, which come one after another."""
+    last, best, total = None, np.zeros(BATCH_ROWS, np.int64), np.zeros(BATCH_ROWS, np.int64)
+
+    def out() -> pa.RecordBatch:
+        d = np.flatnonzero(total)
+        return pa.RecordBatch.from_arrays([pa.array(last + d), pa.array(best[d]), pa.array(total[d])], names=["row", "n_best", "count_sum"])
+
+    for batch in batches:
+        for base, d, b, t in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            if base != last:
+                if last is not None:
+                    yield out()
+                last, best[:], total[:] = base, 0, 0
+            at = np.frombuffer(d, "<u2")
+            best[at] += np.frombuffer(b, np.int64)
+            total[at] += np.frombuffer(t, np.int64)
+    if last is not None:
+        yield out()
+
+
 def _gains(counts: DataFrame, postings: DataFrame) -> DataFrame:
-    """row, n_best, count_sum: parts of each document's sums, from counts and postings that meet by A id."""
+    """row, n_best, count_sum of every document with links, from counts and postings that meet by A id."""
     hot = counts.groupBy("a").agg(F.sum("n").alias("entries")).where(F.col("entries") > SALT_ENTRIES).select("a", F.ceil(F.col("entries") / SALT_ENTRIES).cast("int").alias("parts"))
     hot = F.broadcast(hot)  # at most one row for each id of A
     parts = F.coalesce("parts", F.lit(1))
     left = counts.join(hot, "a", "left").select("a", F.explode(F.sequence(F.lit(0), parts - 1)).alias("part"), F.lit(0).alias("kind"), F.col("b").alias("id"), "n", *[F.lit(None).cast(t).alias(c) for c, t in (("row", "long"), ("b", "binary"), ("d", "binary"), ("m", "binary"))])
     right = postings.join(hot, "a", "left").select("a", F.pmod(F.xxhash64("row"), parts).cast("int").alias("part"), F.lit(1).alias("kind"), F.lit(None).cast("int").alias("id"), "n", "row", "b", "d", "m")
     met = left.unionByName(right).repartition("a", "part").sortWithinPartitions("a", "part", "kind")
-    schema = pa.schema([("row", pa.int64()), ("n_best", pa.int64()), ("count_sum", pa.int64())])
+    schema = pa.schema([("base", pa.int64()), ("d", pa.binary()), ("best", pa.binary()), ("total", pa.binary())])
 
     def flush(held: list[tuple[np.ndarray, np.ndarray, np.ndarray]]) -> pa.RecordBatch:
+        """What the documents gain, summed and packed: a row a batch of documents."""
         row, best, total = map(np.concatenate, zip(*held, strict=True))
         order = np.argsort(row)
         row = row[order]
         first = np.flatnonzero(np.r_[True, row[1:] != row[:-1]])
-        return pa.RecordBatch.from_arrays([pa.array(row[first]), *[pa.array(np.add.reduceat(x[order], first)) for x in (best, total)]], schema=schema)
+        best, total = (np.add.reduceat(x[order], first) for x in (best, total))
+        row = row[first]
+        base = row & ~0xFFFF
+        at = np.flatnonzero(np.r_[True, base[1:] != base[:-1], True])
+        return pa.RecordBatch.from_arrays([pa.array(base[at[:-1]]), _blob((row & 0xFFFF).astype("<u2"), at), _blob(best, at), _blob(total, at)], schema=schema)
 
     def run(batches):
         count, known, last, most = np.zeros(1 << BITS, np.int64), [], None, 0
@@ -377,7 +403,7 @@ def _gains(counts: DataFrame, postings: DataFrame) -> DataFrame:
         if held:
             yield flush(held)
 
-    return met.select("a", "part", "kind", "id", "n", "row", "b", "d", "m").mapInArrow(run, "row long, n_best long, count_sum long")
+    return met.select("a", "part", "kind", "id", "n", "row", "b", "d", "m").mapInArrow(run, "base long, d binary, best binary, total binary").repartition("base").sortWithinPartitions("base").mapInArrow(_summed, "row long, n_best long, count_sum long")
 
 
 def align(documents: DataFrame, vocabulary_a: str = "byte_bpe_50k.json", vocabulary_b: str = "piece_bpe_32k.model", id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -386,7 +412,7 @@ def align(documents: DataFrame, vocabulary_a: str = "byte_bpe_50k.json", vocabul
         encoded = scratch.write(_encoded(documents, vocabulary_a, vocabulary_b, id_col, text_col))
         postings = encoded.where("kind = 1")
         counts = scratch.write(_pair_counts(postings))
-        gains = scratch.write(_gains(counts, postings).groupBy("row").agg(F.sum("n_best").alias("n_best"), F.sum("count_sum").alias("count_sum")))
+        gains = scratch.write(_gains(counts, postings))
         scratch.keep_only(encoded, gains)
         rows = encoded.where("kind = 0").select("row", F.col("doc_id").alias(id_col), *_FIGURES, "groups_sha256")
         zero = [F.coalesce(c, F.lit(0)).alias(c) for c in ("n_best", "count_sum")]
