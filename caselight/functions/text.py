@@ -170,6 +170,37 @@ def strip_json_fence(c: Column) -> Column:
     return F.trim(F.regexp_replace(c, r"(?s)^\s*```(?:json)?\s*|\s*```\s*$", ""))
 
 
+def json_object(c: Column) -> Column:
+    """What stands from the first brace to the last of a text without its fence; the text itself where there are none."""
+    bare = strip_json_fence(c)
+    inner = F.regexp_extract(bare, r"(?s)\{.*\}", 0)
+    return F.when(inner != "", inner).otherwise(bare)
+
+
+def model_output(payload: Column, required: list[str]) -> Column:
+    """struct(output variant, error) of a stored model call: the first text part of its answer that holds a JSON object with the required fields.
+
+    The call is JSON text; a part's text is JSON again, in a fence or among words, or once more a JSON string of such text. Errors: "payload", "no text", "not json" and "missing " with the fields that the first object lacks.
+    """
+    read = lambda t: F.try_parse_json(t)
+    # A JSON string around the object is taken off first.
+    inner = lambda t: let(F.trim(t), lambda x: json_object(F.coalesce(F.when(F.startswith(x, F.lit('"')), F.try_variant_get(read(x), "$", "string")), x)))
+    parts = F.try_variant_get(read(payload), "$.response.candidates", "array<struct<content:struct<parts:array<struct<text:string>>>>>")
+    texts = F.filter(F.flatten(F.transform(F.coalesce(parts, F.array().cast("array<struct<content:struct<parts:array<struct<text:string>>>>>")), lambda p: F.coalesce(p["content"]["parts"], F.array().cast("array<struct<text:string>>")))), lambda t: F.coalesce(t["text"] != "", F.lit(False)))
+
+    def judged(objects: Column) -> Column:
+        first = F.get(objects, F.lit(0))
+        missing = F.array_compact(F.array(*(F.when(F.try_variant_get(first, f"$.{f}", "variant").isNull(), F.lit(f)) for f in required)))
+        return let(missing, lambda m: F.struct(F.when((F.size(objects) > 0) & (F.size(m) == 0), first).alias("output"), F.when(F.size(objects) == 0, F.lit("not json")).when(F.size(m) > 0, F.concat(F.lit("missing "), F.array_join(m, ","))).alias("error")))
+
+    def found(t: Column) -> Column:
+        objects = F.filter(F.transform(t, lambda p: read(inner(p["text"]))), lambda v: v.isNotNull() & F.startswith(F.schema_of_variant(v), F.lit("OBJECT")))
+        none = lambda e: F.struct(F.lit(None).cast("variant").alias("output"), F.lit(e).alias("error"))
+        return F.when(read(payload).isNull(), none("payload")).when(F.size(t) == 0, none("no text")).otherwise(let(objects, judged))
+
+    return let(texts, found)
+
+
 def patient_blocks(c: Column, title: str = "BỆNH NHÂN") -> Column:
     """Map from patient id to the text under its heading line, of what follows the last DATA line, if there is one.
 

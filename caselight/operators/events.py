@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
 from caselight.functions import ids, parse
@@ -189,6 +189,21 @@ def notes_text(notes: DataFrame, visits: DataFrame, visit: str, order: str, sect
     return out.withColumn("agrees", F.col("note") == F.coalesce(F.col(stored), F.lit(""))) if stored else out
 
 
+def audits(sources: list[str], statuses: list[str], concept: Column) -> dict[str, Column]:
+    """Named global counts of placed events: by source and temporal status, imputed times, mapped concepts, missing values, first and last time."""
+    out = {"n_events": F.count(F.lit(1)), "n_imputed": F.count_if(F.coalesce(F.col("time_imputed"), F.lit(False))), "n_mapped": F.count_if(concept.isNotNull()), "n_values": F.count("numeric_value"), "n_without_time": F.count_if(F.col("time").isNull())}
+    out |= {f"source:{s}": F.count_if(F.col("source_table") == s) for s in sources} | {"source:other": F.count_if(~F.col("source_table").isin(sources))}
+    out |= {f"status:{s}": F.count_if(F.col("temporal_status") == s) for s in statuses} | {"status:other": F.count_if(~F.coalesce(F.col("temporal_status").isin(statuses), F.lit(False)))}
+    return out | {"first_day": F.date_diff(F.min("time"), F.lit("1970-01-01").cast("date")), "last_day": F.date_diff(F.max("time"), F.lit("1970-01-01").cast("date"))}
+
+
+def write_audited(df: DataFrame, path: str, measures: dict[str, Column]) -> dict[str, int | None]:
+    """Writes the rows and returns the measures, taken from the pass that writes them; nothing is scanned for the audit alone."""
+    seen = Observation()
+    df.observe(seen, *(c.alias(n) for n, c in measures.items())).write.mode("error").parquet(path)
+    return dict(seen.get)
+
+
 def adjacent(df: DataFrame, key: str, order: list[str]) -> DataFrame:
     """Rows with the next row's order columns in their group."""
     w = Window.partitionBy(key).orderBy(*order)

@@ -61,9 +61,25 @@ def shared_terms(pairs: DataFrame, left: str, right: str, title_left: str, title
     return same.select(*(c for c in pairs.columns if c not in (left, right)), F.inline(F.transform(enough, shown)))
 
 
-def best_pairs(matches: DataFrame, keys: list[str], title_left: str, title_right: str, top: int = 12) -> DataFrame:
-    """The best match of each pair of titles, the top ones of each key."""
-    one = Window.partitionBy(*keys, F.lower(title_left), F.lower(title_right)).orderBy(F.desc("score"), title_left, title_right)
+def proposed_pairs(pairs: DataFrame, left: str, right: str, fields: DataFrame, key: str, field: str, title: str, terms: str) -> DataFrame:
+    """left, right, left_field, right_field of the fields of one title that share a phrase or two terms, of each pair of owners.
+
+    fields has a row a field of an owner (key), with its number, title and terms_of its text. An inverted index proposes: a pair's fields meet by
+    title and term or phrase, each once, and pairs that share too little never become rows of texts. Owners' fields go out once a
+    pair, so the work is in proportion to what pairs share and not to the products of their fields.
+    """
+    norm_title = F.lower(F.trim(normal_form(F.col(title), "NFC")))
+    entry = lambda kind: F.transform(F.array_distinct(F.col(terms)[kind]), lambda x: F.struct(F.lit(kind).alias("kind"), x.alias("x")))
+    index = fields.select(F.col(key).alias("_k"), F.col(field).alias("_f"), norm_title.alias("_t"), F.explode(F.concat(entry("words"), entry("phrases"))).alias("_e")).select("_k", "_f", "_t", "_e.kind", "_e.x")
+    side = lambda c, f: pairs.select(left, right).distinct().join(index.withColumnRenamed("_k", c).withColumnRenamed("_f", f), c)
+    met = side(left, f"{left}_field").join(side(right, f"{right}_field"), [left, right, "_t", "kind", "x"])
+    found = met.groupBy(left, right, f"{left}_field", f"{right}_field").agg(F.count_if(F.col("kind") == "words").alias("_w"), F.count_if(F.col("kind") == "phrases").alias("_p"))
+    return found.where("_p > 0 OR _w >= 2").drop("_w", "_p")
+
+
+def best_pairs(matches: DataFrame, keys: list[str], title_left: str, title_right: str, top: int = 12, ties: list[str] = ()) -> DataFrame:
+    """The best match of each pair of titles, the top ones of each key; equal scores go by titles, then by the columns of ties."""
+    one = Window.partitionBy(*keys, F.lower(title_left), F.lower(title_right)).orderBy(F.desc("score"), title_left, title_right, *ties)
     all_ = Window.partitionBy(*keys).orderBy(F.desc("score"), title_left, title_right)
     best = matches.withColumn("_r", F.row_number().over(one)).where("_r = 1").drop("_r")
     return best.withColumn("place", F.row_number().over(all_)).where(F.col("place") <= top)

@@ -128,9 +128,24 @@ def weighted_pick(nodes: DataFrame, graph: str, node: str, weight: str, seed: in
     return nodes.where(F.col(weight) > 0).groupBy(graph).agg(F.min_by(node, -F.log(u) / F.col(weight)).alias(node))
 
 
+def weighted_removal(nodes: DataFrame, graph: str, kind: str, node: str, weight: str, share: float, seed: int, core: list[str]) -> DataFrame:
+    """The nodes to remove: of each graph's nodes of a kind the rounded share, one at least, drawn without replacement with chances in proportion to their weights.
+
+    Each node has an exponential key, -ln(u) / weight with u from a hash, and the least ones go, so the draw is one ranking and always the
+    same. Of a core kind one node stays; a lone node of another kind may go. Nodes without a positive weight are drawn last.
+    """
+    u = ids.split_score(seed, F.concat_ws(":", F.col(graph), F.col(node))) + 1e-12
+    key = F.when(F.col(weight) > 0, -F.log(u) / F.col(weight)).otherwise(F.lit(float("inf")))
+    w = Window.partitionBy(graph, kind)
+    rows = nodes.withColumn("_n", F.count(F.lit(1)).over(w)).withColumn("_r", F.row_number().over(w.orderBy(key, node)))
+    most = F.when(F.col(kind).isin(core), F.col("_n") - 1).otherwise(F.col("_n"))
+    want = F.least(most, F.greatest(F.lit(1), F.bround(F.col("_n") * share).cast("int")))
+    return rows.where(F.col("_r") <= want).drop("_n", "_r") if share > 0 else nodes.limit(0)
+
+
 def permuted(nodes: DataFrame, keys: list[str], value: str, node: str, seed: int) -> DataFrame:
-    """The value of the next node, in hash order, of the same keys; the last takes the first one's."""
-    h = F.xxhash64(F.lit(seed), F.col(node))
-    w = Window.partitionBy(*keys).orderBy(h, node)
+    """The value of the next node, in hash order, of the same keys (such as a type and a bucket); the last takes the first one's."""
+    w = Window.partitionBy(*keys).orderBy(ids.hash_order(seed, F.col(node)), node)
     first = F.first(value).over(w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
-    return nodes.withColumn(f"{value}_permuted", F.coalesce(F.lead(value).over(w), first))
+    next_ = F.when(F.lead(F.lit(1)).over(w).isNotNull(), F.lead(value).over(w)).otherwise(first)
+    return nodes.withColumn(f"{value}_permuted", next_)

@@ -6,7 +6,7 @@ import re
 from functools import reduce
 from urllib.parse import unquote
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from caselight.functions import text
@@ -170,6 +170,27 @@ def export_join(ranking: DataFrame, reviews: DataFrame, keys: list[str], at: str
     return ranking.join(newest, keys, "left").select(*ranking.columns, *(F.col(f"_r.{v}").alias(v) for v in values))
 
 
+def packed_parts(df: DataFrame, key: str, budget: int) -> DataFrame:
+    """key, bytes, part: whole groups packed into numbered parts of at most budget bytes of JSON lines; a group over the budget is a part of its own, with over true.
+
+    Sizes are exact. Groups of more than half the budget are parts of their own; a smaller one goes to the part that its place in the running sum of the
+    others falls in, half a budget each, which the last one of a part can pass by less than half a budget. Running sums are
+    taken within BUCKETS buckets of a hash of the key and over the buckets' totals, so no task sums all groups.
+    """
+    line = F.octet_length(F.to_json(F.struct(*(F.col(f"`{c}`") for c in df.columns)), {"ignoreNullFields": "false"})) + 1
+    sizes = df.groupBy(key).agg(F.sum(line).alias("bytes")).withColumn("_h", F.sha2(F.coalesce(F.col(key).cast("string"), F.lit("")).cast("binary"), 256))
+    sizes = sizes.withColumn("_b", F.substring("_h", 1, 3)).withColumn("_large", F.col("bytes") * 2 > budget)
+    w = Window.partitionBy("_large", "_b").orderBy("_h", key).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    own = sizes.withColumn("_sum", F.sum("bytes").over(w)).withColumn("_nth", F.count(F.lit(1)).over(w))
+    totals = sizes.groupBy("_large", "_b").agg(F.sum("bytes").alias("_t"), F.count(F.lit(1)).alias("_c"))  # at most 2 * 4096 rows
+    up = Window.partitionBy("_large").orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
+    before = totals.select("_large", "_b", F.coalesce(F.sum("_t").over(up), F.lit(0)).alias("_st"), F.coalesce(F.sum("_c").over(up), F.lit(0)).alias("_sc"))
+    placed = own.join(before, ["_large", "_b"])
+    halves = F.floor((F.col("_st") + F.col("_sum") - F.col("bytes")) * 2 / budget)
+    part = F.when(F.col("_large"), F.concat(F.lit("large-"), (F.col("_sc") + F.col("_nth")).cast("string"))).otherwise(F.concat(F.lit("small-"), (halves + 1).cast("string")))
+    return placed.select(key, "bytes", part.alias("part"), (F.col("bytes") > budget).alias("over"))
+
+
 def estimated_bytes(df: DataFrame, share: float = 0.01, seed: int = 0) -> DataFrame:
     """n_rows and the estimated size as JSON lines, from a seeded sample."""
     size = df.sample(share, seed).agg(F.avg(F.octet_length(F.to_json(F.struct(*df.columns)))).alias("_a"))

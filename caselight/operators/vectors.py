@@ -2,17 +2,19 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-from functools import reduce
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from caselight.functions.ids import hash_order
 from caselight.functions.binding import let
-from caselight.session import ship_package
+from caselight.functions.ids import hash_order
+from caselight.operators import windows as W
+from caselight.operators.joins import with_constants
+from caselight.session import ship_package, work_folder
 
 #: Bytes of query vectors that one block of a search sends to every executor.
 QUERY_BLOCK_BYTES = 32_000_000
@@ -60,7 +62,7 @@ def mean_pool(df: DataFrame, key: str, vector: str) -> DataFrame:
 
 
 def _query_blocks(queries: DataFrame, width: int) -> Iterator[DataFrame]:
-    """The stated queries in blocks of at most about QUERY_BLOCK_BYTES, dealt by hash; one block is with the driver at a time."""
+    """The stated queries in blocks of about QUERY_BLOCK_BYTES, dealt by hash."""
     size = queries.agg(F.sum(F.size("v") * 8 + width)).first()[0] or 0
     n = int(size // QUERY_BLOCK_BYTES) + 1
     for b in range(n):
@@ -69,6 +71,29 @@ def _query_blocks(queries: DataFrame, width: int) -> Iterator[DataFrame]:
             yield held
 
 
+def _by_blocks(queries: DataFrame, width: int, rows: DataFrame, work: Callable, schema: str) -> DataFrame:
+    """What work(held block) makes of the rows in mapInPandas, block by block.
+
+    A block's result is written and its broadcast destroyed before the next block leaves the driver; a single block stays lazy.
+    """
+    spark = rows.sparkSession
+    folder, part, held = None, None, None
+    for n, block in enumerate(_query_blocks(queries, width)):
+        if held is not None:
+            folder = folder or work_folder(spark)
+            part.write.parquet(f"{folder}/{n - 1}")
+            held.destroy()
+        held = spark.sparkContext.broadcast(block)
+        part = rows.mapInPandas(work(held), schema)
+    if held is None:
+        return spark.createDataFrame([], schema)
+    if folder is None:
+        return part
+    part.write.parquet(f"{folder}/{n}")
+    held.destroy()
+    return spark.read.schema(part.schema).parquet(*(f"{folder}/{i}" for i in range(n + 1)))
+
+
 def topk_cosine(queries: DataFrame, candidates: DataFrame, id_col: str, vector: str, k: int, exclude: str | None = None, query_vector: str | None = None) -> DataFrame:
     """query_id, rank, candidate_id, score: the k best candidates of each query by exact cosine, ties by id.
 
@@ -82,10 +107,7 @@ def topk_cosine(queries: DataFrame, candidates: DataFrame, id_col: str, vector:
     q = queries.where(is_valid(F.col(query_vector or vector))).select(F.col(id_col).alias("id"), *extra, normalize(F.col(query_vector or vector)).alias("v"))
     c = candidates.where(is_valid(F.col(vector))).select(F.col(id_col).alias("id"), *extra, normalize(F.col(vector)).alias("v"))
     kind = dict(c.dtypes)["id"]
-    parts = [c.mapInPandas(_local_topk(spark.sparkContext.broadcast(part), k), f"query_id {kind}, candidate_id {kind}, score double") for part in _query_blocks(q, 32)]
-    if not parts:
-        return spark.createDataFrame([], f"query_id {kind}, rank long, candidate_id {kind}, score double")
-    found = reduce(DataFrame.unionByName, parts)
+    found = _by_blocks(q, 32, c, lambda held: _local_topk(held, k), f"query_id {kind}, candidate_id {kind}, score double")
     w = Window.partitionBy("query_id").orderBy(F.desc("score"), "candidate_id")
     ranked = found.withColumn("rank", F.row_number().over(w).cast("long")).where(F.col("rank") <= k)
     return ranked.select("query_id", "rank", "candidate_id", F.round("score", 6).alias("score"))
@@ -127,14 +149,29 @@ def _local_topk(held, k: int):
     return run
 
 
-def ranks_of_own(queries: DataFrame, candidates: DataFrame, id_col: str, query_vector: str, vector: str, digits: int = 9) -> DataFrame:
+def mismatched(df: DataFrame, id_col: str, seed: int) -> DataFrame:
+    """id, other: a seeded permutation of a whole table's ids without a fixed point: each goes to the next in the order of a hash, the last to the first.
+
+    A table of fewer than two ids has none. Places come from sorted ranges, so no task orders the table.
+    """
+    known = df.select(F.col(id_col).alias("id")).distinct()
+    order = W.placed(known.withColumn("_h", hash_order(seed, F.col("id"))), ["_h", "id"], "_place")
+    n = order.agg(F.count(F.lit(1)).alias("_n"))
+    after = order.select(F.col("id").alias("other"), F.col("_place").alias("_at"))
+    return with_constants(order, n).where("_n > 1").join(after, F.expr("(_place + 1) % _n = _at")).select("id", "other")
+
+
+def ranks_of_own(queries: DataFrame, candidates: DataFrame, id_col: str, query_vector: str, vector: str, digits: int = 9, partners: DataFrame | None = None) -> DataFrame:
     """query_id, rank: the place of the candidate with the query's own id among all candidates' inner products; equal scores share the better place.
 
-    Scores are counted against the own one inside the tasks, so a task sends a number a query. Queries without a candidate of their id have no rank.
+    With partners (id, other), the place of the candidate other. Scores are counted against the one asked for inside the tasks, so a task sends a number a query.
+    Queries without such a candidate have no rank.
     """
     spark = candidates.sparkSession
     ship_package(spark)
     own = candidates.select(F.col(id_col).alias("id"), F.col(vector).alias("_own"))
+    if partners is not None:
+        own = partners.join(own.withColumnRenamed("id", "other"), "other").select("id", "_own")
     q = queries.select(F.col(id_col).alias("id"), F.col(query_vector).alias("v")).join(own, "id").select("id", "v", F.round(dot(F.col("v"), F.col("_own")), digits).alias("t"))
     c = candidates.select(F.col(vector).alias("v"))
     kind = dict(q.dtypes)["id"]
@@ -153,17 +190,35 @@ def ranks_of_own(queries: DataFrame, candidates: DataFrame, id_col: str, query_v
 
         return run
 
-    parts = [c.mapInPandas(above(spark.sparkContext.broadcast(part)), f"query_id {kind}, n long") for part in _query_blocks(q, 24)]
-    if not parts:
-        return spark.createDataFrame([], f"query_id {kind}, rank long")
-    return reduce(DataFrame.unionByName, parts).groupBy("query_id").agg((F.sum("n") + 1).alias("rank"))
+    found = _by_blocks(q, 24, c, above, f"query_id {kind}, n long")
+    return found.groupBy("query_id").agg((F.sum("n") + 1).alias("rank"))
 
 
 def gram(df: DataFrame, vector: str) -> DataFrame:
-    """i, j, g: the Gram matrix of the valid vectors, i <= j; d * d / 2 sums combined before the shuffle."""
-    rows = df.where(is_valid(F.col(vector))).select(F.col(vector).alias("v"))
-    cells = rows.select("v", F.posexplode("v").alias("i", "x")).select("i", "x", F.posexplode("v").alias("j", "y")).where("i <= j")
-    return cells.groupBy("i", "j").agg(F.sum(F.col("x").cast("double") * F.col("y").cast("double")).alias("g"))
+    """i, j, g: the Gram matrix of the valid vectors, i <= j. A task adds up one matrix of products for each length of vectors, and sends its d * d / 2 numbers."""
+    rows = df.where(is_valid(F.col(vector))).select(F.col(vector).cast("array<double>").alias("v"))
+    ship_package(df.sparkSession)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = None
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            lists = batch.column(0)
+            size = lists.value_lengths().to_numpy()
+            x = np.zeros((batch.num_rows, int(size.max())))
+            x[np.arange(x.shape[1])[None, :] < size[:, None]] = lists.flatten().to_numpy()
+            g = x.T @ x
+            if total is None or len(g) > len(total):
+                total, g = g, np.zeros((0, 0)) if total is None else total
+            total[: len(g), : len(g)] += g
+        if total is not None:
+            i, j = np.triu_indices(len(total))
+            for at in range(0, len(i), 100_000):
+                a, b = i[at : at + 100_000], j[at : at + 100_000]
+                yield pa.RecordBatch.from_arrays([pa.array(a.astype(np.int32)), pa.array(b.astype(np.int32)), pa.array(total[a, b])], names=["i", "j", "g"])
+
+    return rows.mapInArrow(run, "i int, j int, g double").groupBy("i", "j").agg(F.sum("g").alias("g"))
 
 
 def matrix_statistics(df: DataFrame, vector: str, size: str | None = None) -> DataFrame:

@@ -24,7 +24,7 @@ def query(sql: str | None = None) -> Callable[[Query], Query]:
 
 
 def _load() -> None:
-    from caselight.plans import artifacts, clinical, records, relational, retrieval  # noqa: F401
+    from caselight.plans import artifacts, clinical, measures, records, relational, retrieval  # noqa: F401
 
 
 def queries() -> dict[str, Query]:

@@ -443,17 +443,6 @@ def display_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("visit_id", details.alias("details"), listed.alias("labs"))
 
 
-@query("SELECT unnest(['finite', 'l2_norm', 'effective_rank', 'top1_hub', 'graph_size_correlation', 'cross_view_beats_shuffled_null', 'all']) AS gate, unnest([true, true, true, true, false, true, false]) AS passed")
-def embedding_gates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Gates on diagnostics of one split: normalised vectors pass, a correlation that isn't known doesn't."""
-    e = table(spark, sf_dir, "embeddings").where("vec_id % 2 = 0").select("vec_id", vectors.normalize(F.col("embedding")).alias("embedding"))
-    n = e.agg(F.count_if(~vectors.is_valid(F.col("embedding"))).alias("n_not_finite"), F.min(vectors.norm(F.col("embedding"))).alias("norm_min"), F.max(vectors.norm(F.col("embedding"))).alias("norm_max"))
-    rank = vectors.matrix_statistics(e, "embedding").select("effective_rank", "effective_rank_target")
-    hub = vectors.hub_share(vectors.topk_cosine(e.where("vec_id % 20 = 0"), e, "vec_id", "embedding", 1)).select((F.col("hub_share") / 100).alias("top1_hub"))
-    row = J.with_constants(J.with_constants(n, rank), hub).withColumn("size_correlation", F.lit(None).cast("double")).withColumn("recall_delta", F.lit(0.4))
-    return Q.embedding_gates(row)
-
-
 @query()
 def marked_turns(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Phrases that a speaker's turns share, chosen apart, and the turn as marked text."""
