@@ -140,6 +140,13 @@ def unique_headers(names: list[str | None]) -> list[str]:
     return out
 
 
+def unique_header_row(names: Column) -> Column:
+    """unique_headers of a row of headers, an array of texts."""
+    cleaned = F.transform(names, lambda n, i: let(collapse(F.coalesce(n, F.lit(""))), lambda t: F.when(F.lower(t).isin(*MISSING_STRICT), F.concat(F.lit("unnamed_column_"), (i + 1).cast("string"))).otherwise(t)))
+    numbered = lambda all_: F.transform(all_, lambda t, i: let(F.size(F.filter(F.slice(all_, F.lit(1), i + 1), lambda x: x == t)), lambda k: F.when(k == 1, t).otherwise(F.concat(t, F.lit("__"), k.cast("string")))))
+    return let(cleaned, numbered)
+
+
 def split_text(c: Column, size: int = 30_000) -> Column:
     """Pieces of at most size UTF-16 units, as long as can be; a character of two units is not parted."""
     wide = r"[^\x{0}-\x{FFFF}]"

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from caselight.operators import windows as W
 from caselight.operators.joins import with_constants
+from caselight.session import work_folder
 
 
 def first_nonempty(value: str, *order: str) -> Column:
@@ -74,17 +75,21 @@ def idf(df: DataFrame, group: str, token: str) -> DataFrame:
     return out.select(token, "df", (F.log((F.col("n_groups") + 1) / (F.col("df") + 1)) + 1).alias("idf"))
 
 
-def exact_quantiles(df: DataFrame, keys: list[str], value: str, linear: dict[str, float] | None = None, nearest: dict[str, float] | None = None, ranges: int = 64) -> DataFrame:
+def exact_quantiles(df: DataFrame, keys: list[str], value: str, linear: dict[str, float] | None = None, nearest: dict[str, float] | None = None, ranges: int = 64, weight: str | None = None) -> DataFrame:
     """keys and named quantiles of each group: linear ones interpolate between ranks, nearest ones are the ceil(n * share)-th smallest values.
 
-    Equal values are counted first. A sketch cuts each group into ranges, sums of these tell which range holds a rank, and
+    Equal values are counted first (with weight, a column of numbers of times, as often as that says) and the counts are written, so the
+    input is read once. A sketch cuts each group's different values into ranges, sums of these tell which range holds a rank, and
     only such ranges are ordered, each on its own, so a group of any size is spread over tasks and the result is exact.
     """
     v = F.col(value).cast("double")
-    rows = df.where(v.isNotNull() & ~F.isnan(v)).select(F.lit(0).alias("_g"), *keys, v.alias("_v"))
+    rows = df.where(v.isNotNull() & ~F.isnan(v)).select(F.lit(0).alias("_g"), *keys, v.alias("_v"), (F.col(weight).cast("long") if weight else F.lit(1).cast("long")).alias("_n"))
     keys = ["_g", *keys]
-    cuts = rows.groupBy(*keys).agg(F.percentile_approx("_v", [i / ranges for i in range(1, ranges)], 1000).alias("_cuts"), F.count(F.lit(1)).alias("_total"))
-    counts = rows.groupBy(*keys, "_v").agg(F.count(F.lit(1)).alias("_n"))
+    counts = rows.groupBy(*keys, "_v").agg(F.sum("_n").alias("_n"))
+    path = f"{work_folder(df.sparkSession)}/counts"
+    counts.write.parquet(path)
+    counts = df.sparkSession.read.schema(counts.schema).parquet(path)
+    cuts = counts.groupBy(*keys).agg(F.percentile_approx("_v", [i / ranges for i in range(1, ranges)], 1000).alias("_cuts"), F.sum("_n").alias("_total"))
     spread = counts.join(cuts.drop("_total"), keys).select(*keys, "_v", "_n", F.size(F.filter("_cuts", lambda c: c < F.col("_v"))).alias("_b"))
     sums = spread.groupBy(*keys, "_b").agg(F.sum("_n").alias("_m"))
     before = sums.withColumn("_end", F.sum("_m").over(Window.partitionBy(*keys).orderBy("_b"))).withColumn("_start", F.col("_end") - F.col("_m"))  # at most ranges rows a group

@@ -104,10 +104,13 @@ def timelines(events: DataFrame, goals: DataFrame, mode: str = "history") -> Dat
     """The events of every target: its patient's up to the cutoff, or its own visit's."""
     e = events.select("event_id", "patient_id", F.col("visit_id").alias("event_visit_id"), "time", "priority", "code", "source_table")
     t = goals.select(F.col("visit_id").alias("target_visit_id"), "patient_id", "cutoff")
-    rows = t.join(e, "patient_id").where("time <= cutoff")
-    if mode == "visit_only":
-        rows = rows.where("event_visit_id IN ('', target_visit_id)")
-    elif mode != "history":
+    if mode == "visit_only":  # by equality on the visit; only events of no visit meet all of a patient's targets
+        own = t.join(e.where("event_visit_id <> ''").withColumnRenamed("patient_id", "_p"), (F.col("target_visit_id") == F.col("event_visit_id")) & (F.col("patient_id") == F.col("_p"))).drop("_p")
+        free = t.join(e.where("event_visit_id = ''"), "patient_id")
+        rows = own.select(*free.columns).unionByName(free).where("time <= cutoff")
+    elif mode == "history":
+        rows = t.join(e, "patient_id").where("time <= cutoff")
+    else:
         raise ValueError(f"unknown mode {mode}")
     return rows.withColumn("is_current", F.col("event_visit_id") == F.col("target_visit_id"))
 

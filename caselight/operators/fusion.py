@@ -7,7 +7,10 @@ from functools import reduce
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from caselight.operators.aggregates import exact_quantiles
+from caselight.operators.joins import with_constants
 from caselight.operators.windows import min_max
+from caselight.session import work_folder
 
 
 def union_candidates(lists: dict[str, DataFrame]) -> DataFrame:
@@ -48,8 +51,12 @@ def list_violations(ranked: DataFrame, size: int = 20) -> DataFrame:
 
 
 def rank_metrics(ranks: DataFrame, ks: tuple[int, ...] = (1, 5, 10)) -> DataFrame:
-    """recall_at_k and median_rank of the true candidates' ranks."""
-    return ranks.agg(*(F.avg((F.col("rank") <= k).cast("double")).alias(f"recall_at_{k}") for k in ks), F.percentile("rank", 0.5).alias("median_rank"))
+    """recall_at_k and median_rank of the true candidates' ranks, which are counted first and worked out once."""
+    path = f"{work_folder(ranks.sparkSession)}/ranks"
+    ranks.groupBy("rank").agg(F.count(F.lit(1)).alias("n")).write.parquet(path)
+    counts = ranks.sparkSession.read.schema("rank long, n long").parquet(path)
+    recalls = counts.agg(*((F.sum(F.when(F.col("rank") <= k, F.col("n")).otherwise(0)) / F.sum("n")).alias(f"recall_at_{k}") for k in ks))
+    return with_constants(recalls, exact_quantiles(counts, [], "rank", {"median_rank": 0.5}, weight="n"))
 
 
 def retrieval_metrics(scores: DataFrame, truth: DataFrame, ks: tuple[int, ...] = (1, 5, 10)) -> DataFrame:

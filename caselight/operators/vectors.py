@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from caselight.functions.binding import let
 from caselight.functions.ids import hash_order
 from caselight.operators import windows as W
+from caselight.operators.aggregates import exact_quantiles
 from caselight.operators.joins import with_constants
 from caselight.session import ship_package, work_folder
 
@@ -275,8 +276,12 @@ def nearest_cosines(df: DataFrame, id_col: str, vector: str, of: Column) -> Data
 
 
 def cosine_statistics(df: DataFrame, cosine: str) -> DataFrame:
-    """One row: n, mean, sd and median of a column of cosines."""
-    return df.agg(F.count(cosine).alias("n"), F.avg(cosine).alias("mean"), F.stddev_pop(cosine).alias("sd"), F.percentile(cosine, 0.5).alias("median"))
+    """One row: n, mean, sd and median of a column of cosines, which is written first and worked out once."""
+    path = f"{work_folder(df.sparkSession)}/cosines"
+    df.select(F.col(cosine).cast("double").alias("c")).write.parquet(path)
+    kept = df.sparkSession.read.schema("c double").parquet(path)
+    moments = kept.agg(F.count("c").alias("n"), F.avg("c").alias("mean"), F.stddev_pop("c").alias("sd"))
+    return with_constants(moments, exact_quantiles(kept, [], "c", {"median": 0.5}))
 
 
 def two_stage(queries: DataFrame, candidates: DataFrame, id_col: str, coarse: str, fine: str, wide: int, k: int) -> DataFrame:

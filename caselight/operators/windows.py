@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -80,11 +82,13 @@ def page(df: DataFrame, order: list[str], offset: int, limit: int) -> DataFrame:
 
 
 def evenly_spaced(df: DataFrame, keys: list[str], order: list[str], n: int) -> DataFrame:
-    """n rows of each group at equal distances in its order."""
-    w = Window.partitionBy(*keys)
-    out = df.withColumn("_i", F.row_number().over(w.orderBy(*order)) - 1).withColumn("_n", F.count(F.lit(1)).over(w))
+    """n rows of each group at equal distances in its order; places come from sorted ranges, so no task orders a group."""
+    rows = placed(df, [*keys, *order], "_place")
+    ends = rows.groupBy(*keys).agg(F.min("_place").alias("_first"), F.count(F.lit(1)).alias("_n"))
+    same = reduce(lambda a, b: a & b, (F.col(f"_rows.`{k}`").eqNullSafe(F.col(f"_ends.`{k}`")) for k in keys))
+    out = rows.alias("_rows").join(ends.alias("_ends"), same).withColumn("_i", F.col("_place") - F.col("_first"))
     taken = lambda i: F.floor(i * n / F.col("_n"))
-    return out.where((F.col("_i") == 0) | (taken(F.col("_i")) != taken(F.col("_i") - 1))).drop("_i", "_n")
+    return out.where((F.col("_i") == 0) | (taken(F.col("_i")) != taken(F.col("_i") - 1))).select(*(F.col(f"_rows.`{c}`") for c in df.columns))
 
 
 def shortest_middle_longest(df: DataFrame, length: str, key: str) -> DataFrame:

@@ -179,3 +179,70 @@ def model_outputs(spark: SparkSession, sf_dir: str) -> DataFrame:
     items = found.select("conv_id", "turn", "error", F.try_variant_get("output", "$.query_icd_assessment.code", "string").alias("code"), F.try_variant_get("output", "$.ranking", "variant").alias("ranking"))
     every = items.lateralJoin(spark.tvf.variant_explode_outer(F.col("ranking").outer()))
     return every.select("conv_id", "turn", "error", "code", F.col("pos").cast("int").alias("place"), F.try_variant_get("value", "$.score", "double").alias("score"))
+
+
+_WORDS_MISSING = "('', 'null', 'none', 'nan', 'nat', 'not available', 'n/a', 'na')"
+
+
+@query(f"""
+WITH v AS (SELECT event_id, CASE event_id % 6 WHEN 0 THEN '  ' || event_type || '   x ' WHEN 1 THEN ' N/A' WHEN 2 THEN 'None' WHEN 3 THEN NULL WHEN 4 THEN '' ELSE event_type END AS v FROM events), c AS (SELECT event_id, trim(regexp_replace(coalesce(v, ''), '\\s+', ' ', 'g')) AS t FROM v)
+SELECT event_id, CASE WHEN lower(t) NOT IN {_WORDS_MISSING} THEN t END AS value FROM c
+""")
+def cleaned_or_null(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Cleaned cells, missing words as nulls."""
+    k = F.col("event_id") % 6
+    v = F.when(k == 0, F.concat(F.lit("  "), "event_type", F.lit("   x "))).when(k == 1, " N/A").when(k == 2, "None").when(k == 3, F.lit(None)).when(k == 4, "").otherwise(F.col("event_type"))
+    return table(spark, sf_dir, "events").select("event_id", text.clean_or_null(v).alias("value"))
+
+
+@query("SELECT c_nationkey, c_mktsegment, count(*) AS n, round(sum(c_acctbal), 2) AS balance FROM customer GROUP BY ALL")
+def without_identifiers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Customers without what names them, in counts by what is left."""
+    left = B.without_identifiers(table(spark, sf_dir, "customer"), ["c_custkey", "c_name", "c_phone"])
+    return left.groupBy(*(c for c in left.columns if c != "c_acctbal")).agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("c_acctbal"), 2).alias("balance"))
+
+
+@query("""
+SELECT c_custkey, 'Instruct: find alike customers' || chr(10) || 'Query: ' || concat_ws(chr(10), 'segment: ' || c_mktsegment, CASE WHEN c_custkey % 3 > 0 THEN 'nation: ' || n_name END, CASE WHEN c_custkey % 4 > 0 THEN 'name: ' || c_name END) AS text
+FROM customer JOIN nation ON n_nationkey = c_nationkey
+""")
+def instructed_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Labelled sections of every customer behind an instruction; sections without text are left out."""
+    c = table(spark, sf_dir, "customer").join(table(spark, sf_dir, "nation"), F.col("c_nationkey") == F.col("n_nationkey"))
+    k = F.col("c_custkey")
+    sections = text.labelled_sections(("segment", F.col("c_mktsegment")), ("nation", F.when(k % 3 > 0, F.col("n_name"))), ("name", F.when(k % 4 > 0, F.col("c_name")).otherwise("")))
+    return c.select("c_custkey", text.instruct("find alike customers", sections).alias("text"))
+
+
+@query("""
+WITH s AS (SELECT p_partkey, p_name, CASE p_partkey % 4 WHEN 0 THEN upper(string_split(p_name, ' ')[-1]) || '  ' || string_split(p_name, ' ')[1] WHEN 1 THEN substr(p_name, 2, 3) WHEN 2 THEN 'no such ' || p_name ELSE '' END AS s FROM part)
+SELECT p_partkey FROM s WHERE len(list_filter(string_split_regex(lower(s), '\\s+'), lambda w: w <> '' AND NOT contains(lower(p_name), w))) = 0
+""")
+def searched_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Parts whose name holds every word of a search, whatever their order and case."""
+    p, k = table(spark, sf_dir, "part"), F.col("p_partkey") % 4
+    words = F.split("p_name", " ")
+    search = F.when(k == 0, F.concat(F.upper(F.element_at(words, -1)), F.lit("  "), F.element_at(words, 1))).when(k == 1, F.substring("p_name", 2, 3)).when(k == 2, F.concat(F.lit("no such "), "p_name")).otherwise("")
+    return p.where(text.matches_all(F.col("p_name"), search)).select("p_partkey")
+
+
+@query("""
+WITH n AS (SELECT o_custkey, count(*) AS n, count(*) FILTER (WHERE o_orderstatus = 'F') AS done, count(*) FILTER (WHERE o_orderstatus = 'P') AS partly FROM orders GROUP BY 1)
+SELECT o_custkey, n, done, partly, CASE WHEN done = n THEN 'complete' WHEN partly > 0 THEN 'partial' WHEN done = 0 THEN 'open' ELSE 'started' END AS status FROM n
+""")
+def case_status(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A customer's status by the first rule on counts that holds."""
+    state = F.col("o_orderstatus")
+    counts = table(spark, sf_dir, "orders").groupBy("o_custkey").agg(F.count(F.lit(1)).alias("n"), F.count_if(state == "F").alias("done"), F.count_if(state == "P").alias("partly"))
+    return A.roll_up(counts, [(F.col("done") == F.col("n"), "complete"), (F.col("partly") > 0, "partial"), (F.col("done") == 0, "open")], "started")
+
+
+@query("""
+WITH v AS (SELECT CASE WHEN event_id % 5 = 0 THEN NULL WHEN event_type = 'purchase' THEN 'yes' WHEN event_type = 'error' THEN 'unknown' ELSE 'no' END AS v FROM events), n AS (SELECT count(v) AS completed, count(*) FILTER (WHERE v = 'yes') AS positive, count(*) FILTER (WHERE v = 'unknown') AS unknown FROM v)
+SELECT *, positive / nullif(completed - unknown, 0) AS positive_share FROM n
+""")
+def review_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Completed, positive and unknown verdicts and the positive share of those decided."""
+    kind = F.col("event_type")
+    verdict = F.when(F.col("event_id") % 5 == 0, F.lit(None)).when(kind == "purchase", "yes").when(kind == "error", "unknown").otherwise("no")
+    return A.review_summary(table(spark, sf_dir, "events").withColumn("verdict", verdict), "verdict")

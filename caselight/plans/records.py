@@ -208,10 +208,19 @@ def node_features(spark: SparkSession, sf_dir: str) -> DataFrame:
     return e.select("event_id", F.posexplode(x).alias("i", "x")).select("event_id", F.col("i").cast("long").alias("i"), F.round("x", 9).alias("x"))
 
 
-@query("SELECT unnest(['id', 'unnamed_column_2', 'id__2', 'unnamed_column_4', 'name', 'id__3']) AS header, unnest([0, 1, 2, 3, 4, 5])::BIGINT AS place")
+@query("""
+WITH h AS (SELECT c_nationkey, CASE c_custkey % 5 WHEN 0 THEN '' WHEN 1 THEN ' N/A ' WHEN 2 THEN NULL ELSE '  ' || replace(lower(c_mktsegment), 'e', ' e ') END AS name, row_number() OVER (PARTITION BY c_nationkey ORDER BY c_custkey) AS i FROM customer),
+c AS (SELECT c_nationkey, i, trim(regexp_replace(coalesce(name, ''), '\\s+', ' ', 'g')) AS t FROM h), n AS (SELECT c_nationkey, i, CASE WHEN lower(t) IN ('', 'n/a') THEN 'unnamed_column_' || i ELSE t END AS t FROM c),
+k AS (SELECT *, row_number() OVER (PARTITION BY c_nationkey, t ORDER BY i) AS k FROM n)
+SELECT c_nationkey, i - 1 AS place, CASE WHEN k = 1 THEN t ELSE t || '__' || k END AS header FROM k
+""")
 def repeated_headers(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Headers of a sheet, numbered where empty or repeated."""
-    return spark.createDataFrame([(n, i) for i, n in enumerate(text.unique_headers(["id", None, " id ", "N/A", "name", "id"]))], "header string, place long")
+    """A header row a nation, numbered where empty or repeated."""
+    c, k = table(spark, sf_dir, "customer"), F.col("c_custkey") % 5
+    name = F.when(k == 0, "").when(k == 1, " N/A ").when(k == 2, F.lit(None)).otherwise(F.concat(F.lit("  "), F.replace(F.lower("c_mktsegment"), F.lit("e"), F.lit(" e "))))
+    rows = c.groupBy("c_nationkey").agg(F.array_sort(F.collect_list(F.struct("c_custkey", F.coalesce(name, F.lit("")).alias("n")))).alias("h"))
+    headers = text.unique_header_row(F.transform("h", lambda x: x["n"]))
+    return rows.select("c_nationkey", F.posexplode(headers).alias("place", "header")).withColumn("place", F.col("place").cast("long"))
 
 
 @query("""
@@ -243,7 +252,7 @@ def artifact_checks(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _reviews(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
-    o = table(spark, sf_dir, "orders").where("o_orderkey < 200").select(F.col("o_orderkey").alias("review_id"))
+    o = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("review_id"))
     every = o.withColumn("candidate_id", F.explode(F.sequence(F.lit(1), F.when(F.col("review_id") % 10 == 1, 19).otherwise(20))))
     picked = every.where((F.col("candidate_id") <= F.col("review_id") % 4) & (F.col("candidate_id") <= 20))
     strange = o.where("review_id % 10 = 2").withColumn("candidate_id", F.lit(99))
@@ -251,7 +260,7 @@ def _reviews(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, Da
 
 
 @query("""
-WITH r AS (SELECT o_orderkey AS k, o_orderkey % 8 = 0 AS none, CASE WHEN o_orderkey % 10 = 1 THEN 19 ELSE 20 END AS c, o_orderkey % 4 + CASE WHEN o_orderkey % 10 = 2 THEN 1 ELSE 0 END AS s FROM orders WHERE o_orderkey < 200)
+WITH r AS (SELECT o_orderkey AS k, o_orderkey % 8 = 0 AS none, CASE WHEN o_orderkey % 10 = 1 THEN 19 ELSE 20 END AS c, o_orderkey % 4 + CASE WHEN o_orderkey % 10 = 2 THEN 1 ELSE 0 END AS s FROM orders)
 SELECT k AS review_id, 'candidates' AS reason FROM r WHERE c <> 20 UNION ALL SELECT k, 'selections' FROM r WHERE NOT none AND s = 0 UNION ALL SELECT k, 'not_a_candidate' FROM r WHERE k % 10 = 2 UNION ALL SELECT k, 'none_with_selections' FROM r WHERE none AND s > 0
 """)
 def review_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -338,15 +347,20 @@ def folder_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
     return readers.read_tree(spark, root, "id bigint, balance double", ("patient", "visit")).select("patient", "visit", "id", "balance")
 
 
-@query("SELECT 'a/one.json' AS path, 2::BIGINT AS bytes, sha256('{}') AS sha256, true AS listed UNION ALL SELECT 'a/two.JSON', 3, sha256('{ }'), true UNION ALL SELECT 'b.txt', 0, sha256(''), false")
+@query("""
+SELECT c_nationkey, strlen(t)::BIGINT AS bytes, sha256(t) AS sha256, c_nationkey % 2 = 0 AS listed FROM (SELECT c_nationkey, string_agg(c_name || chr(10), '' ORDER BY c_name) AS t FROM customer GROUP BY 1)
+""")
 def file_inventory(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Sizes and digests of the files below a folder, and which of them have a wanted suffix."""
+    """Sizes and digests of a file a nation, and which of them have a wanted suffix."""
     root = work_folder(spark)
-    for name, content in (("a/one.json", "{}"), ("a/two.JSON", "{ }"), ("b.txt", "")):
-        sinks.write_text(spark, f"{root}/{name}", content)
-    found = readers.discover(spark, root, (".json",)).select(F.regexp_extract("path", "([^/]+)$", 1).alias("name"), F.lit(True).alias("listed"))
-    rows = Q.file_inventory(spark, root)
-    return rows.join(found, F.regexp_extract("path", "([^/]+)$", 1) == F.col("name"), "left").select("path", "bytes", "sha256", F.coalesce("listed", F.lit(False)).alias("listed"))
+    c = table(spark, sf_dir, "customer").select("c_name", "c_nationkey", (F.col("c_nationkey") % 2 == 0).alias("even"))
+    for even, suffix in ((True, "json"), (False, "txt")):  # a file a nation: one task sorts its customers
+        part = c.where(F.col("even") == even).drop("even").repartition("c_nationkey").sortWithinPartitions("c_nationkey", "c_name")
+        part.write.partitionBy("c_nationkey").mode("append").option("header", False).text(f"{root}/{suffix}")
+    nation = F.regexp_extract("path", "c_nationkey=([0-9]+)", 1).cast("int").alias("c_nationkey")
+    found = readers.discover(spark, f"{root}/json", (".txt",)).select(nation, F.lit(True).alias("listed"))
+    rows = Q.file_inventory(spark, root).where("path NOT LIKE '%_SUCCESS'").select(nation, "bytes", "sha256")
+    return rows.join(found, "c_nationkey", "left").select("c_nationkey", "bytes", "sha256", F.coalesce("listed", F.lit(False)).alias("listed"))
 
 
 @query("SELECT c_custkey, c_custkey % 2 = 0 AS first FROM customer")

@@ -39,7 +39,7 @@ def work_folder(spark: SparkSession) -> str:
 
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
-        if not spark.sparkContext.master.startswith("local"):
+        if not (spark.sparkContext.master == "local" or spark.sparkContext.master.startswith("local[")):
             raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         root = tempfile.gettempdir()
     path = f"{root.rstrip('/')}/caselight-{uuid.uuid4().hex}"
