@@ -8,11 +8,13 @@ no item as blanks, and scanned once. A match's end names its last word, and the
 original text. With two symbols a word the automaton has a sixth of the nodes that it would have over characters,
 and no node has more children than the root of the number of words.
 
-Scale: the automaton lies with every Python worker, which keeps the last one it built, so its size is bounded: long
-items are cut into pieces that overlap by window - 1 words, and pieces are dealt by hash into blocks whose
-automata have at most AUTOMATON_BYTES (NODE_BYTES for each symbol of each window). One block, the usual case,
-needs one scan and no shuffle. Of several, each is a scan of its own that writes the hits it finds by the text's
-MD5 digest, and these are united; only one block's items are with the driver at a time.
+Scale: the automaton lies with every Python worker, which keeps the last one it built, so its size is bounded: AUTOMATON_BYTES
+(NODE_BYTES for each symbol of each window; items are cut into pieces that overlap by window - 1 words first). Within it
+documents are scanned once, without a shuffle. A larger benchmark costs one scan more, whatever its size: a first scan passes the
+documents' windows through a bitmap of all item windows' hashes (BITS bits a window, so that about one window in a million passes
+by chance; 256 MB at most, beyond which more pass). What passes goes to the block of its hash, where the block's own automaton, again within
+the bound, decides; blocks with many candidates are split. The second scan joins the hits to the documents by the text's MD5 digest. No block
+reads the documents.
 
 Defined results: null or empty texts have no words and no hits; items without words are ignored; items
 repeated under several ids count under each id; items with a null id hit words and drop documents, but
@@ -24,6 +26,7 @@ from __future__ import annotations
 
 import math
 import uuid
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -31,13 +34,17 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from caselight.llm.shared import Scratch
-from caselight.llm.textbatch import ALNUM, pieces
+from caselight.llm.textbatch import ALNUM, mix, pieces, powers, slices, words
 from caselight.session import ship_package
 
 WINDOW = 10
 #: Bytes of a node with its link, as measured, and of one block's automaton.
 NODE_BYTES = 56
 AUTOMATON_BYTES = 200_000_000
+#: Bits of the bitmap a window of the benchmark, at most so many in all (256 MB), places a window, and bits of a part.
+BITS, MOST_BITS, PROBES, PART = 32, 1 << 31, 6, 1 << 16
+#: Candidate windows of one block that one task compares.
+CANDIDATES = 2_000_000
 #: Words of an item that stay together, besides the overlap.
 PIECE = 2000
 #: Digests of texts that may be sent to every executor at once.
@@ -64,16 +71,21 @@ def item_windows(text: str | None, window: int = WINDOW) -> set[tuple[bytes, ...
     return {tuple(w[i : i + window]) for i in range(max(1, len(w) - window + 1))}
 
 
+def held_windows(items: list[tuple[str | None, str | None]], window: int) -> dict[tuple[bytes, ...], set[str]]:
+    """The windows of (item id, text) pairs, each with the ids that aren't null."""
+    held: dict[tuple[bytes, ...], set[str]] = {}
+    for item, text in items:
+        for w in item_windows(text, window):
+            held.setdefault(w, set()).update(() if item is None else (item,))
+    return held
+
+
 class Automaton:
-    """The automaton of the windows of (item id, text) pairs; each has its number of words and its item ids that aren't null."""
+    """The automaton of windows; each has its number of words and its item ids."""
 
-    def __init__(self, items: list[tuple[str | None, str | None]], window: int):
+    def __init__(self, held: dict[tuple[bytes, ...], set[str]]):
         import ahocorasick
 
-        held: dict[tuple[bytes, ...], set[str]] = {}
-        for item, text in items:
-            for w in item_windows(text, window):
-                held.setdefault(w, set()).update(() if item is None else (item,))
         known = sorted({x for w in held for x in w})
         base = math.isqrt(len(known)) + 1
         self.code = {x: chr(1 + i // base) + chr(2 + base + i % base) for i, x in enumerate(known)}
@@ -110,17 +122,17 @@ _LAST: dict[tuple[str, int], Automaton] = {}
 
 
 class Block:
-    """One block's items, broadcast under a name of its own."""
+    """All items of a benchmark whose automaton is within its bound, broadcast under a name of their own."""
 
-    def __init__(self, spark, blocks: DataFrame, k: int):
+    def __init__(self, spark, items: DataFrame):
         self.name = uuid.uuid4().hex
-        self.items = spark.sparkContext.broadcast([(r.i, r.t) for r in blocks.where(F.col("block") == k).select("i", "t").collect()])
+        self.items = spark.sparkContext.broadcast([(r.i, r.t) for r in items.select("i", "t").collect()])
 
     def automaton(self, window: int) -> Automaton:
-        """Built once a worker, and let go when the worker meets another block."""
+        """Built once a worker, and let go when the worker meets other items."""
         if (self.name, window) not in _LAST:
             _LAST.clear()
-            _LAST[self.name, window] = Automaton(self.items.value, window)
+            _LAST[self.name, window] = Automaton(held_windows(self.items.value, window))
         return _LAST[self.name, window]
 
 
@@ -142,7 +154,7 @@ def _char_spans(raw: bytes, places: np.ndarray) -> list[dict]:
 
 
 def _blocks(scratch: Scratch, benchmark: DataFrame, item_col: str, text_col: str, window: int, bytes_each: int) -> tuple[int, DataFrame]:
-    """(number of blocks, table of block, item id and text) of the items' pieces."""
+    """(number of blocks, table of item id and text) of the items' pieces."""
     b = benchmark.select(F.col(item_col).cast("string").alias("i"), F.col(text_col).alias("t")).where("t IS NOT NULL")
     words = F.split(F.trim(F.regexp_replace("t", r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+", " ")), " ")
     starts = F.sequence(F.lit(0), F.greatest(F.size("w") - window, F.lit(0)), F.lit(PIECE))
@@ -150,7 +162,7 @@ def _blocks(scratch: Scratch, benchmark: DataFrame, item_col: str, text_col: str
     cut = scratch.write(cut.distinct())
     symbols = 2 * window * (cut.agg(F.sum(F.size("w"))).first()[0] or 0)
     n = -(-symbols * NODE_BYTES // bytes_each) or 1
-    return n, cut.select(F.pmod(F.xxhash64("w"), F.lit(n)).alias("block"), "i", F.array_join("w", " ").alias("t"))
+    return n, cut.select("i", F.array_join("w", " ").alias("t"))
 
 
 def _scanner(held: Block, window: int):
@@ -171,17 +183,159 @@ def _scanner(held: Block, window: int):
     return run
 
 
-def _hitter(held: Block, window: int):
-    """(key, text) to the key and hits of the texts that have any."""
-    schema = pa.schema([("k", pa.string()), *_HITS[1:]])
+def _window_hashes(texts: pa.Array, sizes: list[int]) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
+    """(size, hashes, texts, first words) of the windows of each size of a batch of texts that have so many words."""
+    batch = pa.RecordBatch.from_arrays([texts], names=["t"])
+    at = 0
+    for rows, data, offs in slices(iter([batch]), "t"):
+        h, _, _, first = words(data, offs, ALNUM)
+        up, down = powers(len(h) + 1)
+        prefix = np.zeros(len(h) + 1, np.uint64)
+        with np.errstate(over="ignore"):
+            np.cumsum(h * up[: len(h)], out=prefix[1:])
+            for size in sizes:
+                n = np.maximum(np.diff(first) - size + 1, 0)
+                text = np.repeat(np.arange(len(n)), n)
+                place = np.arange(len(text)) - np.repeat(np.cumsum(n) - n, n)
+                start = first[:-1][text] + place
+                yield size, mix((prefix[start + size] - prefix[start]) * down[start] + np.uint64(size)), text + at, place
+        at += rows.num_rows
+
+
+def _bits_of(h: np.ndarray, bits: int) -> np.ndarray:
+    """The PROBES places of each hash in a bitmap."""
+    step = mix(h) | np.uint64(1)
+    with np.errstate(over="ignore"):
+        return np.stack([mix(h + np.uint64(i) * step) & np.uint64(bits - 1) for i in range(PROBES)], 1).astype(np.int64)
+
+
+_WINDOWS = pa.schema([("block", pa.int64()), ("w", pa.string()), ("i", pa.string())])
+
+
+def _item_windows(items: DataFrame, window: int, n: int) -> DataFrame:
+    """block, w, i: every window of every item, dealt to n blocks by its hash."""
 
     def run(batches):
-        auto = held.automaton(window)
         for batch in pieces(batches):
-            found = [(k, places, sorted(ids)) for k, v in zip(batch.column(0).to_pylist(), batch.column(1).cast(pa.binary()), strict=True) for _, places, ids in [auto.scan(v.as_py())] if len(places)]
-            yield pa.RecordBatch.from_arrays([pa.array([f[c] for f in found], x.type) for c, x in enumerate(schema)], schema=schema)
+            out: list[list] = [[], [], []]
+            for i, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                for w in item_windows(t, window):
+                    joined = b" ".join(w)
+                    for col, v in zip(out, (_block(joined, n), joined.decode(), i), strict=True):
+                        col.append(v)
+            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(out, _WINDOWS, strict=True)], schema=_WINDOWS)
+
+    return items.mapInArrow(run, "block long, w string, i string").distinct()
+
+
+def _block(w: bytes, n: int) -> int:
+    import xxhash
+
+    return xxhash.xxh64_intdigest(w) % n
+
+
+def _bitmap(scratch: Scratch, windows: DataFrame) -> tuple[np.ndarray, list[int]]:
+    """(a bitmap of all windows' hashes, the windows' different sizes); BITS bits a window, rounded up, MOST_BITS at most. Parts of it are united in tasks."""
+    sizes = windows.agg(F.count(F.lit(1)).alias("n"), F.collect_set(F.size(F.split("w", " "))).alias("s")).first()
+    bits = min(MOST_BITS, max(PART, 1 << (BITS * max(sizes["n"], 1) - 1).bit_length()))
+
+    def places(batches):
+        for batch in batches:
+            found = [h for size in sizes["s"] for _, h, text, _ in _window_hashes(batch.column(0), [size]) for h in [h[_whole(batch.column(0), text, size)]]]
+            at = np.unique(_bits_of(np.concatenate(found), bits)) if found else np.zeros(0, np.int64)
+            part = at // PART
+            cut = np.flatnonzero(np.r_[True, part[1:] != part[:-1], True]) if len(at) else np.zeros(1, np.int64)
+            blobs = [(at[i:j] % PART).astype("<u2").tobytes() for i, j in zip(cut[:-1], cut[1:], strict=True)]
+            yield pa.RecordBatch.from_arrays([pa.array(part[cut[:-1]].astype(np.int32)), pa.array(blobs, pa.binary())], names=["part", "at"])
+
+    def united(batches):
+        part, seen = None, np.zeros(PART, bool)
+        out = lambda: pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([np.packbits(seen, bitorder="little").tobytes()], pa.binary())], names=["part", "bits"])
+        for batch in batches:
+            for p, at in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                if p != part:
+                    if part is not None:
+                        yield out()
+                    part, seen = p, np.zeros(PART, bool)
+                seen[np.frombuffer(at, "<u2")] = True
+        if part is not None:
+            yield out()
+
+    parts = windows.select("w").mapInArrow(places, "part int, at binary").repartition("part").sortWithinPartitions("part").mapInArrow(united, "part int, bits binary")
+    whole = np.zeros(bits // 8, np.uint8)
+    for r in scratch.write(parts).toLocalIterator():
+        whole[r.part * (PART // 8) :][: PART // 8] = np.frombuffer(r.bits, np.uint8)
+    return whole, sorted(sizes["s"])
+
+
+def _whole(texts: pa.Array, text: np.ndarray, size: int) -> np.ndarray:
+    """Which windows are all of their text: a window's text has as many words as it."""
+    n = np.array([t.count(" ") + 1 for t in texts.to_pylist()])
+    return n[text] == size
+
+
+def _candidates(texts: DataFrame, bitmap, sizes: list[int], n: int) -> DataFrame:
+    """block, k, place, w: the windows of the texts (k, text) whose hash is in the bitmap; one scan."""
+    schema = pa.schema([("block", pa.int64()), ("k", pa.string()), ("place", pa.int32()), ("w", pa.string())])
 
-    return run
+    def run(batches):
+        bits = bitmap.value
+        for batch in pieces(batches):
+            out: list[list] = [[], [], [], []]
+            known: dict[int, list[bytes]] = {}
+            keys, raw = batch.column(0), batch.column(1)
+            for size, h, text, place in _window_hashes(raw, sizes):
+                at = _bits_of(h, len(bits) * 8)
+                for j in np.flatnonzero(((bits[at >> 3] >> (at & 7).astype(np.uint8)) & 1).all(1)).tolist():
+                    t, p = int(text[j]), int(place[j])
+                    if t not in known:
+                        known[t] = normalise(raw[t].as_py() or "")
+                    w = b" ".join(known[t][p : p + size])
+                    for col, v in zip(out, (_block(w, n), keys[t].as_py(), p, w.decode()), strict=True):
+                        col.append(v)
+            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(out, schema, strict=True)], schema=schema)
+
+    return texts.mapInArrow(run, "block long, k string, place int, w string").dropDuplicates(["k", "place", "w"])
+
+
+def _matched(batches):
+    """Rows of a block, its items' windows (kind 0) before texts' candidates, to k, place, size and items of the candidates that the block's automaton finds."""
+    schema = pa.schema([("k", pa.string()), ("place", pa.int32()), ("size", pa.int32()), ("items", pa.list_(pa.string()))])
+    last, held, auto = None, {}, None
+    for batch in batches:
+        out: list[list] = [[], [], [], []]
+        for block, part, kind, w, i, k, place in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            if (block, part) != last:
+                last, held, auto = (block, part), {}, None
+            if kind == 0:
+                held.setdefault(tuple(w.encode().split(b" ")), set()).update(() if i is None else (i,))
+                continue
+            auto = auto or Automaton(held)
+            n, places, ids = auto.scan(w.encode())
+            if len(places) == n:
+                for col, v in zip(out, (k, place, n, sorted(ids)), strict=True):
+                    col.append(v)
+        yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(out, schema, strict=True)], schema=schema)
+
+
+def _hits(scratch: Scratch, texts: DataFrame, items: DataFrame, n: int, window: int) -> DataFrame:
+    """k, words, items: hits of the texts (k, text) that have any, with one scan of the texts whatever the number of blocks."""
+    windows = scratch.write(_item_windows(items, window, n))
+    bits, sizes = _bitmap(scratch, windows.select("w").distinct())
+    bitmap = scratch.spark.sparkContext.broadcast(bits)
+    found = scratch.write(_candidates(texts, bitmap, sizes, n))
+    bitmap.destroy()
+    hot = F.broadcast(found.groupBy("block").agg(F.ceil(F.count(F.lit(1)) / CANDIDATES).cast("int").alias("parts")))  # a row a block
+    none = lambda t: F.lit(None).cast(t)
+    left = windows.join(hot, "block").select("block", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.lit(0).alias("kind"), "w", "i", none("string").alias("k"), none("int").alias("place"))
+    right = found.join(hot, "block").select("block", F.pmod(F.xxhash64("k", "place"), F.col("parts")).cast("int").alias("part"), F.lit(1).alias("kind"), "w", none("string").alias("i"), "k", "place")
+    met = left.unionByName(right).repartition("block", "part").sortWithinPartitions("block", "part", "kind")
+    hits = met.mapInArrow(_matched, "k string, place int, size int, items array<string>")
+    every = lambda c: F.array_sort(F.array_distinct(F.flatten(F.collect_list(c))))  # noqa: E731  of one text
+    spread = hits.withColumn("words", F.sequence("place", F.col("place") + F.col("size") - 1))
+    out = scratch.write(spread.groupBy("k").agg(every("words").alias("words"), every("items").alias("items")))
+    scratch.drop(windows, found)
+    return out
 
 
 def _finisher(batches):
@@ -196,18 +350,6 @@ def _finisher(batches):
         yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), batch.column(2), batch.column(3), pa.array(spans, _SPANS[1])], schema=schema)
 
 
-def _hits(scratch: Scratch, texts: DataFrame, blocks: DataFrame, n: int, window: int) -> DataFrame:
-    """k, words, items: all blocks' hits of the texts (k, text) that have any."""
-    found = None
-    for k in range(n):
-        held = Block(scratch.spark, blocks, k)
-        one = scratch.write(texts.mapInArrow(_hitter(held, window), "k string, words array<int>, items array<string>").dropDuplicates(["k"]))
-        held.items.destroy()
-        found = one if found is None else found.union(one)
-    every = lambda c: F.array_sort(F.array_distinct(F.flatten(F.collect_list(c)))).alias(c)  # noqa: E731  one row a block
-    return scratch.write(found.groupBy("k").agg(every("words"), every("items")))
-
-
 def scan(documents: DataFrame, benchmark: DataFrame, window: int = WINDOW, doc_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", automaton_bytes: int = AUTOMATON_BYTES) -> DataFrame:
     """doc_id, n_words, places of the hit words, items with occurring windows, hit spans of the original text."""
     spark = documents.sparkSession
@@ -216,7 +358,7 @@ def scan(documents: DataFrame, benchmark: DataFrame, window: int = WINDOW, doc_c
     with Scratch(spark) as scratch:
         n, blocks = _blocks(scratch, benchmark, item_col, item_text_col, window, automaton_bytes)
         if n == 1:
-            return docs.mapInArrow(_scanner(Block(spark, blocks, 0), window), _SCAN_SCHEMA)
+            return docs.mapInArrow(_scanner(Block(spark, blocks), window), _SCAN_SCHEMA)
         hits = _hits(scratch, docs.select(F.md5("text").alias("k"), "text"), blocks, n, window)
         scratch.keep_only(hits)
         small = F.broadcast(hits) if hits.count() <= BROADCAST_TEXTS // 100 else hits
@@ -244,7 +386,7 @@ def drop_contaminated(documents: DataFrame, benchmark: DataFrame, window: int =
             gone = scratch.write(hits)
             scratch.keep_only(gone)
             return documents.join(F.broadcast(gone) if gone.count() <= BROADCAST_TEXTS else gone, F.md5(text_col) == F.col("_k"), "left_anti")
-        held = Block(spark, blocks, 0)
+        held = Block(spark, blocks)
 
     def keep(batches):
         auto = held.automaton(window)

@@ -219,8 +219,8 @@ def test_items_with_a_null_id(spark, documents, texts, size, monkeypatch):
     assert kept == {d for d, r in every.items() if not r[1]}
 
 
-def test_automaton_of_a_large_benchmark_is_bounded(spark):
-    """Blocks of a benchmark of 2 MB are as large as estimated at most, and find what one block finds."""
+def test_automaton_of_a_large_benchmark_is_bounded(spark, monkeypatch):
+    """Blocks of a benchmark of 2 MB are as large as estimated at most, and find what one block finds, with two scans of the documents whatever their number."""
     r = random.Random(11)
     vocabulary = ["".join(r.choice("abcdefghij") for _ in range(r.randint(2, 9))) for _ in range(3000)]
     items = [(i, " ".join(r.choices(vocabulary, k=r.randint(3, 6000)))) for i in range(120)]
@@ -229,10 +229,14 @@ def test_automaton_of_a_large_benchmark_is_bounded(spark):
     b = spark.createDataFrame(items, "item_id long, text string").repartition(2)
     with Scratch(spark) as scratch:
         n, blocks = decontaminate._blocks(scratch, b, "item_id", "text", 10, 100_000_000)
-        held = [(x.i, x.t) for x in blocks.where("block = 0").collect()]
-    assert n > 3 and 20_000_000 < decontaminate.Automaton(held, 10).size() < 130_000_000
+        held = {tuple(x.w.encode().split()): {x.i} for x in decontaminate._item_windows(blocks, 10, n).where("block = 0").collect()}
+    assert n > 3 and 20_000_000 < decontaminate.Automaton(held).size() < 130_000_000
+    scans = []
+    for name in ("_candidates", "_scanner"):
+        monkeypatch.setattr(decontaminate, name, lambda *a, name=name, f=getattr(decontaminate, name): scans.append(name) or f(*a))
+    monkeypatch.setattr(decontaminate, "CANDIDATES", 5)
     found = [sorted((x.doc_id or -1, x.n_words, x.n_hit, x.items_sha256, str(x.spans)) for x in decontaminate.decontaminate(docs, b, automaton_bytes=size).collect()) for size in (100_000_000, 1 << 40)]
-    assert found[0] == found[1] and len(found[0]) == 102 and any(x[2] for x in found[0])
+    assert found[0] == found[1] and len(found[0]) == 102 and any(x[2] for x in found[0]) and scans == ["_candidates", "_scanner"]
 
 
 def brute_components(docs, k, percent):
