@@ -19,11 +19,12 @@ _MULT = np.uint64(0x9E3779B97F4A7C15)
 PLACES = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F], dtype=np.uint64)
 
 
-def pieces(batches: Iterator[pa.RecordBatch], rows: int = 500) -> Iterator[pa.RecordBatch]:
-    """The batches, in pieces whose results fit a worker."""
+def pieces(batches: Iterator[pa.RecordBatch], rows: int = 500, size: int = 16_000_000) -> Iterator[pa.RecordBatch]:
+    """The batches, in pieces of about so many rows or bytes at most, whose results fit a worker."""
     for batch in batches:
-        for i in range(0, batch.num_rows, rows):
-            yield batch.slice(i, rows)
+        step = max(1, min(rows, batch.num_rows * size // max(batch.nbytes, 1)))
+        for i in range(0, batch.num_rows, step):
+            yield batch.slice(i, step)
 
 
 def grouped(batches: Iterator[pa.RecordBatch], keys: int, rows: int = 1 << 30, size: int = 16_000_000) -> Iterator[pa.Table]:

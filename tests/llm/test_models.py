@@ -307,6 +307,17 @@ def test_vectors(spark, monkeypatch):
     assert vector_dup.near_duplicates(df.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("width", [64, 300, 768])
+def test_pairs_at_the_threshold_share_a_bucket_at_any_width(width):
+    r = np.random.default_rng(width)
+    a, o = r.normal(size=(2, 1500, width))
+    a /= np.linalg.norm(a, axis=1, keepdims=True)
+    o -= (o * a).sum(1, keepdims=True) * a
+    b = 0.93 * a + np.sqrt(1 - 0.93**2) * o / np.linalg.norm(o, axis=1, keepdims=True)
+    x, y = vector_dup.bucket_codes(a), vector_dup.bucket_codes(b)
+    assert x.shape[1] == vector_dup.tables(width) and (x[:, :, :, None] == y[:, :, None, :]).any((1, 2, 3)).mean() > 0.998
+
+
 def test_vectors_with_repeated_and_null_ids(spark):
     a, b = [1.0, 0.0, 0.0, 0.1], [0.0, 1.0, 0.1, 0.0]
     rows = [(5, a, 0), (5, b, 0), (3, [x * 2 for x in a], 0), (1, [1.0, 0.05, 0.0, 0.1], 0), (2, [0.0, 1.0, 0.15, 0.0], 0), (9, b, 1), (None, a, 0), (None, None, 0), (7, None, 0), (7, b, 1), (8, a, None)]
