@@ -19,8 +19,15 @@ _MULT = np.uint64(0x9E3779B97F4A7C15)
 PLACES = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F], dtype=np.uint64)
 
 
+@lru_cache(maxsize=1)
+def lean() -> None:
+    """In a task: Arrow's buffers come from the system's allocator, which gives freed ones back; workers live on between tasks."""
+    pa.set_memory_pool(pa.system_memory_pool())
+
+
 def pieces(batches: Iterator[pa.RecordBatch], rows: int = 500, size: int = 16_000_000) -> Iterator[pa.RecordBatch]:
     """The batches, in pieces of about so many rows or bytes at most, whose results fit a worker."""
+    lean()
     for batch in batches:
         step = max(1, min(rows, batch.num_rows * size // max(batch.nbytes, 1)))
         for i in range(0, batch.num_rows, step):
@@ -61,6 +68,7 @@ ALNUM = byte_table({*range(0x30, 0x3A), *range(0x41, 0x5B), *range(0x61, 0x7B),
 
 def slices(batches: Iterator[pa.RecordBatch], text: str, limit: int = SLICE_BYTES) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:
     """(rows, their texts' bytes, offsets) of at most limit bytes, or one row."""
+    lean()
     for batch in batches:
         at = batch.schema.get_field_index(text)
         col = batch.column(at)
