@@ -8,6 +8,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from caselight.operators import diagnoses as D
 from caselight.operators import events as E
 from caselight.operators import lengths as L
 from caselight.operators import stages as S
@@ -164,3 +165,45 @@ def incidence_verified(spark: SparkSession, sf_dir: str) -> DataFrame:
     cells = m.where(part != 0).unionByName(m.where(part == 7)).unionByName(strange)
     incidence = cells.select((F.col("node") + 1000).alias("row"), (F.col("edge") + 5).alias("col"))
     return V.incidence_differences(incidence, m, nodes, edges)
+
+
+_DIAGNOSES = """
+v AS (SELECT o_orderkey::VARCHAR AS visit_id, o_custkey AS patient_id, o_orderkey AS k, o_orderstatus AS s, o_orderpriority AS p, o_orderdate AS a, o_orderdate + INTERVAL 3 DAY AS d, CASE WHEN o_orderkey % 9 > 0 THEN o_orderdate END AS m FROM orders),
+l AS (SELECT l_orderkey::VARCHAR AS visit_id, l_linenumber AS n, l_returnflag AS r, l_shipdate AS t, p_name, p_type, p_brand FROM lineitem JOIN part ON p_partkey = l_partkey),
+f AS (SELECT visit_id, 'A' || (k % 7) AS code, '' AS text, m AS t, 0 AS place, 'primary_icd' AS kind, 'visits' AS sheet, 'main_code' AS field FROM v
+  UNION ALL SELECT visit_id, unnest(['a' || (k % 7), 'B1', 'C' || (k % 3)]), '', a, 1, 'secondary_icd', 'visits', 'other_codes' FROM v
+  UNION ALL SELECT visit_id, '', 'State ' || s, d, 2, 'discharge', 'visits', 'at_discharge' FROM v
+  UNION ALL SELECT visit_id, '', lower(p), a, 3, 'preoperative', 'visits', 'before_operation' FROM v WHERE k % 4 = 0
+  UNION ALL SELECT visit_id, '', upper(p), a, 4, 'postoperative', 'visits', 'after_operation' FROM v WHERE k % 4 = 0
+  UNION ALL SELECT visit_id, '', 'State ' || lower(s), a, 5, 'primary_exam', 'visits', 'main_finding' FROM v
+  UNION ALL SELECT visit_id, '', 'Chronic ' || p, a, 6, 'comorbidity', 'visits', 'other_findings' FROM v WHERE k % 5 > 0
+  UNION ALL SELECT visit_id, '', 'Rule out ' || p, a, 7, 'differential', 'visits', 'to_rule_out' FROM v WHERE k % 3 = 0
+  UNION ALL SELECT visit_id, '', p_name, t, 8, 'order_context', 'orders', 'ordered_for' FROM l
+  UNION ALL SELECT visit_id, '', p_type, t, 9, 'medicine_context', 'medicines', 'given_for' FROM l
+  UNION ALL SELECT visit_id, '', p_brand, t, 10, 'result_context', 'labs', 'tested_for' FROM l
+  UNION ALL SELECT visit_id, '', upper(p_name), t, 11, 'preoperative', 'procedures', 'planned_for' FROM l WHERE n = 2
+  UNION ALL SELECT visit_id, '', 'STATE F', t, 12, 'postoperative', 'procedures', 'found_at' FROM l WHERE n = 2 AND r = 'R'),
+g AS (SELECT visit_id, lower(code) AS ck, lower(text) AS tk, * EXCLUDE (visit_id) FROM f),
+o AS (SELECT visit_id, ck, tk, arg_min(code, (t IS NULL, coalesce(t, TIMESTAMP '1970-01-01'), place, code, text)) AS diagnosis_code, arg_min(text, (t IS NULL, coalesce(t, TIMESTAMP '1970-01-01'), place, code, text)) AS diagnosis_text, min(t) AS event_time, count(*) AS source_row_count FROM g GROUP BY ALL),
+w AS (SELECT visit_id, ck, tk, place, kind, sheet, field, min((t IS NULL, coalesce(t, TIMESTAMP '1970-01-01'), place)) AS o FROM g GROUP BY ALL)
+"""
+
+
+@query(f"""
+WITH {_DIAGNOSES}, {', '.join(f"{c}_ AS (SELECT visit_id, ck, tk, string_agg({c}, '; ' ORDER BY o) AS {c}s FROM (SELECT visit_id, ck, tk, {c}, min(o) AS o FROM w GROUP BY ALL) GROUP BY ALL)" for c in ('kind', 'sheet', 'field'))}
+SELECT v.patient_id, visit_id, diagnosis_code, diagnosis_text, kinds AS diagnosis_type, event_time, sheets AS source_sheet, fields AS source_field, source_row_count FROM o JOIN v USING (visit_id) JOIN kind_ USING (visit_id, ck, tk) JOIN sheet_ USING (visit_id, ck, tk) JOIN field_ USING (visit_id, ck, tk)
+""")
+def diagnosis_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """B2: thirteen source fields, two of codes, six of the visit's texts, three of what was ordered, given and tested, and two of operations."""
+    k = F.col("k")
+    v = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("k"), F.col("o_orderkey").alias("visit_id"), F.col("o_custkey").alias("patient_id"), F.col("o_orderstatus").alias("s"), F.col("o_orderpriority").alias("p"), F.col("o_orderdate").alias("a"))
+    v = v.select("*", (F.col("a") + F.expr("INTERVAL 3 DAYS")).alias("d"), F.when(k % 9 > 0, F.col("a")).alias("m"), F.concat(F.lit(" A"), k % 7).alias("main_code"), F.concat(F.lit("a"), k % 7, F.lit("; B1|C"), k % 3, F.lit(",")).alias("other_codes"), F.concat(F.lit("State "), "s").alias("at_discharge"))
+    v = v.select("*", F.when(k % 4 == 0, F.lower("p")).alias("before_operation"), F.when(k % 4 == 0, F.concat(F.lit("  "), F.upper("p"), F.lit(" "))).alias("after_operation"), F.concat(F.lit("State   "), F.lower("s")).alias("main_finding"))
+    v = v.select("*", F.when(k % 5 == 0, "None").otherwise(F.concat(F.lit("Chronic "), "p")).alias("other_findings"), F.when(k % 3 == 0, F.concat(F.lit("Rule out "), "p")).alias("to_rule_out"))
+    line = table(spark, sf_dir, "lineitem").join(table(spark, sf_dir, "part").select(F.col("p_partkey").alias("l_partkey"), "p_name", "p_type", "p_brand"), "l_partkey").withColumnRenamed("l_orderkey", "visit_id")
+    done = line.where("l_linenumber = 2").select("visit_id", "l_shipdate", F.upper("p_name").alias("planned_for"), F.when(F.col("l_returnflag") == "R", "STATE F").alias("found_at"))
+    texts = [("discharge", "at_discharge", "d"), ("preoperative", "before_operation", "a"), ("postoperative", "after_operation", "a"), ("primary_exam", "main_finding", "a"), ("comorbidity", "other_findings", "a"), ("differential", "to_rule_out", "a")]
+    fields = [D.Field("primary_icd", "visits", "main_code", v, "visit_id", "main_code", "m", True), D.Field("secondary_icd", "visits", "other_codes", v, "visit_id", "other_codes", "a", True), *(D.Field(kind, "visits", c, v, "visit_id", c, t) for kind, c, t in texts)]
+    fields += [D.Field(kind, sheet, name, line, "visit_id", c, "l_shipdate") for kind, sheet, name, c in (("order_context", "orders", "ordered_for", "p_name"), ("medicine_context", "medicines", "given_for", "p_type"), ("result_context", "labs", "tested_for", "p_brand"))]
+    fields += [D.Field("preoperative", "procedures", "planned_for", done, "visit_id", "planned_for", "l_shipdate"), D.Field("postoperative", "procedures", "found_at", done, "visit_id", "found_at", "l_shipdate")]
+    return D.build(fields, v).drop("diagnosis_id")
