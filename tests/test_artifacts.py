@@ -170,13 +170,13 @@ def test_diagnoses_of_several_fields(spark):
     from caselight.operators.diagnoses import Field, build
 
     day = lambda d: d and datetime.datetime(2024, 1, d)
-    main = spark.createDataFrame([("v1.0", " a10 ; B2|", "Flu", day(2)), ("v1", "A10", "  flu ", None), ("v2", "None", "", day(1)), ("gone", "A1", "x", day(1)), (None, "A1", "x", day(1))], "visit string, codes string, words string, t timestamp_ntz")
-    more = spark.createDataFrame([("v1", "FLU", day(1)), ("v1", "FLU", day(1)), ("v2", "Cough", day(3))], "visit string, words string, t timestamp_ntz")
-    visits = spark.createDataFrame([("v1", "p"), ("v2", "q"), ("v3", "q")], "visit_id string, patient_id string")
+    main = spark.createDataFrame([("1.0", " a10 ; B2|", "Flu", day(2)), ("1", "A10", "  flu ", None), ("2", "None", "", day(1)), ("gone", "A1", "x", day(1)), (None, "A1", "x", day(1))], "visit string, codes string, words string, t timestamp_ntz")
+    more = spark.createDataFrame([("1", "FLU", day(1)), ("1", "FLU", day(1)), ("2", "Cough", day(3))], "visit string, words string, t timestamp_ntz")
+    visits = spark.createDataFrame([("1", "p"), ("2", "q"), ("3", "q")], "visit_id string, patient_id string")
     fields = [Field("icd", "main", "codes", main, "visit", "codes", "t", True), Field("exam", "main", "words", main, "visit", "words", "t"), Field("order", "orders", "words", more, "visit", "words", "t")]
     got = {tuple(r)[2:] for r in build(fields, visits).collect()}
     assert got == {
-        ("v1", "a10", "", "icd", day(2), "main", "codes", 2), ("v1", "B2", "", "icd", day(2), "main", "codes", 1),
-        ("v1", "", "FLU", "order; exam", day(1), "orders; main", "words", 4), ("v2", "", "Cough", "order", day(3), "orders", "words", 1),
+        ("1", "a10", "", "icd", day(2), "main", "codes", 2), ("1", "B2", "", "icd", day(2), "main", "codes", 1),
+        ("1", "", "FLU", "order; exam", day(1), "orders; main", "words", 4), ("2", "", "Cough", "order", day(3), "orders", "words", 1),
     }
     assert build(fields, visits.limit(0)).count() == 0
