@@ -180,3 +180,16 @@ def test_diagnoses_of_several_fields(spark):
         ("1", "", "FLU", "order; exam", day(1), "orders; main", "words", 4), ("2", "", "Cough", "order", day(3), "orders", "words", 1),
     }
     assert build(fields, visits.limit(0)).count() == 0
+
+
+def plan(df) -> str:
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_diagnoses_move_once(spark):
+    from caselight.operators.diagnoses import Field, build
+
+    v = spark.createDataFrame([("1", "p", "A1", " Flu", "flu", None, DAY), ("1", "p", "a1;B2", None, "None", None, None)], "visit_id string, patient_id string, code string, x string, y string, z string, t timestamp_ntz")
+    out = build([Field("k", "s", c, v, "visit_id", c, "t", c == "code") for c in ("code", "x", "y", "z")], v)
+    assert plan(out).count("Exchange hashpartitioning") == 2  # the values, and the known visits
+    assert {(r.diagnosis_code, r.diagnosis_text, r.source_field, r.event_time, r.source_row_count) for r in out.collect()} == {("A1", "", "code", DAY, 2), ("B2", "", "code", None, 1), ("", "Flu", "x; y", DAY, 2)}
