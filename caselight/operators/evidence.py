@@ -71,8 +71,9 @@ def proposed_pairs(pairs: DataFrame, left: str, right: str, fields: DataFrame, k
     norm_title = F.lower(F.trim(normal_form(F.col(title), "NFC")))
     entry = lambda kind: F.transform(F.array_distinct(F.col(terms)[kind]), lambda x: F.struct(F.lit(kind).alias("kind"), x.alias("x")))
     index = fields.select(F.col(key).alias("_k"), F.col(field).alias("_f"), norm_title.alias("_t"), F.explode(F.concat(entry("words"), entry("phrases"))).alias("_e")).select("_k", "_f", "_t", "_e.kind", "_e.x")
-    side = lambda c, f: pairs.select(left, right).distinct().join(index.withColumnRenamed("_k", c).withColumnRenamed("_f", f), c)
-    met = side(left, f"{left}_field").join(side(right, f"{right}_field"), [left, right, "_t", "kind", "x"])
+    side = lambda c, f: pairs.select(left, right).distinct().join(index.withColumnRenamed("_k", c).withColumnRenamed("_f", f).hint("merge"), c)
+    # Spark takes an exploded index for as small as its texts and would broadcast it.
+    met = side(left, f"{left}_field").hint("merge").join(side(right, f"{right}_field"), [left, right, "_t", "kind", "x"])
     found = met.groupBy(left, right, f"{left}_field", f"{right}_field").agg(F.count_if(F.col("kind") == "words").alias("_w"), F.count_if(F.col("kind") == "phrases").alias("_p"))
     return found.where("_p > 0 OR _w >= 2").drop("_w", "_p")
 

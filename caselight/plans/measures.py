@@ -147,7 +147,7 @@ def field_pairs_evidence(spark: SparkSession, sf_dir: str) -> DataFrame:
     known = fields.select("conv_id").distinct()
     pairs = known.select(F.col("conv_id").alias("left"), (F.col("conv_id") + 1).alias("right")).join(known.withColumnRenamed("conv_id", "right"), "right")
     found = X.proposed_pairs(pairs, "left", "right", fields, "conv_id", "turn", "role", "own")
-    side = lambda c, f, title, own: fields.select(F.col("conv_id").alias(c), F.col("turn").alias(f), F.col("role").alias(title), F.col("own").alias(own))
+    side = lambda c, f, title, own: fields.select(F.col("conv_id").alias(c), F.col("turn").alias(f), F.col("role").alias(title), F.col("own").alias(own)).hint("merge")  # noqa: E731  terms are many times their text
     rows = found.join(side("left", "left_field", "title", "a"), ["left", "left_field"]).join(side("right", "right_field", "other", "b"), ["right", "right_field"])
     best = X.best_pairs(X.shared_terms(rows, "a", "b", "title", "other"), ["left", "right"], "title", "other", ties=["left_field", "right_field"])
     return best.select("left", "right", "left_field", "right_field", "title", "n_terms", "n_phrases", "score", "place")

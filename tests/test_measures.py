@@ -171,3 +171,13 @@ def test_visit_timelines_by_equality(spark):
     t = spark.createDataFrame([("v1", "p", day(5)), ("v2", "p", day(2)), ("v3", "q", day(5))], "visit_id string, patient_id string, cutoff timestamp_ntz")
     got = {(r.target_visit_id, r.event_id, r.is_current) for r in events.timelines(e, t, "visit_only").collect()}
     assert got == {("v1", "e0", True), ("v1", "e2", False), ("v2", "e1", True)}
+
+
+def test_proposed_pairs_broadcast_no_index(spark):
+    from caselight.operators import evidence
+
+    fields = spark.createDataFrame([(k, f, "t", f"w{k} common words stay") for k in range(3) for f in range(2)], "k int, f int, t string, text string").withColumn("own", evidence.terms_of(F.col("text")))
+    pairs = spark.createDataFrame([(0, 1), (1, 2)], "left int, right int")
+    out = evidence.proposed_pairs(pairs, "left", "right", fields, "k", "f", "t", "own")
+    assert "BroadcastExchange" not in out._jdf.queryExecution().executedPlan().toString()
+    assert out.count() == 8
