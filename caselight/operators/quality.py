@@ -137,10 +137,13 @@ def embedding_gates(diagnostics: DataFrame) -> DataFrame:
 
 def review_violations(reviews: DataFrame, selections: DataFrame, candidates: DataFrame, key: str = "review_id", least: int = 1, most: int = 19, size: int = 20) -> DataFrame:
     """key, reason: reviews with a wrong number of candidates or selections, selections that aren't candidates, or 'none' beside selections."""
-    c = candidates.groupBy(key).agg(F.count(F.lit(1)).alias("n_candidates"))
-    s = selections.groupBy(key).agg(F.count(F.lit(1)).alias("n_selected"))
-    strange = selections.join(candidates, [key, "candidate_id"], "left_anti").groupBy(key).agg(F.count(F.lit(1)).alias("n_strange"))
-    df = reviews.join(c, key, "left").join(s, key, "left").join(strange, key, "left").na.fill(0, ["n_candidates", "n_selected", "n_strange"])
+    side = lambda df, c, s: df.select(key, "candidate_id", F.lit(c).alias("_c"), F.lit(s).alias("_s"))
+    # Both tables move once, by review: a join would broadcast candidates whose number Spark can't tell before they are made.
+    moved = side(candidates, 1, 0).unionByName(side(selections, 0, 1)).repartition(key)
+    one = moved.groupBy(key, "candidate_id").agg(F.sum("_c").alias("_c"), F.sum("_s").alias("_s"))
+    strange = F.when((F.col("_c") == 0) | F.col("candidate_id").isNull(), F.col("_s"))
+    n = one.groupBy(key).agg(F.sum("_c").alias("n_candidates"), F.sum("_s").alias("n_selected"), F.sum(strange).alias("n_strange"))
+    df = reviews.join(n.hint("merge"), key, "left").na.fill(0, ["n_candidates", "n_selected", "n_strange"])
     none = F.coalesce(F.col("none_similar"), F.lit(False))
     reasons = F.array(
         F.when(F.col("n_candidates") != size, "candidates"), F.when(~none & ~F.col("n_selected").between(least, most), "selections"),

@@ -181,3 +181,14 @@ def test_proposed_pairs_broadcast_no_index(spark):
     out = evidence.proposed_pairs(pairs, "left", "right", fields, "k", "f", "t", "own")
     assert "BroadcastExchange" not in out._jdf.queryExecution().executedPlan().toString()
     assert out.count() == 8
+
+
+def test_reviews_broadcast_no_candidates(spark):
+    from caselight.operators import quality
+
+    reviews = spark.createDataFrame([(1, False), (2, True), (3, None), (4, False)], "review_id int, none_similar boolean")
+    candidates = spark.createDataFrame([(r, c) for r in (1, 2, 3) for c in (1, 2)], "review_id int, candidate_id int")
+    picked = spark.createDataFrame([(1, 1), (2, 2), (3, 9), (3, None), (9, 1)], "review_id int, candidate_id int")
+    out = quality.review_violations(reviews, picked, candidates, size=2)
+    assert "BroadcastExchange" not in out._jdf.queryExecution().executedPlan().toString()
+    assert sorted(map(tuple, out.collect())) == [(2, "none_with_selections"), (3, "not_a_candidate"), (4, "candidates"), (4, "selections")]
