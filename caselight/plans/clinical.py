@@ -118,7 +118,7 @@ def source_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("SELECT c_custkey, CASE WHEN c_acctbal < 0 THEN '''' || c_acctbal::VARCHAR ELSE c_acctbal::VARCHAR END AS cell FROM customer")
 def csv_safe_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Texts that spreadsheets don't read as formulas."""
-    return table(spark, sf_dir, "customer").select("c_custkey", sinks.csv_cell(F.col("c_acctbal").cast("string")).alias("cell"))
+    return table(spark, sf_dir, "customer").select("c_custkey", sinks.csv_number(F.col("c_acctbal")).alias("cell"))
 
 
 @query("SELECT doc_id, sha256(text) AS sha256, CAST(ceil(length(text) / 1000.0) AS INTEGER) AS n_pieces FROM documents WHERE length(text) > 0")

@@ -346,3 +346,9 @@ def test_arrays_and_calls_in_folders(spark, tmp_path):
     assert rows == {("p1", "v1"): ([2, 3], [0, 1, 2, 3, 4, 5]), ("p1", "v2"): ([2], [0.5, -1.0])}
     names = lambda **k: [r.path.rsplit("/", 1)[1] for r in readers.discover_calls(spark, f"{tmp_path}/r", **k).collect()]
     assert names() == ["5.json", "4.json", "1.json", "2.json"] and names(depth=2) == ["1.json", "2.json"] and names(most=1) == ["5.json"]
+
+
+def test_numbers_in_csv_cells(spark):
+    values = [-0.0, 0.0, -1.5, None, float("nan"), 1e7, -12345678.9, 0.0001, -0.00001, float("-inf"), 123456789012.55, 1e16, 1e-300]
+    found = [r.c for r in spark.createDataFrame([(v,) for v in values], "v double").coalesce(1).select(sinks.csv_number(F.col("v")).alias("c")).collect()]
+    assert found == [None if v is None else ("'" if v < 0 else "") + repr(v) for v in values]
