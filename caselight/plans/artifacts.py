@@ -62,8 +62,8 @@ SELECT view, count(*) AS n_targets, count(*) FILTER (WHERE length > {WORDS}) AS
 def length_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Lengths of every target's whole text in the full and the current view, with those over the limit and quantiles."""
     ev = _events(spark, sf_dir)
-    lines = E.timelines(ev, E.targets(_visits(spark, sf_dir), ev))
-    return L.length_summary(L.view_lengths(lines, F.concat_ws(" ", F.date_format("time", "yyyy-MM-dd"), "code"), different_words, WORDS))
+    line = F.concat_ws(" ", F.date_format("time", "yyyy-MM-dd"), "code")
+    return L.length_summary(L.audited_lengths(ev, E.targets(_visits(spark, sf_dir), ev), line, different_words, WORDS))
 
 
 def _states(spark: SparkSession, sf_dir: str) -> DataFrame:

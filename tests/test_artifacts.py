@@ -193,3 +193,17 @@ def test_diagnoses_move_once(spark):
     out = build([Field("k", "s", c, v, "visit_id", c, "t", c == "code") for c in ("code", "x", "y", "z")], v)
     assert plan(out).count("Exchange hashpartitioning") == 2  # the values, and the known visits
     assert {(r.diagnosis_code, r.diagnosis_text, r.source_field, r.event_time, r.source_row_count) for r in out.collect()} == {("A1", "", "code", DAY, 2), ("B2", "", "code", None, 1), ("", "Flu", "x; y", DAY, 2)}
+
+
+def test_audits_pair_no_targets_with_events(spark):
+    from caselight.operators import events as E
+
+    r = random.Random(7)
+    rows = [(p, r.choice(["", f"{p}0", f"{p}1"]), None if r.random() < 0.1 else DAY + datetime.timedelta(days=r.randint(0, 9)), r.randint(0, 2), f"e{i}", " ".join(r.choice("abc") for _ in range(r.randint(0, 4))), False) for p in "xyz" for i in range(30)]
+    goals = [(f"{p}{i}", p, None if i == 2 else DAY + datetime.timedelta(days=5 * i)) for p in "xyzw" for i in range(3)]
+    ev, targets = spark.createDataFrame(rows, EVENTS), spark.createDataFrame(goals, TARGETS)
+    out = lengths.audited_lengths(ev, targets, F.col("line"), different_words, 2)
+    assert "Join" not in plan(out)
+    pairs = E.timelines(ev.withColumn("code", F.col("line")).withColumn("source_table", F.lit("")), targets)
+    want = lengths.view_lengths(pairs, F.col("code"), different_words, 2)
+    assert sorted(map(tuple, out.collect())) == sorted(map(tuple, want.collect()))
