@@ -6,7 +6,6 @@ import re
 import unicodedata
 from itertools import accumulate
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -114,11 +113,10 @@ _SPANS = "array<struct<key:string,start:int,end:int>>"
 def icd_spans(text: Column) -> Column:
     """Codes of a text, upper case, with their places: array of struct(key, start, end)."""
 
-    @F.pandas_udf(_SPANS)
-    def find(s: pd.Series) -> pd.Series:
-        return s.map(lambda t: [(m.group().upper(), m.start(), m.end()) for m in re.finditer(r"(?i)(?<!\w)[A-Z][0-9]{2}(?:\.[A-Z0-9]{1,4})?(?!\w)", t or "")])
+    def codes(t: str | None) -> list[tuple[str, int, int]]:
+        return [(m.group().upper(), m.start(), m.end()) for m in re.finditer(r"(?i)(?<!\w)[A-Z][0-9]{2}(?:\.[A-Z0-9]{1,4})?(?!\w)", t or "")]
 
-    return find(text)
+    return F.udf(codes, _SPANS, useArrow=False)(text)
 
 
 def phrase_spans(text: Column, least: int = 2, most: int = 6, chars: int = 6, content: int = 1, generic: tuple[str, ...] = GENERIC, negators: tuple[str, ...] = ()) -> Column:
@@ -142,11 +140,8 @@ def phrase_spans(text: Column, least: int = 2, most: int = 6, chars: int = 6, co
                         out.append((" ".join(w for w, _, _ in words[i:j]), run.start() + start, run.start() + words[j - 1][2]))
         return out
 
-    @F.pandas_udf(_SPANS)
-    def find(s: pd.Series) -> pd.Series:
-        return s.map(phrases)
-
-    return find(text)
+    # Spans are many times their text: plain UDFs hold those of a hundred texts, an Arrow batch those of 10,000.
+    return F.udf(phrases, _SPANS, useArrow=False)(text)
 
 
 def shared_spans(own: Column, other: Column, priority: int) -> Column:

@@ -192,3 +192,10 @@ def test_reviews_broadcast_no_candidates(spark):
     out = quality.review_violations(reviews, picked, candidates, size=2)
     assert "BroadcastExchange" not in out._jdf.queryExecution().executedPlan().toString()
     assert sorted(map(tuple, out.collect())) == [(2, "none_with_selections"), (3, "not_a_candidate"), (4, "candidates"), (4, "selections")]
+
+
+def test_spans_are_made_a_few_texts_at_a_time(spark):
+    df = spark.createDataFrame([(1, "viêm phổi thùy I10")], "i int, t string").select(evidence.icd_spans(F.col("t")).alias("c"), evidence.phrase_spans(F.col("t")).alias("p"))
+    planned = df._jdf.queryExecution().executedPlan().toString()
+    assert "BatchEvalPython" in planned and "ArrowEvalPython" not in planned
+    assert [tuple(x) for x in df.first().c] == [("I10", 15, 18)]
