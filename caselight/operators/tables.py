@@ -128,6 +128,18 @@ def enrich(df: DataFrame, name: str, vocabulary: dict[str, str]) -> DataFrame:
     return df.withColumn(f"{name}_key", key).withColumn(f"{name}_canonical", canon)
 
 
+def header_rows(df: DataFrame, keys: list[str], order: str, name: str) -> DataFrame:
+    """keys, place (from 0), header: text.unique_headers of each group's names in the order of a column, a row a header.
+
+    A repeated name is numbered by its place among its equals, so a header row of any width takes the time of sorting it.
+    """
+    row = Window.partitionBy(*keys)
+    cleaned = df.select(*keys, (F.row_number().over(row.orderBy(order)) - 1).cast("long").alias("place"), text.collapse(F.coalesce(name, F.lit(""))).alias("_t"))
+    named = cleaned.withColumn("_t", F.when(F.lower("_t").isin(*text.MISSING_STRICT), F.concat(F.lit("unnamed_column_"), (F.col("place") + 1).cast("string"))).otherwise(F.col("_t")))
+    k = F.row_number().over(Window.partitionBy(*keys, "_t").orderBy("place"))
+    return named.withColumn("_k", k).select(*keys, "place", F.when(F.col("_k") == 1, F.col("_t")).otherwise(F.concat("_t", F.lit("__"), F.col("_k").cast("string"))).alias("header"))
+
+
 def without_identifiers(df: DataFrame, names: list[str]) -> DataFrame:
     """The table without direct identifiers."""
     return df.drop(*names)

@@ -218,9 +218,7 @@ def repeated_headers(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A header row a nation, numbered where empty or repeated."""
     c, k = table(spark, sf_dir, "customer"), F.col("c_custkey") % 5
     name = F.when(k == 0, "").when(k == 1, " N/A ").when(k == 2, F.lit(None)).otherwise(F.concat(F.lit("  "), F.replace(F.lower("c_mktsegment"), F.lit("e"), F.lit(" e "))))
-    rows = c.groupBy("c_nationkey").agg(F.array_sort(F.collect_list(F.struct("c_custkey", F.coalesce(name, F.lit("")).alias("n")))).alias("h"))
-    headers = text.unique_header_row(F.transform("h", lambda x: x["n"]))
-    return rows.select("c_nationkey", F.posexplode(headers).alias("place", "header")).withColumn("place", F.col("place").cast("long"))
+    return B.header_rows(c.withColumn("name", name), ["c_nationkey"], "c_custkey", "name")
 
 
 @query("""

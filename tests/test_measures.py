@@ -199,3 +199,14 @@ def test_spans_are_made_a_few_texts_at_a_time(spark):
     planned = df._jdf.queryExecution().executedPlan().toString()
     assert "BatchEvalPython" in planned and "ArrowEvalPython" not in planned
     assert [tuple(x) for x in df.first().c] == [("I10", 15, 18)]
+
+
+def test_header_rows_of_groups(spark):
+    from caselight.operators import tables
+
+    names = [" a  b", "A", None, "a b", "n/a", "a b", ""]
+    df = spark.createDataFrame([(g, i, n) for g in (1, 2) for i, n in enumerate(names[g - 1 :])], "g int, i int, n string")
+    out = tables.header_rows(df, ["g"], "i", "n")
+    assert "collect_list" not in out._jdf.queryExecution().executedPlan().toString()
+    for g in (1, 2):
+        assert [r.header for r in out.where(F.col("g") == g).orderBy("place").collect()] == text.unique_headers(names[g - 1 :])
