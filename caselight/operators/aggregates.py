@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -135,15 +137,16 @@ def ranked_vocabulary(df: DataFrame, group: str, token: str, top: int = 0) -> Da
 def concept_inventory(events: DataFrame, keys: list[str], visit: str, patient: str, example: str, order: str) -> DataFrame:
     """Each concept with its events, visits, patients and first example.
 
-    Events are first summed by concept, visit and patient; the different visits and patients are counted from these sums.
+    Events are first summed by concept, visit and patient; the different visits and patients are counted from these sums, and each
+    count is summed up by concept before the counts meet. Examples are picked apart from them, so that the sums need no sorting.
     """
-    one = events.groupBy(*keys, visit, patient).agg(F.count(F.lit(1)).alias("_n"), F.min_by(F.struct(F.col(example).alias("e"), F.col(order).alias("o")), order).alias("_x"))
-    empty = F.lit(None).cast(one.schema["_x"].dataType)
-    parts = [one.select(*keys, F.lit("n").alias("_t"), "_n", "_x")]
-    for name, column in (("v", visit), ("p", patient)):
-        parts.append(one.where(F.col(column).isNotNull()).select(*keys, column).distinct().select(*keys, F.lit(name).alias("_t"), F.lit(0).cast("long").alias("_n"), empty.alias("_x")))
-    rows = parts[0].unionByName(parts[1]).unionByName(parts[2])
-    return rows.groupBy(*keys).agg(F.sum("_n").alias("n_events"), F.count_if(F.col("_t") == "v").alias("n_visits"), F.count_if(F.col("_t") == "p").alias("n_patients"), F.min_by(F.col("_x.e"), F.col("_x.o")).alias("example"))
+    one = events.groupBy(*keys, visit, patient).agg(F.count(F.lit(1)).alias("_n"))
+    parts = [one.groupBy(*keys).agg(F.sum("_n").alias("n_events")), events.groupBy(*keys).agg(F.min_by(example, order).alias("example"))]
+    for name, column in (("n_visits", visit), ("n_patients", patient)):
+        parts.append(one.where(F.col(column).isNotNull()).select(*keys, column).distinct().groupBy(*keys).agg(F.count(F.lit(1)).alias(name)))
+    rows = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts)
+    count = lambda c: F.coalesce(F.sum(c), F.lit(0)).alias(c)
+    return rows.groupBy(*keys).agg(count("n_events"), count("n_visits"), count("n_patients"), F.first("example", ignorenulls=True).alias("example"))
 
 
 def group_tail_median(df: DataFrame, keys: list[str], exact: str, bound: str) -> DataFrame:

@@ -13,7 +13,7 @@ from caselight.operators import joins as J
 from caselight.operators import quality as Q
 from caselight.operators import windows as W
 from caselight.plans import query
-from caselight.session import table
+from caselight.session import dealt, table
 
 _LINE = ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_shipdate"]
 
@@ -164,7 +164,7 @@ def concept_inventory(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Events, visits and patients of each concept."""
     rows = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_partkey")
     rows = rows.join(table(spark, sf_dir, "part").select(F.col("p_partkey").alias("l_partkey"), "p_type", "p_name"), "l_partkey")
-    rows = rows.join(table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("l_orderkey"), "o_custkey"), "l_orderkey")
+    rows = dealt(rows, "l_orderkey").join(table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("l_orderkey"), "o_custkey"), "l_orderkey")
     return A.concept_inventory(rows, ["p_type"], "l_orderkey", "o_custkey", "p_name", "p_name")
 
 

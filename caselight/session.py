@@ -32,6 +32,15 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def dealt(df: DataFrame, *keys: str) -> DataFrame:
+    """The rows dealt by their keys to as many tasks as there are shuffle partitions.
+
+    Partitions that Spark makes for joins and groups by itself are merged up to a size in compressed bytes; rows that compress well then
+    fill a task's memory. These are not merged, and later joins and groups by these keys take them as they are.
+    """
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys)
+
+
 def work_folder(spark: SparkSession) -> str:
     """A new folder under the shared one that spark.checkpoint.dir names, gone when the application ends; a local session without one gets a folder of this machine."""
     import tempfile

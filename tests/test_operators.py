@@ -370,3 +370,20 @@ def test_many_shards_take_few_tasks(spark, tmp_path):
     files = [f for d, _, names in os.walk(f"{tmp_path}/s") for f in names if f.endswith(".parquet")]
     assert len(files) == len(wrote) > 20 and spark.read.parquet(f"{tmp_path}/s").count() == 200
     assert sinks.write_shards(df, f"{tmp_path}/s", "id", 5) == []
+
+
+def plan(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+@pytest.mark.parametrize("name", ["concept_inventory"])
+def test_rows_are_dealt_to_tasks_that_are_not_merged(spark, name):
+    assert "REPARTITION_BY_NUM" in plan(plans.queries()[name](spark, "/root/testdata/sf0.001"))
+
+
+def test_inventory_counts_without_sorting_sums(spark):
+    rows = [("a", 1, 1, "y"), ("a", 1, 1, "x"), ("a", None, 2, "z"), (None, 3, None, "w")]
+    df = spark.createDataFrame(rows, "k string, v int, p int, e string")
+    out = aggregates.concept_inventory(df, ["k"], "v", "p", "e", "e")
+    assert {tuple(r) for r in out.collect()} == {("a", 3, 1, 2, "x"), (None, 1, 1, 0, "w")}
+    assert not [line for line in plan(out).splitlines() if "SortAggregate" in line and "v#" in line]
