@@ -14,7 +14,7 @@ from caselight.operators import quality as Q
 from caselight.operators import tables as B
 from caselight.operators import vectors
 from caselight.plans import query
-from caselight.session import table, work_folder
+from caselight.session import dealt, table, work_folder
 from caselight.sources import readers, sinks
 
 
@@ -243,7 +243,7 @@ def artifact_checks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Q5: groups whose index has gaps, edges without their reverse."""
     from pyspark.sql import Window
 
-    line = table(spark, sf_dir, "lineitem")
+    line = dealt(table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey"), "l_orderkey")
     place = F.row_number().over(Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey")) - 1 + F.when(F.col("l_orderkey") % 100 == 0, 1).otherwise(0)
     edges = table(spark, sf_dir, "customer").select(F.col("c_nationkey").alias("a"), (F.col("c_custkey") % 25).cast("int").alias("b"))
     return Q.constraint_report({"contiguous": Q.contiguous(line.select("l_orderkey", place.alias("i")), ["l_orderkey"], "i"), "symmetric": Q.asymmetric(edges, "a", "b")})
