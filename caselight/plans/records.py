@@ -176,7 +176,8 @@ SELECT graph, kind, node FROM r WHERE n > 1 AND r <= greatest(1, least(n - 1, ro
 """)
 def sampled_graph_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A seeded share of each graph's nodes of a kind."""
-    d = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("graph"), F.col("l_returnflag").alias("kind"), F.col("l_partkey").alias("node")).distinct()
+    d = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("graph"), F.col("l_returnflag").alias("kind"), F.col("l_partkey").alias("node"))
+    d = dealt(d, "graph").distinct()
     return G.sampled_nodes(d, "graph", "kind", "node", 0.4, 11).select("graph", "kind", "node")
 
 
