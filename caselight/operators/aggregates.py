@@ -156,8 +156,8 @@ def group_tail_median(df: DataFrame, keys: list[str], exact: str, bound: str) ->
     in which a bound's tail is what precedes it: with n values before it the median is at ranks (n + 1) / 2 and
     n / 2 + 1 from the bound's end. These ranks are joined back, so nothing is paired with all it precedes.
     """
-    side = lambda c, is_bound: df.where(F.col(c).isNotNull()).groupBy(*keys, F.col(c).cast("double").alias("v")).agg((F.lit(0).cast("long") if is_bound else F.count(F.lit(1))).alias("n")).withColumn("is_bound", F.lit(is_bound))
-    rows = side(exact, False).unionByName(side(bound, True))
+    sides = F.array(*(F.struct(F.col(c).cast("double").alias("v"), F.lit(is_bound).alias("is_bound")) for c, is_bound in ((exact, False), (bound, True))))
+    rows = df.select(*keys, F.inline(sides)).where("v IS NOT NULL").groupBy(*keys, "v", "is_bound").agg(F.count_if(~F.col("is_bound")).alias("n"))
     # A value that equals a bound is not above it, so bounds come first among equals.
     w = Window.partitionBy(*keys).orderBy(F.desc("v"), F.desc("is_bound")).rowsBetween(Window.unboundedPreceding, Window.currentRow)
     ranked = rows.withColumn("above", F.sum("n").over(w))

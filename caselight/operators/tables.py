@@ -98,11 +98,14 @@ def assign_tail_proxies(observations: DataFrame, keys: tuple[str, ...] = ("entit
     right = F.col("result_operator").isin(">", ">=") & (F.col("result_type") == "numeric_censored")
     exact = F.when(F.col("result_type").isin("numeric_exact", "numeric_with_unit"), F.col("result_numeric"))
     tails = A.group_tail_median(observations.withColumn("_x", exact).withColumn("_b", F.when(right, F.col("result_lower_bound"))), list(keys), "_x", "_b")
-    out = observations.join(tails.withColumnRenamed("bound", "result_lower_bound"), [*keys, "result_lower_bound"], "left")
-    found = right & F.col("tail").isNotNull()
-    proxy = F.when(found, F.col("result_lower_bound") + F.col("tail")).when(right, F.col("result_lower_bound")).otherwise(F.col("value_proxy"))
-    method = F.when(found, "threshold_plus_group_tail_median").when(right, "lower_bound_fallback").otherwise(F.col("proxy_method"))
-    return out.withColumn("value_proxy", proxy).withColumn("proxy_method", method).select(*observations.columns)
+    # Only right-censored rows meet the tails: the others have no bound and would meet in one task as rows of one key.
+    censored = F.coalesce(right, F.lit(False))
+    out = observations.where(censored).join(tails.withColumnRenamed("bound", "result_lower_bound"), [*keys, "result_lower_bound"], "left")
+    found = F.col("tail").isNotNull()
+    proxy = F.when(found, F.col("result_lower_bound") + F.col("tail")).otherwise(F.col("result_lower_bound"))
+    method = F.when(found, "threshold_plus_group_tail_median").otherwise("lower_bound_fallback")
+    out = out.withColumn("value_proxy", proxy).withColumn("proxy_method", method).select(*observations.columns)
+    return out.unionByName(observations.where(~censored))
 
 
 def attach_summary(visits: DataFrame, notes: DataFrame, tables: dict[str, DataFrame], visit: str = "visit_id") -> DataFrame:

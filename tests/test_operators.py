@@ -387,3 +387,11 @@ def test_inventory_counts_without_sorting_sums(spark):
     out = aggregates.concept_inventory(df, ["k"], "v", "p", "e", "e")
     assert {tuple(r) for r in out.collect()} == {("a", 3, 1, 2, "x"), (None, 1, 1, 0, "w")}
     assert not [line for line in plan(out).splitlines() if "SortAggregate" in line and "v#" in line]
+
+
+def test_only_censored_rows_meet_tails(spark):
+    rows = [("a", ">10", DAY(2024, 1, 1), 1), ("a", "12", DAY(2024, 1, 1), 2), ("a", "see note", DAY(2024, 1, 1), 3)]
+    df = spark.createDataFrame(rows, "name string, result string, time timestamp, source_row int").withColumn("visit", F.lit(1))
+    out = tables.assign_tail_proxies(tables.build_observations(df, None, "visit", "name", "result", "time"))
+    assert out._jdf.queryExecution().optimizedPlan().nodeName() == "Union"
+    assert {r.source_row: (r.value_proxy, r.proxy_method) for r in out.collect() if r.source_row < 3} == {1: (12.0, "threshold_plus_group_tail_median"), 2: (12.0, "exact_value")}
