@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from caselight.functions import ids, parse, text
 from caselight.operators import aggregates as A
+from caselight.session import dealt
 
 
 def build_visits(visits: DataFrame, patients: DataFrame, visit: str, patient: str, admission: str, discharge: str, birth_year: str, gender: str) -> DataFrame:
@@ -51,7 +52,7 @@ def build_medicines(rows: DataFrame, visits: DataFrame, columns: list[str], visi
 
     A row with a return_reason is a returned medicine: it has status 'returned', others 'prescribed'; without include_returned it leaves.
     """
-    known = rows.join(visits.select(visit), visit, "left_semi")
+    known = dealt(rows, visit).join(visits.select(visit), visit, "left_semi")
     extra = [F.when(text.clean(F.col(return_reason)) != "", "returned").otherwise("prescribed").alias("status")] if return_reason else []
     cleaned = known.select(visit, *(text.clean(F.col(c).cast("string")).alias(c) for c in columns), *extra)
     if return_reason and not include_returned:
