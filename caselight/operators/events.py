@@ -9,6 +9,7 @@ from caselight.functions import ids, parse
 from caselight.operators import aggregates as A
 from caselight.operators import joins as J
 from caselight.operators import windows as W
+from caselight.session import dealt
 from caselight.sources.readers import union_projected
 
 #: The order of sources at one time.
@@ -36,10 +37,10 @@ def build_events(parts: list[DataFrame]) -> DataFrame:
     """All events with their place in the patient's and the visit's order; equal events count once.
 
     An id says all that an event holds but its priority, which its source sets, so events are made distinct on their
-    columns and the ids are worked out afterwards, once an event.
+    columns and the ids are worked out afterwards, once an event. Rows move once, by patient.
     """
     columns = ["source_table", "patient_id", "visit_id", "time", "code", "numeric_value", "text_value", "priority"]
-    rows = union_projected(parts).select(columns).distinct()
+    rows = dealt(union_projected(parts).select(columns), "patient_id").distinct()
     rows = rows.withColumn("event_id", ids.event_id(*(F.col(c) for c in columns[:-1])))
     order = [F.asc_nulls_last("time"), "priority", "event_id"]
     return W.ordinal(W.ordinal(rows, ["patient_id"], order, "patient_ordinal"), ["patient_id", "visit_id"], order, "visit_ordinal")
@@ -129,14 +130,16 @@ def history_counts(events: DataFrame, goals: DataFrame) -> DataFrame:
     """
     e = events.where("time IS NOT NULL").select("patient_id", F.col("visit_id").cast("string").alias("visit_id"), "time")
     goals = goals.withColumn("visit_id", F.col("visit_id").cast("string"))
-    opens = F.row_number().over(Window.partitionBy("patient_id", "visit_id").orderBy("time")) == 1
-    rows = e.select("patient_id", "time", F.lit(None).cast("string").alias("target_visit_id"), F.lit(1).alias("n"), (opens & (F.col("visit_id") != "")).cast("int").alias("v"), F.col("time").alias("at"))
-    cut = goals.where("cutoff IS NOT NULL").select("patient_id", F.col("cutoff").alias("time"), F.col("visit_id").alias("target_visit_id"), F.lit(0).alias("n"), F.lit(0).alias("v"), F.lit(None).cast(e.schema["time"].dataType).alias("at"))
-    w = Window.partitionBy("patient_id").orderBy("time", "target_visit_id").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    counted = rows.unionByName(cut).select("target_visit_id", F.sum("n").over(w).alias("n_events"), F.sum("v").over(w).alias("n_visits"), F.min("at").over(w).alias("first_time"), F.max("at").over(w).alias("last_time"))
-    own = e.join(goals.select("patient_id", "visit_id", "cutoff"), ["patient_id", "visit_id"]).where("time <= cutoff").groupBy(F.col("visit_id").alias("target_visit_id")).agg(F.count(F.lit(1)).alias("n_current"))
-    out = counted.where("target_visit_id IS NOT NULL AND n_events > 0").join(own, "target_visit_id", "left")
-    return out.select("target_visit_id", "n_events", F.coalesce("n_current", F.lit(0)).alias("n_current"), "n_visits", "first_time", "last_time")
+    rows = e.select("patient_id", "visit_id", "time", F.lit(None).cast("string").alias("target_visit_id"), F.lit(1).alias("n"), F.col("time").alias("at"))
+    cut = goals.where("cutoff IS NOT NULL").select("patient_id", "visit_id", F.col("cutoff").alias("time"), F.col("visit_id").alias("target_visit_id"), F.lit(0).alias("n"), F.lit(None).cast(e.schema["time"].dataType).alias("at"))
+    upto = lambda *keys: Window.partitionBy(*keys).orderBy("time", "target_visit_id").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    # A visit's running count tells its first event, and at a cutoff the target's own events.
+    both = dealt(rows.unionByName(cut), "patient_id").withColumn("own", F.sum("n").over(upto("patient_id", "visit_id")))
+    both = both.withColumn("v", ((F.col("n") == 1) & (F.col("own") == 1) & (F.col("visit_id") != "")).cast("int"))
+    w = upto("patient_id")
+    counted = both.select("target_visit_id", "patient_id", F.sum("n").over(w).alias("n_events"), "own", F.sum("v").over(w).alias("n_visits"), F.min("at").over(w).alias("first_time"), F.max("at").over(w).alias("last_time"))
+    current = F.when(F.col("patient_id").isNotNull(), F.col("own")).otherwise(F.lit(0)).alias("n_current")
+    return counted.where("target_visit_id IS NOT NULL AND n_events > 0").select("target_visit_id", "n_events", current, "n_visits", "first_time", "last_time")
 
 
 def serialise(lines: DataFrame, line: Column, limit: int) -> DataFrame:
