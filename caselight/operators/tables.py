@@ -26,18 +26,16 @@ def build_diagnoses(sources: list[tuple[str, DataFrame, str | None, str | None]]
     """One row a (patient, visit, code, name), with the fields it came from and how often.
 
     Each source is (field, table, code column or None, name column or None); a code column may list several. Equal
-    rows of a source are counted before their texts are cleaned, so a text is cleaned once a visit.
+    rows of a source are counted before their texts are cleaned, so a text is cleaned once a visit. The sources' rows move once, by visit.
     """
-    parts = []
+    parts, coded = [], [field for field, _, code, _ in sources if code]
     for field, df, code, name in sources:
-        raw = df.select(patient, visit, *([F.col(code).alias("_c")] if code else []), *([F.col(name).alias("_n")] if name else []))
-        one = raw.groupBy(*raw.columns).agg(F.count(F.lit(1)).alias("_m"))
-        code_ = F.explode(text.icd_list(F.col("_c"))) if code else F.lit("")
-        listed = one.select(patient, visit, F.lit(field).alias("field"), code_.alias("code"), *(["_n"] if name else []), "_m")
-        cleaned = text.clean(F.col("_n")) if name else F.lit("")
-        named = listed.select(patient, visit, "field", "code", cleaned.alias("name"), "_m")
-        parts.append(named.withColumn("name_key", text.entity_key(F.col("name")) if name else F.lit("")))
-    rows = reduce(DataFrame.unionByName, parts).where((F.col("code") != "") | (F.col("name") != ""))
+        parts.append(df.select(patient, visit, F.lit(field).alias("field"), (F.col(code) if code else F.lit(None)).cast("string").alias("_c"), (F.col(name) if name else F.lit(None)).cast("string").alias("_n")))
+    moved = dealt(reduce(DataFrame.unionByName, parts), visit)
+    one = moved.groupBy(*moved.columns).agg(F.count(F.lit(1)).alias("_m"))
+    codes = F.when(F.col("field").isin(coded), text.icd_list(F.col("_c"))).otherwise(F.array(F.lit("")))
+    listed = one.select(patient, visit, "field", F.explode(codes).alias("code"), text.clean(F.col("_n")).alias("name"), "_m")
+    rows = listed.withColumn("name_key", text.entity_key(F.col("name"))).where((F.col("code") != "") | (F.col("name") != ""))
     out = rows.groupBy(patient, visit, "code", "name_key").agg(F.min("name").alias("name"), F.array_join(F.array_sort(F.collect_set("field")), ";").alias("fields"), F.sum("_m").alias("source_row_count"))
     return out.withColumn("diagnosis_id", ids.prefix_id("dx", F.col(patient), F.col(visit), F.col("code"), F.col("name_key")))
 
