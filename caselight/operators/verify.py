@@ -7,6 +7,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from caselight.session import dealt
+
 RANGES = 256
 
 
@@ -64,10 +66,10 @@ def incidence_differences(incidence: DataFrame, memberships: DataFrame, nodes: D
 
     nodes: node, index and edges: edge, index name the rows and columns; names are null where a cell lies outside them.
     """
-    cells = incidence.groupBy("row", "col").agg(F.count(F.lit(1)).alias("n"))
-    named = cells.join(nodes.select("node", F.col("index").alias("row")), "row", "left").join(edges.select("edge", F.col("index").alias("col")), "col", "left")
-    want = memberships.select("node", "edge").distinct().withColumn("_m", F.lit(True))
+    cells = dealt(incidence, "row").groupBy("row", "col").agg(F.count(F.lit(1)).alias("n"))
+    named = dealt(cells.join(nodes.select("node", F.col("index").alias("row")), "row", "left"), "col").join(edges.select("edge", F.col("index").alias("col")), "col", "left")
+    want = dealt(memberships.select("node", "edge"), "node", "edge").distinct().withColumn("_m", F.lit(True))
     outside = named.where("node IS NULL OR edge IS NULL").select("node", "edge", F.lit("outside").alias("reason"))
-    both = named.where("node IS NOT NULL AND edge IS NOT NULL").join(want, ["node", "edge"], "full_outer")
+    both = dealt(named.where("node IS NOT NULL AND edge IS NOT NULL"), "node", "edge").join(want, ["node", "edge"], "full_outer")
     reason = F.when(F.col("_m").isNull(), "no membership").when(F.col("n").isNull(), "no cell").when(F.col("n") > 1, "repeated")
     return both.select("node", "edge", reason.alias("reason")).where("reason IS NOT NULL").unionByName(outside)

@@ -376,7 +376,7 @@ def plan(df):
     return df._jdf.queryExecution().executedPlan().toString()
 
 
-@pytest.mark.parametrize("name", ["concept_inventory", "artifact_checks", "sampled_graph_nodes", "build_medicines", "target_timelines", "build_diagnoses"])
+@pytest.mark.parametrize("name", ["concept_inventory", "artifact_checks", "sampled_graph_nodes", "build_medicines", "target_timelines", "build_diagnoses", "incidence_verified"])
 def test_rows_are_dealt_to_tasks_that_are_not_merged(spark, name):
     assert "REPARTITION_BY_NUM" in plan(plans.queries()[name](spark, "/root/testdata/sf0.001"))
 
