@@ -5,7 +5,6 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -19,8 +18,9 @@ from caselight.session import ship_package, work_folder
 
 #: Bytes of query vectors that one block of a search sends to every executor.
 QUERY_BLOCK_BYTES = 32_000_000
-#: Scores that a task holds at once.
-SCORES = 4_000_000
+#: Scores that a task holds at once, of at most TILE_QUERIES queries.
+SCORES = 500_000
+TILE_QUERIES = 1000
 
 
 def is_valid(v: Column, dim: int | None = None) -> Column:
@@ -62,18 +62,36 @@ def mean_pool(df: DataFrame, key: str, vector: str) -> DataFrame:
     return means.groupBy(key).agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "m"))), lambda s: s.m).alias(vector))
 
 
-def _query_blocks(queries: DataFrame, width: int) -> Iterator[DataFrame]:
-    """The stated queries in blocks of about QUERY_BLOCK_BYTES, dealt by hash."""
+def _matrix(lists: pa.Array) -> np.ndarray:
+    """Lists of one length as the rows of a matrix."""
+    size = lists.value_lengths().to_numpy()
+    if (size != size[0]).any():
+        raise ValueError("vectors of several lengths")
+    return lists.flatten().to_numpy(zero_copy_only=False).astype(float, copy=False).reshape(len(size), size[0])
+
+
+def _tiles(n: int, m: int) -> Iterator[tuple[slice, slice]]:
+    """Slices of n queries and m candidates that make at most SCORES pairs each."""
+    queries = max(1, min(n, TILE_QUERIES, SCORES))
+    rows = max(1, SCORES // queries)
+    for at in range(0, m, rows):
+        for a in range(0, n, queries):
+            yield slice(a, min(a + queries, n)), slice(at, min(at + rows, m))
+
+
+def _query_blocks(queries: DataFrame, width: int) -> Iterator[dict]:
+    """The stated queries in blocks of about QUERY_BLOCK_BYTES, dealt by hash: Arrow arrays by column, v as a matrix."""
     size = queries.agg(F.sum(F.size("v") * 8 + width)).first()[0] or 0
     n = int(size // QUERY_BLOCK_BYTES) + 1
     for b in range(n):
         part = queries if n == 1 else queries.where(F.pmod(F.xxhash64("id"), F.lit(n)) == b)
-        if len(held := part.toPandas()):
-            yield held
+        if (held := part.toArrow()).num_rows:
+            columns = {c: held[c].combine_chunks() for c in held.column_names}
+            yield columns | {"v": _matrix(columns["v"])}
 
 
 def _by_blocks(queries: DataFrame, width: int, rows: DataFrame, work: Callable, schema: str) -> DataFrame:
-    """What work(held block) makes of the rows in mapInPandas, block by block.
+    """What work(held block) makes of the rows in mapInArrow, block by block.
 
     A block's result is written and its broadcast destroyed before the next block leaves the driver; a single block stays lazy.
     """
@@ -85,7 +103,7 @@ def _by_blocks(queries: DataFrame, width: int, rows: DataFrame, work: Callable,
             part.write.parquet(f"{folder}/{n - 1}")
             held.destroy()
         held = spark.sparkContext.broadcast(block)
-        part = rows.mapInPandas(work(held), schema)
+        part = rows.mapInArrow(work(held), schema)
     if held is None:
         return spark.createDataFrame([], schema)
     if folder is None:
@@ -100,13 +118,13 @@ def topk_cosine(queries: DataFrame, candidates: DataFrame, id_col: str, vector:
 
     The queries go out in blocks of a checked size; each partition of candidates keeps k a query, so the
     shuffle holds k rows a query and partition at most. A query is not its own candidate; with exclude, nor
-    is any row with the same (not null) value of that column. Vectors that are not valid take no part.
+    is any row with the same (not null) value of that column. Rows without an id or a valid vector take no part.
     """
     spark = candidates.sparkSession
     ship_package(spark)
     extra = [F.col(exclude).cast("string").alias("x") if exclude else F.lit(None).cast("string").alias("x")]
-    q = queries.where(is_valid(F.col(query_vector or vector))).select(F.col(id_col).alias("id"), *extra, normalize(F.col(query_vector or vector)).alias("v"))
-    c = candidates.where(is_valid(F.col(vector))).select(F.col(id_col).alias("id"), *extra, normalize(F.col(vector)).alias("v"))
+    q = queries.where(F.col(id_col).isNotNull() & is_valid(F.col(query_vector or vector))).select(F.col(id_col).alias("id"), *extra, normalize(F.col(query_vector or vector)).alias("v"))
+    c = candidates.where(F.col(id_col).isNotNull() & is_valid(F.col(vector))).select(F.col(id_col).alias("id"), *extra, normalize(F.col(vector)).alias("v"))
     kind = dict(c.dtypes)["id"]
     found = _by_blocks(q, 32, c, lambda held: _local_topk(held, k), f"query_id {kind}, candidate_id {kind}, score double")
     w = Window.partitionBy("query_id").orderBy(F.desc("score"), "candidate_id")
@@ -114,38 +132,70 @@ def topk_cosine(queries: DataFrame, candidates: DataFrame, id_col: str, vector:
     return ranked.select("query_id", "rank", "candidate_id", F.round("score", 6).alias("score"))
 
 
+def _added(q: np.ndarray, c: np.ndarray, x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Inner products of the rows x of q with the rows y of c, added from the left as dot() does."""
+    out = np.empty(len(x))
+    rows = max(1, SCORES // q.shape[1])
+    for at in range(0, len(x), rows):
+        out[at : at + rows] = np.add.accumulate(q[x[at : at + rows]] * c[y[at : at + rows]], axis=1)[:, -1] + 0.0
+    return out
+
+
 def _local_topk(held, k: int):
-    """Keeps the k best of each query over a partition, from score matrices of at most SCORES numbers."""
+    """Keeps the k best of each query over a partition, from tiles of at most SCORES scores.
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    The last bits of a matrix product depend on where in it a vector stands, so it only tells which candidates can be among
+    the best. Their scores are added from the left, so that equal vectors have equal scores and ties go by id.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         q = held.value
-        qv, qid, qx = np.array(q["v"].tolist(), float), q["id"].to_numpy(), q["x"].to_numpy(object)
-        known = pd.notna(qx).any()
-        best = np.empty((len(qid), 0))
-        ids = np.empty((len(qid), 0), qid.dtype)
-        rows = max(k, SCORES // len(qid))
+        qv, qid = q["v"], q["id"].to_numpy(zero_copy_only=False)
+        labels = q["x"].to_pylist()
+        known = {x: i for i, x in enumerate(dict.fromkeys(x for x in labels if x is not None))}
+        qx = np.array([known.get(x, -1) for x in labels])
+        slack = 4 * qv.shape[1] * np.finfo(float).eps
+        best, ids, kind = np.full((len(qid), k), -np.inf), None, None
         for batch in batches:
-            for at in range(0, len(batch), rows):
-                c = batch.iloc[at : at + rows]
-                s = qv @ np.array(c["v"].tolist(), float).T
-                cid, cx = c["id"].to_numpy(), c["x"].to_numpy(object)
-                s[qid[:, None] == cid[None, :]] = -np.inf
+            if not batch.num_rows:
+                continue
+            cv, cid = _matrix(batch.column("v")), batch.column("id").to_numpy(zero_copy_only=False)
+            cx = np.array([known.get(x, -2) for x in batch.column("x").to_pylist()])
+            if ids is None:
+                ids, kind = np.zeros(best.shape, cid.dtype), batch.column("id").type
+            for a, at in _tiles(len(qid), len(cid)):
+                s = qv[a] @ cv[at].T
+                s[qid[a, None] == cid[None, at]] = -np.inf
                 if known:
-                    s[(qx[:, None] == cx[None, :]) & pd.notna(cx)[None, :]] = -np.inf
-                best, ids = np.concatenate([best, s], 1), np.concatenate([ids, np.broadcast_to(cid, s.shape)], 1)
-                if best.shape[1] > k:
-                    # All that reach the k-th best score stay in play, so that ties go by id.
-                    least = np.partition(best, best.shape[1] - k, axis=1)[:, best.shape[1] - k]
-                    new_s, new_i = np.full((len(qid), k), -np.inf), np.zeros((len(qid), k), ids.dtype)
-                    x, y = np.nonzero(best >= least[:, None])
-                    order = np.lexsort((ids[x, y], -best[x, y], x))
-                    x, y = x[order], y[order]
-                    place = np.arange(len(x)) - np.searchsorted(x, x)
-                    x, y, place = x[place < k], y[place < k], place[place < k]
-                    new_s[x, place], new_i[x, place] = best[x, y], ids[x, y]
-                    best, ids = new_s, new_i
-        x, y = np.nonzero(best > -np.inf)
-        yield pd.DataFrame({"query_id": qid[x], "candidate_id": ids[x, y], "score": best[x, y]})
+                    s[qx[a, None] == cx[None, at]] = -np.inf
+                # All that can reach the k-th best score stay in play.
+                least = best[a, -1]
+                hit = s >= np.maximum(least - slack, np.finfo(float).min)[:, None]
+                if s.shape[1] > k and np.count_nonzero(hit) > 2 * k * len(s):
+                    least = np.maximum(least, np.partition(s, s.shape[1] - k, axis=1)[:, s.shape[1] - k])
+                    hit = s >= np.maximum(least - slack, np.finfo(float).min)[:, None]
+                x, y = np.nonzero(hit)
+                if not len(x):
+                    continue
+                # A query with new candidates is ranked anew among them and what it had.
+                own_s, own_i = best[a], ids[a]
+                again = np.zeros(len(s), bool)
+                again[x] = True
+                ox, oy = np.nonzero((own_s > -np.inf) & again[:, None])
+                score = np.concatenate([own_s[ox, oy], _added(qv[a], cv[at], x, y)])
+                found = np.concatenate([own_i[ox, oy], cid[at][y]])
+                x = np.concatenate([ox, x])
+                order = np.lexsort((found, -score, x))
+                x, score, found = x[order], score[order], found[order]
+                place = np.arange(len(x)) - np.searchsorted(x, x)
+                kept = place < k
+                own_s[x[kept], place[kept]], own_i[x[kept], place[kept]] = score[kept], found[kept]
+        if ids is None:
+            return
+        for at in range(0, len(qid), TILE_QUERIES):
+            x, y = np.nonzero(best[at : at + TILE_QUERIES] > -np.inf)
+            x += at
+            yield pa.RecordBatch.from_arrays([pa.array(qid[x], kind), pa.array(ids[x, y], kind), pa.array(best[x, y])], names=["query_id", "candidate_id", "score"])
 
     return run
 
@@ -178,16 +228,17 @@ def ranks_of_own(queries: DataFrame, candidates: DataFrame, id_col: str, query_v
     kind = dict(q.dtypes)["id"]
 
     def above(held):
-        def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             p = held.value
-            v, t = np.array(p["v"].tolist(), float), p["t"].to_numpy()
+            v, t = p["v"], p["t"].to_numpy(zero_copy_only=False)
             n = np.zeros(len(t), np.int64)
-            rows = max(1, SCORES // len(t))
             for batch in batches:
-                for at in range(0, len(batch), rows):
-                    s = v @ np.array(batch["v"].iloc[at : at + rows].tolist(), float).T
-                    n += (np.round(s, digits) > t[:, None]).sum(1)
-            yield pd.DataFrame({"query_id": p["id"], "n": n})
+                if not batch.num_rows:
+                    continue
+                cv = _matrix(batch.column("v"))
+                for a, at in _tiles(len(t), len(cv)):
+                    n[a] += (np.round(v[a] @ cv[at].T, digits) > t[a, None]).sum(1)
+            yield pa.RecordBatch.from_arrays([p["id"], pa.array(n)], names=["query_id", "n"])
 
         return run
 

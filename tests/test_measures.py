@@ -4,8 +4,11 @@ import collections
 import json
 import math
 import random
+import tracemalloc
+import types
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -42,6 +45,59 @@ def test_ranks_of_partners_and_blocks(spark, monkeypatch):
     assert m.median_rank == float(np.median(list(own.values()))) and m.recall_at_5 == pytest.approx(np.mean([v <= 5 for v in own.values()]))
 
 
+def test_topk_of_copies_goes_by_id(spark):
+    r = np.random.default_rng(2)
+    base = r.normal(size=(17, 64))
+    rows = [(i, "abc"[i % 3], base[i % 17].tolist()) for i in range(1003)] + [(None, "d", base[0].tolist())]
+    df = spark.createDataFrame(rows, "k long, label string, a array<double>").repartition(2, "k")
+    x = np.array([v for i, _, v in rows if i is not None])
+    u = x / np.sqrt(np.add.accumulate(x * x, axis=1)[:, -1:])
+    s = np.array([np.add.accumulate(v * u, axis=1)[:, -1] for v in u])  # added from the left, as SQL does
+    ids = np.arange(len(u))
+    for exclude in (None, "label"):
+        apart = ids[:, None] != ids if exclude is None else ids[:, None] % 3 != ids % 3
+        want = {(i, n + 1): int(j) for i in ids.tolist() for n, j in enumerate(np.lexsort((ids, np.where(apart[i], -s[i], np.inf)))[:5])}
+        top = vectors.topk_cosine(df.where("k IS NOT NULL"), df, "k", "a", 5, exclude=exclude).collect()
+        assert {(t.query_id, t.rank): t.candidate_id for t in top} == want
+
+
+def test_topk_in_tiles(monkeypatch):
+    r = np.random.default_rng(3)
+    x = r.integers(-2, 3, size=(40, 3)).astype(float)
+    ids, labels = [f"r{i:02d}" for i in range(40)], [None if i % 7 == 0 else "abc"[i % 3] for i in range(40)]
+    held = types.SimpleNamespace(value={"id": pa.array(ids[:11]), "x": pa.array(labels[:11]), "v": x[:11]})
+    batches = [pa.RecordBatch.from_arrays([pa.array(ids[a:b]), pa.array(labels[a:b], pa.string()), pa.array(x[a:b].tolist())], names=["id", "x", "v"]) for a, b in ((0, 16), (16, 16), (16, 17), (17, 40))]
+    apart = lambda i, j: i != j and (labels[i] is None or labels[i] != labels[j])
+    want = {i: sorted((-float(x[i] @ x[j]), ids[j]) for j in range(40) if apart(i, j))[:4] for i in range(11)}
+    for scores, queries in ((1, 1), (7, 3), (30, 20), (500_000, 1000)):
+        monkeypatch.setattr(vectors, "SCORES", scores)
+        monkeypatch.setattr(vectors, "TILE_QUERIES", queries)
+        assert max((a.stop - a.start) * (b.stop - b.start) for a, b in vectors._tiles(11, 40)) <= scores
+        got = [t for batch in vectors._local_topk(held, 4)(iter(batches)) for t in batch.to_pylist()]
+        assert {i: sorted((-t["score"], t["candidate_id"]) for t in got if t["query_id"] == ids[i]) for i in range(11)} == want
+
+
+def test_topk_holds_few_scores(spark, monkeypatch):
+    peak, local = spark.sparkContext.accumulator(0), vectors._local_topk
+
+    def traced(held, k):
+        work = local(held, k)
+
+        def run(batches):
+            tracemalloc.start()
+            yield from work(batches)
+            peak.add(tracemalloc.get_traced_memory()[1])
+            tracemalloc.stop()
+
+        return run
+
+    monkeypatch.setattr(vectors, "_local_topk", traced)
+    a = F.array(*(F.randn(i) for i in range(8)))
+    df = spark.range(0, 6000, 1, 1).select(F.col("id").alias("k"), (F.col("id") % 10).alias("label"), a.alias("a"))
+    assert vectors.topk_cosine(df.where("k < 3000"), df, "k", "a", 5, exclude="label").count() == 15_000
+    assert 0 < peak.value < 50_000_000
+
+
 def test_gram_of_several_lengths(spark):
     rows = [[1.0, 2.0, 3.0], [0.5, -1.0], [2.0, 0.0, 1.0], None, [float("nan"), 1.0]]
     got = {(r.i, r.j): r.g for r in vectors.gram(spark.createDataFrame([(v,) for v in rows], "v array<double>").repartition(3), "v").collect()}
