@@ -37,8 +37,8 @@ def topk_cosine_self_excluded(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("WITH " + _topk(f"SELECT vec_id, label, {_unit('embedding')} AS v FROM embeddings", "AND q.label <> c.label", 10) + _SELECT.format(k=10))
 def topk_cosine_label_excluded(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The same without candidates of the query's own label (patient)."""
-    emb = table(spark, sf_dir, "embeddings")
+    """The same without candidates of the query's own label (patient); rows whose label isn't known take no part."""
+    emb = table(spark, sf_dir, "embeddings").where("label IS NOT NULL")
     return vectors.topk_cosine(emb.where("vec_id % 100 = 0"), emb, "vec_id", "embedding", 10, exclude="label")
 
 

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from caselight.functions import text
 from caselight.operators import aggregates, events, evidence, fusion, graph, quality, vectors, windows
+from caselight.plans import retrieval
 
 
 @pytest.mark.parametrize("n", [0, 1, 2, 37])
@@ -61,6 +62,16 @@ def test_topk_of_copies_goes_by_id(spark):
         assert {(t.query_id, t.rank): t.candidate_id for t in top} == want
 
 
+def test_topk_by_label_without_unknown_labels(spark, tmp_path):
+    r = np.random.default_rng(4)
+    rows = [(i, None if i % 7 == 0 and i != 700 else i % 3, r.normal(size=4).tolist()) for i in range(0, 1000, 5)]
+    spark.createDataFrame(rows, "vec_id long, label int, embedding array<float>").write.parquet(f"{tmp_path}/embeddings.parquet")
+    top = retrieval.topk_cosine_label_excluded(spark, str(tmp_path)).collect()
+    label = {i: x for i, x, _ in rows}
+    assert {t.query_id for t in top} == set(range(100, 1000, 100)) and len(top) == 90
+    assert all(label[t.candidate_id] not in (None, label[t.query_id]) for t in top)
+
+
 def test_topk_in_tiles(monkeypatch):
     r = np.random.default_rng(3)
     x = r.integers(-2, 3, size=(40, 3)).astype(float)
